@@ -99,7 +99,7 @@ def shingles_of(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     total = words.hash * SHINGLE_MUL[0]
-    for j in range(1, size):
+    for j in range(1, min(size, n)):
         same = np.zeros(n, bool)
         same[: n - j] = words.row[j:] == words.row[: n - j]
         total[: n - j] += np.where(same[: n - j], words.hash[j:] * SHINGLE_MUL[j], U(0))
