@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from darkslide.plans import aggregate_queries, cull_queries, identity_queries, score_queries, sink_queries, source_queries, stream_queries, vector_queries
+from darkslide.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+MODULES = (score_queries, cull_queries, aggregate_queries, vector_queries, identity_queries, source_queries, sink_queries, stream_queries)
+FLAGSHIP = "w05_verdicts"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "w5_verdicts"
+__all__ = ["FLAGSHIP", "MODULES", "ORACLE_SQL", "QUERIES"]
