@@ -210,7 +210,7 @@ def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
     if metric == "cosine":
         return 1.0 - cosine(a, b)
     if metric == "euclidean":
-        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y).cast("double") * (x - y).cast("double")), F.lit(0.0), lambda s, x: s + x))
+        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
     raise ValueError(f"unknown metric {metric!r}")
 
 
