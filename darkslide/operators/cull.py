@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from darkslide.operators.ranking import rank_all, rank_in_group
+from darkslide.plans.session import materialize
 
 # Shares of a category that coverage mode keeps.
 QUOTAS = {"Audience": 25, "Group Photos": 25, "Keynote": 25, "Panel Discussion": 25, "Awards": 30, "Branding": 60, "Networking": 60, "Exhibition": 70}
@@ -64,10 +65,10 @@ def heroes(kept: DataFrame, total: int) -> DataFrame:
 
 def verdicts(scored: DataFrame, percent: float | None = None, coverage: bool = False) -> DataFrame:
     """photo_id, group_id, rank, is_best, category, overall, publish (one decimal), decision, auto_discard."""
-    best = with_best(scored)
+    best = materialize(with_best(scored), "best")  # read four times below
     keep = coverage_keep(best) if coverage else smart_keep(best, percent)
     kept = best.join(keep.withColumn("_kept", F.lit(True)), "photo_id", "left").withColumn("_kept", F.coalesce("_kept", F.lit(False)))
-    top = heroes(kept.where("_kept"), scored.count()).withColumn("_hero", F.lit(True))
+    top = heroes(kept.where("_kept"), best.count()).withColumn("_hero", F.lit(True))
     out = kept.join(F.broadcast(top), "photo_id", "left")
     decision = F.when(F.col("_hero"), "HERO").when(F.col("_kept"), "KEEP").otherwise("REJECT")
     one = lambda c: F.floor(F.round(c, 6) * 10 + 0.5) / 10
