@@ -22,7 +22,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Fragments a worker remembers; the table is emptied when it is full.
-MEMO_FRAGMENTS = 400_000
+MEMO_FRAGMENTS = 300_000
 #: Longer fragments are encoded without being remembered.
 MEMO_BYTES = 64
 _SPACE = np.zeros(256, bool)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from darkslide.llm.textbuf import _LOWER, _WORD, U, byte_chunks, mix
+from darkslide.llm.textbuf import arrow_map, byte_chunks, _LOWER, mix, U, _WORD
 from darkslide.plans.session import materialize
 
 #: Hashed features: 2 ** BITS of them.
@@ -221,7 +221,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = TOXIC_ROWS,
     if len(by) < 2:
         return constant(y_all)
     m0, m1 = float(by[False]), float(by[True])
-    counts = train.select("text", "y").mapInArrow(count, "f bigint, n0 bigint, n1 bigint").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = train.select("text", "y").transform(arrow_map, count, "f bigint, n0 bigint, n1 bigint").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     a = TOXIC_ALPHA
     p, q = (F.col("n1") + a) / (m1 + 2 * a), (F.col("n0") + a) / (m0 + 2 * a)
     seen = (F.col("n0") + F.col("n1")) / (m0 + m1)
@@ -241,7 +241,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = TOXIC_ROWS,
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(r, np.arange(hi - lo + 1)), pa.int32()), pa.array(place[f]))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), lists], ["order", "y", "f"])
 
-    rows = train.select("text", "order", "y").mapInArrow(select, "order bigint, y int, f array<int>").toPandas().sort_values(["order", "y"], kind="stable")
+    rows = train.select("text", "order", "y").transform(arrow_map, select, "order bigint, y int, f array<int>").toPandas().sort_values(["order", "y"], kind="stable")
     size = rows["f"].map(len).to_numpy()
     cols = np.concatenate([np.asarray(x, np.int64) for x in rows["f"]]) if len(rows) else np.zeros(0, np.int64)
     r = best["r"].to_numpy()
@@ -289,7 +289,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = QUALITY_ROWS
                 lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (f.astype(np.int32), x)]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), *lists], ["order", "y", "f", "x"])
 
-    table = train.select("text", "order", "y").mapInArrow(extract, "order bigint, y int, f array<int>, x array<float>").toArrow().combine_chunks()
+    table = train.select("text", "order", "y").transform(arrow_map, extract, "order bigint, y int, f array<int>, x array<float>").toArrow().combine_chunks()
     y = (table["y"].to_numpy() > 0).astype(float)
     if len(set(y.tolist())) < 2:
         return constant(y)
@@ -338,7 +338,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Linear, values: Callable[
                 s = sigmoid(values(weights, data, offsets) + b)
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(s)], [*kept, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return docs.transform(arrow_map, run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 TOXIC_AT, QUALITY_AT = 0.3, 0.7

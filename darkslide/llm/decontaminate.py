@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkslide.llm.jaccard_join import BROADCAST_KEYS
-from darkslide.llm.textbuf import SHINGLE_MUL, U, Words, byte_chunks, mix, words_of
+from darkslide.llm.textbuf import arrow_map, byte_chunks, mix, SHINGLE_MUL, U, Words, words_of
 from darkslide.plans.session import materialize
 
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 8, 9))
@@ -149,7 +149,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, key
                         ids = pa.array([block.ids[i] for i in item.tolist()])
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + row)), ids, *map(pa.array, (size, equal, n, first))], ["key", "item", "overlap_words", "equal_words", "item_words", "doc_word"])
 
-        part = rows.mapInArrow(run, f"key {kind}, item {item_kind}, overlap_words bigint, equal_words bigint, item_words bigint, doc_word bigint")
+        part = rows.transform(arrow_map, run, f"key {kind}, item {item_kind}, overlap_words bigint, equal_words bigint, item_words bigint, doc_word bigint")
         out = part if out is None else out.unionByName(part)
     return out.withColumnsRenamed({"key": key, "item": item_key})
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from darkslide.llm.textbuf import arrow_map
+
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes iframe noembed".split())
@@ -307,4 +309,4 @@ def extract(spark: SparkSession, pages: DataFrame, key: str = "page_id", url: st
 
     kind, url_kind = pages.schema[key].dataType.simpleString(), pages.schema[url].dataType.simpleString()
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(page).cast("string").alias("html"))
-    return rows.mapInArrow(run, f"key {kind}, url {url_kind}, text string, n_chars bigint").withColumnsRenamed({"key": key, "url": url})
+    return rows.transform(arrow_map, run, f"key {kind}, url {url_kind}, text string, n_chars bigint").withColumnsRenamed({"key": key, "url": url})

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkslide.llm.textbuf import U, byte_chunks, distinct_per_row, mix, shingles_of, words_of
+from darkslide.llm.textbuf import arrow_map, byte_chunks, distinct_per_row, mix, shingles_of, U, words_of
 from darkslide.operators.graph import connected_components
 from darkslide.plans.session import materialize
 
@@ -85,7 +85,7 @@ def minhash_bands(values: np.ndarray, rows: np.ndarray, n: int, banding: Banding
 
 def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, values, rows, ends) of the distinct n-grams of each text."""
-    for lo, hi, data, offsets in byte_chunks(column, 1 << 19):
+    for lo, hi, data, offsets in byte_chunks(column):
         values, rows = distinct_per_row(*shingles_of(words_of(data, offsets), size))
         yield lo, hi, values, rows, np.searchsorted(rows, np.arange(hi - lo + 1))
 
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, key: str, text: str, size: int, banding: Banding
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, n_grams bigint, d1 bigint, d2 bigint, bands array<bigint>")
+    return rows.transform(arrow_map, run, f"key {kind}, n_grams bigint, d1 bigint, d2 bigint, bands array<bigint>")
 
 
 def full_sets(docs: DataFrame, keys: DataFrame, n_keys: int, key: str, text: str, size: int) -> DataFrame:
@@ -122,7 +122,7 @@ def full_sets(docs: DataFrame, keys: DataFrame, n_keys: int, key: str, text: str
 
     rows = docs.select(F.col(key).alias("rep"), F.col(text).cast("string").alias("text"))
     side = F.broadcast(keys) if n_keys <= BROADCAST_KEYS else keys
-    return rows.join(side, "rep", "left_semi").select("text").mapInArrow(run, "cid bigint, hashes binary")
+    return rows.join(side, "rep", "left_semi").select("text").transform(arrow_map, run, "cid bigint, hashes binary")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -214,7 +214,7 @@ def _verify_groups(members: DataFrame, threshold: float) -> DataFrame:
             yield done(held)
 
     dealt = members.repartition("g").sortWithinPartitions("g", "cid")
-    return dealt.select("g", "band", "side", "cid", "copies", "bands", "hashes").mapInArrow(run, "cid bigint, root bigint, n bigint")
+    return dealt.select("g", "band", "side", "cid", "copies", "bands", "hashes").transform(arrow_map, run, "cid bigint, root bigint, n bigint")
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkslide.llm.jaccard_join import choose_banding
-from darkslide.llm.textbuf import U, byte_chunks, mix, shingles_of, words_of
+from darkslide.llm.textbuf import arrow_map, byte_chunks, mix, shingles_of, U, words_of
 
 # Usual notices and permission texts of public licenses.
 TEMPLATES = {
@@ -144,7 +144,7 @@ def scan(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
         for batch in batches:
-            for lo, _hi, data, offsets in byte_chunks(batch.column(1), 1 << 19):
+            for lo, _hi, data, offsets in byte_chunks(batch.column(1)):
                 found = scan_rows(t, data, offsets)
                 if found:
                     row, which, share, first = zip(*found, strict=True)
@@ -152,4 +152,4 @@ def scan(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(row) + lo)), *cells], ["key", "license", "containment", "first_shingle"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, license string, containment double, first_shingle bigint").withColumnRenamed("key", key)
+    return rows.transform(arrow_map, run, f"key {kind}, license string, containment double, first_shingle bigint").withColumnRenamed("key", key)

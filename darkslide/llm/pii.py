@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from darkslide.llm.textbuf import arrow_map
+
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, end, kind
@@ -309,7 +311,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_regions:
             best = sorted(set(best))[:max_regions]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in best], pa.int64()), pa.array([x[1] for x in best], pa.string())], ["h", "region"])
 
-    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "h bigint, region string")
+    found = docs.select(F.col(text).cast("string").alias("text")).transform(arrow_map, run, "h bigint, region string")
     rows = found.distinct().orderBy("h", "region").limit(max_regions).collect()
     return fit([r["region"] for r in rows])
 
@@ -366,7 +368,7 @@ def find(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string, n_added bigint" + ", redacted string" * keep_text
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return rows.transform(arrow_map, run, schema).withColumnRenamed("key", key)
 
 
 def redact(text: str, spans: list[Span]) -> str:
@@ -402,7 +404,7 @@ def redact_documents(spark: SparkSession, docs: DataFrame, key: str = "doc_id",
                 cells[at] = pa.array(texts, part.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays(cells, names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.transform(arrow_map, run, docs.schema)
     if length in names:
         out = out.withColumn(length, F.when(F.col(text).isNull(), F.col(length)).otherwise(F.char_length(text).cast(docs.schema[length].dataType)))
     return out

@@ -10,13 +10,18 @@ ASCII capitals count as small letters. All texts are used whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 U = np.uint64
 _RNG = np.random.default_rng(20240229)
 _POS = _RNG.integers(1, 1 << 63, 1 << 16, dtype=np.uint64) * U(2) + U(1)
@@ -28,6 +33,40 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Task) -> Task:
+    """run, with freed memory handed back to the system at the end of the task: workers live on for
+    tasks of other stages, and what they hold adds up on an executor."""
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
+#: Most bytes of an Arrow batch; every task holds a few batches on both sides.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def arrow_map(df: DataFrame, run: Task, schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of at most BATCH_BYTES, unless the session asks for
+    smaller ones, and with freed memory handed back at the end of each task."""
+    conf = df.sparkSession.conf
+    now = conf.get(_BATCH_SETTING)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+    return df.mapInArrow(tidy(run), schema)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, a bijection on 64-bit values."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)

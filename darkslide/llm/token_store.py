@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from darkslide.llm.bpe import encoder
-from darkslide.llm.textbuf import byte_chunks
+from darkslide.llm.textbuf import arrow_map, byte_chunks
 from darkslide.llm.tokenize_op import default_path
 from darkslide.plans.session import new_path
 
@@ -154,7 +154,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, target: str, key: str = "
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).repartitionByRange(n, "key").sortWithinPartitions("key", "text")
-    files = ordered.mapInArrow(run, f"part int, file int, keys array<{kind}>, lengths array<bigint>, blob binary")
+    files = ordered.transform(arrow_map, run, f"part int, file int, keys array<{kind}>, lengths array<bigint>, blob binary")
     files.write.parquet(target)
 
 
@@ -185,7 +185,7 @@ def read_tokens(spark: SparkSession, target: str, key: str = "doc_id", index: st
                 cells += [batch.column(4).slice(r, 1).flatten(), pa.array(ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cells, ["part", "file", "key", "at", "n_tokens", "ids_crc32"])
 
-    found = files.select("part", "file", "lengths", "blob", "keys").mapInArrow(run, f"part int, file int, key {kind}, at bigint, n_tokens bigint, ids_crc32 bigint")
+    found = files.select("part", "file", "lengths", "blob", "keys").transform(arrow_map, run, f"part int, file int, key {kind}, at bigint, n_tokens bigint, ids_crc32 bigint")
     return found.join(starts, ["part", "file"]).select(F.col("key").alias(key), (F.col("file_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

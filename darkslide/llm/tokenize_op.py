@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from darkslide.llm.bpe import encoder
-from darkslide.llm.textbuf import byte_chunks
+from darkslide.llm.textbuf import arrow_map, byte_chunks
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 
@@ -48,7 +49,7 @@ def encode_column(df: DataFrame, key: str, text: str, path: str | None = None) -
 
     kind = df.schema[key].dataType
     schema = T.StructType([T.StructField("key", kind), T.StructField("ids", T.BinaryType())])
-    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).transform(arrow_map, run, schema).withColumnRenamed("key", key)
 
 
 def decode_column(df: DataFrame, ids: str, out: str, path: str | None = None) -> DataFrame:
@@ -64,16 +65,29 @@ def decode_column(df: DataFrame, ids: str, out: str, path: str | None = None) ->
                 texts = [None if x is None else bpe.decode(x) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out])
 
-    return df.mapInArrow(run, plan_columns(df, {out: T.StringType()}))
+    return df.transform(arrow_map, run, plan_columns(df, {out: T.StringType()}))
 
 
 def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """key, n_tokens, ids_sha256, decoded_sha256 of every row: the digests of the packed ids and
-    of the text decoded from them. Empty and null texts: 0 tokens and the digests of nothing."""
-    back = decode_column(encode_column(df, key, text, path), "ids", "decoded_text", path)
-    return back.select(
-        key,
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded_text").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    of the text decoded from them. Empty and null texts: 0 tokens and the digests of nothing.
+
+    Both ways are gone in one pass, so a task holds one encoder and no text goes back to the JVM."""
+    vocabulary = path or default_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        bpe = encoder(vocabulary)
+        for batch in batches:
+            for a, b, data, offsets in byte_chunks(batch.column(1), 1 << 20):
+                raw = data.tobytes()
+                rows: list[tuple[int, str, str]] = []
+                for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    ids = bpe.encode(raw[i:j])
+                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()))
+                n, packed, decoded = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(packed), pa.array(decoded)], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    return rows.transform(arrow_map, run, f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)

@@ -118,3 +118,8 @@ def test_rules_agree_with_labels(spark):
     good = [r.kept for r in kept if r.quality == 1 and not r.base_failed]
     bad = [r.kept for r in kept if r.quality == 0]
     assert sum(good) > 0.97 * len(good) and sum(bad) < 0.1 * len(bad)
+
+
+def test_columns_of_ids_go_back_to_texts(docs):
+    back = tokenize_op.decode_column(tokenize_op.encode_column(docs, "doc_id", "text"), "ids", "decoded").collect()
+    assert sorted((r.doc_id, r.decoded) for r in back) == sorted((k, t or "") for k, t in TEXTS)
