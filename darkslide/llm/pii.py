@@ -5,7 +5,8 @@ Base spans are found by linear scans (`base_spans`). The field works on regions
 kind (numbers with signs and spaces between, or unbroken text around an @), and a segment is scored as a whole (shape, digits, check sum, parts, neighbours) together with
 the kind before it. Forward and backward sums over all segmentations give likelihood gradients for training
 and the posterior of a segment; Viterbi picks boundaries and kinds jointly. Segments that it picks, that
-are likely enough and touch no base span are added; base spans always stay.
+are likely enough and touch no base span are added; base spans always stay. What the base patterns find after
+blanking out all of these is added too.
 
 It is trained here, on at most `max_regions` regions of the corpus with the base spans as labels. From a third of
 the phone numbers the country prefix is taken off first, so the field has to know them without it. All
@@ -338,6 +339,32 @@ def added_spans(field: SemiMarkovField, text: str, base: list[Span]) -> list[Spa
     return kept
 
 
+def blanked(text: str, spans: list[Span]) -> str:
+    """text with every span replaced by as many line ends."""
+    out, at = [], 0
+    for a, b, _ in sorted(spans):
+        if b > at:
+            a = max(a, at)
+            out += [text[at:a], "\n" * (b - a)]
+            at = b
+    return "".join([*out, text[at:]])
+
+
+def all_spans(field: SemiMarkovField, text: str | None) -> tuple[list[Span], list[Span]]:
+    """(base spans, added spans): those of the field, and those that the base patterns find once the
+    others are blanked out, such as a card number that a phone number before it had run into."""
+    if not text or not _TRIGGER.search(text):
+        return [], []
+    base = base_spans(text)
+    more = added_spans(field, text, base)
+    found = [*base, *more]
+    while found:
+        text = blanked(text, found)
+        found = base_spans(text)
+        more += found
+    return base, sorted(more)
+
+
 def find(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", field: SemiMarkovField | None = None, keep_text: bool = False) -> DataFrame:
     """key, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added of every row,
     and with keep_text the text with every span replaced by its kind (column redacted).
@@ -354,8 +381,7 @@ def find(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
                 cells: list[list] = [[] for _ in names]
                 for t in part.column(1):
                     s = t.as_py()
-                    base = base_spans(s) if s else []
-                    more = added_spans(model, s, base) if s and _TRIGGER.search(s) else []
+                    base, more = all_spans(model, s)
                     every = sorted([*base, *more], key=lambda x: (x[0], x[2]))
                     row = [*(sum(x[2] == k for x in base) for k in range(len(KINDS))), hashlib.sha256(written(base).encode()).hexdigest(), written(every), len(more)]
                     if keep_text:
@@ -396,8 +422,7 @@ def redact_documents(spark: SparkSession, docs: DataFrame, key: str = "doc_id",
                 texts = []
                 for t in part.column(at):
                     s = t.as_py()
-                    base = base_spans(s) if s else []
-                    more = added_spans(model, s, base) if s and _TRIGGER.search(s) else []
+                    base, more = all_spans(model, s)
                     spans = sorted([*base, *more], key=lambda x: (x[0], x[2]))
                     texts.append(redact(s, spans) if spans else s)
                 cells = list(part.columns)
