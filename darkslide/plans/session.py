@@ -49,6 +49,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """name, lengthened until df has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table written by this module, through Hadoop's file system."""
     jvm = spark.sparkContext._jvm
