@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from darkslide.llm import classifiers, decontaminate, jaccard_join, pii, tokenize_op
-from darkslide.plans.session import materialize
+from darkslide.plans.session import materialize, unused_name
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -19,8 +19,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. It is trained on labelled rows of docs."""
     model = classifiers.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = classifiers.score(spark, docs, model, classifiers.quality_values, out="quality_score")
-    return scored.where(scored["quality_score"] >= classifiers.QUALITY_AT).select(*docs.columns)
+    out = unused_name(docs, "quality_score")
+    scored = classifiers.score(spark, docs, model, classifiers.quality_values, out=out)
+    return scored.where(scored[out] >= classifiers.QUALITY_AT).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

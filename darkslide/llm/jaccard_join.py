@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from darkslide.llm.textbuf import arrow_map, byte_chunks, distinct_per_row, mix, shingles_of, U, words_of
 from darkslide.operators.graph import connected_components
-from darkslide.plans.session import materialize
+from darkslide.plans.session import materialize, unused_name
 
 GROUP_CLASSES = 4096
 GROUP_HASHES = 1 << 22
@@ -284,5 +284,6 @@ def one_of_each(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text:
     repeated = materialize(again, "repeated-keys")
     if repeated.isEmpty():
         return rest
-    once = rest.join(repeated, key, "left_semi").withColumn("_t", F.sha2(F.col(text), 256)).dropDuplicates([key, "_t"]).drop("_t")
+    digest = unused_name(docs, "digest")
+    once = rest.join(repeated, key, "left_semi").withColumn(digest, F.sha2(F.col(text), 256)).dropDuplicates([key, digest]).drop(digest)
     return rest.join(repeated, key, "left_anti").unionByName(once)

@@ -65,6 +65,27 @@ def test_odd_and_empty_documents(spark):
     assert redacted[1].text is None and redacted[1].n_chars == 0
 
 
+CLASHING = ["key", "text_", "ids", "d1", "cid", "rep", "count", "score", "digest", "quality_score", "h", "class_id", "y", "order", "item", "url", "posterior", "n_words"]
+
+
+def test_columns_with_names_that_the_operators_use(spark):
+    docs = spark.createDataFrame([(1, "a plain text of some words", "en", "s", 26), (2, "a plain text of some words", "en", "s", 26), (2, "a plain text of some words", "en", "s", 26)], SCHEMA)
+    wide = docs.selectExpr("*", *(f"{i} as {c}" for i, c in enumerate(CLASHING)))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, D)
+        if name != "tokens":
+            assert out.columns == wide.columns, name
+        rows = out.collect()
+        assert all(r["posterior"] == CLASHING.index("posterior") for r in rows if name != "tokens"), name
+    assert corpus_pipeline.near_duplicates(spark, wide, D).count() == 1
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").selectExpr("*", "1 as y", "2 as `order`", "'x' as text")
+    from darkslide.llm import classifiers, license_scan, pii, quality_rules, token_store
+
+    assert classifiers.judge_quality(spark, wide, labels).count() == classifiers.judge_toxicity(spark, wide, labels).count() == 3
+    assert license_scan.scan(spark, wide).count() == 0
+    assert quality_rules.judge(wide).count() == pii.find(spark, wide).count() == token_store.store_and_read(spark, wide).count() == 3
+
+
 def test_run_is_registered(spark):
     import __spark_entry__
 
