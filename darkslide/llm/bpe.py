@@ -17,11 +17,13 @@ from __future__ import annotations
 
 import functools
 import json
+import struct
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Fragments a worker remembers; the table is emptied when it is full.
+#: Fragments in a worker's table. A full one becomes the table before, from which fragments that are met
+#: again move to the new one; so at most twice as many are held, and common ones stay.
 MEMO_FRAGMENTS = 300_000
 #: Longer fragments are encoded without being remembered.
 MEMO_BYTES = 64
@@ -46,6 +48,11 @@ def forced_pairs(tokens: list[bytes]) -> np.ndarray:
     return forced
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class ForcedBoundaryBpe:
     """Encoder and decoder over one tokenizer file. encode() returns ids as packed little-endian
     unsigned 32-bit integers."""
@@ -67,6 +74,7 @@ class ForcedBoundaryBpe:
         safe = _SPACE[right] | ((left < 128) & ~_SPACE[left] & (right != ord("'")))
         self.cut = (forced & safe).ravel()
         self.memo: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def fragments(self, data: bytes) -> list[bytes]:
         """The text cut at every usable forced boundary."""
@@ -75,26 +83,29 @@ class ForcedBoundaryBpe:
         return [data[i:j] for i, j in zip([0, *at], [*at, len(data)], strict=True)] if data else []
 
     def _plain(self, data: bytes) -> bytes:
-        parts, memo = self.fragments(data), self.memo
-        new = [p for p in dict.fromkeys(parts) if p not in memo]
+        parts = self.fragments(data)
+        new = set(parts).difference(self.memo)
         if new:
-            if len(memo) + len(new) > MEMO_FRAGMENTS:
-                memo.clear()
-                new = list(dict.fromkeys(parts))
-            for i in range(0, len(new), 4096):
-                some = new[i : i + 4096]
+            if len(self.memo) + len(new) > MEMO_FRAGMENTS:
+                self.before, self.memo = self.memo, {}
+                new = set(parts)
+            again = [p for p in new if p in self.before]
+            self.memo.update(zip(again, map(self.before.__getitem__, again), strict=True))
+            missed = list(new.difference(again))
+            for i in range(0, len(missed), 4096):
+                some = missed[i : i + 4096]
                 found = self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-                memo.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
-        out = b"".join([memo[p] for p in parts])
+                self.memo.update(zip(some, [packed(e.ids) for e in found], strict=True))
+        out = b"".join(map(self.memo.__getitem__, parts))
         for p in new:
             if len(p) > MEMO_BYTES:
-                del memo[p]
+                del self.memo[p]
         return out
 
     def encode(self, data: bytes) -> bytes:
-        for text, packed in self.special.items():
+        for text, its_id in self.special.items():
             if text in data:
-                return packed.join(self.encode(x) for x in data.split(text))
+                return its_id.join(self.encode(x) for x in data.split(text))
         return self._plain(data)
 
     def decode(self, packed: bytes) -> str:
