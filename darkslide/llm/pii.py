@@ -4,8 +4,8 @@ Base spans are found by linear scans (`base_spans`). The field works on regions
 @ signs: a region is cut into tokens, a segment is one token outside or up to MAX_TOKENS tokens of one
 kind (numbers with signs and spaces between, or unbroken text around an @), and a segment is scored as a whole (shape, digits, check sum, parts, neighbours) together with
 the kind before it. Forward and backward sums over all segmentations give likelihood gradients for training
-and the posterior of a segment; Viterbi picks boundaries and kinds jointly. Segments that it picks, that
-are likely enough and touch no base span are added; base spans always stay. What the base patterns find after
+and the posterior of a segment; Viterbi picks boundaries and kinds jointly. What no base span covers
+is decoded, and segments that are picked and likely enough are added; base spans always stay. What the base patterns find after
 blanking out all of these is added too.
 
 It is trained here, on at most `max_regions` regions of the corpus with the base spans as labels. From a third of
@@ -317,21 +317,31 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_regions:
     return fit([r["region"] for r in rows])
 
 
+def gaps(spans: list[Span], a: int, b: int) -> list[tuple[int, int]]:
+    """Stretches of a to b that no span covers; spans in order of their start."""
+    out = []
+    for c, d, _ in spans:
+        if c > a:
+            out.append((a, c))
+        a = max(a, d)
+    return [*out, (a, b)] if a < b else out
+
+
 def added_spans(field: SemiMarkovField, text: str, base: list[Span]) -> list[Span]:
-    """Segments that the field finds beside the base spans."""
+    """Segments that the field finds beside the base spans: each stretch between base spans is decoded by itself."""
     out: list[Span] = []
     for a, b in regions(text):
-        lo = max(0, a - 12)
-        own = [s for s in base if s[0] < b + 12 and s[1] > lo]
-        if own and own[0][0] <= a and own[-1][1] >= b:
-            continue
-        x = Lattice(text, lo, min(len(text), b + 12))
-        if not any(x.ends):
-            continue
-        path = [s for s in field.viterbi(x) if not any(c < x.bounds[s[1]] and d > x.bounds[s[0]] for c, d, _ in own)]
-        if path:
-            p = field.posterior(x)
-            out += [(x.bounds[i], x.bounds[e], k) for i, e, k in path if p.get((i, e, k), 0) >= SURE]
+        lo, hi = max(0, a - 12), min(len(text), b + 12)
+        for c, d in gaps([s for s in base if s[0] < hi and s[1] > lo], lo, hi):
+            if not _TRIGGER.search(text, c, d):
+                continue
+            x = Lattice(text, c, d)
+            if not any(x.ends):
+                continue
+            path = field.viterbi(x)
+            if path:
+                p = field.posterior(x)
+                out += [(x.bounds[i], x.bounds[e], k) for i, e, k in path if p.get((i, e, k), 0) >= SURE]
     kept: list[Span] = []
     for s in sorted(set(out)):
         if not kept or s[0] >= kept[-1][1]:

@@ -305,6 +305,22 @@ def test_personal_data(spark, docs):
     assert pii.find(spark, table.limit(0), field=field).count() == 0
 
 
+def test_numbers_between_base_spans(spark):
+    field = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    for text, want in [
+        ("jane@x.com (017) 555-7713 bob@y.com", "phone:11:25"),
+        ("x@y.com (212) 555-0199 z@y.com +1 (017) 555-7713 q@r.com", "phone:8:22"),
+        ("jane@x.com 2024 bob@y.com", ""),
+        ("jane@x.com bob@y.com", ""),
+    ]:
+        base, more = pii.all_spans(field, text)
+        assert base == brute_spans(text) and pii.written(more) == want
+    # a number in a form that the corpus doesn't have is found between spans, whatever kind the field gives it
+    assert [s[:2] for s in pii.all_spans(field, "jane@x.com 212-555-0199 bob@y.com")[1]] == [(11, 23)]
+    assert pii.gaps([(0, 3, 0), (2, 5, 1), (7, 9, 0)], 0, 9) == [(5, 7)]
+    assert pii.gaps([(4, 6, 0)], 5, 9) == [(6, 9)] and pii.gaps([], 2, 4) == [(2, 4)]
+
+
 # --- html
 
 
