@@ -66,6 +66,27 @@ def test_average_linkage_equals_plain_numpy(spark):
     assert {r.id: r.cluster for r in vectors.average_linkage(df, "id", "v", 0.25).collect()} == want
 
 
+@pytest.mark.parametrize("rows", [1, 20, 4000])
+def test_average_linkage_of_a_component_over_the_rows_of_a_task(spark, monkeypatch, rows):
+    monkeypatch.setattr(vectors, "LINKAGE_ROWS", rows)
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(70, 3)) + [1.5, 0, 0]
+    x[60:68], x[68:] = x[:8] * 2, 0  # copies and zero vectors
+    n = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    far = 1 - n @ n.T
+    sets = [[i] for i in range(70)]
+    while len(sets) > 1:
+        d, i, j = min((far[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j)
+        if d > 0.3:
+            break
+        sets[i] += sets.pop(j)
+    want = {x: k for k, s in enumerate(sorted(sets, key=min)) for x in s}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    assert {r.id: r.cluster for r in vectors.average_linkage(df, "id", "v", 0.3).collect()} == want
+    assert max(map(len, sets)) > 20 and vectors.average_linkage(df.limit(0), "id", "v").count() == 0
+
+
 def test_blocks_lose_no_pair(spark, monkeypatch):
     rng = np.random.default_rng(1)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 4)))], "id long, v array<double>")
