@@ -13,8 +13,8 @@ pair AS (SELECT t.face_id AS target, c.face_id AS candidate, t.occlusion=0 AND c
 """
 
 
-def recovery(spark, d):
-    f = face_rows(spark, d).where("photo_id % 20 < 4")
+def recovery(spark, d, which="photo_id % 20 < 4"):
+    f = face_rows(spark, d).where(which)
     return f, identity.recovery_candidates(f.where("is_blink"), f)
 
 
@@ -25,7 +25,20 @@ def j06(spark, d):
 
 @query("j07_swap_eligible", _PAIR + "SELECT target, candidate, swappable FROM pair")
 def j07(spark, d):
-    f, pairs = recovery(spark, d)
+    return eligible(*recovery(spark, d))
+
+
+@query("j06_recovery_candidates_all")
+def j06_all(spark, d):
+    return recovery(spark, d, "true")[1]
+
+
+@query("j07_swap_eligible_all")
+def j07_all(spark, d):
+    return eligible(*recovery(spark, d, "true"))
+
+
+def eligible(f, pairs):
     eyes = f.select("face_id", (F.col("occlusion") == 0).alias("eyes"))
     both = pairs.join(eyes.toDF("target", "a"), "target").join(eyes.toDF("candidate", "b"), "candidate")
     return both.select("target", "candidate", (F.col("a") & F.col("b")).alias("swappable"))

@@ -214,6 +214,21 @@ def test_recovery_candidates(spark):
     assert pairs(identity.recovery_candidates(df.where("face_id = 4"), df, exclude_self=True), "target", "candidate") == []
 
 
+def test_recovery_takes_every_face(spark):
+    from darkslide import catalog
+    from darkslide.plans.fixtures import face_rows
+    from tests.conftest import SMALL
+
+    by = {}
+    for r in face_rows(spark, SMALL).collect():
+        by.setdefault(f"c{r.cluster_id}" if r.person_id is None else f"p{r.person_id}", []).append(r)
+    most = {"yaw": 12, "pitch": 12, "roll": 12, "smile": 25, "lighting": 25}
+    want = sorted((t.face_id, c.face_id, t.occlusion == 0 and c.occlusion == 0) for f in by.values() for t in f if t.is_blink for c in f if c.eye_openness >= 75 and all(abs(t[k] - c[k]) <= m for k, m in most.items()))
+    assert pairs(catalog.QUERIES["j06_recovery_candidates_all"](spark, SMALL), "target", "candidate") == [w[:2] for w in want]
+    assert pairs(catalog.QUERIES["j07_swap_eligible_all"](spark, SMALL), "target", "candidate", "swappable") == want
+    assert any(t // 100 % 20 >= 4 for t, _, _ in want)
+
+
 def test_person_commands(spark):
     rows = [(1, 1, "create", "Ann"), (2, 2, "create", "Bob"), (3, 3, "create", "Ann"), (4, 2, "delete", None), (5, 1, "rename", "Ann B")]
     persons = identity.person_state(spark.createDataFrame(rows, "seq long, person_id long, op string, name string"))
