@@ -151,6 +151,24 @@ def g04(spark, d):
     return vectors.assign(e.where("vec_id % 2 = 1"), "vec_id", "embedding", centers, "label", 0.15, EPS).where("not is_new").select("vec_id", "cluster")
 
 
+def assigned_halves(spark, d):
+    e = emb(spark, d)
+    old, new = e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1")
+    return old, new, vectors.assign(new, "vec_id", "embedding", vectors.centroids(old, "label", "embedding"), "label", 0.15, EPS)
+
+
+@query("g04_assign_all")
+def g04_all(spark, d):
+    return assigned_halves(spark, d)[2]
+
+
+@query("g04_moved_centroids")
+def g04_moved(spark, d):
+    old, new, found = assigned_halves(spark, d)
+    before = vectors.cluster_sums(old.withColumn("cluster", F.col("label").cast("long")), "cluster", "embedding")
+    return vectors.moved(before, vectors.cluster_sums(new.join(found, "vec_id"), "cluster", "embedding"), "cluster")
+
+
 @query("g05_merge_clusters", f"WITH v AS (SELECT vec_id, CASE WHEN label IN (3,7) THEN 1 WHEN label=5 THEN 2 ELSE label END AS label, embedding::DOUBLE[] AS e FROM embeddings), cm AS (SELECT label, pos, avg(e[pos]) AS m FROM v, range(1,65) r(pos) GROUP BY label, pos), cn AS (SELECT label, sqrt(sum(m*m)) AS n FROM cm GROUP BY label), k AS (SELECT label, count(*) AS faces FROM v GROUP BY label) SELECT label, faces, (pos-1)::INTEGER AS pos, round(m/n,6) AS x FROM cm JOIN cn USING (label) JOIN k USING (label)")
 def g05(spark, d):
     from darkslide.operators.identity import merge_clusters

@@ -229,6 +229,27 @@ def test_recovery_takes_every_face(spark):
     assert any(t // 100 % 20 >= 4 for t, _, _ in want)
 
 
+def test_assignment_keeps_every_row_and_moves_centroids(spark, tmp_path):
+    from darkslide import catalog
+
+    rng = np.random.default_rng(8)
+    at = {0: [1, 0, 0, 0], 1: [0, 1, 0, 0], 2: [0, 0, 1, 0], 3: [0, 0, 0, -1]}
+    rows = [(2 * i, (np.array(at[i % 2]) + rng.normal(0, 0.02, 4)).tolist(), i % 2) for i in range(12)]
+    far = {41: 2, 43: 2, 45: 2, 47: 2, 49: 3}
+    rows += [(2 * i + 1, (np.array(at[i % 2]) + rng.normal(0, 0.02, 4)).tolist(), 0) for i in range(6)]
+    rows += [(k, (np.array(at[c]) - [0.3, 0.3, 0, 0]).tolist(), 0) for k, c in far.items()]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = {2 * i + 1: (i % 2, False) for i in range(6)} | {k: (c, True) for k, c in far.items()}
+    got = {r.vec_id: (r.cluster, r.is_new) for r in catalog.QUERIES["g04_assign_all"](spark, str(tmp_path)).collect()}
+    assert got == want
+    member = {k: want[k][0] if k in want else c for k, _, c in rows}
+    moved = {r.cluster: r for r in catalog.QUERIES["g04_moved_centroids"](spark, str(tmp_path)).collect()}
+    assert sorted(moved) == [0, 1, 2, 3]
+    for c, r in moved.items():
+        x = np.array([v for k, v, _ in rows if member[k] == c], np.float32).astype(float)
+        assert r.faces == len(x) and np.allclose(r.sums, x.sum(0)) and np.allclose(r.centroid, x.mean(0) / np.linalg.norm(x.mean(0)))
+
+
 def test_person_commands(spark):
     rows = [(1, 1, "create", "Ann"), (2, 2, "create", "Bob"), (3, 3, "create", "Ann"), (4, 2, "delete", None), (5, 1, "rename", "Ann B")]
     persons = identity.person_state(spark.createDataFrame(rows, "seq long, person_id long, op string, name string"))
