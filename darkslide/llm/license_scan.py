@@ -5,7 +5,9 @@ longest template; two neighbouring halves are a window, so each half is in two w
 shingles is looked for in the windows of the least H >= n, of which one holds any whole occurrence. Its
 similarity to that window is over 1/4, and the number of bands is chosen for that similarity, so a
 band is shared with probability RECALL or more. Windows that share a band with a template are verified:
-the share of the template's distinct shingles found in the window must reach the threshold.
+the share of the template's distinct shingles found in the window must reach the threshold. Where another template
+holds that share of the template's shingles, the ones that this other doesn't have decide: one of them at least must be
+in the window, and their share must not be under that of the other's own ones.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ TEMPLATES = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
     "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "LGPL-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "LGPL-program-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "AGPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MIT": "Released under the MIT License",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
@@ -73,6 +78,7 @@ class Templates:
     keys: np.ndarray
     owner: np.ndarray
     sieve: np.ndarray
+    rivals: list[list[tuple[np.ndarray, np.ndarray]]]  # by template: (shingles that a like one doesn't have, those that only it has)
 
 
 def make_templates(texts: dict[str, str]) -> Templates:
@@ -94,7 +100,21 @@ def make_templates(texts: dict[str, str]) -> Templates:
     order = np.argsort(every, kind="stable")
     sieve = np.zeros(1 << 16, bool)
     sieve[every >> U(48)] = True
-    return Templates(names, shingles, halves, every[order], np.concatenate([np.zeros(0, np.int64), *owner])[order], sieve)
+    return Templates(names, shingles, halves, every[order], np.concatenate([np.zeros(0, np.int64), *owner])[order], sieve, [rivals_of(s, shingles) for s in shingles])
+
+
+def rivals_of(own: np.ndarray, shingles: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What tells a template from each one that would pass for it; one that holds all of it doesn't."""
+    pairs = [(np.setdiff1d(own, r), np.setdiff1d(r, own)) for r in shingles]
+    return [(a, b) for a, b in pairs if 0 < len(a) <= (1 - CONTAINMENT) * len(own) + 1e-9]
+
+
+def told_apart(rivals: list[tuple[np.ndarray, np.ndarray]], window: np.ndarray) -> bool:
+    for a, b in rivals:
+        mine = np.isin(a, window).mean()
+        if mine == 0 or (len(b) and mine < np.isin(b, window).mean()):
+            return False
+    return True
 
 
 def scan_rows(t: Templates, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, int]]:
@@ -127,7 +147,7 @@ def scan_rows(t: Templates, data: np.ndarray, offsets: np.ndarray) -> list[tuple
                 e = min(s + 2 * half, int(np.searchsorted(rows, rows[s], "right")))
                 share = float(np.isin(t.shingles[o], values[s:e]).sum()) / len(t.shingles[o])
                 row = int(rows[s])
-                if share >= CONTAINMENT and share > found.get((row, o), (0.0, 0))[0]:
+                if share >= CONTAINMENT and share > found.get((row, o), (0.0, 0))[0] and told_apart(t.rivals[o], values[s:e]):
                     found[row, o] = (share, int(at[s]))
         half *= 2
     return [(*k, *v) for k, v in sorted(found.items())]

@@ -231,6 +231,16 @@ def test_licenses_equal_brute_force(spark, docs):
     assert license_scan.scan(spark, spark.createDataFrame(rows, "doc_id long, text string").limit(0)).count() == 0
 
 
+def test_licenses_that_differ_in_a_word(spark):
+    T = license_scan.TEMPLATES
+    names = ["GPL-2.0", "GPL-3.0", "GPL-header", "LGPL-header", "LGPL-program-header", "AGPL-header"]
+    rows = [(i, "some words before it " + T[n] + " and some words after") for i, n in enumerate(names)] + [(9, T["GPL-2.0"] + " or else " + T["GPL-3.0"]), (10, T["GPL-3.0"].replace("version 3", "version 9"))]
+    got = {}
+    for r in license_scan.scan(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert got == {i: {n} for i, n in enumerate(names)} | {9: {"GPL-2.0", "GPL-3.0"}}
+
+
 # --- personal data
 
 
