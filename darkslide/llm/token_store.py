@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from darkslide.llm.bpe import encoder
+from darkslide.llm.bpe import encoder, WINDOW_BYTES
 from darkslide.llm.textbuf import arrow_map, byte_chunks
 from darkslide.llm.tokenize_op import default_path
 from darkslide.plans.session import new_path
@@ -114,46 +114,54 @@ class DacReader:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, target: str, key: str = "doc_id", text: str = "text", path: str | None = None, end_id: int | None = 0, partitions: int | None = None) -> None:
     """Encode every text, append end_id to each document and write the files at `target`, in
-    ascending order of key (nulls first, equal keys by text) over the range partitions.
+    ascending order of key over the range partitions: nulls first, rows of an equal key by a hash of their
+    text, equal rows as they come. Null and empty texts have the end id alone; an empty table writes no file.
 
     Columns: part, file (order: part, then file), keys, lengths (ids of each document), blob. The
-    only shuffle is the one by range of key, of the texts themselves: sampling for the ranges so never
-    repeats the encoding. A lost task is run again from the shuffle; files appear when the job commits."""
+    only shuffle is the one by range of the texts themselves: sampling for the ranges so never
+    repeats the encoding. The ranges are over key, hash of text and row, so a key that many rows share is dealt
+    over many of them. A lost task is run again from the shuffle; files appear when the job commits."""
     vocabulary = path or default_path()
-    tail = b"" if end_id is None else np.uint32(end_id).tobytes()
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         bpe, part, file = encoder(vocabulary), TaskContext.get().partitionId(), 0
         keys: list[pa.Array] = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            lengths = [len(x) // 4 for x in parts]
-            column = pa.concat_arrays(keys)
-            blob = dac_encode(np.frombuffer(b"".join(parts), "<u4"))
+            column, lengths = pa.concat_arrays(keys), np.concatenate(counts)
             cells = [pa.array([part], pa.int32()), pa.array([file], pa.int32())]
-            cells += [pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column), pa.array([lengths], pa.list_(pa.int64())), pa.array([blob], pa.binary())]
-            return pa.RecordBatch.from_arrays(cells, ["part", "file", "keys", "lengths", "blob"])
+            cells += [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (column, pa.array(lengths, pa.int64()))]
+            return pa.RecordBatch.from_arrays([*cells, pa.array([dac_encode(np.concatenate(parts))], pa.binary())], ["part", "file", "keys", "lengths", "blob"])
 
         for batch in batches:
-            for a, _, data, offsets in byte_chunks(batch.column(1), 4 << 20):
-                raw = data.tobytes()
-                for r in range(len(offsets) - 1):
-                    ids = bpe.encode(raw[offsets[r] : offsets[r + 1]]) + tail
-                    keys.append(batch.column(0).slice(a + r, 1))
-                    parts.append(ids)
-                    held += len(ids) // 4
+            for a, _, data, offsets in byte_chunks(batch.column(1), WINDOW_BYTES):
+                ids, n = bpe.encode_rows(data, offsets)
+                if end_id is not None:
+                    ids, n = np.insert(ids, np.cumsum(n), np.uint32(end_id)), n + 1
+                ends, lo = np.cumsum(n), 0
+                while lo < len(n):
+                    first = int(ends[lo] - n[lo])
+                    hi = min(len(n), int(np.searchsorted(ends, first + FILE_IDS - held)) + 1)  # with the row that fills the file
+                    keys.append(batch.column(0).slice(a + lo, hi - lo))
+                    parts.append(ids[first : ends[hi - 1]])
+                    counts.append(n[lo:hi])
+                    held += len(parts[-1])
+                    lo = hi
                     if held >= FILE_IDS:
                         yield flush()
-                        keys, parts, held, file = [], [], 0, file + 1
+                        keys, parts, counts, held, file = [], [], [], 0, file + 1
         if keys:
             yield flush()
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).repartitionByRange(n, "key").sortWithinPartitions("key", "text")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    order = ["key", F.xxhash64("text"), "row"]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("key", "text")
     files = ordered.transform(arrow_map, run, f"part int, file int, keys array<{kind}>, lengths array<bigint>, blob binary")
     files.write.parquet(target)
 

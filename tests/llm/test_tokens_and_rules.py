@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from darkslide.llm import quality_rules, token_store, tokenize_op
+from darkslide.llm import bpe, quality_rules, token_store, tokenize_op
 from darkslide.llm.bpe import encoder, forced_pairs
 
 TEXTS = [
@@ -33,11 +33,41 @@ def library():
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(PIECES), max_size=12))
 def test_forced_boundaries_change_no_id(parts):
-    bpe, text = encoder(tokenize_op.default_path()), "".join(parts)
-    found = bpe.tokenizer.encode(text, add_special_tokens=False)
-    packed = bpe.encode(text.encode())
+    coder, text = encoder(tokenize_op.default_path()), "".join(parts)
+    found = coder.tokenizer.encode(text, add_special_tokens=False)
+    packed = coder.encode(text.encode())
     assert np.frombuffer(packed, "<u4").tolist() == found.ids
-    assert bpe.decode(packed) == bpe.tokenizer.decode(found.ids, skip_special_tokens=False)
+    assert coder.decode(packed) == coder.tokenizer.decode(found.ids, skip_special_tokens=False)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*PIECES, "<|endof", "text|>", "antidisestablishment"]), max_size=10), max_size=6), st.sampled_from([7, 40, 1 << 20]))
+def test_rows_are_encoded_together_and_in_windows(rows, window):
+    coder, texts = encoder(tokenize_op.default_path()), ["".join(r) for r in rows]
+    raw = [t.encode() for t in texts]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(bpe, "WINDOW_BYTES", window)
+        ids, counts = coder.encode_rows(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    want = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert [t.decode() for t in coder.decode_rows(ids, counts)] == texts
+
+
+def test_a_full_table_and_long_fragments_change_no_id(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_FRAGMENTS", 40)
+    coder = bpe.ForcedBoundaryBpe(tokenize_op.default_path())
+    rng = np.random.default_rng(1)
+    for _ in range(6):
+        text = " ".join("".join(rng.choice(list("abcé"), rng.integers(1, 90))) for _ in range(60)) + "<|endoftext|> end"
+        assert np.frombuffer(coder.encode(text.encode()), "<u4").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(coder.memo) <= 40 + len(coder.fragments(text.encode()))
+
+
+def test_a_text_of_50_mb(library):
+    text = ("Some words, 23 of them; and a newline\n" * 1000 + "x" * 5000) * 1200
+    ids, counts = encoder(tokenize_op.default_path()).encode_rows(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    part = library.encode(text[: len(text) // 1200], add_special_tokens=False).ids
+    assert len(text) > 50_000_000 and counts.tolist() == [1200 * len(part)] and (ids.reshape(1200, -1) == part).all()
 
 
 def test_forced_pairs_come_from_the_vocabulary():
@@ -73,6 +103,14 @@ def test_token_files(spark, docs, library, monkeypatch):
     assert token_store.store_and_read(spark, docs.limit(0)).count() == 0
 
 
+def test_a_key_that_all_rows_share_is_dealt_over_parts(spark, tmp_path):
+    docs = spark.range(4000).selectExpr("cast(null as long) as doc_id", "concat('text ', id % 7) as text")
+    token_store.write_tokens(spark, docs, str(tmp_path / "t"), partitions=8)
+    per = [r.n for r in spark.read.parquet(str(tmp_path / "t")).selectExpr("part", "size(keys) as n").groupBy("part").sum("n").toDF("part", "n").collect()]
+    assert sum(per) == 4000 and max(per) < 1000
+    assert sorted(r.start for r in token_store.read_tokens(spark, str(tmp_path / "t")).collect())[0] == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=1500), st.integers(0, 1500), st.integers(0, 1500))
 def test_codes_are_directly_addressable(values, a, b):
