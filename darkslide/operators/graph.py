@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkslide.plans.session import materialize
+from darkslide.plans.session import discard, materialize
 
-MAX_ROUNDS = 60
+#: The number of rounds grows with the logarithm of the longest path; more than these means a defect.
+MAX_ROUNDS = 200
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """node, component (the least node of it) for every node that has an edge to another one.
 
     Large-star and small-star steps in turn: each node hands its larger, then its smaller neighbours
-    to the least node it knows, until the edges are stars. The number of rounds grows with the
-    logarithm of the longest path. Minima are taken by partial aggregation and joined back, so a
-    node with very many neighbours is no single group. Each round is written to the shared folder."""
+    to the least node it knows, until the edges are stars. Minima are taken by partial aggregation and joined back, so a
+    node with very many neighbours is no single group. Each round is written to the shared folder in place of the one before.
+    Edges that aren't stars after MAX_ROUNDS rounds are an error, never an unfinished answer."""
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
     e = materialize(e, "components")
     before = None
@@ -30,6 +31,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x")).select(F.col("x.u").alias("u"), F.col("x.m").alias("v"))
-        e = materialize(small.where("u <> v").distinct(), "components")
+        last, e = e, materialize(small.where("u <> v").distinct(), "components")
+        discard(last)
+    else:
+        raise RuntimeError(f"edges are not stars after {MAX_ROUNDS} rounds")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -27,9 +27,14 @@ def build_session(app: str = "darkslide", master: str | None = None, **conf: str
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
-    Only where that is unset (local tests) a temporary folder is made and set."""
+
+    Only in local mode, where all of Spark is one process, a temporary folder is made and set if that is unset; elsewhere it
+    is an error, since executors would write to folders that nobody else sees."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="darkslide-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -46,7 +51,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() returned, once all that is read from them has been written."""
+    for t in tables:
+        drop_path(t.sparkSession, t.table_path)
 
 
 def unused_name(df: DataFrame, name: str) -> str:
