@@ -5,16 +5,20 @@
 2. Texts with equal sets are one class from here on, however many there are (partial aggregation).
 3. Classes that share a band hash are candidates. Each is tied to the least class of its band bucket,
    so a bucket of n gives n - 1 edges; the components of those edges bound where links can be.
-4. The full sets of the classes in components are read again from the texts. Components are verified
-   whole, in one task, up to GROUP_CLASSES classes and GROUP_HASHES hashes; members of larger ones are
-   verified bucket by bucket in blocks of BLOCK_CLASSES, where a pair counts only in the first band it shares. In
-   either case exactly the pairs that share a band are compared, on their full sets, and none is
-   emitted: a task returns each class's number of links and its place in a forest of links.
+4. The full sets of the classes in components are read again from the texts, and exactly the pairs that share a
+   band are compared on them, in blocks of about BLOCK_CLASSES classes and BLOCK_HASHES hashes:
+   a component that fits is one block; a larger one is first compared with its most central class (linear
+   work). Classes within half the allowed distance of that one are similar to each other, since the Jaccard distance obeys
+   the triangle inequality, so their links are counted without comparing them. The other classes ask all
+   classes of the component, block by block, or, where that moves fewer rows, those of their band
+   buckets, where a pair counts only in the first band it shares. No pair is emitted: a task returns each class's
+   number of links and its place in a forest of links.
 5. The forests of all tasks are joined to the final groups.
 
 Texts without a word have no n-grams and so no links. A text of one to four words has one n-gram, all
 its words. Classes are named by 64 bits of their digest: among n different texts two
-share a name with probability under n * n / 2 ** 65.
+share a name with probability under n * n / 2 ** 65. A text's n-grams are held whole by the task
+that handles it, 8 bytes each.
 """
 
 from __future__ import annotations
@@ -25,16 +29,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from darkslide.llm.textbuf import arrow_map, byte_chunks, distinct_per_row, mix, shingles_of, U, words_of
 from darkslide.operators.graph import connected_components
-from darkslide.plans.session import materialize, unused_name
+from darkslide.plans.session import discard, materialize, unused_name
 
-GROUP_CLASSES = 4096
-GROUP_HASHES = 1 << 22
-BLOCK_CLASSES = 2048
+#: Classes and n-gram hashes of a block side, on average.
+BLOCK_CLASSES = 512
+BLOCK_HASHES = 1 << 20
 #: Up to so many keys (8 bytes each) are broadcast; more are joined by shuffling.
 BROADCAST_KEYS = 4_000_000
 
@@ -125,106 +130,219 @@ def full_sets(docs: DataFrame, keys: DataFrame, n_keys: int, key: str, text: str
     return rows.join(side, "rep", "left_semi").select("text").transform(arrow_map, run, "cid bigint, hashes binary")
 
 
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """(n, n) sizes of the intersections of sorted sets. Values in few sets add their pairs one by
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """(n, m) sizes of the intersections of distinct hashes. Values in few sets add their pairs one by
     one, those in many go through a product of 0/1 matrices, some columns at a time."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    out = np.zeros((n, n), np.float32)
-    everything, place, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), sizes)
-    order = np.argsort(place, kind="stable")
-    owner, place = owner[order], place[order]
-    begin = np.cumsum(df) - df
-    few = min(8, n - 1)
-    for c in range(2, few + 1):
-        at = begin[df == c]
-        if len(at):
-            members = owner[at[:, None] + np.arange(c)]
-            for i in range(c):
-                for j in range(i):
-                    out += np.bincount(members[:, i] * n + members[:, j], minlength=n * n).reshape(n, n) if len(at) > n else 0
-                    if len(at) <= n:
-                        np.add.at(out, (members[:, i], members[:, j]), 1)
-    out += out.T
-    many = np.flatnonzero(df > few)
+    n, m = len(left), len(right)
+    out = np.zeros((n, m), np.float32)
+    values, place = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    split = sum(map(len, left))
+    sides = []
+    for sets, at in ((left, place[:split]), (right, place[split:])):
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(at, kind="stable")
+        df = np.bincount(at, minlength=len(values))
+        sides.append((owner[order], at[order], df, np.cumsum(df) - df))
+    (own_a, at_a, df_a, begin_a), (own_b, at_b, df_b, begin_b) = sides
+    pairs = df_a * df_b
+    few = np.flatnonzero((pairs > 0) & (pairs <= 64))
+    ends = np.cumsum(pairs[few])
+    lo = 0
+    while lo < len(few):  # at most some millions of pairs at a time
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 21), "right")))
+        v = few[lo:hi]
+        k = np.arange(int(pairs[v].sum())) - np.repeat(np.cumsum(pairs[v]) - pairs[v], pairs[v])
+        v = np.repeat(v, pairs[v])
+        a, b = own_a[begin_a[v] + k // df_b[v]], own_b[begin_b[v] + k % df_b[v]]
+        if len(a) * 8 > n * m:
+            out += np.bincount(a * m + b, minlength=n * m).reshape(n, m)
+        else:
+            np.add.at(out, (a, b), 1)
+        lo = hi
+    many = np.flatnonzero(pairs > 64)
     for i in range(0, len(many), 2048):
         some = many[i : i + 2048]
-        column = np.full(len(df), -1)
+        column = np.full(len(values), -1)
         column[some] = np.arange(len(some))
-        c = column[place]
-        dense = np.zeros((n, len(some)), np.float32)
-        dense[owner[c >= 0], c[c >= 0]] = 1
-        out += dense @ dense.T
-    np.fill_diagonal(out, sizes)
+        dense = []
+        for own, at, size in ((own_a, at_a, n), (own_b, at_b, m)):
+            c = column[at]
+            x = np.zeros((size, len(some)), np.float32)
+            x[own[c >= 0], c[c >= 0]] = 1
+            dense.append(x)
+        out += dense[0] @ dense[1].T
     return out
 
 
-def verify(cids: np.ndarray, copies: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], side: np.ndarray, band: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(number of linked documents, root) of each class of one group or block.
+def similar(both: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether intersections of that size reach the threshold, for sets of sizes a and b."""
+    return both >= np.float32(threshold) * (a + b - both) - np.float32(1e-3)
 
-    A pair counts if it shares a band hash (its first shared band must be `band`, unless that is -1)
-    and its sets reach the threshold. Of a block of two sides only pairs across are compared."""
-    n = len(cids)
-    sizes = np.array([len(s) for s in sets], np.float32)
-    both = intersections(sets)
-    linked = np.zeros((n, n), bool)
-    for at in range(0, n, 512):
-        rows = slice(at, at + 512)
-        ok = both[rows] >= np.float32(threshold) * (sizes[rows, None] + sizes[None, :] - both[rows]) - np.float32(1e-3)
-        if side.any():
-            ok &= side[rows, None] != side[None, :]
-        a, b = np.nonzero(ok)  # only pairs that reach the threshold are looked at further
-        same = bands[at + a] == bands[b]
-        share = same.any(1) if band < 0 else same[:, band] & ~same[:, :band].any(1)
-        linked[at + a[share], b[share]] = True
-    np.fill_diagonal(linked, False)
-    links = linked @ copies
+
+@dataclass
+class Rows:
+    """Classes of one side of a block."""
+
+    cids: np.ndarray
+    copies: np.ndarray
+    central: np.ndarray
+    bands: np.ndarray
+    sets: list[np.ndarray]
+
+
+def roots(linked: np.ndarray) -> np.ndarray:
+    """The least number in each one's component, for a symmetric matrix of links."""
+    n = len(linked)
     root = np.arange(n, dtype=np.int32)
     while True:
-        near = np.concatenate([np.where(linked[at : at + 512], root[None, :], n).min(1, initial=n) for at in range(0, n, 512)])
+        near = np.where(linked, root[None, :], n).min(1, initial=n)
         low = np.minimum(root, near).astype(np.int32)
         low = low[low]
         if (low == root).all():
-            return links, cids[root]
+            return root
         root = low
 
 
-def _verify_groups(members: DataFrame, threshold: float) -> DataFrame:
-    """members: g, band, side, cid, copies, bands, hashes. Returns cid, root, n of each group."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+def verify(left: Rows, right: Rows | None, band: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, class that it is tied to, number of linked documents) of a block.
 
-        def done(rows: list[dict]) -> pa.RecordBatch:
-            rows = list({r["cid"]: r for r in rows}.values())  # equal sets of equal keys come twice
-            cids = np.array([r["cid"] for r in rows], np.int64)
-            copies = np.array([r["copies"] for r in rows], np.int64)
-            n, root = verify(cids, copies, np.array([r["bands"] for r in rows], np.int64), [np.frombuffer(r["hashes"], np.uint64) for r in rows], np.array([r["side"] for r in rows]), rows[0]["band"], threshold)
-            return pa.RecordBatch.from_arrays([pa.array(cids), pa.array(root), pa.array(n)], ["cid", "root", "n"])
+    A pair counts if it shares a band hash (its first shared band must be `band`, unless that is -1)
+    and its sets reach the threshold. Without a right side all pairs of the left one are compared. Otherwise the left
+    classes ask and the right ones are asked: an asking class counts all its links, an asked one only if it is
+    central, since it asks for itself elsewhere if it isn't."""
+    other = right or left
+    size_a, size_b = (np.array([len(s) for s in x.sets], np.float32) for x in (left, other))
+    linked = similar(intersections(left.sets, other.sets), size_a[:, None], size_b[None, :], threshold)
+    linked &= left.cids[:, None] != other.cids[None, :]
+    a, b = np.nonzero(linked)  # only pairs that reach the threshold are looked at further
+    same = left.bands[a] == other.bands[b]
+    share = same.any(1) if band < 0 else same[:, band] & ~same[:, :band].any(1)
+    linked[a[~share], b[~share]] = False
+    if right is None:
+        return left.cids, left.cids[roots(linked)], linked @ left.copies
+    n = len(left.cids)
+    square = np.zeros((n + len(right.cids),) * 2, bool)
+    square[:n, n:], square[n:, :n] = linked, linked.T
+    cids = np.concatenate([left.cids, right.cids])
+    links = np.concatenate([linked @ right.copies, np.where(right.central, left.copies @ linked, 0)])
+    tied = square.any(1)
+    return cids[tied], cids[roots(square)][tied], links[tied]
+
+
+def _in_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[dict]]:
+    """Runs of rows with equal values of names."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and any(row[c] != held[0][c] for c in names):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _verify_blocks(rows: DataFrame, threshold: float) -> DataFrame:
+    """rows: g (block), band, side (-1: a block without sides, 0 asking, 1 asked), cid, copies, central, bands,
+    hashes. Returns cid, root, n of each block."""
+
+    def side(rows: list[dict]) -> Rows:
+        return Rows(np.array([r["cid"] for r in rows], np.int64), np.array([r["copies"] for r in rows], np.int64), np.array([r["central"] for r in rows], bool),
+                    np.array([r["bands"] for r in rows], np.int64), [np.frombuffer(r["hashes"], np.uint64) for r in rows])
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and row["g"] != held[0]["g"]:
-                    if len(held) > 1:
-                        yield done(held)
-                    held = []
-                held.append(row)
-        if len(held) > 1:
-            yield done(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _in_groups(batches, ["g"]):
+            left = [r for r in rows if r["side"] < 1]
+            right = [r for r in rows if r["side"] == 1]
+            if not left or (len(left) == 1 and not right) or (left[0]["side"] == 0 and not right):
+                continue
+            found = verify(side(left), side(right) if right else None, left[0]["band"], threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["cid", "root", "n"])
 
-    dealt = members.repartition("g").sortWithinPartitions("g", "cid")
-    return dealt.select("g", "band", "side", "cid", "copies", "bands", "hashes").transform(arrow_map, run, "cid bigint, root bigint, n bigint")
+    dealt = rows.repartition("g").sortWithinPartitions("g")
+    return dealt.select("g", "band", "side", "cid", "copies", "central", "bands", "hashes").transform(arrow_map, run, "cid bigint, root bigint, n bigint")
 
 
-def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """key, class_id, copy_id, n_grams, n_copies, n_links of every row of docs.
+def _near_center(rows: DataFrame, threshold: float) -> DataFrame:
+    """rows: component, chunk, is_center, cid, hashes; the center is in every chunk. Returns cid and root (the center) of classes
+    within half the allowed distance of it. A task holds the center's set and one other."""
 
-    class_id: the least key of the group that links tie together (a row without links: its own key).
-    copy_id: the least key with an equal set. n_links: the other rows whose similarity is at least
-    the threshold, equal ones included. Rows with a null key or without n-grams have no links; their
-    class is their own key. Repeated rows are links of each other."""
-    spark = docs.sparkSession
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, center, cid = None, np.zeros(0, np.uint64), 0
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for r in batch.to_pylist():
+                values = np.frombuffer(r["hashes"], np.uint64)
+                if (r["component"], r["chunk"]) != now:  # the center comes first
+                    now, center, cid = (r["component"], r["chunk"]), values, r["cid"]
+                both = len(np.intersect1d(center, values, assume_unique=True))
+                if both >= (1 + threshold) / 2 * (len(center) + len(values) - both):
+                    found.append((r["cid"], cid))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["cid", "root"])
+
+    dealt = rows.repartition("component", "chunk").sortWithinPartitions("component", "chunk", F.desc("is_center"))
+    return dealt.select("component", "chunk", "cid", "hashes").transform(arrow_map, run, "cid bigint, root bigint")
+
+
+def _chunks(classes: Column, hashes: Column) -> Column:
+    return F.greatest(F.ceil(classes / BLOCK_CLASSES), F.ceil(hashes / BLOCK_HASHES)).cast("int")
+
+
+def _blocks(members: DataFrame, group: list[str], band: Column) -> DataFrame:
+    """g, band, side, cid, copies, central: the asking members (asks) of each group beside all of its members, in
+    blocks of bounded size. members: group columns, cid, copies, n_grams, asks, and per group asking, asking_hashes, n, hashes."""
+    m = members.where("asking > 0").withColumns({"rows": _chunks(F.col("asking"), F.col("asking_hashes")), "cols": _chunks(F.col("n"), F.col("hashes"))})
+    part = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = m.where("asks").withColumns({"i": part("rows"), "j": every("cols"), "side": F.lit(0)})
+    right = m.withColumns({"j": part("cols"), "i": every("rows"), "side": F.lit(1)})
+    return left.unionByName(right).select(F.xxhash64(*group, "i", "j").alias("g"), band.alias("band"), "side", "cid", "copies", (~F.col("asks")).alias("central"))
+
+
+def _counted(members: DataFrame, group: list[str], size: str) -> DataFrame:
+    """members with the sums that _blocks needs, by partial aggregation; size: the column with the number of a group's members.
+    The sums go to as many parts of a large group as its members are dealt over, so none meets in one task."""
+    asks = lambda x: F.sum(F.when(F.col("asks"), x).otherwise(0))
+    parts = lambda n: F.ceil(F.col(n) / BLOCK_CLASSES).cast("int")
+    sums = members.groupBy(*group).agg(asks(F.lit(1)).alias("asking"), asks(F.col("n_grams")).alias("asking_hashes"), F.count("*").alias("n"), F.sum("n_grams").alias("hashes"))
+    sums = sums.withColumn("part", F.explode(F.sequence(F.lit(0), parts("n") - 1)))
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("cid"), parts(size)).cast("int"))
+    return dealt.drop("n", "hashes", "size").join(sums, [*group, "part"]).drop("part")
+
+
+def _verify_large(large: DataFrame, buckets: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(rows for _verify_blocks, links found without it) of components that are no single block.
+
+    large: component, cid, copies, n_grams, n, hashes; buckets: band, h, size, cid."""
+    n = large.select("component").distinct().count()
+    per_component = lambda df: F.broadcast(df) if n <= BROADCAST_KEYS else df
+    mine = materialize(buckets.join(large.select("cid", "component"), "cid"), "large-buckets")
+    degree = mine.groupBy("cid").agg(F.sum("size").alias("degree"))
+    center = large.join(degree, "cid").groupBy("component").agg(F.max_by("cid", F.struct("degree", "copies", "cid")).alias("center"))
+    star = large.join(per_component(center), "component").withColumn("chunks", _chunks(F.col("n"), F.col("hashes"))).withColumn("is_center", F.col("cid") == F.col("center"))
+    chunk = F.when(F.col("is_center"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")))
+    star = star.select("component", F.explode(chunk).alias("chunk"), "is_center", "cid").join(sets, "cid")
+    near = materialize(_near_center(star, threshold).distinct(), "central")
+    judged = materialize(large.join(near, "cid", "left").withColumn("asks", F.col("root").isNull()), "judged")
+    total = judged.where("not asks").groupBy("component").agg(F.sum("copies").alias("total"))
+    known = judged.where("not asks").join(per_component(total), "component").select("cid", "root", (F.col("total") - F.col("copies")).alias("n"))
+
+    # whole components or buckets: whichever moves fewer rows
+    whole = _counted(judged, ["component"], "n")
+    by_bucket = _counted(mine.join(judged.select("cid", "copies", "n_grams", "asks"), "cid"), ["band", "h"], "size")
+    cost = F.when(F.col("asks"), _chunks(F.col("n"), F.col("hashes"))).otherwise(0) + _chunks(F.col("asking"), F.col("asking_hashes"))
+    costs = [x.groupBy("component").agg(F.sum(cost).alias("cost")) for x in (whole, by_bucket)]
+    better = costs[0].join(costs[1].withColumnRenamed("cost", "other"), "component").select("component", (F.col("cost") <= F.col("other")).alias("as_one"))
+    better = materialize(better, "block-choice")
+    one = _blocks(whole.join(per_component(better.where("as_one")), "component", "left_semi"), ["component"], F.lit(-1))
+    many = _blocks(by_bucket.join(per_component(better.where("not as_one")), "component", "left_semi"), ["band", "h"], F.col("band"))
+    return one.unionByName(many), known
+
+
+def _judged_rows(docs: DataFrame, key: str, text: str, size: int, threshold: float, recall: float) -> DataFrame:
+    """key, n_grams, d1 (digest of the set; null without a key or n-grams), rep (least key with an equal set), copies,
+    class_rep and class_d1 (the group's least key and one of its digests that has it), other_links of every row."""
     banding = choose_banding(threshold, recall)
     sig = materialize(signatures(docs, key, text, size, banding), "signatures")
     usable = sig.where("d1 is not null and key is not null")
@@ -235,36 +353,47 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     # equal, so they fall together in the partial aggregation.
     entries = usable.select(F.col("d1").alias("cid"), F.posexplode("bands").alias("band", "h")).groupBy("band", "h", "cid").agg(F.lit(1).alias("one")).select("band", "h", "cid")
     entries = materialize(entries, "bands")
-    buckets = entries.groupBy("band", "h").agg(F.count("*").alias("size"), F.min("cid").alias("pivot")).where("size > 1")
-    joined = materialize(entries.join(buckets, ["band", "h"]), "buckets")
-    parts = materialize(connected_components(joined.select(F.col("cid").alias("src"), F.col("pivot").alias("dst")).where("src <> dst").distinct()), "candidates")
+    sizes = entries.groupBy("band", "h").agg(F.count("*").alias("size"), F.min("cid").alias("pivot")).where("size > 1")
+    buckets = materialize(entries.join(sizes, ["band", "h"]), "buckets")
+    discard(entries)
+    parts = materialize(connected_components(buckets.select(F.col("cid").alias("src"), F.col("pivot").alias("dst")).where("src <> dst").distinct()), "candidates")
 
     members = parts.select(F.col("node").alias("cid"), "component").join(classes, "cid")
-    sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_grams").alias("hashes"))
-    members = materialize(members.join(sizes, "component"), "members")
-    sets = full_sets(docs, members.select("rep").distinct(), members.count(), key, text, size)
+    sums = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_grams").alias("hashes"))
+    members = materialize(members.join(sums, "component"), "members")
+    sets = full_sets(docs, members.select("rep").distinct(), members.count(), key, text, size).dropDuplicates(["cid"])
     bands = usable.select(F.col("d1").alias("cid"), "key", "bands").join(members.select("cid", F.col("rep").alias("key")), ["cid", "key"]).dropDuplicates(["cid"]).select("cid", "bands")
-    whole = (F.col("n") <= GROUP_CLASSES) & (F.col("hashes") <= GROUP_HASHES)
-    small = members.where(whole).select(F.xxhash64("component", F.lit(-1)).alias("g"), F.lit(-1).alias("band"), F.lit(0).alias("side"), "cid", "copies")
-    chunks = F.ceil(F.col("size") / BLOCK_CLASSES).cast("int")
-    mine = F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")
-    large = (
-        joined.join(members.where(~whole).select("cid", "copies"), "cid")
-        .withColumn("chunks", chunks).withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select(F.xxhash64("band", "h", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"), "band", (F.col("mine") > F.col("other")).cast("int").alias("side"), "cid", "copies")
-    )
-    dealt = small.unionByName(large).join(bands, "cid").join(sets.dropDuplicates(["cid"]), "cid")
-    found = materialize(_verify_groups(dealt, threshold), "links")
+    fits = (F.col("n") <= BLOCK_CLASSES) & (F.col("hashes") <= BLOCK_HASHES)
+    blocks = members.where(fits).select(F.xxhash64("component", F.lit(-1)).alias("g"), F.lit(-1).alias("band"), F.lit(-1).alias("side"), "cid", "copies", F.lit(False).alias("central"))
+    large = members.where(~fits)
+    known = None
+    if not large.isEmpty():
+        sets = materialize(sets, "sets")
+        more, known = _verify_large(large.drop("rep"), buckets.select("band", "h", "size", "cid"), sets, threshold)
+        blocks = blocks.unionByName(more)
+    links = _verify_blocks(blocks.join(bands, "cid").join(sets, "cid"), threshold)
+    found = materialize(links if known is None else links.unionByName(known), "links")
 
     groups = connected_components(found.where("cid <> root").select(F.col("cid").alias("src"), F.col("root").alias("dst")))
     groups = materialize(groups.join(classes.select(F.col("cid").alias("node"), "rep"), "node"), "groups")
-    least = groups.groupBy("component").agg(F.min("rep").alias("class_rep"))
-    of_class = groups.join(least, "component").select(F.col("node").alias("cid"), "class_rep")
-    links = found.groupBy("cid").agg(F.sum("n").alias("other_links"))
-    about = classes.join(of_class, "cid", "left").join(links, "cid", "left").select(F.col("cid").alias("d1"), "rep", "copies", F.coalesce("class_rep", "rep").alias("class_rep"), F.coalesce("other_links", F.lit(0)).alias("other_links"))
-    rows = sig.select("key", "n_grams", F.when(F.col("key").isNotNull(), F.col("d1")).alias("d1"))
-    return rows.join(about, "d1", "left").select(
+    discard(buckets, parts, members)
+    least = groups.groupBy("component").agg(F.min(F.struct("rep", "node")).alias("least"))
+    of_class = groups.join(least, "component").select(F.col("node").alias("cid"), F.col("least.rep").alias("class_rep"), F.col("least.node").alias("class_d1"))
+    counts = found.groupBy("cid").agg(F.sum("n").alias("other_links"))
+    about = classes.join(of_class, "cid", "left").join(counts, "cid", "left").select(F.col("cid").alias("d1"), "rep", "copies", F.coalesce("class_rep", "rep").alias("class_rep"), F.coalesce("class_d1", "cid").alias("class_d1"), F.coalesce("other_links", F.lit(0)).alias("other_links"))
+    return sig.select("key", "n_grams", F.when(F.col("key").isNotNull(), F.col("d1")).alias("d1")).join(about, "d1", "left")
+
+
+def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
+    """key, class_id, copy_id, n_grams, n_copies, n_links of every row of docs.
+
+    class_id: the least key of the group that links tie together (a row without links: its own key).
+    copy_id: the least key with an equal set. n_links: the other rows whose similarity is at least
+    the threshold, equal ones included. Rows with a null key or without n-grams (null, empty, no words) have no links; their
+    class is their own key. Repeated rows are links of each other, rows of one key with different texts are judged each by
+    its text; other columns are left out; an empty table gives no rows."""
+    rows = _judged_rows(docs, key, text, size, threshold, recall)
+    return rows.select(
         F.col("key").alias(key),
         F.coalesce("class_rep", "key").alias("class_id"),
         F.coalesce("rep", "key").alias("copy_id"),
@@ -274,16 +403,36 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     )
 
 
-def one_of_each(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group of near duplicates: that with the least key. Rows with a null key
-    stay; of rows with an equal key and equal n-grams one stays."""
-    found = materialize(jaccard_join(docs, key, text), "near")
-    out = materialize(found.where(F.col(key).isNotNull() & (F.col(key) != F.col("class_id"))).select(key).distinct(), "copies")
-    rest = docs.join(F.broadcast(out) if out.count() <= BROADCAST_KEYS else out, key, "left_anti")
-    again = found.groupBy(key).count().where(F.col(key).isNotNull() & (F.col("count") > 1)).select(key)
-    repeated = materialize(again, "repeated-keys")
-    if repeated.isEmpty():
+def with_digest(docs: DataFrame, text: str, size: int, out: str) -> DataFrame:
+    """docs with the digest of each text's n-grams in column out."""
+    at, names = docs.columns.index(text), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, values, _rows, ends in _sets(batch.column(at), size):
+                digests = [_digest(values[i:j])[0] if j > i else None for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(digests, pa.int64())], [*names, out])
+
+    return docs.transform(arrow_map, run, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
+    """docs with one row of each group of near duplicates: that with the least key. Rows with a null key or
+    without words stay. Rows of one key are told apart by their n-grams: each is kept or dropped by its own text,
+    and of those with equal n-grams one stays."""
+    columns = ["key", "d1", (F.col("d1").isNull() | ((F.col("d1") == F.col("class_d1")) & (F.col("key") == F.col("class_rep")))).alias("stays")]
+    found = materialize(_judged_rows(docs, key, text, size, threshold, recall).where("key is not null").select(*columns), "near")
+    per_key = materialize(found.groupBy("key").agg(F.count("*").alias("n"), F.min("stays").alias("stays")).where("n > 1 or not stays"), "keys")
+    gone = per_key.where("n = 1").select(F.col("key").alias(key))
+    keys = per_key.where("n > 1").select(F.col("key").alias(key))
+    rest = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, key, "left_anti")
+    n_keys = keys.count()
+    if not n_keys:
         return rest
+    side = F.broadcast(keys) if n_keys <= BROADCAST_KEYS else keys
     digest = unused_name(docs, "digest")
-    once = rest.join(repeated, key, "left_semi").withColumn(digest, F.sha2(F.col(text), 256)).dropDuplicates([key, digest]).drop(digest)
-    return rest.join(repeated, key, "left_anti").unionByName(once)
+    again = with_digest(rest.join(side, key, "left_semi").withColumn(text, F.col(text).cast("string")), text, size, digest)
+    stay = found.where("stays and d1 is not null").select(F.col("key").alias(key), F.col("d1").alias(digest)).distinct()
+    once = again.join(stay, [key, digest], "left_semi").dropDuplicates([key, digest])
+    plain = again.where(F.col(digest).isNull())
+    return rest.join(side, key, "left_anti").unionByName(once.unionByName(plain).select(*docs.columns))
