@@ -4,8 +4,9 @@ An Arrow string column is one byte buffer with offsets. Word boundaries, word ha
 shingle hashes are computed over that buffer with numpy, a bounded number of bytes at a time,
 so no Python object is made per word and memory does not grow with the batch.
 
-A word is a maximal run of ASCII letters and digits and of bytes of non-ASCII characters;
-ASCII capitals count as small letters. All texts are used whole.
+A word is a maximal run of ASCII letters and digits and of bytes of non-ASCII characters (their punctuation and
+no-break spaces included); ASCII capitals count as small letters, others don't. Scripts without spaces so give very few and
+long words: split them into words beforehand. All texts are used whole.
 """
 
 from __future__ import annotations
@@ -59,7 +60,9 @@ _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def arrow_map(df: DataFrame, run: Task, schema: T.StructType | str) -> DataFrame:
     """df.mapInArrow(run, schema) with batches of at most BATCH_BYTES, unless the session asks for
-    smaller ones, and with freed memory handed back at the end of each task."""
+    smaller ones, and with freed memory handed back at the end of each task.
+
+    Spark reads the size of batches from the session when a query runs, so the session keeps the lower bound."""
     conf = df.sparkSession.conf
     now = conf.get(_BATCH_SETTING)
     if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
@@ -104,23 +107,32 @@ class Words:
     bounds: np.ndarray
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = _WORD, lower: bool = True) -> Words:
-    n = len(offsets) - 1
+def windows(data: np.ndarray, inside: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Stretches of about `size` bytes that end after a byte of which inside[byte] is False; longer where there is none."""
+    at = 0
+    while at < len(data):
+        stop, step = len(data), size
+        while at + step < len(data):
+            ends = np.flatnonzero(~inside[data[at : at + step]])
+            if len(ends):
+                stop = at + int(ends[-1]) + 1
+                break
+            step *= 2
+        yield at, stop
+        at = stop
+
+
+def _spans(data: np.ndarray, cut: np.ndarray, is_word: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of words; cut[i]: no word goes on from byte i - 1 to byte i."""
     inside = is_word[data]
-    # a row's end is a boundary even where the next row starts with a word character
     flag = np.zeros(len(data) + 1, bool)
     flag[:-1] = inside
     prev = np.zeros(len(data) + 1, bool)
     prev[1:] = inside
-    cut = np.zeros(len(data) + 1, bool)
-    cut[offsets[:-1]] = True
-    cut[offsets[-1]] = True
     start = np.flatnonzero(flag & (~prev | cut))
     end = np.flatnonzero(prev & (~flag | cut))
-    bounds = np.searchsorted(start, offsets)
-    row = np.repeat(np.arange(n), np.diff(bounds))
     if len(start) == 0:
-        return Words(start, end, np.zeros(0, np.uint64), row, bounds)
+        return start, end, np.zeros(0, np.uint64)
     length = end - start
     first = np.repeat(start, length)
     which = np.arange(len(first)) - np.repeat(np.cumsum(length) - length, length)
@@ -128,7 +140,19 @@ def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = _WORD,
     if lower:
         value = _LOWER[value]
     h = np.add.reduceat((value.astype(np.uint64) + U(1)) * _POS[which & 0xFFFF], np.cumsum(length) - length)
-    return Words(start, end, mix(h + length.astype(np.uint64)), row, bounds)
+    return start, end, mix(h + length.astype(np.uint64))
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = _WORD, lower: bool = True) -> Words:
+    """Words of rows. What takes many bytes for each byte of text is done in windows of about CHUNK_BYTES, so a very long
+    row takes 32 bytes for each of its words beside its own bytes."""
+    # a row's end is a boundary even where the next row starts with a word character
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offsets] = True
+    found = [(at + s, at + e, h) for at, stop in windows(data, is_word, CHUNK_BYTES) for s, e, h in [_spans(data[at:stop], cut[at : stop + 1], is_word, lower)]]
+    start, end, h = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    bounds = np.searchsorted(start, offsets)
+    return Words(start, end, h, np.repeat(np.arange(len(offsets) - 1), np.diff(bounds)), bounds)
 
 
 def shingles_of(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
