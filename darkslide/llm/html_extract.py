@@ -1,7 +1,7 @@
 """Main text of web pages by a tree-structured graphical model over DOM nodes.
 
 Each block element of a page is a node with a hidden label: content, beside it, or around both. A node has a potential from its tag, the words
-in its class, id and role, the length of its text and the share of it in links; an edge has one from the
+in its class, id and role, those of the elements that it is in, the length of its text and the share of it in links; an edge has one from the
 labels of parent and child. Messages are passed upward and downward once (sum-product, exact on a
 tree), which gives every node's marginal. Text belongs to its nearest block element and is kept if that
 element's marginal of being content is over 1/2.
@@ -9,6 +9,10 @@ element's marginal of being content is over 1/2.
 The potentials are counts over labelled pages: LABELLED below, and at most `max_pages` pages of the table
 whose own elements tell the label (see `silver_label`). What is in scripts, styles, forms and the like is
 never text.
+
+Pages are read in one pass from left to right, whatever is in them: tags and attributes by HTML's rules (quoted and unquoted
+values, comments, raw text), unclosed and stray tags mended by look-ups of what is open. A quote that the page never closes
+is part of an unquoted value; a tag that the page's end cuts off is no text.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import html as html_lib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,36 +37,82 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: An opening tag ends an open element of the named kinds, up to the nearest of the second kinds.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: The end of raw text: its end tag up to the next >.
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for t in RAW}
 SCOPE = frozenset("html body article aside main section div nav header footer table td th form blockquote figure li dd".split())
 
 BESIDE_TAGS = frozenset("aside footer form nav".split())
 # Words of names by which layouts mark what is beside the content.
-BESIDE = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie consent copyright disqus footer header masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo recommended related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toc toolbar widget alert rail login".split())
+BESIDE = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright discussion discussions disqus feedback footer header masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo recommended related replies respond responses review reviews share sharing sidebar signup skip social sponsor sponsored subscribe tags talkback thread toc toolbar widget alert rail login".split())
 WITHIN = frozenset("article body content entry main post story text blog hentry page single".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAME = re.compile(r"[^\s/>]*+")
+#: The next attribute of a tag (name, value in one of three forms), or its end. A quote without an end is found out once for each
+#: kind of quote in a page at most, since a later one would close it; then the value counts as unquoted.
+_ATTRIBUTE = re.compile(r"[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+)")
+_COMMENT_END = re.compile(r"--!?>")
+#: Words that begin names of layouts which have a part, such as has-sidebar.
+_HAVING = frozenset("has have with without no is not hide show".split())
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """A block element: its parent's number, tag, names, and text lengths (all, in links)."""
+    """A block element: its parent's number, tag, names, mark (1: within the content, -1: beside it, by its names or those of
+    the nearest element around it that has a mark), and text lengths (all, in links)."""
+
+    __slots__ = ("length", "linked", "mark", "names", "parent", "role", "tag")
 
-    __slots__ = ("linked", "length", "names", "parent", "role", "tag")
+    def __init__(self, parent: int, tag: str, names: tuple[str, ...], mark: int, role: str):
+        self.parent, self.tag, self.names, self.mark, self.role, self.length, self.linked = parent, tag, names, mark, role, 0, 0
 
-    def __init__(self, parent: int, tag: str, names: tuple[str, ...], role: str):
-        self.parent, self.tag, self.names, self.role, self.length, self.linked = parent, tag, names, role, 0, 0
+
+def named(tag: str, names: str, above: int) -> tuple[tuple[str, ...], int]:
+    """(known words in an element's class, id and role; its mark), given the mark of what it is in."""
+    words: set[str] = set()
+    within = beside = False
+    for token in names.split():
+        found = _WORDS.findall(token)
+        if not found or found[0] in _HAVING:
+            continue
+        bad = {w for w in found if w in BESIDE}
+        good = {w for w in found if w in WITHIN}
+        if above > 0:  # the article's own header holds its title
+            bad -= {"header"}
+        words |= bad | good
+        beside |= bool(bad)
+        within |= bool(good) and not bad
+    own = -1 if tag in BESIDE_TAGS else 1 if tag in ("article", "main") else 0
+    if tag in ("html", "body"):
+        return tuple(sorted(words)), above
+    if beside != within:
+        own = -1 if beside else (own or 1)
+    # what stands beside the content isn't within it for a name like "comment-content"
+    return tuple(sorted(words)), -1 if above < 0 else own or above
+
+
+def read_tag(page: str, at: int) -> tuple[int, dict[str, str] | None]:
+    """(place after the tag, its attributes) from the end of its name; None if the page ends before. Of
+    attributes of one name the first counts."""
+    found: dict[str, str] = {}
+    while m := _ATTRIBUTE.match(page, at):
+        at = m.end()
+        if m[1]:
+            return at, found
+        found.setdefault(m[2].lower(), m[3] if m[3] is not None else m[4] if m[4] is not None else m[5] or "")
+    return len(page), None
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Nodes (a parent comes before its children) and text blocks (node, text) in page order, with
-    references decoded and white space made one space. Unclosed and stray tags are mended."""
-    nodes = [Node(-1, "html", (), "")]
+    references decoded and white space made one space. Unclosed and stray tags are mended. Time is linear in the page."""
+    nodes = [Node(-1, "html", (), 0, "")]
     stack: list[tuple[str, int]] = [("html", 0)]  # tag, node of its text
+    places: dict[str, list[int]] = {"html": [0]}  # where in the stack each tag stands
     blocks: list[tuple[int, str]] = []
     held: list[str] = []
     linked = skipping = 0
+    solid, scopes = [0], [0]  # places of block elements, and of those that a paragraph can't reach across
     at, end = 0, len(page)
 
     def flush() -> None:
@@ -74,14 +124,23 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 blocks.append((node, text))
                 nodes[node].length += len(text)
 
-    def pop() -> None:
+    def pop_to(k: int) -> None:
         nonlocal linked, skipping
-        tag = stack[-1][0]
-        if tag not in INLINE:
-            flush()
-        stack.pop()
-        linked -= tag == "a"
-        skipping -= tag in SKIPPED
+        while len(stack) > k:
+            tag = stack[-1][0]
+            if tag not in INLINE:
+                flush()
+                solid.pop()
+            if tag in SCOPE:
+                scopes.pop()
+            places[tag].pop()
+            stack.pop()
+            linked -= tag == "a"
+            skipping -= tag in SKIPPED
+
+    def last(tags: Iterable[str]) -> int:
+        """Place of the innermost open element of these tags, -1 if there is none."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
 
     def text(s: str) -> None:
         if s and not skipping:
@@ -90,49 +149,53 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 nodes[stack[-1][1]].linked += len(s)
 
     while at < end:
-        m = _TAG.search(page, at)
-        if not m:
-            # a tag that the page's end cuts off isn't text
-            cut = re.search(r"<[a-zA-Z/!][^<>]*\Z", page[max(at, end - 4096) :])
-            text(page[at : max(at, end - 4096) + cut.start()] if cut else page[at:])
+        begin = page.find("<", at)
+        if begin < 0:
+            text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        after = page[begin + 1 : begin + 2]
+        closing = after == "/"
+        first = page[begin + 2 : begin + 3] if closing else after
+        if not (first.isascii() and first.isalpha()):
+            if page.startswith("<!--", begin):
+                text(page[at:begin])
+                if page.startswith((">", "->"), begin + 4):
+                    at = page.index(">", begin) + 1
+                else:
+                    m = _COMMENT_END.search(page, begin + 4)
+                    at = m.end() if m else end
+            elif after in ("!", "?") or (closing and first):
+                text(page[at:begin])
+                stop = page.find(">", begin)
+                at = stop + 1 if stop >= 0 else end
+            else:
+                text(page[at : begin + 1])
+                at = begin + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
+        text(page[at:begin])
+        name = _NAME.match(page, begin + 1 + closing)
+        tag = name[0].lower()
+        at, attributes = read_tag(page, name.end())
+        if attributes is None:
+            break
+        if closing:
             if tag in ("html", "body"):
                 continue
-            if tag == "p" and not any(t == "p" for t, _ in stack):
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    while len(stack) > k:
-                        pop()
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            k = last((tag,))
+            if k > 0 and (tag not in INLINE or k > solid[-1]):
+                pop_to(k)
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    while len(stack) > k:
-                        pop()
-                    break
-                if stack[k][0] in SCOPE:
-                    break
+            k = last(("p",))
+            if k > scopes[-1]:
+                pop_to(k)
         if tag in ENDS:
             kinds, limits = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in kinds:
-                    while len(stack) > k:
-                        pop()
-                    break
-                if stack[k][0] in limits:
-                    break
+            k = last(kinds)
+            if k > 0 and k > last(limits):
+                pop_to(k)
         if tag == "body" and stack[-1][0] == "head":
-            pop()
+            pop_to(len(stack) - 1)
         if tag in VOID:
             if tag == "br":
                 text(" ")
@@ -140,25 +203,25 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 flush()
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            close = _RAW_END[tag].search(page, at)
             at = close.end() if close else end
             continue
         if tag == "html":
             continue
-        if m[3].endswith("/") and tag in ("path", "rect", "circle", "g", "use"):
-            continue
         node = stack[-1][1]
         if tag not in INLINE:
             flush()
-            found = " ".join(x for t in _NAMES.findall(m[3]) for x in t).lower() if m[3] else ""
-            names = tuple(sorted({w for w in _WORDS.findall(found) if w in BESIDE or w in WITHIN}))
-            nodes.append(Node(node, tag, names, re.search(r"data-label=(\w+)", m[3])[1] if "data-label" in m[3] else ""))
+            names, mark = named(tag, " ".join(attributes.get(x, "") for x in ("class", "id", "role")).lower(), nodes[node].mark)
+            nodes.append(Node(node, tag, names, mark, attributes.get("data-label", "")))
             node = len(nodes) - 1
+            solid.append(len(stack))
+        if tag in SCOPE:
+            scopes.append(len(stack))
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, node))
         linked += tag == "a"
         skipping += tag in SKIPPED
-    while len(stack) > 1:
-        pop()
+    pop_to(1)
     flush()
     return nodes, blocks
 
@@ -166,7 +229,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 def features(n: Node) -> tuple[str, ...]:
     length = min(5, int(math.log(n.length + 1, 4))) if n.length else -1
     links = min(3, 4 * n.linked // max(1, n.length))
-    return (f"tag {n.tag}", f"length {length} links {links}", *(f"name {w}" for w in n.names), *(["beside"] if n.tag in BESIDE_TAGS or any(w in BESIDE for w in n.names) else ["within"] if n.names else []))
+    return (f"tag {n.tag}", f"length {length} links {links}", f"mark {n.mark}", *(f"name {w}" for w in n.names))
 
 
 #: Labels of a node: around both kinds, content, beside the content.
@@ -222,7 +285,7 @@ def silver_label(nodes: list[Node]) -> list[int] | None:
     out: list[int] = []
     for n in nodes:
         above = out[n.parent] if n.parent >= 0 else AROUND
-        if n.tag in BESIDE_TAGS or (n.tag == "header" and above != CONTENT) or any(w in BESIDE for w in n.names):
+        if n.tag in BESIDE_TAGS or (n.tag == "header" and above != CONTENT) or n.mark < 0:
             out.append(ASIDE)
         else:
             out.append(CONTENT if above == AROUND and n.tag in ("article", "main") else above)
@@ -263,6 +326,7 @@ def labelled_layouts() -> list[tuple[list[Node], list[int]]]:
 
 _P = "<p>" + "Some words of a story that goes on for quite a while. " * 6 + "</p><p>A short one.</p>"
 _LI = "".join(f'<li><a href="/x">Item {i}</a></li>' for i in range(5))
+_TALK = "".join(f'<div class="comment"><p>Reader {i} said</p><p>{"I think that this is so, and I have more to say about it, as readers do at length. " * n}</p></div>' for i, n in enumerate((1, 3, 8, 2, 5)))
 #: Usual page layouts with the label of each part (data-label).
 LABELLED = (
     f"<html><body><header data-label=other><h1>Site</h1><nav><ul>{_LI}</ul></nav></header><main data-label=content><article><h1>Title</h1>{_P}{_P}<ul><li>A point.</li><li>One more.</li></ul><aside data-label=other><h3>Related</h3><ul>{_LI}</ul></aside></article></main><footer data-label=other><p>All rights reserved.</p></footer></body></html>",
@@ -271,17 +335,24 @@ LABELLED = (
     f'<html><body><div id="header" class="masthead" data-label=other><p>The Paper</p></div><div class="post entry" data-label=content><h2>Title</h2>{_P}<table><tr><td>One</td><td>Two</td></tr></table><pre>code</pre>{_P}<p class="advert" data-label=other>An advert.</p>{_P}</div><div class="newsletter signup" data-label=other><p>Get our letter every week, with all that is new.</p></div><div class="pagination" data-label=other><a href="2">Next</a></div></body></html>',
     f'<html><body><div class="banner promo" data-label=other><p>Sale today.</p></div><main data-label=content><section><h2>Part</h2>{_P}</section><section><h2>Part</h2>{_P}<figure><figcaption>A picture.</figcaption></figure></section></main><aside data-label=other><div class="widget"><p>Other words beside the story.</p></div></aside></body></html>',
     f"<html><body><article data-label=content><header><h1>Title</h1><p>By line</p></header>{_P}<div>{_P}</div></article><div class=alert data-label=other>Notice of change.</div><div class=breadcrumb data-label=other><a href=/>Home</a></div></body></html>",
+    f'<html><body><main data-label=content><p>A short text.</p></main><div class=comments data-label=other>{_TALK}{_TALK}</div></body></html>',
+    f'<html><body><div class=top data-label=other><a href=/>Home</a></div><div class=story data-label=content>{_P}<div>{_P}</div></div><div id=discussion data-label=other><h3>Talk</h3>{_TALK}</div></body></html>',
+    f'<html><body><div id=nav data-label=other><a href=/>Home</a> <a href=/b>News</a></div><div data-label=content><h2>Title</h2><p>Two lines.</p>{_P}</div><div id=disqus_thread class=responses data-label=other>{_TALK}</div><div id=bottom data-label=other>Imprint</div></body></html>',
+    f'<html><body><article data-label=content><h1>Title</h1><p>One line of text only.</p></article><section id=comments data-label=other><h2>Replies</h2>{_TALK}</section><div class="related posts" data-label=other><p>{"More that you might like to read from this site. " * 4}</p></div></body></html>',
+    f'<html><body><div><div><div data-label=content><div>{"Text without any paragraph in it, as old pages have it. " * 9}</div>{_P}</div></div><div data-label=other><ul>{_LI}</ul></div></div><div class="feedback reviews" data-label=other>{_TALK}</div></body></html>',
 )
-MAX_PAGES, CONTENT_AT = 200, 0.5
+MAX_PAGES, MAX_PAGE_BYTES, CONTENT_AT = 200, 1 << 18, 0.5
 
 
-def train(pages: DataFrame, page: str = "html", key: str = "page_id", max_pages: int = MAX_PAGES) -> TreeModel:
-    """Fit on LABELLED and on at most max_pages pages, chosen by a hash of their key."""
-    ids = pages.where(F.col(key).isNotNull()).select(key).distinct().orderBy(F.xxhash64(key)).limit(max_pages)
-    rows = pages.join(F.broadcast(ids), key, "left_semi").where(F.octet_length(page) <= 1 << 18).select(page)
+def train(pages: DataFrame, page: str = "html", key: str = "page_id", max_pages: int = MAX_PAGES, max_bytes: int = MAX_PAGE_BYTES) -> TreeModel:
+    """Fit on LABELLED and on a sample of at most max_pages pages of at most max_bytes, chosen by a hash of their key; of rows of
+    one key the least page."""
+    rows = pages.where(F.col(key).isNotNull() & (F.octet_length(page) <= max_bytes))
+    ids = rows.select(key).distinct().orderBy(F.xxhash64(key)).limit(max_pages)
+    some = rows.join(F.broadcast(ids), key, "left_semi").groupBy(key).agg(F.min(F.col(page).cast("string")).alias("page"))  # at most max_pages keys
     labelled = labelled_layouts()
-    for r in rows.orderBy(page).limit(max_pages).collect():
-        nodes, _ = parse(r[0] or "")
+    for r in some.orderBy(key).collect():
+        nodes, _ = parse(r["page"])
         labels = silver_label(nodes)
         if labels:
             labelled.append((nodes, labels))
@@ -296,7 +367,8 @@ def main_text(model: TreeModel, page: str) -> str:
 
 def extract(spark: SparkSession, pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", model: TreeModel | None = None) -> DataFrame:
     """key, url, text, n_chars of every row. Null and empty pages, and pages without content, have an
-    empty text; repeated rows are each returned; an empty table gives no rows."""
+    empty text; repeated rows are each returned; an empty table gives no rows; other columns are left out. Pages of any length are
+    read whole, in time linear in their length; a task holds one page and its nodes."""
     shared = spark.sparkContext.broadcast(model or train(pages, page, key))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
