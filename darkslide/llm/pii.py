@@ -1,25 +1,27 @@
 """Personal data: fixed base spans, and more from a semi-Markov conditional random field.
 
 Base spans are found by linear scans (`base_spans`). The field works on regions around digits and
-@ signs: a region is cut into tokens, a segment is one token outside or up to MAX_TOKENS tokens of one
-kind (numbers with signs and spaces between, or unbroken text around an @), and a segment is scored as a whole (shape, digits, check sum, parts, neighbours) together with
-the kind before it. Forward and backward sums over all segmentations give likelihood gradients for training
-and the posterior of a segment; Viterbi picks boundaries and kinds jointly. What no base span covers
-is decoded, and segments that are picked and likely enough are added; base spans always stay. What the base patterns find after
-blanking out all of these is added too.
-
-It is trained here, on at most `max_regions` regions of the corpus with the base spans as labels. From a third of
-the phone numbers the country prefix is taken off first, so the field has to know them without it. All
-work is within one text; long texts only have more regions.
+@ signs: a region is cut into tokens, a segment is one token outside or up to MAX_TOKENS tokens (and MAX_CHARS characters, MAX_DIGITS
+digits) of one kind (numbers with signs and spaces between, or unbroken text around an @), and a segment is scored as a whole (shape, digits,
+check sum, parts, neighbours) together with the kind before it. Forward and backward sums over all segmentations give likelihood
+gradients for training and the posterior of a segment; Viterbi picks boundaries and kinds jointly. What no base span covers
+is decoded, and segments that are picked and likely enough are added; base spans always stay. Added spans come from the field alone.
+
+It is trained here, on at most `max_regions` regions (of at most REGION_CHARS characters and REGION_TOKENS tokens each) of the
+corpus with the base spans as labels, and what `gold_tokens` finds beside them. From two thirds of the regions with
+a phone number its country prefix is taken off first, and half of those get one sign between their groups of digits, so the field has to know such
+numbers without what the base pattern asks for. All work is within one text and linear in its length: regions of more than WINDOW_TOKENS tokens, such as tables of numbers, are decoded
+in windows that overlap by OVERLAP_TOKENS on either side, and a span counts in the window in whose own part it starts.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -82,7 +84,9 @@ def written(spans: list[Span]) -> str:
 
 # --- the field ------------------------------------------------------------------------------
 
-MAX_TOKENS, MAX_CHARS = 16, 64
+#: Bounds of a segment.
+MAX_TOKENS, MAX_CHARS, MAX_DIGITS = 16, 64, 20
+WINDOW_TOKENS, OVERLAP_TOKENS = 2048, 4 * MAX_TOKENS
 LABELS = 1 + len(KINDS)  # 0 is outside
 _TOKEN = re.compile(r"[0-9]+|[^\W0-9_]+|\s+|[^\w\s]|_")
 _NUMERIC = re.compile(r"[0-9@+(][0-9@ ().+-]*")
@@ -117,57 +121,110 @@ def _feature(name: str) -> int:
 _RUN = re.compile(r"[0-9]+|[A-Za-z]+|[^0-9A-Za-z]")
 
 
-def segment_features(text: str, a: int, b: int) -> list[int]:
-    """Features of a whole candidate span."""
+_PATTERN = str.maketrans("0123456789" + "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "9" * 10 + "a" * 52)
+#: What a segment's features depend on: digits as 9 and letters as a, whether it is a card number or an address by its digits, and
+#: the kinds of the characters before and after it.
+Look = tuple[str, bool, bool, str, str]
+
+
+def _beside(c: str) -> str:
+    return "d" if c.isdigit() else "w" if c.isalpha() else "s" if not c.strip() else c
+
+
+def look(text: str, a: int, b: int) -> Look:
+    """What there is to see of a whole candidate span."""
     s = text[a:b]
-    digits = "".join(_DIGIT.findall(s))
-    shape = "".join("9" if r[0].isdigit() and r[0].isascii() else "a" if r[0].isalpha() and r[0].isascii() else "_" if r.isspace() else r for r in _RUN.findall(s))
-    before = text[max(0, a - 1) : a]
-    after = text[b : b + 1]
-    parts = s.split(".")
+    pattern = s.translate(_PATTERN)
+    n = pattern.count("9")
+    card = 14 <= n <= 19 and luhn("".join(_DIGIT.findall(s)))
+    ip = False
+    if s.count(".") == 3:
+        parts = s.split(".")
+        ip = all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)
+    return pattern, card, ip, _beside(text[a - 1 : a]), _beside(text[b : b + 1])
+
+
+@functools.lru_cache(1 << 15)
+def segment_features(seen: Look) -> tuple[int, ...]:
+    """Features of a candidate span."""
+    s, card, ip, before, after = seen
+    n = s.count("9")
+    shape = "".join("9" if r[0] == "9" else "a" if r[0] == "a" else "_" if r.isspace() else r for r in _RUN.findall(s))
     names = [
-        f"n{len(digits)}", f"shape{shape[:16]}", f"digits{shape[:16]}:{len(digits)}", f"long{min(8, len(s) // 4)}",
-        f"before{'d' if before.isdigit() else 'w' if before.isalpha() else 's' if not before.strip() else before}",
-        f"after{'d' if after.isdigit() else 'w' if after.isalpha() else 's' if not after.strip() else after}",
-        f"plus{s[0] == '+'}", f"at{s.count('@')}:{'.' in s[s.find('@') :]}", f"luhn{14 <= len(digits) <= 19 and luhn(digits)}:{len(digits)}",
-        f"ip{len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)}", f"ends{s[-1].isalnum()}", f"only{len(digits) == len(s)}",
+        f"n{n}", f"shape{shape[:16]}", f"digits{shape[:16]}:{n}", f"long{min(8, len(s) // 4)}", f"before{before}", f"after{after}",
+        f"plus{s[0] == '+'}", f"at{s.count('@')}:{'.' in s[s.find('@') :]}", f"luhn{card}:{n}", f"ip{ip}", f"ends{s[-1].isalnum()}", f"only{n == len(s)}",
     ]
-    return [_feature(n) for n in names]
+    return tuple(_feature(n) for n in names)
 
 
-def outside_features(token: str) -> list[int]:
+@functools.lru_cache(1 << 12)
+def outside_features(kind: str, length: int) -> tuple[int, ...]:
+    return _feature(f"o{kind}"), _feature(f"o{kind}{length if kind == 'd' else ''}")
+
+
+def outside_look(token: str) -> tuple[str, int]:
     kind = "d" if token[0].isdigit() else "w" if token[0].isalpha() else "s" if token.isspace() else token
-    return [_feature(f"o{kind}"), _feature(f"o{kind}{min(len(token), 20) if kind == 'd' else ''}")]
+    return kind, min(len(token), 20) if kind == "d" else 0
 
 
 class Lattice:
-    """Tokens and candidate segments of one region, with features but no weights yet."""
+    """Tokens of one region and its candidate segments, without weights."""
 
-    def __init__(self, text: str, a: int, b: int):
-        tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, a, b)]
-        self.bounds = [t[0] for t in tokens] + [tokens[-1][1] if tokens else b]
+    def __init__(self, text: str, tokens: list[tuple[int, int]], end: int):
+        self.bounds = [t[0] for t in tokens] + [tokens[-1][1] if tokens else end]
         self.n = len(tokens)
-        self.outside = [outside_features(text[x:y]) for x, y in tokens]
-        self.ends: list[list[tuple[int, list[int]]]] = [[] for _ in range(self.n + 1)]  # by end: (start token, features)
-        numbers = [0, *accumulate(sum(c.isdigit() and c.isascii() for c in text[x:y]) for x, y in tokens)]
-        marks = [0, *accumulate(text[x:y] == "@" for x, y in tokens)]
-        letters = [0, *accumulate(text[x].isalpha() for x, _ in tokens)]
-        spaces = [text[x:y].isspace() for x, y in tokens]
+        words = [text[x:y] for x, y in tokens]
+        self.outside = [outside_look(t) for t in words]
+        self.ends: list[list[tuple[int, Look]]] = [[] for _ in range(self.n + 1)]  # by end: (start token, look)
+        numbers = [0, *accumulate(len(t) if t[0].isdigit() and t[0].isascii() else 0 for t in words)]
+        marks = [0, *accumulate(t == "@" for t in words)]
+        letters = [0, *accumulate(t[0].isalpha() for t in words)]
+        spaces = [t.isspace() for t in words]
         blanks = [0, *accumulate(spaces)]
         for i in range(self.n):
             if spaces[i]:
                 continue
             for j in range(i + 1, min(self.n, i + MAX_TOKENS) + 1):
-                if self.bounds[j] - self.bounds[i] > MAX_CHARS or numbers[j] - numbers[i] > 20:
+                if self.bounds[j] - self.bounds[i] > MAX_CHARS or numbers[j] - numbers[i] > MAX_DIGITS:
                     break
                 numeric = numbers[j] - numbers[i] >= 4 and letters[j] == letters[i]
                 if not spaces[j - 1] and (numeric or (marks[j] > marks[i] and blanks[j] == blanks[i])):
-                    self.ends[j].append((i, segment_features(text, self.bounds[i], self.bounds[j])))
+                    self.ends[j].append((i, look(text, self.bounds[i], self.bounds[j])))
 
-    def scores(self, w: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, np.ndarray]]]]:
+    def scores(self, field: SemiMarkovField) -> tuple[list[float], list[list[tuple[int, list[float]]]]]:
         """Score of each outside token; of each segment by kind."""
-        out = np.array([w[f, 0].sum() for f in self.outside]) if self.n else np.zeros(0)
-        return out, [[(i, w[f, 1:].sum(0)) for i, f in at] for at in self.ends]
+        known, w = field.known, field.w
+
+        def of(seen: tuple, features: Callable) -> list[float]:
+            if (found := known.get(seen)) is None:
+                if len(known) >= KNOWN_LOOKS:
+                    known.clear()
+                found = known[seen] = w[list(features)].sum(0).tolist()
+            return found
+
+        return [of(t, outside_features(*t))[0] for t in self.outside], [[(i, of(t, segment_features(t))[1:]) for i, t in at] for at in self.ends]
+
+
+def lattices(text: str, a: int, b: int) -> Iterator[tuple[Lattice, int, int]]:
+    """(lattice, first and end character of its own part) of the windows of text[a:b]."""
+    held: list[tuple[int, int]] = []
+    begin = a
+    for m in _TOKEN.finditer(text, a, b):
+        held.append(m.span())
+        if len(held) == WINDOW_TOKENS + 2 * OVERLAP_TOKENS:
+            stop = held[-OVERLAP_TOKENS][0]
+            yield Lattice(text, held, m.end()), begin, stop
+            begin, held = stop, held[-2 * OVERLAP_TOKENS :]
+    yield Lattice(text, held, b), begin, b
+
+
+def _logsum(values: list[float]) -> float:
+    top = max(values)
+    return top if top == -math.inf else top + math.log(sum(math.exp(v - top) for v in values))
+
+
+#: Looks whose scores a worker remembers.
+KNOWN_LOOKS = 1 << 16
 
 
 class SemiMarkovField:
@@ -176,25 +233,33 @@ class SemiMarkovField:
     def __init__(self) -> None:
         self.w = np.zeros((1 << FEATURE_BITS, LABELS))
         self.t = np.zeros((LABELS, LABELS))
+        self.known: dict[tuple, list[float]] = {}
+
+    def __getstate__(self) -> dict:
+        return {"w": self.w, "t": self.t, "known": {}}
 
     def viterbi(self, x: Lattice) -> list[tuple[int, int, int]]:
         """(start token, end token, kind) of the best segmentation."""
-        outside, segments = x.scores(self.w)
-        best = np.full((x.n + 1, LABELS), -np.inf)
-        best[0, 0] = 0
-        back: list[list] = [[None] * LABELS for _ in range(x.n + 1)]
+        outside, segments = x.scores(self)
+        t = self.t.T.tolist()  # by label, from the label before
+        best = [[0.0] + [-math.inf] * (LABELS - 1)]
+        back: list[list] = [[None] * LABELS]
+        # by position: the best score of going on with each label, and the label before it
+        into = []
         for e in range(1, x.n + 1):
-            v = best[e - 1] + self.t[:, 0] + outside[e - 1]
-            k = int(v.argmax())
-            best[e, 0], back[e][0] = v[k], (e - 1, k)
+            reach = [max((p + q, -k) for k, (p, q) in enumerate(zip(best[-1], row, strict=True))) for row in t]
+            into.append(reach)
+            now, way = [-math.inf] * LABELS, [None] * LABELS
+            now[0], way[0] = reach[0][0] + outside[e - 1], (e - 1, -reach[0][1])
             for i, s in segments[e]:
-                v = best[i][:, None] + self.t[:, 1:]
-                k = v.argmax(0)
-                total = v[k, np.arange(LABELS - 1)] + s
-                for y in np.flatnonzero(total > best[e, 1:]).tolist():
-                    best[e, y + 1], back[e][y + 1] = total[y], (i, int(k[y]))
+                for y, v in enumerate(s, 1):
+                    total = into[i][y][0] + v
+                    if total > now[y]:
+                        now[y], way[y] = total, (i, -into[i][y][1])
+            best.append(now)
+            back.append(way)
         out, e = [], x.n
-        y = int(best[e].argmax()) if x.n else 0
+        y = best[e].index(max(best[e])) if x.n else 0
         while e > 0:
             i, prev = back[e][y]
             if y:
@@ -202,76 +267,96 @@ class SemiMarkovField:
             e, y = i, prev
         return out[::-1]
 
-    def sums(self, x: Lattice) -> tuple[np.ndarray, np.ndarray, float, np.ndarray, list]:
-        """Forward and backward log sums, the log partition sum, and the scores."""
-        outside, segments = x.scores(self.w)
-        f = np.full((x.n + 1, LABELS), -np.inf)
-        f[0, 0] = 0
+    def sums(self, x: Lattice) -> tuple[list[list[float]], list[list[float]], list[list[float]], float, list[float], list]:
+        """By position: forward log sums by label, backward ones, forward ones of going on with each label; the log
+        partition sum, and the scores."""
+        outside, segments = x.scores(self)
+        to, t = self.t.T.tolist(), self.t.tolist()
+        f = [[0.0] + [-math.inf] * (LABELS - 1)]
+        on = []
         for e in range(1, x.n + 1):
-            f[e, 0] = np.logaddexp.reduce(f[e - 1] + self.t[:, 0]) + outside[e - 1]
-            for i, s in segments[e]:
-                f[e, 1:] = np.logaddexp(f[e, 1:], np.logaddexp.reduce(f[i][:, None] + self.t[:, 1:], axis=0) + s)
-        g = np.full((x.n + 1, LABELS), -np.inf)
-        g[x.n] = 0
-        for e in range(x.n, 0, -1):
-            g[e - 1] = np.logaddexp(g[e - 1], self.t[:, 0] + outside[e - 1] + g[e, 0])
-            for i, s in segments[e]:
-                g[i] = np.logaddexp(g[i], np.logaddexp.reduce(self.t[:, 1:] + s + g[e, 1:], axis=1))
-        return f, g, float(np.logaddexp.reduce(f[x.n])), outside, segments
+            on.append([_logsum([p + q for p, q in zip(f[-1], row, strict=True)]) for row in to])
+            now = [[on[e - 1][0] + outside[e - 1]]] + [[on[i][y] + s[y - 1] for i, s in segments[e]] or [-math.inf] for y in range(1, LABELS)]
+            f.append([_logsum(v) for v in now])
+        on.append([_logsum([p + q for p, q in zip(f[-1], row, strict=True)]) for row in to])
+        # backward, by label of what comes next: then over the label before
+        ahead: list[list[list[float]]] = [[[] for _ in range(LABELS)] for _ in range(x.n + 1)]
+        g = [[-math.inf] * LABELS for _ in range(x.n + 1)]
+        g[x.n] = [0.0] * LABELS
+        for e in range(x.n, -1, -1):
+            if e < x.n:
+                best = [_logsum(v) if v else -math.inf for v in ahead[e]]
+                g[e] = [_logsum([p + q for p, q in zip(row, best, strict=True)]) for row in t]
+            if e:
+                ahead[e - 1][0].append(outside[e - 1] + g[e][0])
+                for i, s in segments[e]:
+                    for y in range(1, LABELS):
+                        ahead[i][y].append(s[y - 1] + g[e][y])
+        return f, g, on, _logsum(f[x.n]), outside, segments
 
     def posterior(self, x: Lattice) -> dict[tuple[int, int, int], float]:
         """Probability of each candidate (start token, end token, kind)."""
-        f, g, z, _, segments = self.sums(x)
-        out = {}
-        for e in range(1, x.n + 1):
-            for i, s in segments[e]:
-                p = np.exp(np.logaddexp.reduce(f[i][:, None] + self.t[:, 1:], axis=0) + s + g[e, 1:] - z)
-                out.update({(i, e, y): float(p[y]) for y in range(LABELS - 1)})
-        return out
+        _, g, on, z, _, segments = self.sums(x)
+        return {(i, e, y - 1): math.exp(on[i][y] + s[y - 1] + g[e][y] - z) for e in range(1, x.n + 1) for i, s in segments[e] for y in range(1, LABELS)}
 
     def learn(self, x: Lattice, gold: list[tuple[int, int, int]], rate: float, decay: float) -> None:
         """A step up the log likelihood of the gold segmentation."""
-        f, g, z, outside, segments = self.sums(x)
+        f, g, on, z, outside, segments = self.sums(x)
+        was = self.t.copy()
+        self.known.clear()
         if not math.isfinite(z):
             return
-        feature = {(i, e): v for e in range(x.n + 1) for i, v in x.ends[e]}
-        gold = [s for s in gold if (s[0], s[1]) in feature]
-        at, y = 0, 0
-        starts = {s[0]: s for s in gold}
-        for k in range(x.n + 1):  # gold counts
-            if k < at or k == x.n:
-                continue
+        feature = {(i, e): list(segment_features(v)) for e in range(x.n + 1) for i, v in x.ends[e]}
+        starts = {s[0]: s for s in gold if (s[0], s[1]) in feature}
+        k = y = 0
+        while k < x.n:  # gold counts
             if k in starts:
-                i, e, kind = starts[k]
-                self.w[feature[i, e], kind + 1] += rate
-                self.t[y, kind + 1] += rate
-                at, y = e, kind + 1
+                _, e, kind = starts[k]
+                self.w[feature[k, e], kind + 1] += rate
             else:
-                self.w[x.outside[k], 0] += rate
-                self.t[y, 0] += rate
-                at, y = k + 1, 0
+                e, kind = k + 1, -1
+                self.w[list(outside_features(*x.outside[k])), 0] += rate
+            self.t[y, kind + 1] += rate
+            k, y = e, kind + 1
         for e in range(1, x.n + 1):  # expected counts
-            p = np.exp(f[e - 1] + self.t[:, 0] + outside[e - 1] + g[e, 0] - z)
-            self.w[x.outside[e - 1], 0] -= rate * p.sum()
-            self.t[:, 0] -= rate * p
+            p = math.exp(on[e - 1][0] + outside[e - 1] + g[e][0] - z)
+            self.w[list(outside_features(*x.outside[e - 1])), 0] -= rate * p
+        step = np.zeros_like(self.t)
+        for e in range(1, x.n + 1):
+            reached = np.exp(np.array(f[e - 1]) + was[:, 0] + outside[e - 1] + g[e][0] - z)
+            step[:, 0] += reached
             for i, s in segments[e]:
-                p = np.exp(f[i][:, None] + self.t[:, 1:] + s + g[e, 1:] - z)
+                p = np.exp(np.array(f[i])[:, None] + was[:, 1:] + np.array(s) + np.array(g[e][1:]) - z)
                 np.add.at(self.w, (np.array(feature[i, e])[:, None], np.arange(1, LABELS)), -rate * p.sum(0))
-                self.t[:, 1:] -= rate * p
-        self.t *= 1 - decay
+                step[:, 1:] += p
+        self.t = (self.t - rate * step) * (1 - decay)
 
 
 MAX_REGIONS, EPOCHS, RATE, DECAY, SURE = 800, 5, 0.3, 1e-4, 0.9
+#: Longest regions that are learnt from.
+REGION_CHARS, REGION_TOKENS = 400, 400
 
 
-def gold_tokens(x: Lattice, spans: list[Span]) -> list[tuple[int, int, int]]:
+def gold_tokens(x: Lattice, text: str, spans: list[Span]) -> list[tuple[int, int, int]]:
+    """spans as segments of x, and what they leave: digits in one piece that are a card number, and the shortest phone number from a plus
+    sign, where a base pattern runs on into other digits and fails."""
     place = {c: i for i, c in enumerate(x.bounds)}
     out, end = [], -1
     for a, b, k in spans:
         if a in place and b in place and a >= end:
             out.append((place[a], place[b], k))
             end = b
-    return out
+    taken = np.zeros(x.n + 1, bool)
+    for i, j, _ in out:
+        taken[i:j] = True
+    for j in range(1, x.n + 1):
+        for i, _ in x.ends[j]:
+            if (j == i + 1 or text[x.bounds[i]] == "+") and not taken[i:j].any():
+                found = base_spans(text[x.bounds[i] : x.bounds[j]])
+                if len(found) == 1 and found[0][:2] == (0, x.bounds[j] - x.bounds[i]) and found[0][2] >= 2:
+                    out.append((i, j, found[0][2]))
+                    taken[i:j] = True
+    return sorted(out)
 
 
 def fit(texts: list[str]) -> SemiMarkovField:
@@ -280,16 +365,20 @@ def fit(texts: list[str]) -> SemiMarkovField:
     for n, t in enumerate(texts):
         spans = base_spans(t)
         phones = [s for s in spans if s[2] == 3]
-        if phones and n % 3 == 0:  # without the country prefix
+        if phones and n % 3 < 2:  # without the country prefix, as it stands or with the same sign between all groups
             a, b, _ = phones[0]
             m = re.match(r"\+[0-9]{1,3}[ .-]+", t[a:b])
             if m:
-                t = t[:a] + t[a + m.end() :]
-                spans = [s for s in base_spans(t) if s[1] <= a or s[0] >= b - m.end()] + [(a, b - m.end(), 3)]
-                spans.sort()
-        x = Lattice(t, 0, len(t))
-        if x.n <= 400:
-            data.append((x, gold_tokens(x, spans)))
+                local = t[a + m.end() : b]
+                if n % 3:
+                    local = "-."[n // 3 % 2].join(re.findall("[0-9]+", local))
+                t = t[:a] + local + t[b:]
+                end = a + len(local)
+                spans = sorted([s for s in base_spans(t) if s[1] <= a or s[0] >= end] + [(a, end, 3)])
+        tokens = [m.span() for m in _TOKEN.finditer(t)]
+        if len(tokens) <= REGION_TOKENS:
+            x = Lattice(t, tokens, len(t))
+            data.append((x, gold_tokens(x, t, spans)))
     for epoch in range(EPOCHS):
         for i in rng.permutation(len(data)):
             field.learn(*data[i], RATE / (1 + epoch), DECAY)
@@ -297,7 +386,7 @@ def fit(texts: list[str]) -> SemiMarkovField:
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_regions: int = MAX_REGIONS) -> SemiMarkovField:
-    """Fit on at most max_regions regions, chosen by a hash of their text over the whole table."""
+    """Fit on a sample of at most max_regions regions (of at most REGION_CHARS characters), chosen by a hash of their text over the whole table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,7 +395,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_regions:
                 s = t.as_py()
                 if s and _TRIGGER.search(s):
                     for a, b in regions(s):
-                        if b - a <= 400:
+                        if b - a <= REGION_CHARS:
                             r = s[max(0, a - 12) : b + 12]
                             best.append((zlib.crc32(r.encode()), r))
             best = sorted(set(best))[:max_regions]
@@ -330,18 +419,26 @@ def gaps(spans: list[Span], a: int, b: int) -> list[tuple[int, int]]:
 def added_spans(field: SemiMarkovField, text: str, base: list[Span]) -> list[Span]:
     """Segments that the field finds beside the base spans: each stretch between base spans is decoded by itself."""
     out: list[Span] = []
+    at = 0
+    reach = list(accumulate((s[1] for s in base), max))  # how far the spans up to each one go
     for a, b in regions(text):
         lo, hi = max(0, a - 12), min(len(text), b + 12)
-        for c, d in gaps([s for s in base if s[0] < hi and s[1] > lo], lo, hi):
+        while at < len(base) and reach[at] <= lo:
+            at += 1
+        near = at
+        while near < len(base) and base[near][0] < hi:
+            near += 1
+        for c, d in gaps(base[at:near], lo, hi):
             if not _TRIGGER.search(text, c, d):
                 continue
-            x = Lattice(text, c, d)
-            if not any(x.ends):
-                continue
-            path = field.viterbi(x)
-            if path:
-                p = field.posterior(x)
-                out += [(x.bounds[i], x.bounds[e], k) for i, e, k in path if p.get((i, e, k), 0) >= SURE]
+            for x, begin, end in lattices(text, c, d):
+                if not any(x.ends):
+                    continue
+                path = field.viterbi(x)
+                if path:
+                    p = field.posterior(x)
+                    found = ((x.bounds[i], x.bounds[e], k) for i, e, k in path if p[i, e, k] >= SURE)
+                    out += [s for s in found if begin <= s[0] < end]
     kept: list[Span] = []
     for s in sorted(set(out)):
         if not kept or s[0] >= kept[-1][1]:
@@ -349,37 +446,20 @@ def added_spans(field: SemiMarkovField, text: str, base: list[Span]) -> list[Spa
     return kept
 
 
-def blanked(text: str, spans: list[Span]) -> str:
-    """text with every span replaced by as many line ends."""
-    out, at = [], 0
-    for a, b, _ in sorted(spans):
-        if b > at:
-            a = max(a, at)
-            out += [text[at:a], "\n" * (b - a)]
-            at = b
-    return "".join([*out, text[at:]])
-
-
 def all_spans(field: SemiMarkovField, text: str | None) -> tuple[list[Span], list[Span]]:
-    """(base spans, added spans): those of the field, and those that the base patterns find once the
-    others are blanked out, such as a card number that a phone number before it had run into."""
+    """(base spans, spans that the field adds)."""
     if not text or not _TRIGGER.search(text):
         return [], []
     base = base_spans(text)
-    more = added_spans(field, text, base)
-    found = [*base, *more]
-    while found:
-        text = blanked(text, found)
-        found = base_spans(text)
-        more += found
-    return base, sorted(more)
+    return base, added_spans(field, text, base)
 
 
 def find(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", field: SemiMarkovField | None = None, keep_text: bool = False) -> DataFrame:
     """key, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added of every row,
     and with keep_text the text with every span replaced by its kind (column redacted).
 
-    Null and empty texts have no spans and the digest of nothing; repeated rows are each returned."""
+    Null and empty texts have no spans and the digest of nothing; repeated rows are each returned; an empty table gives no rows;
+    other columns are left out. Texts of any length are read whole; beside the text and its spans a task holds one window."""
     shared = spark.sparkContext.broadcast(field or train(docs, key, text))
     names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", *(["redacted"] if keep_text else [])]
 
@@ -418,8 +498,8 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def redact_documents(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
-    """docs with personal data replaced in the text; a column `length` is counted anew for changed texts.
-    Rows and columns stay as they are otherwise."""
+    """docs with personal data replaced in the text; a column `length` is counted anew.
+    Rows and columns stay as they are otherwise; null and empty texts, repeated rows and empty tables too."""
     shared = spark.sparkContext.broadcast(train(docs, key, text))
     names = docs.columns
     at = names.index(text)
@@ -443,5 +523,3 @@ def redact_documents(spark: SparkSession, docs: DataFrame, key: str = "doc_id",
     if length in names:
         out = out.withColumn(length, F.when(F.col(text).isNull(), F.col(length)).otherwise(F.char_length(text).cast(docs.schema[length].dataType)))
     return out
-
-
