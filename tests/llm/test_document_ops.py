@@ -2,6 +2,10 @@
 
 import itertools
 import re
+import time
+import tracemalloc
+import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -104,23 +108,77 @@ def test_join_of_a_large_group_goes_by_blocks(spark, monkeypatch):
     rows = [(i, edited(rng, base, 0.025)) for i in range(60)] + [(100 + i, " ".join(base)) for i in range(5)] + [(200, None), (201, ""), (202, "!?"), (203, "two words"), (204, "Two, words!"), (None, " ".join(base)), (205, "x " * 5000), (205, "x " * 5000)]
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     one = sorted(map(tuple, jaccard_join.jaccard_join(table).where("doc_id is not null").collect()))
-    monkeypatch.setattr(jaccard_join, "GROUP_CLASSES", 10)
     monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", 7)
     two = sorted(map(tuple, jaccard_join.jaccard_join(table).where("doc_id is not null").collect()))
-    assert one == two
     want = brute_links([r for r in rows if r[0] is not None])
-    got = [(r[0], r[1], r[5]) for r in one]
-    assert [x[:2] for x in got] == [x[:2] for x in want]
-    assert sum(abs(a[2] - b[2]) for a, b in zip(got, want, strict=True)) <= 0.01 * sum(x[2] for x in want)
+    for found in (one, two):
+        got = [(r[0], r[1], r[5]) for r in found]
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        assert sum(abs(a[2] - b[2]) for a, b in zip(got, want, strict=True)) <= 0.01 * sum(x[2] for x in want)
+        assert all(a[2] <= b[2] for a, b in zip(got, want, strict=True))  # no link that isn't one
     assert jaccard_join.jaccard_join(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [7, 512])
+def test_join_of_a_long_chain(spark, monkeypatch, blocks):
+    """Each text is like the next ones only, so all are one component; with small blocks it goes by buckets."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", blocks)
+    rows = [(i, " ".join(f"w{j}" for j in range(4 * i, 4 * i + 100))) for i in range(300)]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = brute_links(rows)
+    assert sum(abs(a[2] - b[2]) for a, b in zip(got, want, strict=True)) <= 0.02 * sum(x[2] for x in want)
+    assert all(a[2] <= b[2] for a, b in zip(got, want, strict=True)) and len({x[1] for x in got}) <= 2
+
+
+def test_thousands_of_near_copies_go_over_many_blocks(spark):
+    """Near copies within and beyond half the allowed distance of each other, and others beside them."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, edited(rng, base, 0.007 if i % 3 else 0.02)) for i in range(1500)] + [(9000 + i, edited(rng, [f"v{i}_{j}" for j in range(40)], 0)) for i in range(50)]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    sets = [grams(t) for _, t in rows[:1500]]
+    ids = {g: i for i, g in enumerate(set().union(*sets))}
+    common = np.zeros((1500, 150), np.float32)
+    shared = {g: k for k, g in enumerate(sorted(grams(" ".join(base))))}  # edits are unique, so only base n-grams are shared
+    for i, s in enumerate(sets):
+        for g in s:
+            if g in shared:
+                common[i, shared[g]] = 1
+    size = np.array([len(s) for s in sets])
+    both = common @ common.T
+    want = (both >= 0.8 * (size[:, None] + size[None, :] - both) - 1e-3).sum(1) - 1
+    n = np.array([x[2] for x in got[:1500]])
+    assert len(ids) > 1000 and (n <= want).all() and np.abs(n - want).sum() <= 0.005 * want.sum()
+    assert {x[1] for x in got[:1500]} == {0} and all(x[1] == x[0] and x[2] == 0 for x in got[1500:])
+
+
+def test_a_block_takes_bounded_memory():
+    rng = np.random.default_rng(0)
+    n, size = jaccard_join.BLOCK_CLASSES, jaccard_join.BLOCK_HASHES // jaccard_join.BLOCK_CLASSES
+    common = rng.integers(0, 1 << 62, size - 100, dtype=np.uint64)
+    side = [jaccard_join.Rows(np.arange(n) + k * n, np.ones(n, np.int64), np.ones(n, bool), np.ones((n, 30), np.int64), [np.sort(np.r_[common, rng.integers(0, 1 << 62, 100, dtype=np.uint64)]) for _ in range(n)]) for k in (0, 1)]
+    tracemalloc.start()
+    cids, _, links = jaccard_join.verify(*side, -1, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(cids) == 2 * n and (links == n).all() and peak < 300 << 20
+
+
 def test_one_of_each_group_stays(spark):
     rows = [(1, "a b c d e f g", "en", "s", 13), (2, "a b c d e f g", "en", "s", 13), (2, "a b c d e f g", "en", "s", 13), (3, "other words here", "en", "s", 1), (3, "other words here", "en", "s", 1), (None, "a b c d e f g", "en", "s", 13)]
     kept = jaccard_join.one_of_each(spark, spark.createDataFrame(rows, SCHEMA))
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 1), (False, 3), (True, None)]
 
 
+def test_rows_of_one_key_are_kept_by_their_own_text(spark):
+    a, b, c = "a b c d e f g", "wholly other words than those of the first", "a third text that has no copy"
+    rows = [(1, a), (2, a), (2, b), (4, b), (5, c), (5, c + "!"), (5, ""), (5, None), (6, ""), (7, None)]
+    kept = jaccard_join.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'x' as digest"))
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted((k, t or "") for k, t in got if (t or "")[:3] != "a t") == [(1, a), (2, b), (5, ""), (5, ""), (6, ""), (7, "")]
+    assert [k for k, t in got if (t or "")[:3] == "a t"] == [5] and kept.columns == ["doc_id", "text", "digest"]
+
+
 def test_banding_reaches_its_recall():
     b = jaccard_join.choose_banding(0.8, 0.999)
     assert 1 - (1 - 0.8**b.rows) ** b.bands >= 0.999
@@ -176,6 +234,31 @@ def test_decontamination_equals_brute_force(spark, docs, monkeypatch):
     assert decontaminate.contaminated(spark, table, bench.limit(0)).count() == 0
 
 
+def test_a_seed_of_many_items_in_a_long_text(spark, monkeypatch):
+    """A line that all items share is no overlap by itself, and one in a long text meets all of them, some pairs at a time."""
+    rng = np.random.default_rng(8)
+    line = "answer the question below with yes or no"
+    items = [(i, f"{line} " + " ".join(f"q{i}x{j}" for j in range(20))) for i in range(300)]
+    texts = [(1, " ".join([line, "filler words"] * 300)), (2, "x " * 300_000 + items[7][1] + " y" * 300_000), (3, None), (4, " ".join(rng.permutation(items[3][1].split())))]
+    monkeypatch.setattr(decontaminate, "PAIRS", 1000)
+    monkeypatch.setattr(decontaminate, "PAIR_WORDS", 500)
+    docs, bench = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(items, "id long, text string")
+    found = decontaminate.contaminated(spark, docs, bench, key="id", item_key="id")
+    assert [(r.id, r.benchmark_id, r.overlap_words, r.doc_word) for r in found.collect()] == [(2, 7, 28, 300_000)]
+
+
+def test_rows_are_cleaned_by_their_own_text(spark, monkeypatch):
+    items = [(1, " ".join(f"a{i}" for i in range(20))), (2, " ".join(f"b{i}" for i in range(20)))]
+    rows = [(1, items[0][1]), (1, "clean words"), (None, items[1][1]), (None, None), (2, ""), (2, "before " + items[1][1])]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as item", "2 as keep"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (decontaminate.BLOCK_BYTES, 50):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        left = decontaminate.clean_documents(spark, docs, bench)
+        assert left.columns == docs.columns
+        assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, ""), (1, "clean words"), (2, "")]
+        assert decontaminate.clean_documents(spark, docs.limit(0), bench).count() == 0 and decontaminate.clean_documents(spark, docs, bench.limit(0)).count() == len(rows)
+
+
 # --- classifiers
 
 
@@ -198,6 +281,75 @@ def test_held_out_accuracy(spark, judge, label, least):
     assert (y == p).mean() > 0.93
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="aB1 \n.é-Ж中\U0001f600", max_size=40), max_size=5))
+def test_character_ngrams_equal_plain_ones(texts):
+    def plain(t):
+        c = [" ", *("".join(x.lower() if unicodedata.category(x)[0] in "LMN" else " " if ord(x) < 1 << 16 else x for x in t)), " "]
+        return {tuple(c[i : i + n]) for n in classifiers.CHAR_SIZES for i in range(len(c) - n + 1)}
+
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    r, f = classifiers.char_features(data, offsets)
+    assert np.bincount(r, minlength=len(texts)).tolist() == [len(plain(t)) for t in texts]
+    with pytest.MonkeyPatch.context() as m:  # the same in windows
+        m.setattr(classifiers, "CHAR_WINDOW", 16)
+        r2, f2 = classifiers.char_features(data, offsets)
+    assert r.tolist() == r2.tolist() and f.tolist() == f2.tolist()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="aB1 \n.!é", max_size=40), max_size=5))
+def test_word_ngrams_equal_plain_ones(texts):
+    def plain(t):
+        w = re.findall(r"(?:[0-9A-Za-z]|[^\x00-\x7f])+|[^\s0-9A-Za-z\x80-\U0010ffff]+", t)
+        s = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in w]
+        upper = [sum("A" <= c <= "Z" for c in x) for x in w]
+        shape = [4 if i and s[i] == s[i - 1] else s[i] if not re.search(r"[0-9A-Za-z]|[^\x00-\x7f]", x) else 3 if upper[i] > 1 and 2 * upper[i] > len(x.encode()) else 2 if "A" <= x[0] <= "Z" else 1 for i, x in enumerate(w)]
+        grams = [(k, *v[i : i + n]) for k, v, n in ((0, s, 1), (1, s, 2), (2, shape, 1), (3, shape, 2), (4, shape, 3)) for i in range(len(v) - n + 1)]
+        return len(w), sorted(Counter(grams).values())
+
+    raw = [t.encode() for t in texts]
+    for window in (1 << 18, 8):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(classifiers, "WORD_WINDOW", window)
+            r, _f, n, words = classifiers.word_features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert [(int(words[i]), sorted(n[r == i].tolist())) for i in range(len(texts))] == [plain(t) for t in texts]
+
+
+def test_log_count_ratios_and_logistic_fit_equal_plain_ones():
+    assert np.allclose(classifiers.log_count_ratios(np.array([3]), np.array([1]), 5.0, 9.0), np.log((4 / 7) / (2 / 11)))
+    rng = np.random.default_rng(4)
+    x = rng.random((60, 8)) < 0.4
+    y = (rng.random(60) < np.where(x[:, 0], 0.8, 0.2)).astype(float)
+    scale, weight = rng.normal(0, 1, 8), np.where(y > 0, 0.5 / y.sum(), 0.5 / (60 - y.sum()))
+    w, b = classifiers.fit_logistic(np.r_[0, np.cumsum(x.sum(1))], np.nonzero(x)[1].astype(np.int32), scale, y, weight, 1e-2, 40, 40)
+    p = 1 / (1 + np.exp(-(x * scale) @ w - b))
+    assert np.allclose((x * scale).T @ (weight * (p - y)) + 1e-2 * w, 0, atol=1e-4) and abs((weight * (p - y)).sum()) < 1e-4
+
+
+def test_ftrl_equals_a_plain_one():
+    model, z, n = classifiers.Ftrl(3), [0.0] * 3, [0.0] * 3
+    a, b, l1, l2 = classifiers.FTRL_ALPHA, classifiers.FTRL_BETA, classifiers.FTRL_L1, classifiers.FTRL_L2
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((b + n[i] ** 0.5) / a + l2)
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        at, g = rng.choice(3, 2, replace=False), rng.normal(0, 1, 2)
+        model.learn(at, g)
+        for i, d in zip(at.tolist(), g.tolist(), strict=True):
+            z[i] += d - ((n[i] + d * d) ** 0.5 - n[i] ** 0.5) / a * weight(i)
+            n[i] += d * d
+    assert np.allclose(model.weights(slice(None)), [weight(i) for i in range(3)])
+
+
+def test_one_text_of_a_labelled_key_is_learnt_from(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(3, "x"), (4, "y " * 500), (5, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(1, 12)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(classifiers, "TRAIN_TEXT_BYTES", 100)
+    rows = classifiers.training_texts(docs, labels, "toxic", 100, "doc_id", "text").collect()
+    assert len(rows) == len({r.order for r in rows}) <= 3 and all(len(r.text) < 100 for r in rows)
+
+
 @pytest.mark.parametrize("judge", [classifiers.judge_toxicity, classifiers.judge_quality])
 def test_classifiers_on_odd_rows(spark, judge):
     rows = [(1, None), (2, ""), (2, ""), (None, "some words"), (3, "long " * 30_000), (4, "!!!")]
@@ -231,6 +383,21 @@ def test_licenses_equal_brute_force(spark, docs):
     assert license_scan.scan(spark, spark.createDataFrame(rows, "doc_id long, text string").limit(0)).count() == 0
 
 
+def test_long_texts_are_scanned_in_pieces(monkeypatch):
+    t = license_scan.make_templates(license_scan.TEMPLATES)
+    rng = np.random.default_rng(6)
+    parts = []
+    for name in rng.permutation(list(license_scan.TEMPLATES)):
+        parts += [f"w{x}" for x in rng.integers(0, 1 << 30, rng.integers(1, 900))] + [license_scan.TEMPLATES[name]]
+    texts = [" ".join(parts), "short", "Released under the MIT License"]
+    raw = [x.encode() for x in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    whole = license_scan.scan_rows(t, data, offsets)
+    monkeypatch.setattr(license_scan, "PIECE_SHINGLES", 300)
+    assert license_scan.scan_rows(t, data, offsets) == whole
+    assert {t.names[o] for r, o, _, _ in whole if r == 0} == set(license_scan.TEMPLATES) and whole[-1][0] == 2
+
+
 def test_licenses_that_differ_in_a_word(spark):
     T = license_scan.TEMPLATES
     names = ["GPL-2.0", "GPL-3.0", "GPL-header", "LGPL-header", "LGPL-program-header", "AGPL-header"]
@@ -277,8 +444,8 @@ def test_field_sums_equal_enumeration():
     rng = np.random.default_rng(0)
     field.w[:] = rng.normal(0, 0.3, field.w.shape)
     field.t[:] = rng.normal(0, 0.3, field.t.shape)
-    x = pii.Lattice("a 1234 b@c", 0, 10)
-    outside, segments = x.scores(field.w)
+    x = next(pii.lattices("a 1234 b@c", 0, 10))[0]
+    outside, segments = x.scores(field)
 
     def paths(at, y, score, taken):
         if at == x.n:
@@ -293,12 +460,59 @@ def test_field_sums_equal_enumeration():
 
     every = list(paths(0, 0, 0.0, []))
     z = np.logaddexp.reduce([s for s, _ in every])
-    assert abs(field.sums(x)[2] - z) < 1e-6
+    assert abs(field.sums(x)[3] - z) < 1e-6
     assert field.viterbi(x) == max(every, key=lambda p: p[0])[1]
     for seg, p in field.posterior(x).items():
         assert abs(p - sum(np.exp(s - z) for s, t in every if seg in t)) < 1e-6
 
 
+def test_learning_follows_the_gradient():
+    """A step of the field is the gradient of the log likelihood of the gold segmentation."""
+    field, rng = pii.SemiMarkovField(), np.random.default_rng(1)
+    field.w[:], field.t[:] = rng.normal(0, 0.3, field.w.shape), rng.normal(0, 0.3, field.t.shape)
+    text, gold = "x 1234 5678 b@c.de", [(2, 5, 3)]
+    x = next(pii.lattices(text, 0, len(text)))[0]
+
+    def likelihood(t):
+        f = pii.SemiMarkovField()
+        f.w, f.t = field.w, t
+        outside, segments = x.scores(f)
+        at, y, score = 0, 0, 0.0
+        while at < x.n:
+            hit = [g for g in gold if g[0] == at]
+            e, k = (hit[0][1], hit[0][2] + 1) if hit else (at + 1, 0)
+            score += t[y, k] + (next(s for i, s in segments[e] if i == at)[k - 1] if hit else outside[at])
+            at, y = e, k
+        return score - f.sums(x)[3]
+
+    want = np.zeros_like(field.t)
+    for i, j in itertools.product(range(pii.LABELS), repeat=2):
+        d = np.zeros_like(field.t)
+        d[i, j] = 1e-5
+        want[i, j] = (likelihood(field.t + d) - likelihood(field.t - d)) / 2e-5
+    before = field.t.copy()
+    field.learn(x, gold, 1.0, 0.0)
+    assert np.allclose(field.t - before, want, atol=1e-5)
+
+
+def test_long_tables_of_numbers_are_decoded_in_windows(spark):
+    field = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    rng = np.random.default_rng(3)
+    numbers = " ".join(str(rng.integers(0, 99999)) for _ in range(40_000))
+    text = numbers + " call (017) 555-7713 today " + numbers
+    began = time.process_time()
+    base, more = pii.all_spans(field, text)
+    took = time.process_time() - began
+    assert base == brute_spans(text) and took < 60
+    at = text.index("(017)")
+    assert (at, at + 14, 3) in more
+    short = "a 1234 5678 b@c " * 700  # the same as in one window
+    whole = pii.added_spans(field, short, [])
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pii, "WINDOW_TOKENS", 100)
+        assert pii.added_spans(field, short, []) == whole
+
+
 def test_personal_data(spark, docs):
     rows = [(1, "write to jo.e@mail.example.com or +1 (017) 555-7713 now"), (2, None), (3, ""), (3, ""), (4, "no numbers here"), (5, "call (017) 555-7713 today"), (6, "9 " * 3000)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
@@ -321,6 +535,8 @@ def test_numbers_between_base_spans(spark):
         ("jane@x.com (017) 555-7713 bob@y.com", "phone:11:25"),
         ("x@y.com (212) 555-0199 z@y.com +1 (017) 555-7713 q@r.com", "phone:8:22"),
         ("jane@x.com 2024 bob@y.com", ""),
+        ("cards 4465758382889437 4465758382889437 here", "card:6:22,card:23:39"),
+        ("call +1 (017) 555-7713 4465758382889437 now", "phone:5:22,card:23:39"),
         ("jane@x.com bob@y.com", ""),
     ]:
         base, more = pii.all_spans(field, text)
@@ -361,6 +577,38 @@ def test_layouts_unlike_the_table(spark):
     assert got[5] == f"{long.strip()}\nab é c"
 
 
+def test_markup_that_breaks_off_or_misleads():
+    model = html_extract.fit(html_extract.labelled_layouts())
+    talk = "A reader says a great many things about this, over and over again. " * 30
+    for page, want in [
+        ("<article><p data-t=it's>It's the first text here.</p><p>Don't drop me.</p></article>", "It's the first text here.\nDon't drop me."),
+        ('<article><p title="a>First', "First"),
+        ("<article><p title='a>b' id=x>One</p><p a = \"b\" c>Two <b class=x>bold</b></p></article>", "One\nTwo bold"),
+        (f"<main><p>Intro words here.</p></main><div class=comments><p>{talk}</p></div>", "Intro words here."),
+        (f'<main><p>Intro words here.</p></main><div id="discussion"><p>{talk}</p><p>{talk}</p></div>', "Intro words here."),
+        (f"<article><h1>A title</h1><p>Few words of text.</p></article><section class='post-comments'><div class='comment-content'><p>{talk}</p></div></section>", "A title\nFew words of text."),
+        (f'<div id=top class=menu><a href=/>Home</a></div><div class="content has-sidebar"><h2>Head</h2><p>{talk}</p></div><div class=sidebar><p>{talk}</p></div>', f"Head\n{talk.strip()}"),
+        ("<article><!-- a > b --><p>x < y &lt; z</p><!-->kept<!--->too<!-- never closed <p>gone</p></article>", "x < y < z\nkepttoo"),
+        ("<article><p>one<p>two<script>'</p>'</script><style>p{}</style><ul><li>a<li>b</ul></article><p", "one\ntwo\na\nb"),
+        (f"<article><p>{'w ' * 3000}</p><a {'x' * 9000}", ("w " * 3000).strip()),
+    ]:
+        assert html_extract.main_text(model, page) == want, page[:80]
+
+
+def test_names_tell_what_is_beside():
+    assert html_extract.named("div", "content has-sidebar", 0)[1] == 1 and html_extract.named("div", "post-comments", 1)[1] == -1
+    assert html_extract.named("div", "entry-header", 1)[1] == 1 and html_extract.named("p", "comment-content", -1)[1] == -1
+    assert html_extract.named("body", "page header-fixed", 0)[1] == 0 and html_extract.named("aside", "", 1)[1] == -1
+
+
+@pytest.mark.parametrize("piece", ["<a 'x ", '<a b="x ', "<p title='", "<b>", "</i>", "<div><i><b></i>", "<li>", "<!--", "</", "&amp", "<p><div></p>", "<table><tr><td>", "<script>"])
+def test_hostile_pages_take_linear_time(piece):
+    page = "<i><div>" + piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    html_extract.parse(page)
+    assert time.process_time() - began < 5
+
+
 def test_messages_equal_enumeration():
     nodes, _ = html_extract.parse("<div><p>one</p><nav><ul><li>two</li></ul></nav></div><p>three four five</p>")
     m = html_extract.fit(html_extract.labelled_layouts())

@@ -150,6 +150,39 @@ def test_votes_are_weighed_by_estimated_accuracy():
     assert odds[1, 1, 1] > odds[1, 1, -1] > 0 > odds[-1, -1, 1] > odds[-1, -1, -1]
 
 
+def test_expectation_maximisation_equals_a_plain_one():
+    patterns = {(1, 1, 0): 40, (-1, 0, 1): 25, (-1, -1, -1): 20, (0, 1, 1): 15}
+    share = {p: 0.1 if -1 in p else 0.9 for p in patterns}
+    total, prior = sum(patterns.values()), 0.5
+    for _ in range(7):
+        prior = (sum(n * share[p] for p, n in patterns.items()) + 1) / (total + 2)
+        weight = 1 + quality_rules.PRIOR_WEIGHT * total
+        tables = []
+        for k in range(3):
+            row = []
+            for c in (0, 1):
+                n = {v: weight * quality_rules.EXPECTED[c][v] + sum(m * (share[p] if c == 0 else 1 - share[p]) for p, m in patterns.items() if p[k] == v) for v in (-1, 0, 1)}
+                row.append({v: n[v] / sum(n.values()) for v in n})
+            tables.append(row)
+        for p in patterns:
+            good, bad = prior, 1 - prior
+            for k, v in enumerate(p):
+                good, bad = good * tables[k][0][v], bad * tables[k][1][v]
+            share[p] = good / (good + bad)
+    m = quality_rules.fit_votes(patterns, 3, rounds=7)
+    assert abs(m.prior - prior) < 1e-9
+    for p in patterns:
+        assert abs(1 / (1 + np.exp(-m.log_odds(p))) - share[p]) < 1e-9
+
+
+def test_statistics_keep_all_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 7, 8)], "q2 int, text string, _n int, _words int")
+    assert quality_rules.text_statistics(df).select("q2", "_n", "_words", "q.n_words").first()[:] == (1, 7, 8, 2)
+    with pytest.raises(ValueError):
+        quality_rules.text_statistics(df.withColumnRenamed("q2", "Q"))
+    assert quality_rules.judge(df.withColumnRenamed("q2", "q"), key="q").first()["q"] == 1
+
+
 def test_rules_agree_with_labels(spark):
     d = "/root/testdata/sf0.01"
     kept = quality_rules.judge(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
