@@ -17,7 +17,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts. It is trained on labelled rows of docs."""
+    """Documents that the quality classifier accepts. It is trained on labelled rows of docs. Null and empty texts have the score of
+    the intercept; repeated rows go or stay together; long texts are scored whole."""
     model = classifiers.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = unused_name(docs, "quality_score")
     scored = classifiers.score(spark, docs, model, classifiers.quality_values, out=out)
@@ -25,22 +26,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of five-word n-grams at a similarity of 0.8 tie together."""
+    """One document of each group that links of five-word n-grams at a similarity of 0.8 tie together. Texts without words and rows
+    without a key stay; rows of one doc_id are told apart by their texts; the least doc_id stays, of repeated rows one."""
     return jaccard_join.one_of_each(spark, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an overlap with a benchmark item."""
+    """Documents without an overlap with a benchmark item, each row judged by its own text; null and empty texts stay."""
     return decontaminate.clean_documents(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind and n_chars counted anew."""
+    """All documents, with personal data replaced by its kind and n_chars counted anew; null and empty texts as they are."""
     return pii.redact_documents(spark, docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; null and empty texts have no tokens."""
     return tokenize_op.round_trip(docs)
 
 
