@@ -46,11 +46,16 @@ def quota(category: Column) -> Column:
 
 
 def coverage_keep(best: DataFrame) -> DataFrame:
-    """photo_id of the best picks within the quota of their category, a share of all photos of it."""
+    """photo_id of the best picks within the quota of their category, a share of all photos of it.
+
+    There are few categories, so rows are ranked over all of them by category and score, dealt by range, and a category's first rank is
+    taken off: a large category is no single task."""
     totals = best.groupBy("category").agg(F.count("*").alias("all_in_category"))
-    ranked = rank_in_group(candidates(best), "category", by_score(), "category_rank")
+    ranked = rank_all(candidates(best).select("photo_id", "category", "overall"), [F.col("category"), *by_score()], "place")
+    first = ranked.groupBy("category").agg(F.min("place").alias("first"))
     most = F.greatest(F.lit(1), F.ceil(F.col("all_in_category") * quota(F.col("category")) / 100.0))
-    return ranked.join(F.broadcast(totals), "category").where(F.col("category_rank") <= most).select("photo_id")
+    limits = first.join(totals, "category").select("category", (F.col("first") + most).alias("end"))
+    return ranked.join(limits, "category").where(F.col("place") < F.col("end")).select("photo_id")
 
 
 def hero_limit(total: int) -> int:

@@ -8,13 +8,13 @@ from darkslide.operators import identity
 from darkslide.plans.fixtures import face_rows, photo_rows, sql_views, table
 from darkslide.plans.registry import query
 
-_PAIR = sql_views("v_face") + """, f AS (SELECT *, coalesce('p'||person_id, 'c'||cluster_id) AS who FROM v_face WHERE photo_id%20<4),
+_PAIR = sql_views("v_face") + """, f AS (SELECT *, coalesce('p'||person_id, 'c'||cluster_id) AS who FROM v_face),
 pair AS (SELECT t.face_id AS target, c.face_id AS candidate, t.occlusion=0 AND c.occlusion=0 AS swappable FROM f t JOIN f c USING (who) WHERE t.is_blink AND c.eye_openness>=75 AND abs(t.yaw-c.yaw)<=12 AND abs(t.pitch-c.pitch)<=12 AND abs(t.roll-c.roll)<=12 AND abs(t.smile-c.smile)<=25 AND abs(t.lighting-c.lighting)<=25)
 """
 
 
-def recovery(spark, d, which="photo_id % 20 < 4"):
-    f = face_rows(spark, d).where(which)
+def recovery(spark, d):
+    f = face_rows(spark, d)
     return f, identity.recovery_candidates(f.where("is_blink"), f)
 
 
@@ -28,14 +28,14 @@ def j07(spark, d):
     return eligible(*recovery(spark, d))
 
 
-@query("j06_recovery_candidates_all")
+@query("j06_recovery_candidates_all", _PAIR + "SELECT target, candidate FROM pair")
 def j06_all(spark, d):
-    return recovery(spark, d, "true")[1]
+    return j06(spark, d)
 
 
-@query("j07_swap_eligible_all")
+@query("j07_swap_eligible_all", _PAIR + "SELECT target, candidate, swappable FROM pair")
 def j07_all(spark, d):
-    return eligible(*recovery(spark, d, "true"))
+    return j07(spark, d)
 
 
 def eligible(f, pairs):

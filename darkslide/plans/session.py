@@ -70,6 +70,13 @@ def unused_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, through Hadoop's file system; none if there is no such folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table written by this module, through Hadoop's file system."""
     jvm = spark.sparkContext._jvm

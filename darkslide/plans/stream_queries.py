@@ -32,10 +32,10 @@ def st2(spark, d):
 @query("st3_stream_chapters", """WITH c AS (SELECT *, CASE WHEN epoch(ts)-epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))<=900 THEN 0 ELSE 1 END AS cut FROM events), g AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM c)
 SELECT user_id, strftime(min(ts),'%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts),'%Y-%m-%d %H:%M:%S') AS ended, count(*) AS n FROM g GROUP BY user_id, s""")
 def st3(spark, d):
-    out = jobs.drain(jobs.sessions(events(spark, d), "user_id", "ts"), "complete")
-    last = out.agg(F.max("epoch").alias("epoch"))
+    s = jobs.ended(events(spark, d).select("user_id", "ts"), "ts")
+    out = jobs.drain(jobs.sessions(s, "user_id", "ts")).where("user_id is not null")
     f = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
-    return out.join(F.broadcast(last), "epoch").select("user_id", f("started"), f("ended"), "n")
+    return out.select("user_id", f("started"), f("ended"), "n")
 
 
 @query("st4_online_clusters")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkslide.functions.measures import ALLOWED, RAW, is_allowed
+from darkslide.plans.session import unused_name
 
 # Colour classes of sidecars.
 COLOR_CLASS = {"red": "1", "orange": "2", "yellow": "3", "green": "4", "blue": "5", "purple": "6", "grey": "7", "gray": "7", "": "0"}
@@ -58,32 +61,44 @@ def sidecar_paths(images: DataFrame, files: DataFrame, name: str, file: str = "f
     return j.withColumn("sidecar", F.when(use_app, F.col("_app")).otherwise(F.col("_stem"))).drop("_stem", "_app", "_has_stem", "_has_app")
 
 
+# What is read from a sidecar's description, each an attribute or an element.
+SIDECAR_FIELDS = ("Rating", "Label", "colorclass", "pick", "good")
+
+
 def read_sidecars(df: DataFrame, xml: str) -> DataFrame:
     """df with sidecar struct: rating, label, rejected, keywords. Attributes or elements, any prefix; without a
-    label the colour class names one; missing or broken sidecars give the defaults."""
-    desc = "//*[local-name()=\"Description\"]"
-    pick = lambda n: F.coalesce(F.nullif(F.expr(f"xpath_string({xml}, '{desc}/@*[local-name()=\"{n}\"]')"), F.lit("")), F.nullif(F.expr(f"xpath_string({xml}, '{desc}/*[local-name()=\"{n}\"]')"), F.lit("")))
+    label the colour class names one; missing or broken sidecars give the defaults. A text is parsed once, by a parser that takes
+    broken XML for a row without values. The description is looked for in the root, below it and below an RDF element in it."""
+    fields = ", ".join(f"_{n} string, {n} string" for n in SIDECAR_FIELDS)
+    words = "subject array<struct<Bag: struct<li: array<string>>, Seq: struct<li: array<string>>, li: array<string>>>"
+    one = f"{fields}, {words}"
+    nested = re.sub(r"(\w+) (string|array)", r"\1: \2", one)
+    schema = f"{one}, Description array<struct<{nested}>>, RDF array<struct<Description: array<struct<{nested}>>>>, broken string"
+    parsed = unused_name(df, "parsed")
+    options = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken", "attributePrefix": "_"}
+    read = df.withColumn(parsed, F.from_xml(F.when(F.regexp_like(xml, F.lit(r"^\s*<")), F.col(xml)), schema, options))
+    whole = lambda c: F.when(F.col(parsed)["broken"].isNull(), c)
+    get = lambda n: F.col(parsed)[n]
+    own = F.struct(*(get(c).alias(c) for n in SIDECAR_FIELDS for c in (f"_{n}", n)), get("subject").alias("subject"))
+    below = F.flatten(F.transform(get("RDF"), lambda r: F.coalesce(r["Description"], F.array().cast(f"array<struct<{nested}>>"))))
+    every = lambda c: F.coalesce(c, F.array().cast(f"array<struct<{nested}>>"))
+    descriptions = F.concat(F.array(own), every(get("Description")), every(below))
+    found = unused_name(read, "found")
+    read = read.withColumn(found, whole(descriptions))
+    first = lambda c: F.nullif(F.get(F.filter(F.transform(found, lambda d: d[c]), lambda x: x.isNotNull()), F.lit(0)), F.lit(""))
+    pick = lambda n: F.coalesce(first(f"_{n}"), first(n))
     classes = F.create_map(*(F.lit(x) for kv in COLOR_OF_CLASS.items() for x in kv))
-    words = F.expr(f"xpath({xml}, '{desc}//*[local-name()=\"subject\"]//*[local-name()=\"li\"]/text()')")
-    good = is_well_formed(xml)
-    safe = df.withColumn(xml, F.when(good, F.col(xml)))
-    return safe.withColumn(
+    listed = lambda s: F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in (s["li"], s["Bag"]["li"], s["Seq"]["li"])))
+    keywords = F.flatten(F.transform(F.flatten(F.filter(F.transform(found, lambda d: d["subject"]), lambda s: s.isNotNull())), listed))
+    return read.withColumn(
         "sidecar",
         F.struct(
             F.coalesce(pick("Rating").try_cast("int"), F.lit(0)).alias("rating"),
             F.coalesce(pick("Label"), F.nullif(F.element_at(classes, pick("colorclass")), F.lit("")), F.lit("")).alias("label"),
             F.coalesce((pick("pick") == "-1") | (pick("good") == "false"), pick("pick") == "-1", pick("good") == "false", F.lit(False)).alias("rejected"),
-            F.coalesce(words, F.array().cast("array<string>")).alias("keywords"),
+            F.coalesce(keywords, F.array().cast("array<string>")).alias("keywords"),
         ),
-    )
-
-
-def is_well_formed(xml: str) -> Column:
-    """Whether a text may go to xpath, which fails the job on broken XML: it opens with a tag, and tags are balanced as counted."""
-    c = F.col(xml)
-    opened = F.regexp_count(c, F.lit(r"<[A-Za-z][^<>]*[^/<>]>|<[A-Za-z]>"))
-    closed = F.regexp_count(c, F.lit(r"</[A-Za-z][^<>]*>"))
-    return F.coalesce(F.regexp_like(c, F.lit(r"^\s*<")) & (opened == closed) & F.regexp_like(c, F.lit(r">\s*$")), F.lit(False))
+    ).drop(parsed, found)
 
 
 def normalized_tags(df: DataFrame) -> DataFrame:
@@ -120,6 +135,6 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The last row of each key by `order`."""
-    w = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The last row of each key by `order`, by partial aggregation."""
+    last = df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("r"))
+    return last.select(*(F.col("r")[c].alias(c) for c in df.columns))

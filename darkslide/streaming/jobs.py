@@ -6,23 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import types as T
 
 from darkslide.operators import vectors
 from darkslide.operators.timeline import seconds
-from darkslide.plans.session import new_path
+from darkslide.plans.session import child_names, drop_path, new_path
 
 
-def source(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """A stream over the Parquet files of a table (a folder or one file), with the schema of the table as it is."""
+def source(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A stream over the Parquet files of a table (a folder or one file), with the schema of the table as it is.
+
+    All files that are there make the first batch, unless files_per_trigger is given: files are taken in order of their modification, and
+    where that isn't the order of event time, rows of later batches would come behind the watermark and be dropped."""
     schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     # as a pattern: a plain path to one file isn't taken by the file source
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None, put: Callable[[DataFrame, int], None] | None = None, target: str | None = None) -> DataFrame | None:
     """Run a stream to the end of its source. Without `put` every batch is written as its own folder of
-    `target`; a batch that is run again after a failure overwrites its own folder, so nothing is doubled."""
+    `target`; a batch that is run again after a failure overwrites its own folder, so nothing is doubled. Rows that come
+    behind the watermark are an error here, never dropped without a word."""
     spark = stream.sparkSession
     target = target or new_path(spark, "stream")
 
@@ -31,12 +38,14 @@ def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or new_path(spark, "checkpoint")).trigger(availableNow=True).foreachBatch(put or write).start()
     q.awaitTermination()
+    late = sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
+    if late:
+        raise ValueError(f"{late} rows came behind the watermark; read the files in one batch or in order of time")
     if put:
         return None
-    try:
-        return spark.read.option("basePath", target).parquet(target)
-    except AnalysisException:  # no batch was written
+    if not child_names(spark, target):  # no batch was written
         return spark.createDataFrame([], stream.schema).withColumn("epoch", F.lit(0))
+    return spark.read.option("basePath", target).parquet(target)
 
 
 def timed(stream: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -44,29 +53,55 @@ def timed(stream: DataFrame, ts: str, delay: str) -> DataFrame:
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
-def ingest(stream: DataFrame, key: str, order: str, target: str, checkpoint: str) -> None:
-    """Keep a table of the last row of each key. Each batch writes a new version beside the old one and so
-    reads only the version before it; a repeated batch writes the same version again."""
+#: Batches between two compactions of a kept table.
+COMPACT_EVERY = 16
+
+
+def ingest(stream: DataFrame, key: str, order: str, target: str, checkpoint: str, compact_every: int = COMPACT_EVERY) -> None:
+    """Keep a table of the row of greatest `order` of each key. A batch adds its own rows alone (log/epoch=N); now and then
+    they are put together with those before (base/upto=N), after which older ones are dropped. So a batch costs what it brings, and a
+    repeated batch writes the same again."""
     spark = stream.sparkSession
+    spark.range(1).select(F.lit(key).alias("key"), F.lit(order).alias("order")).write.mode("overwrite").parquet(f"{target}/about")
 
     def put(batch: DataFrame, epoch: int) -> None:
-        new = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        if epoch > 0:
-            old = spark.read.parquet(f"{target}/version={epoch - 1}")
-            new = old.join(new.select(key), key, "left_anti").unionByName(new)
-        new.write.mode("overwrite").parquet(f"{target}/version={epoch}")
+        _last(batch, key, order).write.mode("overwrite").parquet(f"{target}/log/epoch={epoch}")
+        if epoch % compact_every == compact_every - 1:
+            _kept(spark, target, batch.schema).write.mode("overwrite").parquet(f"{target}/base/upto={epoch}")
+            for e in _numbers(spark, f"{target}/log"):
+                if e <= epoch:
+                    drop_path(spark, f"{target}/log/epoch={e}")
+            for e in _numbers(spark, f"{target}/base"):
+                if e < epoch:
+                    drop_path(spark, f"{target}/base/upto={e}")
 
     drain(stream, "append", checkpoint, put)
 
 
-def latest_version(spark: SparkSession, target: str, schema) -> DataFrame:
-    """The last version that ingest has written."""
-    try:
-        every = spark.read.option("basePath", target).parquet(target)
-    except AnalysisException:
+def _last(rows: DataFrame, key: str, order: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+
+
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the finished tables of a folder."""
+    names = [n for n in child_names(spark, folder) if "=" in n]
+    return sorted(int(n.split("=")[1]) for n in names if "_SUCCESS" in child_names(spark, f"{folder}/{n}"))
+
+
+def _kept(spark: SparkSession, target: str, schema: T.StructType | None) -> DataFrame:
+    base = _numbers(spark, f"{target}/base")[-1:]
+    logs = [e for e in _numbers(spark, f"{target}/log") if not base or e > base[0]]
+    paths = [f"{target}/base/upto={e}" for e in base] + [f"{target}/log/epoch={e}" for e in logs]
+    if not paths:
         return spark.createDataFrame([], schema)
-    last = every.agg(F.max("version")).first()[0]
-    return every.where(F.col("version") == last).drop("version")
+    about = spark.read.parquet(f"{target}/about").first()  # one row
+    reader = spark.read.schema(schema) if schema else spark.read
+    return _last(reader.parquet(*paths), about["key"], about["order"])
+
+
+def latest_version(spark: SparkSession, target: str, schema: T.StructType | None) -> DataFrame:
+    """The table that ingest keeps; schema is that of an empty table, where no batch has come yet."""
+    return _kept(spark, target, schema)
 
 
 def distinct_digests(stream: DataFrame, ts: str, digest: str, delay: str = "1 day") -> DataFrame:
@@ -75,11 +110,26 @@ def distinct_digests(stream: DataFrame, ts: str, digest: str, delay: str = "1 da
 
 
 def sessions(stream: DataFrame, by: str, ts: str, gap: str = "900 seconds", delay: str = "1 hour") -> DataFrame:
-    """by, started, ended (last event), n of each run of events with no longer gap between them."""
+    """by, started, ended (last event), n of each run of events with no longer gap between them. In append mode a session is
+    given out, and its state dropped, once the watermark has passed its end."""
     s = timed(stream, ts, delay).groupBy(F.session_window(ts, gap).alias("w"), by).agg(F.count("*").alias("n"), F.min(ts).alias("started"), F.max(ts).alias("ended"))
     return s.select(by, "started", "ended", "n")
 
 
+#: Time and folder of the row that ends a stream.
+END_OF_TIME = "2200-01-01 00:00:00"
+
+
+def ended(stream: DataFrame, ts: str) -> DataFrame:
+    """A stream that is over with its source, with one more row (all null but a time after all others), so that the watermark passes
+    every session that is still open. Leave that row's own session out of the result."""
+    spark, path = stream.sparkSession, new_path(stream.sparkSession, "end-of-stream")
+    kinds = {f.name: f.dataType for f in stream.schema}
+    row = spark.range(1).select(*(F.lit(END_OF_TIME if n == ts else None).cast(k).alias(n) for n, k in kinds.items()))
+    row.coalesce(1).write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
+
+
 def counters(stream: DataFrame, metric: str, delta) -> DataFrame:
     """Running totals; in update mode a batch gives the changed ones."""
     return stream.groupBy(F.col(metric).alias("metric")).agg(F.sum(delta).alias("total"))

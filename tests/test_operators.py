@@ -266,6 +266,19 @@ def test_sidecars_round_trip(spark):
     assert [(x.sidecar.rating, x.sidecar.label, x.sidecar.rejected) for x in got] == [(1, "", True), (4, "Red", False)]
 
 
+def test_broken_sidecars_give_defaults(spark):
+    head = '<x:xmpmeta xmlns:x="adobe:ns:meta/" xmlns:xmp="u"><rdf:RDF xmlns:rdf="r">'
+    rows = [
+        (1, '<x><Description Rating="3">a & b</Description></x>', 0), (2, '<x><Description Rating="3"></Other></x>', 0), (3, '<x><!-- <b> --><Description Rating="3"></Description></x>', 3),
+        (4, None, 0), (5, "", 0), (6, "no xml", 0), (7, '<Description Rating="4"/>', 4), (8, head + '<rdf:Description xmp:Rating="2"/><rdf:Description xmp:Label="Red"/></rdf:RDF></x:xmpmeta>', 2),
+        (9, head + "<rdf:Description><xmp:Rating>5</xmp:Rating>", 0), (10, head + "<rdf:Description><xmp:Rating>many</xmp:Rating></rdf:Description></rdf:RDF></x:xmpmeta>", 0),
+    ]
+    df = spark.createDataFrame(rows, "id int, xml string, parsed int")
+    got = {r.id: r for r in S.read_sidecars(df, "xml").collect()}
+    assert {k: r.sidecar.rating for k, r in got.items()} == {k: r.parsed for k, r in got.items()}  # a clashing column stays too
+    assert got[8].sidecar.label == "Red" and got[1].sidecar.keywords == [] and not got[1].sidecar.rejected
+
+
 def test_sidecar_update_keeps_other_tags(spark):
     df = spark.createDataFrame([('<rdf:Description tiff:Make="X"><a/></rdf:Description>',)], "x string")
     once = df.select(K.with_attribute(F.col("x"), "xmp:Rating", F.lit("3")).alias("x"))
@@ -324,3 +337,60 @@ def test_stream_over_several_files_resumes(spark, tmp_path):
     spark.range(100, 101).select("id", (F.col("id") % 4).alias("k")).coalesce(1).write.mode("append").parquet(src)
     jobs.ingest(jobs.source(spark, src), "k", "id", target, point)
     assert pairs(jobs.latest_version(spark, target, None), "k", "id") == [(0, 100), *first[1:]]
+
+
+def test_kept_table_is_compacted(spark, tmp_path):
+    src, target = str(tmp_path / "src"), str(tmp_path / "table")
+    for i in range(7):  # later files hold lower ids
+        spark.range(60 - i * 10, 70 - i * 10).select("id", (F.col("id") % 4).alias("k")).coalesce(1).write.mode("append").parquet(src)
+    jobs.ingest(jobs.source(spark, src, 1), "k", "id", target, str(tmp_path / "point"), compact_every=3)
+    assert pairs(jobs.latest_version(spark, target, None), "k", "id") == [(0, 68), (1, 69), (2, 66), (3, 67)]
+    assert [sorted(p.name for p in (tmp_path / "table" / x).iterdir()) for x in ("base", "log")] == [["upto=5"], ["epoch=6"]]
+    assert jobs.latest_version(spark, str(tmp_path / "none"), spark.range(1).schema).count() == 0
+
+
+def test_files_out_of_the_order_of_time(spark, tmp_path):
+    src = str(tmp_path / "src")
+    every = [(i, i % 2, f"2024-01-01 {h:02d}:{m:02d}:00") for i, (h, m) in enumerate((h, m) for h in (9, 3, 6) for m in range(0, 60, 10))]
+    for part in (every[:6], every[6:12], every[12:]):
+        spark.createDataFrame(part, "id long, u long, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(src)
+    s = jobs.ended(jobs.source(spark, src).select("u", "ts"), "ts")
+    got = jobs.drain(jobs.sessions(s, "u", "ts", "1200 seconds", "10 minutes")).where("u is not null")
+    assert pairs(got.select("u", F.hour("started").alias("h"), "n"), "u", "h", "n") == [(u, h, 3) for u in (0, 1) for h in (3, 6, 9)]
+    near = jobs.drain(jobs.burst_pairs(jobs.source(spark, src), jobs.source(spark, src), "id", "u", "ts", 1200, "1 minute"))
+    assert near.count() == 12
+    with pytest.raises(ValueError, match="behind the watermark"):
+        jobs.drain(jobs.sessions(jobs.source(spark, src, 1).select("u", "ts"), "u", "ts", "1200 seconds", "10 minutes"))
+
+
+def test_online_clusters_equal_plain_steps(spark, tmp_path):
+    """Batches of one file each: nearest centroid or a new cluster, then moved centroids."""
+    rng = np.random.default_rng(5)
+    base = np.eye(6)
+    vecs = [(base[i % 6] + rng.normal(0, 0.05, 6)).tolist() for i in range(36)]
+    src, target = str(tmp_path / "src"), str(tmp_path / "out")
+    for i in range(3):
+        spark.createDataFrame([(j, vecs[j]) for j in range(i * 12, i * 12 + 12)], "id long, v array<double>").coalesce(1).write.mode("append").parquet(src)
+    centers = spark.createDataFrame([(0, base[0].tolist()), (1, base[1].tolist())], "c long, centroid array<double>")
+    jobs.online_clusters(jobs.source(spark, src, 1), "id", "v", centers, "c", target, 0.75, 0.25)
+    got = {r.id: (r.cluster, r.is_new, r.epoch) for r in spark.read.option("basePath", f"{target}/assigned").parquet(f"{target}/assigned").collect()}
+    sums, n = {0: base[0].copy(), 1: base[1].copy()}, {0: 1, 1: 1}
+    for epoch in range(3):
+        batch = sorted(k for k, x in got.items() if x[2] == epoch)
+        names = {}
+        for k in batch:
+            v = np.array(vecs[k])
+            sims = {c: v @ s / np.linalg.norm(v) / np.linalg.norm(s) for c, s in sums.items()}
+            c = max(sims, key=lambda x: (sims[x], -x))
+            if sims[c] >= 0.75:
+                assert got[k][:2] == (c, False)
+                names[k] = c
+        rest = [k for k in batch if k not in names]
+        assert all(got[k][1] for k in rest) and all((got[a][0] == got[b][0]) == (a % 6 == b % 6) for a in rest for b in rest)
+        top = max(sums)
+        assert sorted({got[k][0] for k in rest}) == list(range(top + 1, top + 1 + len({k % 6 for k in rest})))
+        for k in batch:
+            c = got[k][0]
+            sums[c], n[c] = sums.get(c, np.zeros(6)) + vecs[k], n.get(c, 0) + 1
+    last = {r.cluster: (r.sum, r.n) for r in spark.read.parquet(f"{target}/centers/version=2").collect()}
+    assert {c: x[1] for c, x in last.items()} == n and all(np.allclose(last[c][0], sums[c]) for c in sums)
