@@ -66,7 +66,7 @@ def distinct(rows: np.ndarray, features: np.ndarray, bits: int) -> tuple[np.ndar
 
 CHAR_SIZES = (4, 6)
 #: Texts of more bytes are taken in windows of so many.
-CHAR_WINDOW = 1 << 20
+CHAR_WINDOW = 1 << 17
 
 
 def _plain_characters() -> np.ndarray:
@@ -298,7 +298,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = TOXIC_ROWS,
             for lo, _hi, data, offsets in byte_chunks(batch.column(0)):
                 r, f = char_features(data, offsets)
                 for c in (0, 1):
-                    total[c] += np.bincount(f[toxic[lo + r] == bool(c)], minlength=1 << CHAR_BITS).astype(np.int32)
+                    at, n = np.unique(f[toxic[lo + r] == bool(c)], return_counts=True)
+                    total[c, at] += n.astype(np.int32)
         at = np.flatnonzero(total.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[c, at].astype(np.int64)) for c in (0, 1))], ["f", "n0", "n1"])
 
@@ -395,17 +396,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = QUALITY_ROWS
 # --- scoring --------------------------------------------------------------------------------
 
 
-def toxic_values(weights: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    r, f = char_features(data, offsets, weights != 0)
+def toxic_values(weights: np.ndarray, useful: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    r, f = char_features(data, offsets, useful)
     return np.bincount(r, weights[f], minlength=len(offsets) - 1)
 
 
-def quality_values(weights: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    r, f, n, words = word_features(data, offsets, weights != 0)
+def quality_values(weights: np.ndarray, useful: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    r, f, n, words = word_features(data, offsets, useful)
     return np.bincount(r, weights[f] * np.sqrt(n / np.maximum(words[r], 1)), minlength=len(offsets) - 1)
 
 
-def score(spark: SparkSession, docs: DataFrame, model: Linear, values: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], text: str = "text", out: str = "score") -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, model: Linear, values: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray], text: str = "text", out: str = "score") -> DataFrame:
     """df with the score of every text, a sparse dot product, in column `out`."""
     if out.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"column {out} exists already")
@@ -415,9 +416,10 @@ def score(spark: SparkSession, docs: DataFrame, model: Linear, values: Callable[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, b = shared.value
+        useful = weights != 0
         for batch in batches:
             for lo, hi, data, offsets in byte_chunks(batch.column(at)):
-                s = sigmoid(values(weights, data, offsets) + b)
+                s = sigmoid(values(weights, useful, data, offsets) + b)
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(s)], [*kept, out])
 
     return docs.transform(arrow_map, run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
