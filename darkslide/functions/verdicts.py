@@ -269,6 +269,8 @@ def analysis_notes(variance: Column, sharp: Column, mean: Column, highlights: Co
     )
 
 
-def rescaled(faces: Column, factor: Column) -> Column:
-    """Face boxes in the size of the original picture."""
-    return F.transform(faces, lambda f: F.struct(f["face_id"].alias("face_id"), *(F.floor(f[k] * factor).cast("long").alias(k) for k in ("x", "y", "w", "h"))))
+def rescaled(faces: Column, factor: Column, landmarks: bool = False) -> Column:
+    """Face boxes in the size of the original picture, and with landmarks each face's points (array of structs x, y)."""
+    at = lambda v: F.floor(v * factor).cast("long")
+    points = lambda f: [F.transform(f["landmarks"], lambda p: F.struct(at(p["x"]).alias("x"), at(p["y"]).alias("y"))).alias("landmarks")] if landmarks else []
+    return F.transform(faces, lambda f: F.struct(f["face_id"].alias("face_id"), *(at(f[k]).alias(k) for k in ("x", "y", "w", "h")), *points(f)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from darkslide.functions.measures import correlation
 from darkslide.operators.graph import connected_components
 from darkslide.operators.timeline import seconds
+from darkslide.plans.session import materialize
 
 
 def digest_key(digest: Column, key: Column) -> Column:
@@ -60,11 +61,12 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def band_edges(df: DataFrame, key: str, fp: str, most: int = 7) -> DataFrame:
+def band_edges(df: DataFrame, key: str, fp: str, most: int = 7, copies: bool = False) -> DataFrame:
     """src < dst, distance of all rows whose fingerprints differ in at most `most` (up to 7) bits.
 
     A fingerprint is cut into eight bytes. With at most seven differing bits one byte is equal at least, so
-    the join on (place, byte) loses nothing; equal fingerprints are joined once, as one row."""
+    the join on (place, byte) loses nothing; equal fingerprints are joined once, as one row: the least key. With copies
+    that row also has an edge (distance 0) to each other row of its fingerprint, so that components hold them all."""
     if not 0 <= most <= 7:
         raise ValueError("only up to 7 differing bits leave an equal byte")
     reps = df.where(F.col(fp).isNotNull()).groupBy(fp).agg(F.min(key).alias("rep"))
@@ -73,7 +75,11 @@ def band_edges(df: DataFrame, key: str, fp: str, most: int = 7) -> DataFrame:
     a = pieces.select("place", "byte", F.col("rep").alias("src"), F.col(fp).alias("fa"))
     b = pieces.select("place", "byte", F.col("rep").alias("dst"), F.col(fp).alias("fb"))
     near = a.join(b, ["place", "byte"]).where((F.col("src") < F.col("dst")) & (hamming(F.col("fa"), F.col("fb")) <= most))
-    return near.select("src", "dst", hamming(F.col("fa"), F.col("fb")).alias("distance")).distinct()
+    found = near.select("src", "dst", hamming(F.col("fa"), F.col("fb")).alias("distance")).distinct()
+    if not copies:
+        return found
+    equal = df.select(F.col(key).alias("dst"), fp).join(reps, fp).where("rep <> dst")
+    return found.unionByName(equal.select(F.col("rep").alias("src"), "dst", F.lit(0).alias("distance")))
 
 
 def burst_edges(df: DataFrame, key: str, ts: str, gap: int = 60) -> DataFrame:
@@ -86,16 +92,55 @@ def burst_edges(df: DataFrame, key: str, ts: str, gap: int = 60) -> DataFrame:
     return a.join(b, "bucket").where(later & (F.col("sb") - F.col("sa") <= gap)).drop("bucket")
 
 
-def similar_edges(pairs: DataFrame, threshold: int = 12) -> DataFrame:
-    """Pairs of burst_edges that also look alike: aspect within .25, both grey or neither, fingerprints within
-    min(7, threshold - 5) bits, and histograms (a_hue ... b_value) correlated at .90 / .80 / .80; a missing histogram drops the pair."""
+#: What the cheap tests of a pair need, and the histograms that are joined to pairs which pass them.
+LOOKS, HISTOGRAMS = ["ratio", "saturation", "fp"], ["hue", "sat", "value"]
+
+
+def alike(threshold: int = 12) -> Column:
+    """The cheap tests of a pair (a_..., b_...): aspect within .25, both grey or neither, fingerprints within min(7, threshold - 5) bits."""
     c = F.col
     aspect = F.abs(c("a_ratio") - c("b_ratio")) / F.greatest("a_ratio", "b_ratio") <= 0.25
     grey = (c("a_saturation") < 15) == (c("b_saturation") < 15)
-    alike = hamming(c("a_fp"), c("b_fp")) <= min(7, threshold - 5)
-    near = pairs.where(aspect & grey & alike)
+    return aspect & grey & (hamming(c("a_fp"), c("b_fp")) <= min(7, threshold - 5))
+
+
+def agreeing(pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """src, dst of the pairs whose histograms correlate at .90 / .80 / .80; a missing histogram drops the pair. The histograms are joined to
+    these pairs alone."""
+    side = lambda end, to: rows.select(F.col(key).alias(end), *(F.col(h).alias(f"{to}_{h}") for h in HISTOGRAMS))
+    both = pairs.select("src", "dst").join(side("src", "a"), "src").join(side("dst", "b"), "dst")
+    c = F.col
     agree = (correlation(c("a_hue"), c("b_hue")) >= 0.90) & (correlation(c("a_sat"), c("b_sat")) >= 0.80) & (correlation(c("a_value"), c("b_value")) >= 0.80)
-    return near.where(F.coalesce(agree, F.lit(False))).select("src", "dst")
+    return both.where(F.coalesce(agree, F.lit(False))).select("src", "dst")
+
+
+def near_duplicate_edges(df: DataFrame, key: str, ts: str, gap: int = 60, threshold: int = 12) -> DataFrame:
+    """src, dst of rows (ratio, saturation, fp, hue, sat, value) at most `gap` seconds apart that look alike. Rows without a time or
+    a fingerprint have no edges here, see `unknown_time_edges`."""
+    slim = df.where(F.col("fp").isNotNull()).select(key, ts, *LOOKS)
+    return agreeing(burst_edges(slim, key, ts, gap).where(alike(threshold)), df, key)
+
+
+def unknown_time_edges(df: DataFrame, key: str, ts: str, threshold: int = 12) -> DataFrame:
+    """src, dst that tie every row without a time to all rows that look like it, whatever their time, in as few edges as their
+    components need.
+
+    Rows of an equal look are one row here: those without a time are tied to the least of them, and those with a time that look like some row
+    without one to the least of theirs. So pairs are of different looks, found by the bytes of their fingerprints as in `band_edges`."""
+    look = F.xxhash64("fp", *[F.col(c) for c in (*LOOKS[:2], *HISTOGRAMS)])
+    rows = df.where(F.col("fp").isNotNull()).withColumns({"_look": look, "_known": F.col(ts).isNotNull()})
+    cols = ["fp", "ratio", "saturation", *HISTOGRAMS]
+    reps = rows.groupBy("_look", "_known").agg(F.min(key).alias("rep"), *(F.first(c).alias(c) for c in cols))
+    reps = materialize(reps, "looks")
+    cut = F.posexplode(F.array(*(F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255)) for i in range(8)))).alias("place", "byte")
+    side = lambda t, end, to: t.select(F.col("rep").alias(end), F.col("_known").alias(f"{to}_known"), *(F.col(c).alias(f"{to}_{c}") for c in LOOKS), cut)
+    near = side(reps.where("not _known"), "src", "a").join(side(reps, "dst", "b"), ["place", "byte"]).where((F.col("src") != F.col("dst")) & alike(threshold))
+    pairs = near.where("b_known or src < dst").select("src", "dst").distinct()
+    found = materialize(agreeing(pairs, reps, "rep"), "look-edges")
+    met = found.select(F.col("dst").alias("rep")).distinct()
+    tied = reps.where("not _known").select("_look", "_known", "rep").union(reps.where("_known").join(met, "rep", "left_semi").select("_look", "_known", "rep"))
+    stars = rows.select(F.col(key).alias("dst"), "_look", "_known").join(tied.withColumnRenamed("rep", "src"), ["_look", "_known"]).where("src <> dst").select("src", "dst")
+    return found.unionByName(stars)
 
 
 def groups(df: DataFrame, key: str, digest: str, edges: DataFrame) -> DataFrame:

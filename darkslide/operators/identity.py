@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from darkslide.functions.measures import cosine
 from darkslide.operators.graph import connected_components
 
 
@@ -50,6 +51,13 @@ def enriched_faces(clustered: DataFrame, raw: DataFrame, stats: DataFrame, clust
     return full.unionByName(rest, allowMissingColumns=True)
 
 
+def matching_scores(faces: DataFrame, key: str, cluster: str, vec: str, centers: DataFrame) -> DataFrame:
+    """faces with score: the similarity of each face to the centroid of its own cluster (centers: cluster, centroid); null for a face without
+    a cluster or vector, or of a cluster without a centroid. Where there are few clusters they are broadcast by Spark's own measure."""
+    c = centers.select(F.col(cluster), F.col("centroid").alias("_center"))
+    return faces.join(c, cluster, "left").withColumn("score", cosine(F.col(vec), F.col("_center"))).drop("_center")
+
+
 def cluster_view(clusters: DataFrame, faces: DataFrame, cluster: str, fields: list[str]) -> DataFrame:
     """clusters with faces (array of structs in order) and n_faces; clusters without faces keep an empty array."""
     nested = faces.groupBy(cluster).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("faces"))

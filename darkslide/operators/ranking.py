@@ -36,6 +36,43 @@ def rank_all(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame
     return dealt.withColumn("_in", inner).join(F.broadcast(before), "_part").withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).drop("_part", "_in", "_before")
 
 
+def rank_in_large_groups(df: DataFrame, groups: list[str], order: list[Column], out: str = "rank") -> DataFrame:
+    """Rank of every row in its group, where a group may hold any share of the rows.
+
+    Rows are dealt by range of group and order and numbered by group within their part. Only a part's first group can have begun in
+    parts before it, so one row for each part tells what its first group's numbers start from. Null groups are groups as well."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(g) for g in groups]
+    dealt = materialize(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()), "ranked")
+    inner = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part", *groups).orderBy(*order)))
+    runs = dealt.groupBy("_part", *groups).agg(F.count("*").alias("_n")).select("_part", F.struct(*groups).alias("_g"), "_n")
+    ends = runs.groupBy("_part").agg(F.min(F.struct("_g", "_n")).alias("first"), F.max(F.struct("_g", "_n")).alias("last"))
+    base, before, starts = 0, None, []
+    for r in ends.orderBy("_part").collect():  # one row for each part: their number is a setting, not the size of the data
+        base = base if before is not None and r["first"]["_g"] == before else 0
+        starts.append((r["_part"], base))
+        single = r["first"]["_g"] == r["last"]["_g"]
+        base, before = (base if single else 0) + r["last"]["_n"], r["last"]["_g"]
+    offsets = df.sparkSession.createDataFrame(starts, "_part int, _base long")
+    begun = ends.select("_part", F.col("first._g").alias("_first")).join(offsets, "_part")
+    joined = inner.join(F.broadcast(begun), "_part")  # one row for each part
+    more = F.when(F.struct(*groups).eqNullSafe(F.col("_first")), F.col("_base")).otherwise(F.lit(0))
+    return joined.withColumn(out, (F.col("_in") + more).cast("long")).drop("_part", "_in", "_base", "_first")
+
+
+def percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """group and a column for each share: the value at that share of the group's known values in order, with linear interpolation. Values
+    are ranked over all tasks, so a large group is no single one; ties don't matter."""
+    ranked = rank_in_large_groups(df.where(F.col(value).isNotNull()).select(group, value), [group], [F.col(value)], "_r")
+    sizes = ranked.groupBy(group).agg(F.max("_r").alias("_n"))
+    rows = ranked.join(sizes, group)
+    at = {name: (F.col("_n") - 1) * share for name, share in shares.items()}
+    picked = [F.max(F.when(F.col("_r") - 1 == f(at[n]), F.col(value))).alias(f"_{k}_{n}") for n in shares for k, f in (("lo", F.floor), ("hi", F.ceil))]
+    found = rows.groupBy(group, "_n").agg(*picked)
+    low = lambda n: F.col(f"_lo_{n}")
+    return found.select(group, *((low(n) + (F.col(f"_hi_{n}") - low(n)) * (at[n] - F.floor(at[n]))).alias(n) for n in shares))
+
+
 def neighbours(df: DataFrame, key: list[str], order: list[Column], value: str, size: int, out: str = "neighbours") -> DataFrame:
     """Values of up to `size` rows before and after each row, without its own, in order."""
     w = Window.partitionBy(*key).orderBy(*order)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from darkslide.operators import duplicates
+from darkslide.operators import duplicates, ranking
 from darkslide.plans.cull_queries import BEST, verdicts
 from darkslide.plans.fixtures import face_rows, photo_rows, sql_views, table
 from darkslide.plans.registry import query
@@ -108,9 +108,10 @@ def a15(spark, d):
     from darkslide.operators.timeline import seconds
 
     span = F.max(seconds("ts")) - F.min(seconds("ts"))
-    p = F.percentile("value", F.array(F.lit(0.95), F.lit(0.99)))
-    g = table(spark, d, "events").groupBy("event_type").agg(p.alias("p"), F.round(F.count("*") / span, 9).alias("per_second"))
-    return g.select("event_type", F.round(F.col("p")[0], 6).alias("p95"), F.round(F.col("p")[1], 6).alias("p99"), "per_second")
+    e = table(spark, d, "events")
+    p = ranking.percentiles(e, "event_type", "value", {"p95": 0.95, "p99": 0.99})
+    g = e.groupBy("event_type").agg(F.round(F.count("*") / span, 9).alias("per_second"))
+    return g.join(p, "event_type", "left").select("event_type", F.round("p95", 6).alias("p95"), F.round("p99", 6).alias("p99"), "per_second")
 
 
 @query("a17_distinct_photos", sql_views("v_face") + " SELECT cluster_id, count(DISTINCT photo_id) AS photos FROM v_face GROUP BY cluster_id")
@@ -118,12 +119,12 @@ def a17(spark, d):
     return face_rows(spark, d).groupBy("cluster_id").agg(F.count_distinct("photo_id").alias("photos"))
 
 
-@query("j02_exact_self_match", "SELECT sha256(text) AS digest, list_sort(list(doc_id))::VARCHAR AS members FROM documents GROUP BY 1 HAVING count(*)>1")
+@query("j02_exact_self_match", "SELECT sha256(text) AS digest, doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first FROM documents QUALIFY count(*) OVER (PARTITION BY sha256(text))>1")
 def j02(spark, d):
-    """Pairs of each row with the first of its copies, folded to one list per digest for comparison."""
+    """Each row that has copies beside the first of them: a row for each copy, however many there are."""
     t = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-    g = t.groupBy("digest").agg(F.sort_array(F.collect_list("doc_id")).alias("m")).where(F.size("m") > 1)
-    return g.select("digest", F.concat(F.lit("["), F.array_join(F.transform("m", lambda x: x.cast("string")), ", "), F.lit("]")).alias("members"))
+    groups = duplicates.exact_groups(t, "digest", "doc_id").where("n > 1").select(F.col("group_key").alias("digest"), F.col("representative").alias("first"))
+    return t.join(groups, "digest").select("digest", "doc_id", "first")
 
 
 @query("j13_failed_paths", f"SELECT doc_id, failure, failure IS NULL AS succeeded FROM ({FAILURES})")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from darkslide.functions import measures as M
 from darkslide.functions import verdicts as V
+from darkslide.functions.features import feature, with_features
 from darkslide.plans.fixtures import face_rows, photo_rows, photos, sql_views, table
 from darkslide.plans.registry import query
 
@@ -339,6 +340,16 @@ def p32(spark, d):
     return photos(spark, d).select("photo_id", V.story_scene().alias("scene"))
 
 
+feature("n_faces", "faces")(lambda: F.size("faces"))
+feature("scene", "faces")(V.story_scene)
+feature("crowded", "n_faces", "scene")(lambda: (F.col("n_faces") > 6) & (F.col("scene") == "Ceremony"))
+
+
+@query("p44_named_features", SCORED_SQL + "SELECT photo_id, n_faces::INTEGER AS n_faces, CASE WHEN n_faces=0 THEN 'Details/Decor' WHEN n_faces<=2 THEN 'General' WHEN n_faces<=6 AND avg_smile>60 THEN 'Reception' WHEN n_faces<=6 THEN 'Ceremony' WHEN avg_smile>55 THEN 'Dance Floor' ELSE 'Ceremony' END AS scene, n_faces>6 AND avg_smile<=55 AS crowded FROM p1")
+def p44(spark, d):
+    return with_features(photos(spark, d), "crowded").select("photo_id", "n_faces", "scene", "crowded")
+
+
 FACE_QUALITY_AVG = f", fq AS (SELECT photo_id, sum(10*{QUALITY})::DOUBLE AS q10, count(*) AS n FROM v_face GROUP BY photo_id)"
 
 
@@ -352,6 +363,14 @@ def p34(spark, d):
     return photos(spark, d).select(F.inline(V.rescaled(F.col("faces"), F.lit(2.5))))
 
 
+@query("p34_rescaled_landmarks", sql_views("v_face") + " SELECT face_id, pos::INTEGER AS pos, floor((x+w*pos/4.0)*2.5::DOUBLE)::BIGINT AS px, floor((y+h*pos/8.0)*2.5::DOUBLE)::BIGINT AS py FROM v_face, range(3) r(pos)")
+def p34_landmarks(spark, d):
+    point = lambda f, i: F.struct((f["x"] + f["w"] * i / F.lit(4.0)).alias("x"), (f["y"] + f["h"] * i / F.lit(8.0)).alias("y"))
+    faces = F.transform("faces", lambda f: f.withField("landmarks", F.array(*(point(f, i) for i in range(3)))))
+    t = photos(spark, d).select(F.inline(V.rescaled(faces, F.lit(2.5), landmarks=True)))
+    return t.select("face_id", F.posexplode("landmarks").alias("pos", "p")).select("face_id", "pos", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+
+
 @query("p39_match_band", "SELECT o_orderkey, CASE WHEN o_custkey%60<=28 THEN 'Matched' WHEN o_custkey%60>42 THEN 'Rejected' ELSE 'Ambiguous' END AS band FROM orders")
 def p39(spark, d):
     return table(spark, d, "orders").select("o_orderkey", M.match_band(M.num(F.col("o_custkey") % 60) / 100.0).alias("band"))

@@ -9,6 +9,7 @@ from darkslide.operators import duplicates, vectors
 from darkslide.plans.aggregate_queries import items
 from darkslide.plans.fixtures import table
 from darkslide.plans.registry import query
+from darkslide.plans.session import materialize
 
 V = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
 NEXT = f"WITH {V}, n AS (SELECT a.vec_id, a.e AS a, b.e AS b FROM v a JOIN v b ON b.vec_id=a.vec_id+1)"
@@ -70,7 +71,33 @@ def j01(spark, d):
     k = F.col("event_id")
     arr = lambda *xs: F.array(*(F.lit(x).cast("double") if isinstance(x, int) else x.cast("double") for x in xs))
     e = table(spark, d, "events").select("event_id", "ts", (1 + (k % 7) / 10).alias("ratio"), (k % 40).alias("saturation"), (k % 64).alias("fp"), arr(k % 5, k % 3, 1).alias("hue"), arr(k % 2, k % 3, 1).alias("sat"), arr(1, k % 4, 2).alias("value"))
-    return duplicates.similar_edges(duplicates.burst_edges(e, "event_id", "ts", 60))
+    return duplicates.near_duplicate_edges(e, "event_id", "ts", 60)
+
+
+_UNKNOWN = """e AS (SELECT event_id, CASE WHEN event_id%3<>0 THEN epoch(ts) END AS s, 1+(event_id//7%5)/10.0::DOUBLE AS ratio, event_id//7%40 AS saturation, xor(('0x'||substr(sha256(concat('u', event_id//7)),1,15))::BIGINT, (1::BIGINT << ((event_id%7)*3)) * (event_id%7>4)::BIGINT) AS fp, [event_id//7%5, 2, event_id%7//5]::DOUBLE[] AS hue, [event_id//7%2, 3, 1]::DOUBLE[] AS sat, [1, event_id//7%4, 2]::DOUBLE[] AS val FROM events)"""
+
+
+@query("j01_unknown_times", f"""WITH RECURSIVE {_UNKNOWN}, p AS (SELECT a.event_id AS x, b.event_id AS y FROM e a JOIN e b ON a.event_id<b.event_id AND bit_count(xor(a.fp,b.fp))<=7 AND (a.s IS NULL OR b.s IS NULL OR abs(a.s-b.s)<=60)
+ WHERE abs(a.ratio-b.ratio)/greatest(a.ratio,b.ratio)<=0.25 AND (a.saturation<15)=(b.saturation<15) AND {_corr('hue')}>=0.9 AND {_corr('sat')}>=0.8 AND {_corr('val')}>=0.8), t AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+ w(a, b) AS (SELECT event_id, event_id FROM e UNION SELECT w.a, t.y FROM w JOIN t ON t.x=w.b) SELECT a AS event_id, min(b) AS group_id FROM w GROUP BY a""")
+def j01_unknown(spark, d):
+    """Groups of near duplicates where a third of the rows has no time."""
+    k, g = F.col("event_id"), F.floor(F.col("event_id") / 7)
+    arr = lambda *xs: F.array(*(F.lit(x).cast("double") if isinstance(x, int) else x.cast("double") for x in xs))
+    base = F.conv(F.substring(F.sha2(F.concat(F.lit("u"), g), 256), 1, 15), 16, 10).cast("long")
+    flip = F.when(k % 7 > 4, F.expr("shiftleft(1L, cast(event_id % 7 * 3 as int))")).otherwise(F.lit(0).cast("long"))
+    e = table(spark, d, "events").select("event_id", F.when(k % 3 != 0, F.col("ts")).alias("ts"), (1 + (g % 5) / 10).alias("ratio"), (g % 40).alias("saturation"), base.bitwiseXOR(flip).alias("fp"), arr(g % 5, 2, F.floor(k % 7 / 5)).alias("hue"), arr(g % 2, 3, 1).alias("sat"), arr(1, g % 4, 2).alias("value"))
+    edges = duplicates.near_duplicate_edges(e, "event_id", "ts", 60).unionByName(duplicates.unknown_time_edges(e, "event_id", "ts"))
+    return duplicates.groups(e.withColumn("digest", F.lit(None).cast("string")), "event_id", "digest", edges)
+
+
+@query("j01_text_fingerprints")
+def j01_texts(spark, d):
+    """Documents whose fingerprints (of their lowered words) differ in at most three bits, in groups."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\w+"), F.lit(0))
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), duplicates.simhash(words).alias("fp"))
+    docs = materialize(docs, "fingerprints")
+    return duplicates.groups(docs, "doc_id", "digest", duplicates.band_edges(docs, "doc_id", "fp", 3, copies=True))
 
 
 FP = "SELECT doc_id, xor(('0x'||substr(sha256(concat('k', doc_id//5)),1,15))::BIGINT, (1::BIGINT << ((doc_id%5)*3)) * (doc_id%5>0)::BIGINT) AS fp FROM documents"
@@ -188,6 +215,26 @@ def g06(spark, d):
     return moved.groupBy("label").agg(F.count("*").alias("faces"), F.round(F.avg((50 + F.col("vec_id") % 50) / 100), 6).alias("confidence"))
 
 
+@query("g06_split_centroids", "WITH v AS (SELECT vec_id, CASE WHEN label=2 AND vec_id%3=0 THEN (SELECT max(label) FROM embeddings)+1 ELSE label END AS label, embedding::DOUBLE[] AS e FROM embeddings), cm AS (SELECT label, pos, avg(e[pos]) AS m FROM v, range(1,65) r(pos) WHERE label=2 OR label>(SELECT max(label) FROM embeddings) GROUP BY label, pos), cn AS (SELECT label, sqrt(sum(m*m)) AS n FROM cm GROUP BY label) SELECT label::BIGINT AS label, (pos-1)::INTEGER AS pos, round(m/n,6) AS x FROM cm JOIN cn USING (label)")
+def g06_centroids(spark, d):
+    """The centroids of both halves of a split cluster, built again."""
+    from darkslide.operators.identity import split_cluster
+
+    e = emb(spark, d).select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
+    top = e.agg(F.max("label")).first()[0]  # one number
+    moved = split_cluster(e, "label", (F.col("label") == 2) & (F.col("vec_id") % 3 == 0))
+    halves = moved.where((F.col("label") == 2) | (F.col("label") > (top if top is not None else 0)))
+    return vectors.centroids(halves, "label", "embedding").select("label", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+@query("j08_matching_scores", f"WITH {CENTER} SELECT vec_id, label, round(list_cosine_similarity(e,c),6) AS score FROM v JOIN ce USING (label)")
+def j08_scores(spark, d):
+    from darkslide.operators.identity import matching_scores
+
+    e = emb(spark, d)
+    return matching_scores(e, "vec_id", "label", "embedding", vectors.centroids(e, "label", "embedding")).select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
 @query("s10_packed_vectors", "SELECT vec_id, true AS same, 64 AS size FROM embeddings")
 def s10(spark, d):
     back = vectors.unpack_vectors(vectors.pack_vectors(emb(spark, d), "embedding"), "packed")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from darkslide.operators.ranking import rank_in_large_groups
 from darkslide.plans.session import drop_path, new_path
 from darkslide.sources.catalog_source import COLOR_CLASS
 
@@ -148,7 +149,8 @@ def move_plan(df: DataFrame, name: str, key: str, taken: DataFrame | None = None
     full = own if taken is None else own.union(taken.select("name")).distinct()
     blocked = full.select(F.regexp_extract("_n", r"^(.*)_(\d+)(\.[^.]*)?$", 1).alias("_s"), F.regexp_extract("_n", r"^(.*)_(\d+)(\.[^.]*)?$", 2).try_cast("int").alias("_k"), F.regexp_extract("_n", r"^(.*)_(\d+)(\.[^.]*)?$", 3).alias("_e")).where("_k is not null")
     gone = blocked.groupBy("_s", "_e").agg(F.sort_array(F.collect_set("_k")).alias("_used"))
-    ranked = df.withColumns({"_s": stem, "_e": ext}).withColumn("_i", (F.row_number().over(Window.partitionBy(name).orderBy(key)) - 1).cast("int"))
+    numbered = rank_in_large_groups(df.withColumns({"_s": stem, "_e": ext}), [name], [F.col(key)], "_i")  # one name may be that of most rows
+    ranked = numbered.withColumn("_i", (F.col("_i") - 1).cast("int"))
     if taken is not None:
         t = taken.select(F.col("name").alias(name), F.lit(1).alias("_t")).distinct()
         ranked = ranked.join(t, name, "left").withColumn("_i", F.col("_i") + F.coalesce("_t", F.lit(0))).drop("_t")

@@ -8,6 +8,7 @@ from darkslide.operators import cull, duplicates, graph, identity, ranking, time
 from darkslide.sources import catalog_sink as K
 from darkslide.sources import catalog_source as S
 from darkslide.streaming import jobs
+from tests.conftest import SMALL
 
 
 def pairs(df, *cols):
@@ -258,6 +259,87 @@ def test_person_commands(spark):
     assert {r.cluster_id: r.person_id for r in identity.mapped_clusters(mapping, persons).collect()} == {7: 3, 8: None}
 
 
+def test_ranks_in_large_groups(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, None if i % 50 == 0 else "hot" if i % 3 else f"g{i % 7}", int(rng.integers(0, 40))) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, g string, v long")
+    got = ranking.rank_in_large_groups(df, ["g"], [F.col("v"), F.col("id")])
+    by = {}
+    for i, g, v in rows:
+        by.setdefault(g, []).append((v, i))
+    want = {i: n for x in by.values() for n, (_, i) in enumerate(sorted(x), 1)}
+    assert {r.id: r["rank"] for r in got.collect()} == want and got.columns == ["id", "g", "v", "rank"]
+    assert ranking.rank_in_large_groups(df.limit(0), ["g"], [F.col("v")]).count() == 0
+    p = ranking.percentiles(df.withColumn("v", F.when(F.col("id") % 9 != 0, F.col("v"))), "g", "v", {"p5": 0.05, "p99": 0.99, "top": 1.0})
+    for r in p.collect():
+        v = [x for x, i in by[r.g] if i % 9]
+        assert np.allclose([r.p5, r.p99, r.top], np.percentile(v, [5, 99, 100]))
+
+
+def test_named_features(spark):
+    from darkslide.functions.features import feature, vectorized, with_features
+
+    mine = {}
+    feature("b", "a", registry=mine)(lambda: F.col("a") + 1)
+    feature("c", "b", "a", registry=mine)(lambda: F.col("b") * F.col("a"))
+    feature("x", "y", registry=mine)(lambda: F.col("y"))
+    feature("y", "x", registry=mine)(lambda: F.col("x"))
+    df = spark.createDataFrame([(3,)], "a int")
+    assert with_features(df, "c", registry=mine).first().asDict() == {"a": 3, "b": 4, "c": 12}
+    assert with_features(df.withColumn("b", F.lit(10)), "c", registry=mine).first()["c"] == 30
+    for bad in ("x", "nothing"):
+        with pytest.raises(ValueError):
+            with_features(df, bad, registry=mine)
+    with pytest.raises(ValueError):
+        feature("b", registry=mine)(lambda: F.lit(1))
+
+    def load():
+        return lambda values: np.array([[len(v), 1] for v in values])
+
+    t = spark.createDataFrame([(1, "abc"), (2, None), (3, ""), (4, "x" * 9)], "id int, t string")
+    assert {r.id: r.vec for r in vectorized(t, "t", load, rows=2).collect()} == {1: [3.0, 1.0], 2: None, 3: [0.0, 1.0], 4: [9.0, 1.0]}
+
+
+def test_text_fingerprints_equal_plain_ones(spark):
+    import re
+
+    import xxhash
+
+    from darkslide import catalog
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    prints = {}
+    for k, t in rows:
+        votes = np.zeros(64, int)
+        for w in re.findall(r"[A-Za-z0-9_]+", t.lower()):  # as the pattern reads words without its Unicode flag
+            h = xxhash.xxh64_intdigest(w.encode(), seed=42)
+            votes += [1 if h >> b & 1 else -1 for b in range(64)]
+        prints[k] = sum(1 << b for b in range(64) if votes[b] > 0)
+    root = {k: k for k, _ in rows}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    text = dict(rows)
+    keys = sorted(root)
+    for i in keys:
+        for j in keys:
+            if i < j and (text[i] == text[j] or (prints[i] ^ prints[j]).bit_count() <= 3):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    got = pairs(catalog.QUERIES["j01_text_fingerprints"](spark, SMALL), "doc_id", "group_id")
+    assert got == [(k, top(k)) for k in keys] and any(k != g for k, g in got)
+
+
+def test_matching_scores_of_odd_faces(spark):
+    faces = spark.createDataFrame([(1, 5, [1.0, 0.0]), (2, 5, None), (3, None, [1.0, 0.0]), (4, 6, [0.0, 0.0]), (5, 9, [1.0, 1.0])], "id int, c int, v array<double>")
+    centers = spark.createDataFrame([(5, [1.0, 1.0]), (6, [1.0, 0.0])], "c int, centroid array<double>")
+    got = {r.id: r.score for r in identity.matching_scores(faces, "id", "c", "v", centers).collect()}
+    assert abs(got.pop(1) - 0.5**0.5) < 1e-12 and got == {2: None, 3: None, 4: 0.0, 5: None}
+
+
 def test_sidecars_round_trip(spark):
     df = spark.createDataFrame([(4, "Red", False), (1, "", True)], "r int, l string, j boolean")
     head = '<rdf:RDF xmlns:rdf="u1" xmlns:xmp="u2" xmlns:xmpDM="u3" xmlns:photomechanic="u4">'
