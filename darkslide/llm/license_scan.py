@@ -69,7 +69,8 @@ TEMPLATES = {
 }
 SHINGLE, RECALL, LEAST_SIMILARITY, CONTAINMENT = 5, 0.999, 0.25, 0.8
 #: Shingles of a text that are looked at together; each takes 8 bytes for every hash function.
-PIECE_SHINGLES = 1 << 14
+PIECE_SHINGLES = 1 << 16
+_SIEVE_BITS = 20
 
 
 def _banding():
@@ -123,8 +124,8 @@ def make_templates(texts: dict[str, str]) -> Templates:
             halves.append(half)
     every = np.concatenate([np.zeros(0, np.uint64), *keys])
     order = np.argsort(every, kind="stable")
-    sieve = np.zeros(1 << 16, bool)
-    sieve[every >> U(48)] = True
+    sieve = np.zeros(1 << _SIEVE_BITS, bool)
+    sieve[every >> U(64 - _SIEVE_BITS)] = True
     return Templates(names, shingles, halves, every[order], np.concatenate([np.zeros(0, np.int64), *owner])[order], sieve, [rivals_of(s, shingles) for s in shingles])
 
 
@@ -178,7 +179,7 @@ def _scan_piece(t: Templates, values: np.ndarray, rows: np.ndarray) -> list[tupl
             pair = np.r_[rows[starts][1:] == rows[starts][:-1], False]
             window = [np.where(pair, np.minimum(m, np.r_[m[1:], m[:1]]), m) for m in mins]
             keys = band_keys(window, half)
-            w, _band = np.nonzero(t.sieve[keys >> U(48)])
+            w, _band = np.nonzero(t.sieve[keys >> U(64 - _SIEVE_BITS)])
             some = keys[w, _band]
             lo, hi = np.searchsorted(t.keys, some, "left"), np.searchsorted(t.keys, some, "right")
             hits = {(int(x), int(o)) for x, i, j in zip(w, lo, hi, strict=True) for o in t.owner[i:j]}
