@@ -43,7 +43,7 @@ SCOPE = frozenset("html body article aside main section div nav header footer ta
 
 BESIDE_TAGS = frozenset("aside footer form nav".split())
 # Words of names by which layouts mark what is beside the content.
-BESIDE = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright discussion discussions disqus feedback footer header masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo recommended related replies respond responses review reviews share sharing sidebar signup skip social sponsor sponsored subscribe tags talkback thread toc toolbar widget alert rail login".split())
+BESIDE = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright discussion discussions disqus feedback footer header masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo recommended related replies respond responses share sharing sidebar signup skip social sponsor sponsored subscribe tags talkback thread toc toolbar widget alert rail login".split())
 WITHIN = frozenset("article body content entry main post story text blog hentry page single".split())
 
 _NAME = re.compile(r"[^\s/>]*+")
@@ -83,6 +83,8 @@ def named(tag: str, names: str, above: int) -> tuple[tuple[str, ...], int]:
         beside |= bool(bad)
         within |= bool(good) and not bad
     own = -1 if tag in BESIDE_TAGS else 1 if tag in ("article", "main") else 0
+    if tag in ("article", "main") and not words & {"comment", "comments"}:  # its other names say what it is about
+        beside = False
     if tag in ("html", "body"):
         return tuple(sorted(words)), above
     if beside != within:
@@ -339,7 +341,7 @@ LABELLED = (
     f'<html><body><div class=top data-label=other><a href=/>Home</a></div><div class=story data-label=content>{_P}<div>{_P}</div></div><div id=discussion data-label=other><h3>Talk</h3>{_TALK}</div></body></html>',
     f'<html><body><div id=nav data-label=other><a href=/>Home</a> <a href=/b>News</a></div><div data-label=content><h2>Title</h2><p>Two lines.</p>{_P}</div><div id=disqus_thread class=responses data-label=other>{_TALK}</div><div id=bottom data-label=other>Imprint</div></body></html>',
     f'<html><body><article data-label=content><h1>Title</h1><p>One line of text only.</p></article><section id=comments data-label=other><h2>Replies</h2>{_TALK}</section><div class="related posts" data-label=other><p>{"More that you might like to read from this site. " * 4}</p></div></body></html>',
-    f'<html><body><div><div><div data-label=content><div>{"Text without any paragraph in it, as old pages have it. " * 9}</div>{_P}</div></div><div data-label=other><ul>{_LI}</ul></div></div><div class="feedback reviews" data-label=other>{_TALK}</div></body></html>',
+    f'<html><body><div><div><div data-label=content><div>{"Text without any paragraph in it, as old pages have it. " * 9}</div>{_P}</div></div><div data-label=other><ul>{_LI}</ul></div></div><div class="feedback" data-label=other>{_TALK}</div></body></html>',
 )
 MAX_PAGES, MAX_PAGE_BYTES, CONTENT_AT = 200, 1 << 18, 0.5
 

@@ -56,6 +56,29 @@ def test_words_and_shingles(texts):
             assert (rows == i).sum() == len(grams(data[offsets[i] : offsets[i + 1]].tobytes().decode(), 3))
 
 
+@pytest.mark.parametrize("work", ["words", "characters", "word n-grams", "licenses", "n-grams", "seeds"])
+def test_a_text_of_20_mb_takes_bounded_memory(work):
+    rng = np.random.default_rng(12)
+    words = np.array([f"word{i}" for i in range(30_000)])
+    data = np.frombuffer(" ".join(words[rng.integers(0, len(words), 2_000_000)].tolist()).encode(), np.uint8)
+    offsets = np.array([0, len(data)])
+    templates = license_scan.make_templates(license_scan.TEMPLATES)
+    block = decontaminate.make_block([1], ["some words of an item that is long enough to be looked for in a text"])
+    run = {
+        "words": lambda: words_of(data, offsets),
+        "characters": lambda: classifiers.char_features(data, offsets),
+        "word n-grams": lambda: classifiers.word_features(data, offsets),
+        "licenses": lambda: license_scan.scan_rows(templates, data, offsets),
+        "n-grams": lambda: jaccard_join.minhash_bands(*distinct_per_row(*shingles_of(words_of(data, offsets), 5)), 1, jaccard_join.Banding(2, 7)),
+        "seeds": lambda: decontaminate.overlaps(block, words_of(data, offsets)),
+    }[work]
+    tracemalloc.start()
+    run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(data) > 18_000_000 and peak < 400 << 20
+
+
 # --- n-gram Jaccard join
 
 
@@ -598,6 +621,7 @@ def test_markup_that_breaks_off_or_misleads():
 def test_names_tell_what_is_beside():
     assert html_extract.named("div", "content has-sidebar", 0)[1] == 1 and html_extract.named("div", "post-comments", 1)[1] == -1
     assert html_extract.named("div", "entry-header", 1)[1] == 1 and html_extract.named("p", "comment-content", -1)[1] == -1
+    assert html_extract.named("article", "related widget", 0)[1] == 1 and html_extract.named("article", "comment", 0)[1] == -1
     assert html_extract.named("body", "page header-fixed", 0)[1] == 0 and html_extract.named("aside", "", 1)[1] == -1
 
 
