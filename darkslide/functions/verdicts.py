@@ -207,6 +207,7 @@ def selection_reasons() -> tuple[Column, Column]:
         text = F.lit(high) if high == low else F.when(raw >= at, high).otherwise(low)
         return F.struct((-weight * raw).alias("k"), F.lit(pos).alias("pos"), F.lit(key).alias("key"), text.alias("text"), raw.alias("raw"))
 
+    # The texts of the reasons.
     comp = ("Excellent composition", "Strong composition")
     faces = ("Sharp faces", "Good face sharpness")
     light = ("Good localized exposure", "Balanced exposure")
@@ -254,6 +255,7 @@ def highlight_score(quality) -> Column:
 
 def analysis_notes(variance: Column, sharp: Column, mean: Column, highlights: Column, shadows: Column, motion: Column, n_faces: Column, blink: Column, face_sharp: Column, composition_score: Column, blur_below: float = 100.0) -> Column:
     """What is worth saying about a photo, in a fixed order."""
+    # The texts of the notes.
     return F.array_compact(
         F.array(
             F.when(variance < blur_below, F.lit("Image is noticeably blurry.")).when(sharp > 75, F.lit("Excellent sharpness and fine details.")),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from darkslide.functions.measures import cosine
 from darkslide.operators.graph import connected_components
+from darkslide.operators.ranking import rank_in_large_groups
 
 
 def merge_clusters(faces: DataFrame, cluster: str, merges: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def person_timeline(faces: DataFrame, photos: DataFrame, person: Column) -> Data
     """person, photo_id, captured_at, place: the distinct photos of each person with a known time, in order."""
     seen = faces.select(person.alias("person"), "photo_id").where("person is not null").distinct()
     t = seen.join(photos.where("captured_at is not null").select("photo_id", "captured_at"), "photo_id")
-    return t.withColumn("place", F.row_number().over(Window.partitionBy("person").orderBy("captured_at", "photo_id")))
+    return rank_in_large_groups(t, ["person"], [F.col("captured_at"), F.col("photo_id")], "place").withColumn("place", F.col("place").cast("int"))
 
 
 def person_statistics(faces: DataFrame, person: Column, confidence: str) -> DataFrame:

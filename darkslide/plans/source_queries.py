@@ -67,6 +67,7 @@ def s06(spark, d):
 
 def sidecar_xml(k):
     """Sidecars of both styles, some broken or missing."""
+    # Namespaces and tags of sidecars.
     rating, label = (k % 6).cast("string"), F.when(k % 4 == 0, "Red").when(k % 4 == 1, "Blue").otherwise("")
     head = F.lit('<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">')
     names = ' xmlns:xmp="http://ns.adobe.com/xap/1.0/" xmlns:xmpDM="http://ns.adobe.com/xmp/1.0/DynamicMedia/" xmlns:photomechanic="http://ns.camerabits.com/photomechanic/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/"'
