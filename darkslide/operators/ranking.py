@@ -36,16 +36,19 @@ def rank_all(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame
     return dealt.withColumn("_in", inner).join(F.broadcast(before), "_part").withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).drop("_part", "_in", "_before")
 
 
-def rank_in_large_groups(df: DataFrame, groups: list[str], order: list[Column], out: str = "rank") -> DataFrame:
-    """Rank of every row in its group, where a group may hold any share of the rows.
-
-    Rows are dealt by range of group and order and numbered by group within their part. Only a part's first group can have begun in
-    parts before it, so one row for each part tells what its first group's numbers start from. Null groups are groups as well."""
+def deal_by_group(df: DataFrame, groups: list[str], order: list[Column]) -> DataFrame:
+    """df with _part, dealt by range of group and order and written; null groups are groups as well. A group may hold any share of the rows."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(g) for g in groups]
-    dealt = materialize(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()), "ranked")
-    inner = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part", *groups).orderBy(*order)))
-    runs = dealt.groupBy("_part", *groups).agg(F.count("*").alias("_n")).select("_part", F.struct(*groups).alias("_g"), "_n")
+    return materialize(df.repartitionByRange(n, *(F.col(g) for g in groups), *order).withColumn("_part", F.spark_partition_id()), "ranked")
+
+
+def running_total(dealt: DataFrame, groups: list[str], order: list[Column], add: Column, out: str) -> DataFrame:
+    """dealt with the sum of `add` over the rows of the group up to each row, in order (dealt by `deal_by_group`).
+
+    Sums are taken by group within each part. Only a part's first group can have begun in parts before it, so one row for each part
+    tells what its first group starts from."""
+    inner = dealt.withColumn("_in", F.sum(add).over(Window.partitionBy("_part", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    runs = dealt.groupBy("_part", *groups).agg(F.sum(add).alias("_n")).select("_part", F.struct(*groups).alias("_g"), "_n")
     ends = runs.groupBy("_part").agg(F.min(F.struct("_g", "_n")).alias("first"), F.max(F.struct("_g", "_n")).alias("last"))
     base, before, starts = 0, None, []
     for r in ends.orderBy("_part").collect():  # one row for each part: their number is a setting, not the size of the data
@@ -53,11 +56,27 @@ def rank_in_large_groups(df: DataFrame, groups: list[str], order: list[Column],
         starts.append((r["_part"], base))
         single = r["first"]["_g"] == r["last"]["_g"]
         base, before = (base if single else 0) + r["last"]["_n"], r["last"]["_g"]
-    offsets = df.sparkSession.createDataFrame(starts, "_part int, _base long")
+    offsets = dealt.sparkSession.createDataFrame(starts, "_part int, _base long")
     begun = ends.select("_part", F.col("first._g").alias("_first")).join(offsets, "_part")
     joined = inner.join(F.broadcast(begun), "_part")  # one row for each part
     more = F.when(F.struct(*groups).eqNullSafe(F.col("_first")), F.col("_base")).otherwise(F.lit(0))
-    return joined.withColumn(out, (F.col("_in") + more).cast("long")).drop("_part", "_in", "_base", "_first")
+    return joined.withColumn(out, (F.col("_in") + more).cast("long")).drop("_in", "_base", "_first")
+
+
+def lag_in_large_groups(dealt: DataFrame, groups: list[str], order: list[str], value: Column, out: str) -> DataFrame:
+    """dealt with `value` of the row before in the group, null for its first row (dealt by `deal_by_group`). The first row of a part's first
+    group takes it from the part before, of which one row is kept."""
+    w = Window.partitionBy("_part", *groups).orderBy(*order)
+    inner = dealt.withColumns({out: F.lag(value).over(w), "_in": F.row_number().over(w)})
+    ends = dealt.groupBy("_part").agg(F.max_by(F.struct(F.struct(*groups).alias("g"), value.alias("v")), F.struct(*groups, *order)).alias("last"))
+    before = ends.select("_part", F.lag("last").over(Window.orderBy("_part")).alias("_last"))  # one row for each part
+    goes_on = (F.col("_in") == 1) & F.struct(*groups).eqNullSafe(F.col("_last.g"))
+    return inner.join(F.broadcast(before), "_part").withColumn(out, F.when(goes_on, F.col("_last.v")).otherwise(F.col(out))).drop("_in", "_last")
+
+
+def rank_in_large_groups(df: DataFrame, groups: list[str], order: list[Column], out: str = "rank") -> DataFrame:
+    """Rank of every row in its group, where a group may hold any share of the rows; rows that tie are numbered as they come."""
+    return running_total(deal_by_group(df, groups, order), groups, order, F.lit(1), out).drop("_part")
 
 
 def percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from darkslide.operators.ranking import rank_all
+from darkslide.operators.ranking import deal_by_group, lag_in_large_groups, rank_all, running_total
 from darkslide.plans.session import materialize
 
 
@@ -16,13 +16,15 @@ def seconds(t: Column | str) -> Column:
 def chapters(df: DataFrame, ts: str, key: str, gap: float = 900.0, by: str | None = None) -> DataFrame:
     """df with `chapter`: a new one begins where the time since the row before is over `gap` seconds.
 
-    By key: a window per key. Over everything: rows are dealt by range of time, each part counts
-    its own cuts, and a table of one row per part (last time, number of cuts) joins the parts up."""
+    Rows are dealt by range of time (with `by`, of that and time), each part counts its own cuts, and a table of one row per part (last
+    time, number of cuts) joins the parts up; so neither the whole table nor a large group is one task."""
     order = [F.col(ts), F.col(key)]
     cut = lambda prev: F.when(seconds(ts) - prev > gap, 1).otherwise(0)
     if by:
-        w = Window.partitionBy(by).orderBy(*order)
-        return df.withColumn("_cut", cut(F.lag(seconds(ts)).over(w))).withColumn("chapter", (F.sum("_cut").over(w) + 1).cast("long")).drop("_cut")
+        dealt = deal_by_group(df, [by], order)
+        before = lag_in_large_groups(dealt, [by], [ts, key], seconds(ts), "_before")
+        counted = running_total(before.withColumn("_cut", cut(F.col("_before"))), [by], order, F.col("_cut"), "chapter")
+        return counted.withColumn("chapter", F.col("chapter") + 1).drop("_cut", "_before", "_part")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = materialize(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "timeline")
     w = Window.partitionBy("_part").orderBy(*order)
@@ -37,8 +39,8 @@ def chapters(df: DataFrame, ts: str, key: str, gap: float = 900.0, by: str | Non
 
 def long_gaps(df: DataFrame, by: str, ts: str, key: str, least: float = 3600.0) -> DataFrame:
     """by, gap_start, gap_end, seconds of every gap over `least` seconds."""
-    w = Window.partitionBy(by).orderBy(ts, key)
-    g = df.select(by, F.lag(ts).over(w).alias("gap_start"), F.col(ts).alias("gap_end"))
+    dealt = deal_by_group(df.select(by, ts, key), [by], [F.col(ts), F.col(key)])
+    g = lag_in_large_groups(dealt, [by], [ts, key], F.col(ts), "gap_start").select(by, "gap_start", F.col(ts).alias("gap_end"))
     return g.withColumn("seconds", F.round(seconds("gap_end") - seconds("gap_start"), 3)).where(F.col("seconds") > least)
 
 

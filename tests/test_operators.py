@@ -276,6 +276,38 @@ def test_ranks_in_large_groups(spark):
         assert np.allclose([r.p5, r.p99, r.top], np.percentile(v, [5, 99, 100]))
 
 
+def test_chapters_and_gaps_of_a_large_group(spark):
+    rng = np.random.default_rng(4)
+    rows, now = [], {}
+    for i in range(1200):
+        u = None if i % 60 == 0 else 1 if i % 4 else 2 + i % 5
+        now[u] = now.get(u, 1_700_000_000) + int(rng.choice([5, 400, 950, 4000]))
+        rows.append((i, u, now[u]))
+    df = spark.createDataFrame(rows, "id long, u long, s long").select("id", "u", F.timestamp_seconds("s").alias("ts")).repartition(5)
+    want, gaps, last = {}, [], {}
+    for i, u, s in rows:
+        before, n = last.get(u, (s, 1))
+        n += s - before > 900
+        want[i] = n
+        if s - before > 3600:
+            gaps.append((-1 if u is None else u, s - before))
+        last[u] = (s, n)
+    assert {r.id: r.chapter for r in timeline.chapters(df, "ts", "id", 900, by="u").collect()} == want
+    found = timeline.long_gaps(df, "u", "ts", "id").select(F.coalesce("u", F.lit(-1)).alias("u"), F.col("seconds").cast("long").alias("n"))
+    assert pairs(found, "u", "n") == sorted(gaps)
+    assert timeline.chapters(df.limit(0), "ts", "id", by="u").count() == timeline.long_gaps(df.limit(0), "u", "ts", "id").count() == 0
+
+
+def test_search_and_nearest_of_odd_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [3.0, 4.0])], "id long, v array<double>")
+    centers = spark.createDataFrame([(7, [0.0, 2.0]), (5, [0.0, 1.0]), (9, [1.0, 0.0])], "c long, centroid array<double>")
+    got = {r.id: (r.cluster, r.sim) for r in vectors.nearest(df, "id", "v", centers, "c", 0.5).collect()}
+    assert got == {1: (9, 1.0), 2: (None, 0.0), 3: (None, 0.0), 4: (5, 0.8)}  # of equal centroids the least number
+    assert pairs(vectors.search(df.where("id <> 3"), df, "id", "v", 0.5), "query", "candidate") == [(1, 1), (1, 4), (4, 1), (4, 4)]
+    assert vectors.nearest(df.limit(0), "id", "v", centers, "c", 0.5).count() == vectors.nearest(df, "id", "v", centers.limit(0), "c", 0.5).count() == 0
+    assert vectors.search(df.limit(0), df, "id", "v", 0.5).count() == vectors.search(df.where("id = 2"), df, "id", "v", 0.5).count() == 0
+
+
 def test_named_features(spark):
     from darkslide.functions.features import feature, vectorized, with_features
 
