@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from darkslide.llm.textbuf import arrow_map, byte_chunks, distinct_per_row, mix, shingles_of, U, words_of
 from darkslide.operators.graph import connected_components
-from darkslide.plans.session import discard, materialize, unused_name
+from darkslide.plans.session import discard, free_shuffles, materialize, unused_name
 
 #: Classes and n-gram hashes of a block side, on average.
 BLOCK_CLASSES = 512
@@ -311,8 +311,8 @@ def _counted(members: DataFrame, group: list[str], size: str) -> DataFrame:
     return dealt.drop("n", "hashes", "size").join(sums, [*group, "part"]).drop("part")
 
 
-def _verify_large(large: DataFrame, buckets: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(rows for _verify_blocks, links found without it) of components that are no single block.
+def _verify_large(large: DataFrame, buckets: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(rows for _verify_blocks, links found without it, tables that these read) of components that are no single block.
 
     large: component, cid, copies, n_grams, n, hashes; buckets: band, h, size, cid."""
     n = large.select("component").distinct().count()
@@ -337,7 +337,7 @@ def _verify_large(large: DataFrame, buckets: DataFrame, sets: DataFrame, thresho
     better = materialize(better, "block-choice")
     one = _blocks(whole.join(per_component(better.where("as_one")), "component", "left_semi"), ["component"], F.lit(-1))
     many = _blocks(by_bucket.join(per_component(better.where("not as_one")), "component", "left_semi"), ["band", "h"], F.col("band"))
-    return one.unionByName(many), known
+    return one.unionByName(many), known, [mine, near, judged, better]
 
 
 def _judged_rows(docs: DataFrame, key: str, text: str, size: int, threshold: float, recall: float) -> DataFrame:
@@ -356,6 +356,7 @@ def _judged_rows(docs: DataFrame, key: str, text: str, size: int, threshold: flo
     sizes = entries.groupBy("band", "h").agg(F.count("*").alias("size"), F.min("cid").alias("pivot")).where("size > 1")
     buckets = materialize(entries.join(sizes, ["band", "h"]), "buckets")
     discard(entries)
+    free_shuffles(docs.sparkSession)
     parts = materialize(connected_components(buckets.select(F.col("cid").alias("src"), F.col("pivot").alias("dst")).where("src <> dst").distinct()), "candidates")
 
     members = parts.select(F.col("node").alias("cid"), "component").join(classes, "cid")
@@ -366,17 +367,18 @@ def _judged_rows(docs: DataFrame, key: str, text: str, size: int, threshold: flo
     fits = (F.col("n") <= BLOCK_CLASSES) & (F.col("hashes") <= BLOCK_HASHES)
     blocks = members.where(fits).select(F.xxhash64("component", F.lit(-1)).alias("g"), F.lit(-1).alias("band"), F.lit(-1).alias("side"), "cid", "copies", F.lit(False).alias("central"))
     large = members.where(~fits)
-    known = None
+    known, used = None, []
     if not large.isEmpty():
         sets = materialize(sets, "sets")
-        more, known = _verify_large(large.drop("rep"), buckets.select("band", "h", "size", "cid"), sets, threshold)
-        blocks = blocks.unionByName(more)
+        more, known, used = _verify_large(large.drop("rep"), buckets.select("band", "h", "size", "cid"), sets, threshold)
+        blocks, used = blocks.unionByName(more), [*used, sets]
     links = _verify_blocks(blocks.join(bands, "cid").join(sets, "cid"), threshold)
     found = materialize(links if known is None else links.unionByName(known), "links")
+    discard(buckets, parts, members, *used)
+    free_shuffles(docs.sparkSession)
 
     groups = connected_components(found.where("cid <> root").select(F.col("cid").alias("src"), F.col("root").alias("dst")))
     groups = materialize(groups.join(classes.select(F.col("cid").alias("node"), "rep"), "node"), "groups")
-    discard(buckets, parts, members)
     least = groups.groupBy("component").agg(F.min(F.struct("rep", "node")).alias("least"))
     of_class = groups.join(least, "component").select(F.col("node").alias("cid"), F.col("least.rep").alias("class_rep"), F.col("least.node").alias("class_d1"))
     counts = found.groupBy("cid").agg(F.sum("n").alias("other_links"))
