@@ -70,6 +70,12 @@ def unused_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that are done: it does so once the driver's garbage is collected, which by
+    itself may be long after. For between the stages of a long job."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def child_names(spark: SparkSession, path: str) -> list[str]:
     """Names of what lies in a folder, through Hadoop's file system; none if there is no such folder."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
