@@ -8,7 +8,8 @@
 4. The full sets of the classes in components are read again from the texts, and exactly the pairs that share a
    band are compared on them, in blocks of about BLOCK_CLASSES classes and BLOCK_HASHES hashes:
    a component that fits is one block; a larger one is first compared with its most central class (linear
-   work). Classes within half the allowed distance of that one are similar to each other, since the Jaccard distance obeys
+   work), and from there on a class is its size and its difference from that one, which gives intersections exactly and is small for
+   near copies. Classes within half the allowed distance of that one are similar to each other, since the Jaccard distance obeys
    the triangle inequality, so their links are counted without comparing them. The other classes ask all
    classes of the component, block by block, or, where that moves fewer rows, those of their band
    buckets, where a pair counts only in the first band it shares. No pair is emitted: a task returns each class's
@@ -40,6 +41,8 @@ from darkslide.plans.session import discard, free_shuffles, materialize, unused_
 #: Classes and n-gram hashes of a block side, on average.
 BLOCK_CLASSES = 512
 BLOCK_HASHES = 1 << 20
+#: A large component's sides are parted in about so many, until they have 8 * BLOCK_CLASSES classes each.
+BLOCK_PARTS = 32
 #: Up to so many keys (8 bytes each) are broadcast; more are joined by shuffling.
 BROADCAST_KEYS = 4_000_000
 
@@ -181,13 +184,15 @@ def similar(both: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) ->
 
 @dataclass
 class Rows:
-    """Classes of one side of a block."""
+    """Classes of one side of a block. sets: their n-grams, or for all sides of the block how they differ from one and the same
+    set; sizes: their numbers of n-grams."""
 
     cids: np.ndarray
     copies: np.ndarray
     central: np.ndarray
     bands: np.ndarray
     sets: list[np.ndarray]
+    sizes: np.ndarray | None = None
 
 
 def roots(linked: np.ndarray) -> np.ndarray:
@@ -211,8 +216,11 @@ def verify(left: Rows, right: Rows | None, band: int, threshold: float) -> tuple
     classes ask and the right ones are asked: an asking class counts all its links, an asked one only if it is
     central, since it asks for itself elsewhere if it isn't."""
     other = right or left
-    size_a, size_b = (np.array([len(s) for s in x.sets], np.float32) for x in (left, other))
-    linked = similar(intersections(left.sets, other.sets), size_a[:, None], size_b[None, :], threshold)
+    held_a, held_b = (np.array([len(s) for s in x.sets], np.float32) for x in (left, other))
+    size_a, size_b = (h if x.sizes is None else x.sizes.astype(np.float32) for x, h in ((left, held_a), (other, held_b)))
+    # differences from one set differ from each other as the sets do
+    apart = held_a[:, None] + held_b[None, :] - 2 * intersections(left.sets, other.sets)
+    linked = similar((size_a[:, None] + size_b[None, :] - apart) / 2, size_a[:, None], size_b[None, :], threshold)
     linked &= left.cids[:, None] != other.cids[None, :]
     a, b = np.nonzero(linked)  # only pairs that reach the threshold are looked at further
     same = left.bands[a] == other.bands[b]
@@ -244,11 +252,11 @@ def _in_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[
 
 def _verify_blocks(rows: DataFrame, threshold: float) -> DataFrame:
     """rows: g (block), band, side (-1: a block without sides, 0 asking, 1 asked), cid, copies, central, bands,
-    hashes. Returns cid, root, n of each block."""
+    hashes, n_grams. Returns cid, root, n of each block."""
 
     def side(rows: list[dict]) -> Rows:
         return Rows(np.array([r["cid"] for r in rows], np.int64), np.array([r["copies"] for r in rows], np.int64), np.array([r["central"] for r in rows], bool),
-                    np.array([r["bands"] for r in rows], np.int64), [np.frombuffer(r["hashes"], np.uint64) for r in rows])
+                    np.array([r["bands"] for r in rows], np.int64), [np.frombuffer(r["hashes"], np.uint64) for r in rows], np.array([r["n_grams"] for r in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _in_groups(batches, ["g"]):
@@ -260,44 +268,47 @@ def _verify_blocks(rows: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["cid", "root", "n"])
 
     dealt = rows.repartition("g").sortWithinPartitions("g")
-    return dealt.select("g", "band", "side", "cid", "copies", "central", "bands", "hashes").transform(arrow_map, run, "cid bigint, root bigint, n bigint")
+    return dealt.select("g", "band", "side", "cid", "copies", "central", "bands", "hashes", "n_grams").transform(arrow_map, run, "cid bigint, root bigint, n bigint")
 
 
 def _near_center(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows: component, chunk, is_center, cid, hashes; the center is in every chunk. Returns cid and root (the center) of classes
-    within half the allowed distance of it. A task holds the center's set and one other."""
+    """rows: component, chunk, is_center, cid, hashes; the center is in every chunk. Returns cid, root (the center for classes
+    within half the allowed distance of it, else null) and hashes (those of the class or of the center, but not of both). A task holds the
+    center's set and a batch of others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, center, cid = None, np.zeros(0, np.uint64), 0
         for batch in batches:
-            found: list[tuple[int, int]] = []
+            found: list[tuple[int, int | None, bytes]] = []
             for r in batch.to_pylist():
                 values = np.frombuffer(r["hashes"], np.uint64)
                 if (r["component"], r["chunk"]) != now:  # the center comes first
                     now, center, cid = (r["component"], r["chunk"]), values, r["cid"]
                 both = len(np.intersect1d(center, values, assume_unique=True))
-                if both >= (1 + threshold) / 2 * (len(center) + len(values) - both):
-                    found.append((r["cid"], cid))
+                near = both >= (1 + threshold) / 2 * (len(center) + len(values) - both)
+                found.append((r["cid"], cid if near else None, np.setxor1d(center, values, assume_unique=True).tobytes()))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["cid", "root"])
+                cells = [pa.array(x, k) for x, k in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays(cells, ["cid", "root", "hashes"])
 
     dealt = rows.repartition("component", "chunk").sortWithinPartitions("component", "chunk", F.desc("is_center"))
-    return dealt.select("component", "chunk", "cid", "hashes").transform(arrow_map, run, "cid bigint, root bigint")
+    return dealt.select("component", "chunk", "cid", "hashes").transform(arrow_map, run, "cid bigint, root bigint, hashes binary")
 
 
 def _chunks(classes: Column, hashes: Column) -> Column:
-    return F.greatest(F.ceil(classes / BLOCK_CLASSES), F.ceil(hashes / BLOCK_HASHES)).cast("int")
+    side = F.greatest(F.lit(BLOCK_CLASSES), F.least(F.lit(8 * BLOCK_CLASSES), F.ceil(classes / BLOCK_PARTS)))
+    return F.greatest(F.ceil(classes / side), F.ceil(hashes / BLOCK_HASHES)).cast("int")
 
 
 def _blocks(members: DataFrame, group: list[str], band: Column) -> DataFrame:
-    """g, band, side, cid, copies, central: the asking members (asks) of each group beside all of its members, in
-    blocks of bounded size. members: group columns, cid, copies, n_grams, asks, and per group asking, asking_hashes, n, hashes."""
+    """g, band, side, cid, copies, central, n_grams: the asking members (asks) of each group beside all of its members, in
+    blocks of bounded size. members: group columns, cid, copies, n_grams, n_hashes, asks, and per group asking, asking_hashes, n, hashes."""
     m = members.where("asking > 0").withColumns({"rows": _chunks(F.col("asking"), F.col("asking_hashes")), "cols": _chunks(F.col("n"), F.col("hashes"))})
     part = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = m.where("asks").withColumns({"i": part("rows"), "j": every("cols"), "side": F.lit(0)})
     right = m.withColumns({"j": part("cols"), "i": every("rows"), "side": F.lit(1)})
-    return left.unionByName(right).select(F.xxhash64(*group, "i", "j").alias("g"), band.alias("band"), "side", "cid", "copies", (~F.col("asks")).alias("central"))
+    return left.unionByName(right).select(F.xxhash64(*group, "i", "j").alias("g"), band.alias("band"), "side", "cid", "copies", (~F.col("asks")).alias("central"), "n_grams")
 
 
 def _counted(members: DataFrame, group: list[str], size: str) -> DataFrame:
@@ -305,7 +316,7 @@ def _counted(members: DataFrame, group: list[str], size: str) -> DataFrame:
     The sums go to as many parts of a large group as its members are dealt over, so none meets in one task."""
     asks = lambda x: F.sum(F.when(F.col("asks"), x).otherwise(0))
     parts = lambda n: F.ceil(F.col(n) / BLOCK_CLASSES).cast("int")
-    sums = members.groupBy(*group).agg(asks(F.lit(1)).alias("asking"), asks(F.col("n_grams")).alias("asking_hashes"), F.count("*").alias("n"), F.sum("n_grams").alias("hashes"))
+    sums = members.groupBy(*group).agg(asks(F.lit(1)).alias("asking"), asks(F.col("n_hashes")).alias("asking_hashes"), F.count("*").alias("n"), F.sum("n_hashes").alias("hashes"))
     sums = sums.withColumn("part", F.explode(F.sequence(F.lit(0), parts("n") - 1)))
     dealt = members.withColumn("part", F.pmod(F.xxhash64("cid"), parts(size)).cast("int"))
     return dealt.drop("n", "hashes", "size").join(sums, [*group, "part"]).drop("part")
@@ -323,21 +334,23 @@ def _verify_large(large: DataFrame, buckets: DataFrame, sets: DataFrame, thresho
     star = large.join(per_component(center), "component").withColumn("chunks", _chunks(F.col("n"), F.col("hashes"))).withColumn("is_center", F.col("cid") == F.col("center"))
     chunk = F.when(F.col("is_center"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")))
     star = star.select("component", F.explode(chunk).alias("chunk"), "is_center", "cid").join(sets, "cid")
-    near = materialize(_near_center(star, threshold).distinct(), "central")
-    judged = materialize(large.join(near, "cid", "left").withColumn("asks", F.col("root").isNull()), "judged")
+    central = materialize(_near_center(star, threshold), "central")
+    near = central.dropDuplicates(["cid"])  # the center comes from every chunk
+    found = near.select("cid", "root", (F.octet_length("hashes") / 8).cast("long").alias("n_hashes"))
+    judged = materialize(large.join(found, "cid").withColumn("asks", F.col("root").isNull()), "judged")
     total = judged.where("not asks").groupBy("component").agg(F.sum("copies").alias("total"))
     known = judged.where("not asks").join(per_component(total), "component").select("cid", "root", (F.col("total") - F.col("copies")).alias("n"))
 
     # whole components or buckets: whichever moves fewer rows
     whole = _counted(judged, ["component"], "n")
-    by_bucket = _counted(mine.join(judged.select("cid", "copies", "n_grams", "asks"), "cid"), ["band", "h"], "size")
+    by_bucket = _counted(mine.join(judged.select("cid", "copies", "n_grams", "n_hashes", "asks"), "cid"), ["band", "h"], "size")
     cost = F.when(F.col("asks"), _chunks(F.col("n"), F.col("hashes"))).otherwise(0) + _chunks(F.col("asking"), F.col("asking_hashes"))
     costs = [x.groupBy("component").agg(F.sum(cost).alias("cost")) for x in (whole, by_bucket)]
     better = costs[0].join(costs[1].withColumnRenamed("cost", "other"), "component").select("component", (F.col("cost") <= F.col("other")).alias("as_one"))
     better = materialize(better, "block-choice")
     one = _blocks(whole.join(per_component(better.where("as_one")), "component", "left_semi"), ["component"], F.lit(-1))
     many = _blocks(by_bucket.join(per_component(better.where("not as_one")), "component", "left_semi"), ["band", "h"], F.col("band"))
-    return one.unionByName(many), known, [mine, near, judged, better]
+    return one.unionByName(many).join(near.select("cid", "hashes"), "cid"), known, [mine, central, judged, better]
 
 
 def _judged_rows(docs: DataFrame, key: str, text: str, size: int, threshold: float, recall: float) -> DataFrame:
@@ -362,17 +375,16 @@ def _judged_rows(docs: DataFrame, key: str, text: str, size: int, threshold: flo
     members = parts.select(F.col("node").alias("cid"), "component").join(classes, "cid")
     sums = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_grams").alias("hashes"))
     members = materialize(members.join(sums, "component"), "members")
-    sets = full_sets(docs, members.select("rep").distinct(), members.count(), key, text, size).dropDuplicates(["cid"])
+    sets = lambda some: full_sets(docs, some.select("rep").distinct(), some.count(), key, text, size).dropDuplicates(["cid"])
     bands = usable.select(F.col("d1").alias("cid"), "key", "bands").join(members.select("cid", F.col("rep").alias("key")), ["cid", "key"]).dropDuplicates(["cid"]).select("cid", "bands")
     fits = (F.col("n") <= BLOCK_CLASSES) & (F.col("hashes") <= BLOCK_HASHES)
-    blocks = members.where(fits).select(F.xxhash64("component", F.lit(-1)).alias("g"), F.lit(-1).alias("band"), F.lit(-1).alias("side"), "cid", "copies", F.lit(False).alias("central"))
-    large = members.where(~fits)
+    small, large = members.where(fits), members.where(~fits)
+    blocks = small.select(F.xxhash64("component", F.lit(-1)).alias("g"), F.lit(-1).alias("band"), F.lit(-1).alias("side"), "cid", "copies", F.lit(False).alias("central"), "n_grams").join(sets(small), "cid")
     known, used = None, []
     if not large.isEmpty():
-        sets = materialize(sets, "sets")
-        more, known, used = _verify_large(large.drop("rep"), buckets.select("band", "h", "size", "cid"), sets, threshold)
-        blocks, used = blocks.unionByName(more), [*used, sets]
-    links = _verify_blocks(blocks.join(bands, "cid").join(sets, "cid"), threshold)
+        more, known, used = _verify_large(large.drop("rep"), buckets.select("band", "h", "size", "cid"), sets(large), threshold)
+        blocks = blocks.unionByName(more)
+    links = _verify_blocks(blocks.join(bands, "cid"), threshold)
     found = materialize(links if known is None else links.unionByName(known), "links")
     discard(buckets, parts, members, *used)
     free_shuffles(docs.sparkSession)
