@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from darkslide.llm import classifiers, decontaminate, html_extract, jaccard_join, license_scan, pii, quality_rules, token_store, tokenize_op
+from darkslide.llm import classifiers, decontaminate, html_extract, jaccard_join, license_scan, mixing, pii, quality_rules, token_store, tokenize_op
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_store": op9_token_store,
     "op10_pii": op10_pii,
+    "op11_mixing": op11_mixing,
 }
 
 #: SQL can't express them: tokenizers, fitted models, seeds and MinHash. They are tested against plain Python.
