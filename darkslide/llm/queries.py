@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from darkslide.llm import classifiers, decontaminate, html_extract, jaccard_join, license_scan, mixing, pii, quality_rules, token_store, tokenize_op
+from darkslide.llm import classifiers, conversations, decontaminate, fill_middle, html_extract, jaccard_join, license_scan, mixing, pii, quality_rules, token_store, tokenize_op
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,14 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -69,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_store": op9_token_store,
     "op10_pii": op10_pii,
     "op11_mixing": op11_mixing,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_conversations": op13_conversations,
 }
 
 #: SQL can't express them: tokenizers, fitted models, seeds and MinHash. They are tested against plain Python.
