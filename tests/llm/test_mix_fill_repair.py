@@ -70,18 +70,22 @@ def test_mix_is_the_same_however_rows_are_dealt(spark, mixed_rows):
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
-def test_mix_draws_each_document_as_often_as_its_share(spark):
-    rows = [(i, "w " * (1 + i % 9), "a") for i in range(40)] + [(100 + i, "w " * 5, "b") for i in range(40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).cache()
-    runs = 30
-    taken = {}
-    for seed in range(runs):
-        for r in mixing.plan(docs, seed=seed).collect():
-            taken.setdefault(r.source, []).append((r.copies, r.target / r.source_size))
-    for v in taken.values():
-        assert sum(x for x, _ in v) / len(v) == pytest.approx(v[0][1], abs=0.05)
-    first = [c for c, _ in taken["a"][0::40]]
-    assert len(set(first)) > 1  # the same document isn't always the one taken
+@pytest.mark.parametrize("bucket", [64, 4])
+def test_pivotal_keeps_expectations_and_sums(spark, monkeypatch, bucket):
+    monkeypatch.setattr(mixing, "BUCKET", bucket)
+    n, sources, x = 40, 600, 0.37
+    octaves = {o: sum(1 for k in range(n) if len(bin(1 + k % 9)) - 2 == o) for o in range(1, 5)}
+    rows = [(s, k, 1 + k % 9, 0, x, octaves[len(bin(1 + k % 9)) - 2]) for s in range(sources) for k in range(n)]
+    got = mixing.pivotal(spark.createDataFrame(rows, "s long, k long, size long, copy long, x double, n long"), 1, max(octaves.values())).collect()
+    assert len(got) == n * sources and {r.up for r in got} == {0, 1}
+    share, words = [0] * n, [0] * sources
+    for r in got:
+        share[r.k] += r.up / sources
+        words[r.s] += r.up * r["size"]
+    assert all(abs(v - x) < 0.09 for v in share)  # 4.5 standard deviations
+    target = x * sum(1 + k % 9 for k in range(n))
+    assert all(abs(v - target) <= 9 for v in words)
+    assert len({tuple(sorted(r.k for r in got if r.s == s and r.up)) for s in range(50)}) == 50
 
 
 def test_mixture_repeats_rows(spark, mixed_rows):
