@@ -19,13 +19,16 @@ from itertools import groupby
 
 import numpy as np
 from pyspark import RDD
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of a piece; a piece ends with a unit, unless one unit is longer.
 PIECE = 1 << 16
 #: Bytes of a text that are looked at together.
 WINDOW = 1 << 20
+#: Bytes of text whose pieces are sorted in one partition.
+PARTITION_BYTES = 64 << 20
 MARKS = {"prefix": b"<P>", "suffix": b"<S>", "middle": b"<M>"}
 ORDERS = {"plain": (), "psm": ("prefix", "suffix", "middle"), "spm": ("suffix", "prefix", "middle")}
 #: Places in the original text.
@@ -194,8 +197,10 @@ def digest_restored(items: Iterable[tuple]) -> Iterator[tuple]:
             yield (*header, output, digest.hexdigest())
 
 
-def partitions_for(rows: RDD, spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.getNumPartitions())
+def partitions_for(docs: DataFrame, text: str) -> int:
+    """Partitions of some PARTITION_BYTES of text, as many as Spark's shuffles have at least."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
 
 
 def _fields(docs: DataFrame, key: str, *more: T.StructField) -> T.StructType:
@@ -205,7 +210,7 @@ def _fields(docs: DataFrame, key: str, *more: T.StructField) -> T.StructType:
 def output_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> RDD:
     """The outputs of all documents: ((name, position), piece) with a document's pieces in one partition, in order."""
     rows = docs.select(key, text).rdd
-    return sorted_pieces(rows.mapPartitions(cut_rows), partitions or partitions_for(rows, docs.sparkSession))
+    return sorted_pieces(rows.mapPartitions(cut_rows), partitions or partitions_for(docs, text))
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
@@ -257,5 +262,5 @@ def restore(rows: DataFrame, key: str = "doc_id", form: str = "form", output: st
                 yield k, text
 
     raw = rows.select(key, form, output).rdd
-    joined = sorted_pieces(raw.mapPartitions(place), partitions or partitions_for(raw, rows.sparkSession)).mapPartitions(join)
+    joined = sorted_pieces(raw.mapPartitions(place), partitions or partitions_for(rows, output)).mapPartitions(join)
     return rows.sparkSession.createDataFrame(joined, T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("text", T.StringType())]), verifySchema=False)
