@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from darkslide.functions.measures import correlation
+from darkslide.operators.fingerprints import hamming, near_fingerprints
 from darkslide.operators.graph import connected_components
+from darkslide.operators.skew import beside, split_keys
 from darkslide.operators.timeline import seconds
 from darkslide.plans.session import materialize
 
@@ -57,39 +59,39 @@ def simhash(words: Column, bits: int = 64) -> Column:
     return value
 
 
-def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
 def band_edges(df: DataFrame, key: str, fp: str, most: int = 7, copies: bool = False) -> DataFrame:
     """src < dst, distance of all rows whose fingerprints differ in at most `most` (up to 7) bits.
 
-    A fingerprint is cut into eight bytes. With at most seven differing bits one byte is equal at least, so
-    the join on (place, byte) loses nothing; equal fingerprints are joined once, as one row: the least key. With copies
+    Fingerprints are looked up by parts of them (`fingerprints`); equal ones are looked up once, as one row: the least key. With copies
     that row also has an edge (distance 0) to each other row of its fingerprint, so that components hold them all."""
-    if not 0 <= most <= 7:
-        raise ValueError("only up to 7 differing bits leave an equal byte")
-    reps = df.where(F.col(fp).isNotNull()).groupBy(fp).agg(F.min(key).alias("rep"))
-    cut = F.posexplode(F.array(*(F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(255)) for i in range(8)))).alias("place", "byte")
-    pieces = reps.select("rep", fp, cut)
-    a = pieces.select("place", "byte", F.col("rep").alias("src"), F.col(fp).alias("fa"))
-    b = pieces.select("place", "byte", F.col("rep").alias("dst"), F.col(fp).alias("fb"))
-    near = a.join(b, ["place", "byte"]).where((F.col("src") < F.col("dst")) & (hamming(F.col("fa"), F.col("fb")) <= most))
-    found = near.select("src", "dst", hamming(F.col("fa"), F.col("fb")).alias("distance")).distinct()
+    reps = df.where(F.col(fp).isNotNull()).groupBy(F.col(fp).alias("fp")).agg(F.min(key).alias("rep"))
+    reps = materialize(reps, "fingerprints")
+    found = near_fingerprints(reps, reps, "fp", most, F.col("a_rep") < F.col("b_rep")).select(F.col("a_rep").alias("src"), F.col("b_rep").alias("dst"), "distance")
     if not copies:
         return found
-    equal = df.select(F.col(key).alias("dst"), fp).join(reps, fp).where("rep <> dst")
+    equal = df.select(F.col(key).alias("dst"), F.col(fp).alias("fp")).join(reps, "fp").where("rep <> dst")
     return found.unionByName(equal.select(F.col("rep").alias("src"), "dst", F.lit(0).alias("distance")))
 
 
 def burst_edges(df: DataFrame, key: str, ts: str, gap: int = 60) -> DataFrame:
     """src, dst of all rows at most `gap` seconds apart (src first, ties by key): a range join as an equi-join on time buckets, each row
-    meeting its own bucket and the next."""
-    t = df.where(F.col(ts).isNotNull()).withColumn("_s", seconds(ts))
-    a = t.select(F.col(key).alias("src"), F.col("_s").alias("sa"), F.explode(F.array(F.floor(F.col("_s") / gap), F.floor(F.col("_s") / gap) + 1)).alias("bucket"), *[F.col(c).alias(f"a_{c}") for c in df.columns if c not in (key, ts)])
-    b = t.select(F.col(key).alias("dst"), F.col("_s").alias("sb"), F.floor(F.col("_s") / gap).alias("bucket"), *[F.col(c).alias(f"b_{c}") for c in df.columns if c not in (key, ts)])
-    later = (F.col("sb") > F.col("sa")) | ((F.col("sb") == F.col("sa")) & (F.col("dst") > F.col("src")))
-    return a.join(b, "bucket").where(later & (F.col("sb") - F.col("sa") <= gap)).drop("bucket")
+    meeting its own bucket and the next. The rows of a crowded bucket are dealt over many tasks. Other columns come along as a_... and b_..."""
+    a, b = _burst_sides(df, key, ts, gap)
+    a, b = split_keys(a, b, ["bucket"], F.xxhash64(f"b_{key}"))
+    return a.join(b, ["bucket", "_salt"]).where(_in_turn(key, gap)).withColumnsRenamed({f"a_{key}": "src", f"b_{key}": "dst"}).drop("bucket", "_salt", "a__s", "b__s")
+
+
+def _burst_sides(df: DataFrame, key: str, ts: str, gap: int) -> tuple[DataFrame, DataFrame]:
+    """Rows as a_... with their own time bucket and the next, and as b_... with their own."""
+    t = df.where(F.col(ts).isNotNull()).withColumn("_s", seconds(ts)).drop(ts)
+    own = F.floor(F.col("_s") / gap)
+    side = lambda to, bucket: t.select(bucket.alias("bucket"), *(F.col(c).alias(f"{to}_{c}") for c in t.columns))
+    return side("a", F.explode(F.array(own, own + 1))), side("b", own)
+
+
+def _in_turn(key: str, gap: int) -> Column:
+    a, b = F.col("a__s"), F.col("b__s")
+    return ((b > a) | ((b == a) & (F.col(f"b_{key}") > F.col(f"a_{key}")))) & (b - a <= gap)
 
 
 #: What the cheap tests of a pair need, and the histograms that are joined to pairs which pass them.
@@ -114,11 +116,28 @@ def agreeing(pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return both.where(F.coalesce(agree, F.lit(False))).select("src", "dst")
 
 
+#: Rows of a time bucket above which its pairs are looked up by their fingerprints.
+CROWD = 2048
+
+
 def near_duplicate_edges(df: DataFrame, key: str, ts: str, gap: int = 60, threshold: int = 12) -> DataFrame:
     """src, dst of rows (ratio, saturation, fp, hue, sat, value) at most `gap` seconds apart that look alike. Rows without a time or
-    a fingerprint have no edges here, see `unknown_time_edges`."""
+    a fingerprint have no edges here, see `unknown_time_edges`.
+
+    The rows of most time buckets all meet. In a crowded one (a burst that holds a large share of the table) only those meet
+    that share parts of their fingerprints, which misses no pair that is near enough."""
     slim = df.where(F.col("fp").isNotNull()).select(key, ts, *LOOKS)
-    return agreeing(burst_edges(slim, key, ts, gap).where(alike(threshold)), df, key)
+    a, b = _burst_sides(slim, key, ts, gap)
+    crowded = b.groupBy("bucket").count().where(F.col("count") > CROWD).select("bucket")
+    if crowded.isEmpty():
+        return agreeing(burst_edges(slim, key, ts, gap).where(alike(threshold)), df, key)
+    crowded = materialize(crowded, "crowded")
+    of = lambda t, how: beside(t, crowded, ["bucket"], how)
+    few = of(a, "left_anti").join(of(b, "left_anti"), "bucket").where(_in_turn(key, gap))
+    plain = lambda t: t.select("bucket", *(F.col(c).alias(c[2:]) for c in t.columns if c != "bucket"))
+    many = near_fingerprints(plain(of(a, "left_semi")), plain(of(b, "left_semi")), "fp", min(7, threshold - 5), _in_turn(key, gap), ["bucket"])
+    met = few.unionByName(many.select(*few.columns)).where(alike(threshold))
+    return agreeing(met.select(F.col(f"a_{key}").alias("src"), F.col(f"b_{key}").alias("dst")), df, key)
 
 
 def unknown_time_edges(df: DataFrame, key: str, ts: str, threshold: int = 12) -> DataFrame:
@@ -126,16 +145,15 @@ def unknown_time_edges(df: DataFrame, key: str, ts: str, threshold: int = 12) ->
     components need.
 
     Rows of an equal look are one row here: those without a time are tied to the least of them, and those with a time that look like some row
-    without one to the least of theirs. So pairs are of different looks, found by the bytes of their fingerprints as in `band_edges`."""
+    without one to the least of theirs. So pairs are of different looks, found by parts of their fingerprints as in `band_edges`."""
     look = F.xxhash64("fp", *[F.col(c) for c in (*LOOKS[:2], *HISTOGRAMS)])
     rows = df.where(F.col("fp").isNotNull()).withColumns({"_look": look, "_known": F.col(ts).isNotNull()})
     cols = ["fp", "ratio", "saturation", *HISTOGRAMS]
     reps = rows.groupBy("_look", "_known").agg(F.min(key).alias("rep"), *(F.first(c).alias(c) for c in cols))
     reps = materialize(reps, "looks")
-    cut = F.posexplode(F.array(*(F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255)) for i in range(8)))).alias("place", "byte")
-    side = lambda t, end, to: t.select(F.col("rep").alias(end), F.col("_known").alias(f"{to}_known"), *(F.col(c).alias(f"{to}_{c}") for c in LOOKS), cut)
-    near = side(reps.where("not _known"), "src", "a").join(side(reps, "dst", "b"), ["place", "byte"]).where((F.col("src") != F.col("dst")) & alike(threshold))
-    pairs = near.where("b_known or src < dst").select("src", "dst").distinct()
+    looks = reps.select("rep", F.col("_known").alias("known"), *LOOKS)
+    near = near_fingerprints(looks.where("not known"), looks, "fp", min(7, threshold - 5), F.col("a_rep") != F.col("b_rep")).where(alike(threshold))
+    pairs = near.where("b_known or a_rep < b_rep").select(F.col("a_rep").alias("src"), F.col("b_rep").alias("dst"))
     found = materialize(agreeing(pairs, reps, "rep"), "look-edges")
     met = found.select(F.col("dst").alias("rep")).distinct()
     tied = reps.where("not _known").select("_look", "_known", "rep").union(reps.where("_known").join(met, "rep", "left_semi").select("_look", "_known", "rep"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from darkslide.operators import cull, duplicates, graph, identity, ranking, timeline, vectors
+from darkslide.operators import cull, duplicates, fingerprints, graph, identity, ranking, skew, timeline, vectors
 from darkslide.sources import catalog_sink as K
 from darkslide.sources import catalog_source as S
 from darkslide.streaming import jobs
@@ -144,6 +144,59 @@ def test_burst_join_equals_brute_force(spark):
     assert pairs(duplicates.burst_edges(df, "id", "ts", 60), "src", "dst") == want
 
 
+def fingerprint_rows(rng, n, keep=2**64 - 1):
+    """Random fingerprints, some of them a few bits from another; bits outside `keep` are 0."""
+    values = [int(x) & keep for x in rng.integers(0, 2**63, n // 2)]
+    for i in range(n - len(values)):
+        v = values[i % len(values)]
+        for b in rng.choice(64, int(rng.integers(0, 10)), replace=False):
+            v ^= (1 << int(b)) & keep
+        values.append(v)
+    return [(i, v - 2**64 if v >= 2**63 else v) for i, v in enumerate(values)]
+
+
+@pytest.mark.parametrize(("most", "keep"), [(0, -1), (1, -1), (3, -1), (4, -1), (7, -1), (7, 0xFFFFFF0000FFFF), (3, 0xFFFF), (7, 0xFFF)])
+def test_fingerprint_join_equals_brute_force(spark, monkeypatch, most, keep):
+    monkeypatch.setattr(skew, "HOT", 20)
+    rows = fingerprint_rows(np.random.default_rng(most), 400, keep & (2**64 - 1))
+    df = spark.createDataFrame(rows, "id long, fp long").repartition(3)
+    got = sorted(map(tuple, fingerprints.near_fingerprints(df, df, "fp", most, F.col("a_id") < F.col("b_id")).select("a_id", "b_id", "distance").collect()))
+    far = lambda v, w: ((v ^ w) & (2**64 - 1)).bit_count()
+    assert got == sorted((i, j, far(v, w)) for i, v in rows for j, w in rows if i < j and far(v, w) <= most)
+
+
+@pytest.mark.parametrize(("most", "share"), [(7, 500), (3, 1_000_000)])
+def test_fingerprint_join_meets_few_pairs(spark, most, share):
+    n = 20_000
+    df = spark.range(n).select("id", F.xxhash64("id").alias("fp"))
+    met = fingerprints.candidates(df, df, "fp", most, F.col("a_id") < F.col("b_id")).count()
+    assert met < n * n / 2 / share
+    half = df.withColumn("fp", F.shiftleft("fp", 24))  # 24 bits are the same in all rows: the others are dealt to all parts
+    assert fingerprints.candidates(half, half, "fp", 7, F.col("a_id") < F.col("b_id")).count() < n * n / 2 / 10
+
+
+def test_hot_keys_are_split(spark):
+    a = spark.range(500).select(F.lit(1).alias("k"), "id")
+    b = spark.range(10_000).select(F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("j"))
+    left, right = skew.split_keys(a, b, ["k"], F.xxhash64("j"), 1000)
+    sizes = right.where("k = 1").groupBy("_salt").count().collect()
+    assert len(sizes) == 7 and max(r["count"] for r in sizes) < 1200
+    joined = left.join(right, ["k", "_salt"])
+    assert joined.count() == 500 * b.where("k = 1").count() == joined.select("id", "j").distinct().count()
+
+
+def test_edges_of_a_crowded_minute_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(i, int(rng.integers(0, 60) if i % 3 else rng.integers(60, 4000)), v, float(1 + i % 4 / 10), int(i % 40)) for i, v in fingerprint_rows(rng, 300)]
+    one = F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))
+    df = spark.createDataFrame(rows, "id long, s long, fp long, ratio double, saturation int").withColumns({"ts": F.timestamp_seconds("s"), "hue": one, "sat": one, "value": one}).drop("s")
+    monkeypatch.setattr(duplicates, "CROWD", 50)
+    got = pairs(duplicates.near_duplicate_edges(df, "id", "ts"), "src", "dst")
+    alike = lambda a, b: ((a[2] ^ b[2]) & (2**64 - 1)).bit_count() <= 7 and abs(a[3] - b[3]) / max(a[3], b[3]) <= 0.25 and (a[4] < 15) == (b[4] < 15)
+    want = sorted((a[0], b[0]) for a in rows for b in rows if (b[1], b[0]) > (a[1], a[0]) and b[1] - a[1] <= 60 and alike(a, b))
+    assert got == want and want
+
+
 def test_groups_expand_exact_copies(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, None)], "id long, digest string")
     edges = spark.createDataFrame([(1, 3)], "src long, dst long")
