@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from darkslide.operators import cull, duplicates, fingerprints, graph, identity, ranking, skew, timeline, vectors
+from darkslide.operators import blocks, cull, duplicates, fingerprints, graph, identity, ranking, skew, timeline, vectors
 from darkslide.sources import catalog_sink as K
 from darkslide.sources import catalog_source as S
 from darkslide.streaming import jobs
@@ -93,12 +93,109 @@ def test_blocks_lose_no_pair(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 4)))], "id long, v array<double>")
     whole = pairs(vectors.similar_pairs(df, "id", "v", 0.3), "i", "j")
     found = pairs(vectors.search(df, df, "id", "v", 0.3), "query", "candidate")
-    monkeypatch.setattr(vectors, "BLOCK", 9)
+    monkeypatch.setattr(blocks, "BLOCK", 9)
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", 3)
+    monkeypatch.setattr(blocks, "RANGES", 4)
     monkeypatch.setattr(vectors, "BROADCAST_ROWS", 5)
     assert pairs(vectors.similar_pairs(df, "id", "v", 0.3), "i", "j") == whole
     assert pairs(vectors.search(df, df, "id", "v", 0.3), "query", "candidate") == found
 
 
+def clouds(n, seed=0, dims=16, groups=12, spread=0.05):
+    """Vectors around a few directions, a few that are zero or repeated."""
+    rng = np.random.default_rng(seed)
+    mid = rng.normal(size=(groups, dims))
+    v = mid[rng.integers(0, groups, n)] + rng.normal(size=(n, dims)) * spread * rng.choice([0.5, 1, 6], n)[:, None]
+    v[::97] = 0
+    v[1::50] = v[2]
+    return v
+
+
+def unit(v):
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def frame(spark, v, first=0):
+    return spark.createDataFrame([(first + i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").repartition(4)
+
+
+@pytest.mark.parametrize("least", [0.95, 0.4, 0.0, -0.5])
+def test_blocks_by_pivots_lose_no_pair(spark, monkeypatch, least):
+    monkeypatch.setattr(blocks, "BLOCK", 40)
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", 10)
+    v = clouds(400)
+    sims = unit(v) @ unit(v).T
+    assert np.abs(sims - least).min() > 1e-12 or least == 0
+    want = [(i, j) for i in range(400) for j in range(i + 1, 400) if sims[i, j] >= least - 1e-12]
+    assert pairs(vectors.similar_pairs(frame(spark, v), "id", "v", least), "i", "j") == want
+
+
+def test_blocks_far_apart_never_meet(spark, monkeypatch):
+    df = frame(spark, clouds(6000, groups=30, spread=0.02))
+    put = blocks.put_in_blocks(df, "id", "v", blocks.choose_pivots(df, "id", "v"))
+    assert put.rows.count() == 6000 and put.rows.groupBy("b").count().count() == put.count
+    share = blocks.skipped(put, blocks.pairs_within(put, 0.9))
+    assert share > 0.5
+    assert blocks.skipped(put, blocks.pairs_within(put, 0.0)) == 0
+
+
+def test_more_queries_than_are_broadcast(spark):
+    v = clouds(11_000, groups=40, spread=0.03)
+    df = frame(spark, v)
+    found = vectors.search(df, df, "id", "v", 0.97)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    u = unit(v)
+    want = sum(int((u[a : a + 1000] @ u.T >= 0.97).sum()) for a in range(0, len(u), 1000))
+    assert abs(found.count() - want) <= 2  # sums of products in another order
+
+
+def test_nearest_of_more_centers_than_are_broadcast(spark, monkeypatch):
+    v, c = clouds(900, seed=4), clouds(120, seed=5, groups=25)
+    c[7] = c[90]  # a tie: the least number
+    df, centers = frame(spark, v), frame(spark, c).toDF("c", "centroid")
+    few = pairs(vectors.nearest(df, "id", "v", centers, "c", 0.5), "id", "cluster", "sim")
+    monkeypatch.setattr(vectors, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(blocks, "BLOCK", 30)
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", 10)
+    many = vectors.nearest(df, "id", "v", centers, "c", 0.5)
+    assert pairs(many, "id", "cluster", "sim") == few and len(few) == 900
+
+
+@pytest.mark.parametrize(("eps", "min_samples"), [(0.02, 3), (0.3, 2), (0.005, 5)])
+def test_dbscan_over_blocks_equals_plain(spark, monkeypatch, eps, min_samples):
+    monkeypatch.setattr(blocks, "BLOCK", 50)
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", 10)
+    v = clouds(350, seed=9)
+    hit = unit(v) @ unit(v).T >= 1 - eps - 1e-12
+    np.fill_diagonal(hit, False)
+    core = hit.sum(1) + (np.abs(v).sum(1) > 0) >= min_samples
+    root = np.where(core, np.arange(len(v)), -1)
+    while True:
+        near = np.where(hit & core[None] & core[:, None], root[None], len(v)).min(1)
+        new = np.where(core, np.minimum(root, near), -1)
+        if (new == root).all():
+            break
+        root = new
+    number = {r: i for i, r in enumerate(sorted(set(root[core])))}
+    want = [number[root[i]] if core[i] else min((number[root[j]] for j in np.flatnonzero(hit[i] & core)), default=-1) for i in range(len(v))]
+    assert pairs(vectors.dbscan(frame(spark, v), "id", "v", eps, min_samples), "id", "cluster") == list(enumerate(want))
+
+
+def test_stars_of_dense_blocks():
+    rng = np.random.default_rng(3)
+    for same in (True, False):
+        hit = rng.random((40, 40 if same else 30)) < 0.03
+        hit = hit | hit.T if same else hit
+        roots, members = blocks.stars(hit, same)
+        n = 40 if same else 70
+        label = np.arange(n)
+        for r, m in zip(roots, members, strict=True):
+            label[m] = r
+        edges = [(i, j if same else 40 + j) for i, j in zip(*np.nonzero(hit), strict=True)]
+        assert all(label[i] == label[j] for i, j in edges)
+        assert len(roots) < n and len(set(members)) == len(members)
+
+
 def test_search_order_and_threshold(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.707, 0.707]), (2, [0.0, 1.0])], "id long, v array<double>")
     got = vectors.search(df.where("id = 0"), df, "id", "v", 0.7).orderBy(F.desc("sim"), "candidate").collect()
