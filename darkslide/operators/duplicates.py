@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from darkslide.functions.measures import correlation
 from darkslide.operators.fingerprints import hamming, near_fingerprints
-from darkslide.operators.graph import connected_components
+from darkslide.operators.graph import ONE_TASK, connected_components
 from darkslide.operators.skew import beside, split_keys
 from darkslide.operators.timeline import seconds
 from darkslide.plans.session import materialize
@@ -165,6 +165,6 @@ def groups(df: DataFrame, key: str, digest: str, edges: DataFrame) -> DataFrame:
     """key, group_id of every row: exact copies and everything that edges (of representatives) tie together; the least key names it."""
     reps = df.select(key, digest_key(F.col(digest), F.col(key)).alias("_g"))
     least = reps.groupBy("_g").agg(F.min(key).alias("rep"))
-    parts = connected_components(edges).select(F.col("node").alias("rep"), "component")
+    parts = connected_components(edges, in_one_task=ONE_TASK).select(F.col("node").alias("rep"), "component")
     named = least.join(parts, "rep", "left").select("_g", F.coalesce("component", "rep").alias("group_id"))
     return reps.join(named, "_g").select(key, "group_id")

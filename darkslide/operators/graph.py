@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,13 +14,39 @@ from darkslide.plans.session import discard, materialize
 MAX_ROUNDS = 200
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+#: Edges that may be left to one task.
+ONE_TASK = 10_000
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """Stars (u, v: the least node) of edges of which there are few."""
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        up: dict = {}
+
+        def root(x: object) -> object:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for b in batches:
+            for u, v in zip(b["u"].tolist(), b["v"].tolist(), strict=True):
+                a, z = root(u), root(v)
+                up[max(a, z)] = min(a, z)
+        rows = [(x, root(x)) for x in list(up)]
+        yield pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["u", "v"])
+
+    return edges.coalesce(1).mapInPandas(join, edges.schema)
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", in_one_task: int = 0) -> DataFrame:
     """node, component (the least node of it) for every node that has an edge to another one.
 
     Large-star and small-star steps in turn: each node hands its larger, then its smaller neighbours
     to the least node it knows, until the edges are stars. Minima are taken by partial aggregation and joined back, so a
     node with very many neighbours is no single group. Each round is written to the shared folder in place of the one before.
-    Edges that aren't stars after MAX_ROUNDS rounds are an error, never an unfinished answer."""
+    Where at most in_one_task edges are left, one task joins them instead of more rounds. Edges that aren't stars after MAX_ROUNDS rounds are an error, never an unfinished answer."""
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
     e = materialize(e, "components")
     before = None
@@ -25,6 +54,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now[0] == 0 or now == before:
             break
+        if now[0] <= in_one_task:
+            last, e = e, materialize(_in_one_task(e), "components")
+            discard(last)
+            break
         before = now
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from darkslide.functions.measures import cosine
 from darkslide.operators.graph import connected_components
 from darkslide.operators.ranking import rank_in_large_groups
+from darkslide.operators.skew import split_keys
 
 
 def merge_clusters(faces: DataFrame, cluster: str, merges: DataFrame) -> DataFrame:
@@ -31,15 +32,19 @@ def split_cluster(faces: DataFrame, cluster: str, which: Column) -> DataFrame:
 def recovery_candidates(targets: DataFrame, faces: DataFrame, exclude_self: bool = False) -> DataFrame:
     """target, candidate: faces of the same person (else cluster) with open eyes and a like pose, smile and light.
 
-    An equi-join on person and on buckets of yaw as wide as the tolerance; a candidate is in one
-    bucket and a target asks three, so one much-seen person doesn't meet all of their faces."""
+    An equi-join on person and on cells of yaw, pitch and roll as wide as the tolerance; a candidate is in one
+    cell and a target asks the 27 around it. Cells that hold very many faces of a person are dealt over many tasks."""
     who = F.coalesce(F.concat(F.lit("p"), F.col("person_id")), F.concat(F.lit("c"), F.col("cluster_id")))
-    cols = ("yaw", "pitch", "roll", "smile", "lighting")
-    bucket = F.floor(F.col("yaw") / 12)
-    t = targets.select(who.alias("who"), F.col("face_id").alias("target"), *(F.col(c).alias(f"t_{c}") for c in cols), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    c = faces.where(F.col("eye_openness") >= 75).select(who.alias("who"), F.col("face_id").alias("candidate"), *(F.col(x).alias(f"c_{x}") for x in cols), bucket.alias("bucket"))
+    pose, cols = ("yaw", "pitch", "roll"), ("yaw", "pitch", "roll", "smile", "lighting")
+    cell = {x: F.floor(F.col(x) / 12) for x in pose}
+    t = targets.select(who.alias("who"), F.col("face_id").alias("target"), *(F.col(c).alias(f"t_{c}") for c in cols), *(cell[x].alias(f"_{x}") for x in pose))
+    for x in pose:
+        t = t.withColumn(f"_{x}", F.explode(F.array(*(F.col(f"_{x}") + d for d in (-1, 0, 1)))))
+    c = faces.where(F.col("eye_openness") >= 75).select(who.alias("who"), F.col("face_id").alias("candidate"), *(F.col(x).alias(f"c_{x}") for x in cols), *(cell[x].alias(f"_{x}") for x in pose))
+    on = ["who", *(f"_{x}" for x in pose)]
+    t, c = split_keys(t, c, on, F.xxhash64("candidate"))
     near = lambda x, most: F.abs(F.col(f"t_{x}") - F.col(f"c_{x}")) <= most
-    pairs = t.join(c, ["who", "bucket"]).where(near("yaw", 12) & near("pitch", 12) & near("roll", 12) & near("smile", 25) & near("lighting", 25))
+    pairs = t.join(c, [*on, "_salt"]).where(near("yaw", 12) & near("pitch", 12) & near("roll", 12) & near("smile", 25) & near("lighting", 25))
     if exclude_self:
         pairs = pairs.where(F.col("target") != F.col("candidate"))
     return pairs.select("target", "candidate")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from darkslide.plans.session import materialize
 
@@ -92,9 +93,31 @@ def percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float])
     return found.select(group, *((low(n) + (F.col(f"_hi_{n}") - low(n)) * (at[n] - F.floor(at[n]))).alias(n) for n in shares))
 
 
-def neighbours(df: DataFrame, key: list[str], order: list[Column], value: str, size: int, out: str = "neighbours") -> DataFrame:
-    """Values of up to `size` rows before and after each row, without its own, in order."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    before = F.collect_list(value).over(w.rowsBetween(-size, -1))
-    after = F.collect_list(value).over(w.rowsBetween(1, size))
-    return df.withColumn(out, F.concat(before, after))
+def neighbours(df: DataFrame, key: list[str], order: list[str], value: str, size: int, out: str = "neighbours") -> DataFrame:
+    """Values of up to `size` rows before and after each row of its group (key), without its own, in order.
+
+    Rows are dealt by range of group and order, and the last and first `size` rows of each part are copied to the parts beside it, so a
+    group that holds most rows is no single task. What the driver sees is these few rows of each part."""
+    spark, names = df.sparkSession, [*key, *order]
+    dealt = deal_by_group(df, key, [F.col(c) for c in order])
+    edge = ["_part", *dict.fromkeys([*names, value])]
+    ends = []
+    for turn in (lambda c: F.col(c).asc(), lambda c: F.col(c).desc()):
+        placed = dealt.select(*edge, F.row_number().over(Window.partitionBy("_part").orderBy(*map(turn, names))).alias("_n"))
+        by: dict[int, list] = {}
+        for r in placed.where(F.col("_n") <= size).orderBy("_part", "_n").collect():
+            by.setdefault(r["_part"], []).append(tuple(r)[1:-1])
+        ends.append(by)
+    first, last = ends
+    parts, copies = sorted(first), []
+    for ahead, there in ((False, parts), (True, parts[::-1])):
+        near: list = []  # rows next to a part, the nearest first; a part of few rows lets those beyond it through
+        for p in there:
+            copies += [(p, *row) for row in near]
+            near = [*(first if ahead else last)[p], *near][:size]
+    schema = T.StructType([T.StructField("_part", T.IntegerType()), *(dealt.schema[c] for c in edge[1:])])
+    halo = spark.createDataFrame(copies, T.StructType([T.StructField(f.name, f.dataType) for f in schema])).withColumn("_copy", F.lit(True))
+    every = dealt.withColumn("_copy", F.lit(False)).unionByName(halo, allowMissingColumns=True)
+    w = Window.partitionBy("_part", *key).orderBy(*order)
+    around = F.concat(F.collect_list(value).over(w.rowsBetween(-size, -1)), F.collect_list(value).over(w.rowsBetween(1, size)))
+    return every.withColumn(out, around).where("not _copy").drop("_part", "_copy")

@@ -17,10 +17,11 @@ def beside(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -
     return rows.join(F.broadcast(few) if small else few, on, how)
 
 
-def split_keys(a: DataFrame, b: DataFrame, on: list[str], spread: Column, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def split_keys(a: DataFrame, b: DataFrame, on: list[str], spread: Column, hot: int | None = None) -> tuple[DataFrame, DataFrame]:
     """a and b with one more column, _salt, to join by: rows of b of a key with over `hot` of them are dealt (by `spread`, a hash of what
     tells them apart) over as many salts as it takes, and rows of a of that key are copied to each. Keys are counted beforehand; where none is
     hot the salt is 0."""
+    hot = hot or HOT
     heavy = b.groupBy(*on).count().where(F.col("count") > hot).select(*on, F.ceil(F.col("count") / hot).cast("int").alias("_salts"))
     if heavy.isEmpty():
         return a.withColumn("_salt", F.lit(0)), b.withColumn("_salt", F.lit(0))

@@ -80,7 +80,7 @@ def w10(spark, d):
 
 @query("w11_neighbours", "SELECT event_id, array_to_string(list_concat(list(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), list(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)), ',') AS neighbours FROM events")
 def w11(spark, d):
-    t = ranking.neighbours(table(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], "event_id", 3)
+    t = ranking.neighbours(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_id", 3)
     return t.select("event_id", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
 
 

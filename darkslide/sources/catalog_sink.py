@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkslide.operators.ranking import rank_in_large_groups
-from darkslide.plans.session import drop_path, new_path
+from darkslide.operators.ranking import deal_by_group, rank_in_large_groups, running_total
+from darkslide.plans.session import drop_path, materialize, new_path
 from darkslide.sources.catalog_source import COLOR_CLASS
 
 
@@ -142,23 +142,30 @@ def audit(total: int, routed: DataFrame, categories: DataFrame) -> DataFrame:
 def move_plan(df: DataFrame, name: str, key: str, taken: DataFrame | None = None) -> DataFrame:
     """df with target: name, name_1, name_2 ... so that no two rows and no file in `taken` (column name) clash.
 
-    A made name may be the own name of another row or a taken one; numbers in use so are passed over."""
+    A made name may be the own name of another row or a taken one; numbers in use so are passed over: before the j-th number in use, u, lie u - j free
+    ones, so the i-th free number is i and the count of those j with u - j < i. That count is a running total over rows and numbers
+    in one order, dealt over all tasks, so neither a name nor its numbers have to fit anywhere."""
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
     ext = F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    own = df.select(F.col(name).alias("_n")).distinct()
-    full = own if taken is None else own.union(taken.select("name")).distinct()
-    blocked = full.select(F.regexp_extract("_n", r"^(.*)_(\d+)(\.[^.]*)?$", 1).alias("_s"), F.regexp_extract("_n", r"^(.*)_(\d+)(\.[^.]*)?$", 2).try_cast("int").alias("_k"), F.regexp_extract("_n", r"^(.*)_(\d+)(\.[^.]*)?$", 3).alias("_e")).where("_k is not null")
-    gone = blocked.groupBy("_s", "_e").agg(F.sort_array(F.collect_set("_k")).alias("_used"))
+    group, at = ["_s", "_e"], ["_at", "_used"]
     numbered = rank_in_large_groups(df.withColumns({"_s": stem, "_e": ext}), [name], [F.col(key)], "_i")  # one name may be that of most rows
-    ranked = numbered.withColumn("_i", (F.col("_i") - 1).cast("int"))
+    numbered = numbered.withColumn("_i", F.col("_i") - 1)
+    own = df.select(F.col(name).alias("_n")).distinct()
     if taken is not None:
-        t = taken.select(F.col("name").alias(name), F.lit(1).alias("_t")).distinct()
-        ranked = ranked.join(t, name, "left").withColumn("_i", F.col("_i") + F.coalesce("_t", F.lit(0))).drop("_t")
-    joined = ranked.join(gone, ["_s", "_e"], "left")
-    # number i goes to the i-th positive number that no existing name uses
-    shifted = F.aggregate(F.coalesce("_used", F.array().cast("array<int>")), F.col("_i"), lambda n, u: F.when((u >= 1) & (u <= n) & (n > 0), n + 1).otherwise(n))
-    target = F.when(F.col("_i") == 0, F.col(name)).otherwise(F.concat("_s", F.lit("_"), shifted, "_e"))
-    return joined.withColumn("target", target).drop("_s", "_e", "_i", "_used")
+        t = taken.select(F.col("name").alias("_n")).distinct()
+        numbered = numbered.join(t.select(F.col("_n").alias(name), F.lit(1).alias("_t")), name, "left").withColumn("_i", F.col("_i") + F.coalesce("_t", F.lit(0))).drop("_t")
+        own = own.union(t).distinct()
+    numbered = materialize(numbered, "moves")
+    again = numbered.where("_i > 0")
+    pattern = r"^(.*)_(\d+)(\.[^.]*)?$"
+    parts = own.select(*(F.regexp_extract("_n", pattern, i).alias(c) for i, c in ((1, "_s"), (2, "_k"), (3, "_e")))).withColumn("_k", F.col("_k").try_cast("long"))
+    used = parts.where("_k > 0").distinct().join(again.select(*group).distinct(), group, "left_semi")
+    free = rank_in_large_groups(used, group, [F.col("_k")], "_j").select(*group, (F.col("_k") - F.col("_j")).alias("_at"), F.lit(1).alias("_used"))
+    mixed = again.withColumns({"_at": F.col("_i"), "_used": F.lit(0)}).unionByName(free, allowMissingColumns=True)
+    order = [F.col(c) for c in at]
+    counted = running_total(deal_by_group(mixed, group, order), group, order, F.col("_used"), "_shift").where("_used = 0")
+    made = counted.withColumn("target", F.concat("_s", F.lit("_"), F.col("_i") + F.col("_shift"), "_e"))
+    return numbered.where("_i = 0").select(*df.columns, F.col(name).alias("target")).unionByName(made.select(*df.columns, "target"))
 
 
 # Rating and label by preset, scene (null: any) and highlight, the first that holds.

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from darkslide.operators import vectors
 from darkslide.operators.timeline import seconds
@@ -26,6 +28,38 @@ def source(spark: SparkSession, path: str, files_per_trigger: int | None = None)
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+class DroppedRows(StreamingQueryListener):
+    """Counts the rows that come behind the watermark in every batch of a query; a query itself remembers its last batches only."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.changed = threading.Condition()
+        self.over: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        with self.changed:
+            self.rows[str(p.runId)] = self.rows.get(str(p.runId), 0) + sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+
+    def onQueryTerminated(self, event) -> None:
+        with self.changed:
+            self.over.add(str(event.runId))
+            self.changed.notify_all()
+
+    def of(self, run: str, patience: float = 600) -> int:
+        """Rows of a run that has ended, once its last event is here."""
+        with self.changed:
+            if not self.changed.wait_for(lambda: str(run) in self.over, patience):
+                raise TimeoutError(f"no end of the query {run} was reported")
+            return self.rows.get(str(run), 0)
+
+
 def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None, put: Callable[[DataFrame, int], None] | None = None, target: str | None = None) -> DataFrame | None:
     """Run a stream to the end of its source. Without `put` every batch is written as its own folder of
     `target`; a batch that is run again after a failure overwrites its own folder, so nothing is doubled. Rows that come
@@ -36,9 +70,14 @@ def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or new_path(spark, "checkpoint")).trigger(availableNow=True).foreachBatch(put or write).start()
-    q.awaitTermination()
-    late = sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
+    dropped = DroppedRows()
+    spark.streams.addListener(dropped)
+    try:
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or new_path(spark, "checkpoint")).trigger(availableNow=True).foreachBatch(put or write).start()
+        q.awaitTermination()
+        late = dropped.of(q.runId)
+    finally:
+        spark.streams.removeListener(dropped)
     if late:
         raise ValueError(f"{late} rows came behind the watermark; read the files in one batch or in order of time")
     if put:
@@ -150,22 +189,27 @@ def burst_pairs(a: DataFrame, b: DataFrame, key: str, by: str, ts: str, gap: int
     return joined.where((seconds("b_ts") > seconds("a_ts")) | (F.col("dst") > F.col("src"))).select("src", "dst")
 
 
-def online_clusters(stream: DataFrame, key: str, vec: str, centers: DataFrame, group: str, target: str, least: float, eps: float) -> None:
+def online_clusters(stream: DataFrame, key: str, vec: str, centers: DataFrame, group: str, target: str, least: float, eps: float, checkpoint: str | None = None) -> None:
     """Assign each batch against the centroids of the version before; new clusters join the next version. Versions
-    hold sums and counts, so a centroid moves by the running mean."""
+    hold sums and counts, so a centroid moves by the running mean.
+
+    A batch reads the version before it and writes its own, so one that is run again after a failure gives the same; versions before these two are
+    dropped. Started again on its checkpoint and target, the job goes on with the version of its last batch. Centroids are a table and not state
+    by key, since every row has to see all of them and what it joins feeds back into them."""
     spark = stream.sparkSession
-    start = centers.select(F.col(group).cast("long").alias("cluster"), F.col("centroid").alias("sum"), F.lit(1).cast("long").alias("n"))
-    start.write.mode("overwrite").parquet(f"{target}/centers/version=-1")
+    if not checkpoint or not _numbers(spark, f"{target}/centers"):
+        start = centers.select(F.col(group).cast("long").alias("cluster"), F.col("centroid").alias("sums"), F.lit(1).cast("long").alias("faces"))
+        start.write.mode("overwrite").parquet(f"{target}/centers/version=-1")
 
     def put(batch: DataFrame, epoch: int) -> None:
         old = spark.read.parquet(f"{target}/centers/version={epoch - 1}")
-        named = vectors.assign(batch, key, vec, old.select("cluster", F.col("sum").alias("centroid")), "cluster", least, eps)
+        named = vectors.assign(batch, key, vec, old.select("cluster", F.col("sums").alias("centroid")), "cluster", least, eps)
         named.write.mode("overwrite").parquet(f"{target}/assigned/epoch={epoch}")
         done = spark.read.parquet(f"{target}/assigned/epoch={epoch}")
-        cells = batch.join(done.select(key, "cluster"), key).select("cluster", F.posexplode(vec).alias("pos", "x"))
-        added = cells.union(old.select("cluster", F.posexplode("sum"))).groupBy("cluster", "pos").agg(F.sum(F.col("x").cast("double")).alias("s"))
-        sums = added.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("sum"))
-        counts = done.select("cluster", F.lit(1).cast("long").alias("n")).union(old.select("cluster", "n")).groupBy("cluster").agg(F.sum("n").alias("n"))
-        sums.join(counts, "cluster").write.mode("overwrite").parquet(f"{target}/centers/version={epoch}")
+        added = vectors.cluster_sums(batch.join(done.select(key, "cluster"), key), "cluster", vec)
+        vectors.moved(old, added, "cluster").select("cluster", "sums", "faces").write.mode("overwrite").parquet(f"{target}/centers/version={epoch}")
+        for e in _numbers(spark, f"{target}/centers"):
+            if e < epoch - 1:
+                drop_path(spark, f"{target}/centers/version={e}")
 
-    drain(stream.select(key, vec), "append", None, put)
+    drain(stream.select(key, vec), "append", checkpoint, put)

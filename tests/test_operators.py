@@ -1,10 +1,16 @@
 """Operators on small tables with known answers, and against brute force."""
 
+import os
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from darkslide.operators import blocks, cull, duplicates, fingerprints, graph, identity, ranking, skew, timeline, vectors
+from darkslide.operators.sums import vector_sums
+from darkslide.plans.session import child_names
 from darkslide.sources import catalog_sink as K
 from darkslide.sources import catalog_source as S
 from darkslide.streaming import jobs
@@ -329,7 +335,7 @@ def test_rank_all_over_many_parts(spark):
 
 def test_neighbours(spark):
     df = spark.range(5).withColumn("k", F.lit(1))
-    got = {r.id: r.neighbours for r in ranking.neighbours(df, ["k"], [F.col("id")], "id", 2).collect()}
+    got = {r.id: r.neighbours for r in ranking.neighbours(df, ["k"], ["id"], "id", 2).collect()}
     assert got[0] == [1, 2] and got[2] == [0, 1, 3, 4]
 
 
@@ -559,6 +565,63 @@ def test_move_plan_passes_over_names_in_use(spark):
     assert got == {1: "a.jpg", 2: "a_2.jpg", 3: "a_3.jpg", 4: "a_1.jpg", 5: "b_2.jpg"}
 
 
+def test_move_plan_of_one_name_and_as_many_numbers_in_use(spark):
+    """100,000 rows of one name, and 100,000 that use every other number after it."""
+    n = 100_000
+    df = spark.range(n).select("id", F.lit("a.jpg").alias("name")).union(spark.range(n).select(F.col("id") + n, F.concat(F.lit("a_"), F.col("id") * 2 + 1, F.lit(".jpg"))))
+    made = K.move_plan(df, "name", "id").cache()
+    assert made.select("target").distinct().count() == made.count() == 2 * n
+    assert made.where(f"id >= {n} and target <> name").count() == 0
+    # row i of the name gets the i-th even number
+    assert made.where(f"id < {n} and id > 0 and target <> concat('a_', id * 2, '.jpg')").count() == 0
+    assert "array" not in made.select("target")._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_move_plan_equals_plain(spark):
+    rng = np.random.default_rng(7)
+    names = [rng.choice(["a.jpg", "b.png", "a_1.jpg", "a_3.jpg", "a_2", "a", "a_4.jpg", "b_2.png", "x_1_1.c", "x_1.c"]) for _ in range(120)]
+    taken = ["a.jpg", "a_5.jpg", "b_1.png", "x_1.c"]
+    in_use = {*names, *taken}
+    want, count = {}, {}
+    for i, name in enumerate(names):
+        k = count[name] = count.get(name, -1 + (name in taken)) + 1
+        stem, dot, ext = name.rpartition(".")
+        stem, ext = (stem, dot + ext) if dot else (name, "")
+        free = (j for j in range(1, 10**6) if f"{stem}_{j}{ext}" not in in_use)
+        want[i] = name if k == 0 else f"{stem}_{[next(free) for _ in range(k)][-1]}{ext}"
+    df = spark.createDataFrame([(i, str(n), 1) for i, n in enumerate(names)], "id long, name string, place int").repartition(5)
+    got = K.move_plan(df, "name", "id", spark.createDataFrame([(t,) for t in taken], "name string"))
+    assert got.columns == ["id", "name", "place", "target"]
+    assert {r.id: r.target for r in got.collect()} == want
+
+
+@pytest.mark.parametrize(("rows", "parts"), [(400, "7"), (10, "8")])
+def test_neighbours_of_one_user_with_all_rows(spark, rows, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.range(rows).select("id", F.when(F.col("id") % 10 < 9, 1).when(F.col("id") % 20 < 10, 2).alias("u"))
+        got = {r.id: r.neighbours for r in ranking.neighbours(df, ["u"], ["id"], "id", 3).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for u in (1, 2, None):
+        own = [i for i in range(rows) if (1 if i % 10 < 9 else 2 if i % 20 < 10 else None) == u]
+        for at, i in enumerate(own):
+            assert got[i] == own[max(0, at - 3) : at] + own[at + 1 : at + 4]
+    assert len(got) == rows
+
+
+def test_recovery_of_a_person_with_most_faces(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT", 30)
+    rng = np.random.default_rng(3)
+    rows = [(i, 1 if i % 3 else i, 5, int(rng.integers(0, 101)), *(int(x) for x in rng.integers(-30, 31, 3)), *(int(x) for x in rng.integers(30, 71, 2))) for i in range(600)]
+    df = spark.createDataFrame(rows, "face_id long, person_id long, cluster_id long, eye_openness int, yaw int, pitch int, roll int, smile int, lighting int")
+    most = (12, 12, 12, 25, 25)
+    want = sorted((t[0], c[0]) for t in rows if t[0] % 10 == 0 for c in rows if c[1] == t[1] and c[3] >= 75 and all(abs(a - b) <= m for a, b, m in zip(t[4:], c[4:], most, strict=True)))
+    found = identity.recovery_candidates(df.where("face_id % 10 = 0"), df)
+    assert pairs(found, "target", "candidate") == want and want
+
+
 def test_presets(spark):
     df = spark.createDataFrame([("Portraits", False), ("Ceremony", True), (None, None)], "scene string, is_highlight boolean")
     assert pairs(K.with_preset(df, "Wedding"), "rating", "label") == [(2, "None"), (4, "Blue"), (5, "Red")]
@@ -656,5 +719,66 @@ def test_online_clusters_equal_plain_steps(spark, tmp_path):
         for k in batch:
             c = got[k][0]
             sums[c], n[c] = sums.get(c, np.zeros(6)) + vecs[k], n.get(c, 0) + 1
-    last = {r.cluster: (r.sum, r.n) for r in spark.read.parquet(f"{target}/centers/version=2").collect()}
+    last = {r.cluster: (r.sums, r.faces) for r in spark.read.parquet(f"{target}/centers/version=2").collect()}
+    assert child_names(spark, f"{target}/centers") == ["version=1", "version=2"]
     assert {c: x[1] for c, x in last.items()} == n and all(np.allclose(last[c][0], sums[c]) for c in sums)
+
+
+def test_online_clusters_go_on_from_their_checkpoint(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    src, target, mark = (str(tmp_path / x) for x in ("src", "out", "mark"))
+    vecs = [(np.eye(5)[i % 5] + rng.normal(0, 0.03, 5)).tolist() for i in range(30)]
+    centers = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0, 0.0])], "c long, centroid array<double>")
+    for part in range(3):  # stopped after each part
+        spark.createDataFrame([(j, vecs[j]) for j in range(part * 10, part * 10 + 10)], "id long, v array<double>").coalesce(1).write.mode("append").parquet(src)
+        jobs.online_clusters(jobs.source(spark, src, 1), "id", "v", centers, "c", target, 0.75, 0.25, mark)
+    got = {r.id: r.cluster for r in spark.read.parquet(f"{target}/assigned").collect()}
+    assert len(got) == 30 and all((got[a] == got[b]) == (a % 5 == b % 5) for a in got for b in got)
+    last = {r.cluster: r.faces for r in spark.read.parquet(f"{target}/centers/version=2").collect()}
+    assert last == {got[i]: 6 + (got[i] == 0) for i in range(5)}
+
+
+def test_late_rows_of_many_batches_are_an_error(spark, tmp_path):
+    """One row comes late in the fourth of 104 batches: the query itself no longer knows at the end."""
+    src = str(tmp_path / "src")
+    (tmp_path / "src").mkdir()
+    for i in range(104):
+        t = 10_000 + i * 100 if i != 3 else 5
+        pq.write_table(pa.table({"user": [1], "ts": pa.array([t * 1_000_000], pa.timestamp("us"))}), f"{src}/{i:04d}.parquet")
+        os.utime(f"{src}/{i:04d}.parquet", (1_700_000_000 + i * 10, 1_700_000_000 + i * 10))
+    before = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "20")
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        with pytest.raises(ValueError, match="^1 rows came behind"):
+            jobs.drain(jobs.sessions(jobs.source(spark, src, 1), "user", "ts", delay="1 minute"))
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", before)
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+
+
+def test_vector_sums_of_hot_and_ragged_groups(spark, monkeypatch):
+    from darkslide.operators import sums
+
+    rng = np.random.default_rng(2)
+    rows = [(None if i % 11 == 0 else "hot" if i % 3 else f"g{i}", None if i % 50 == 7 else [None if i % 40 == 3 else float(x) for x in rng.normal(size=3 + i % 2)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, v array<float>").repartition(9)
+    got = {r.g: r for r in vector_sums(df, "g", "v").collect()}
+    assert set(got) == {g for g, _ in rows}
+    for g, r in got.items():
+        own = [v for x, v in rows if x == g]
+        assert r.n == len(own)
+        for p in range(4):
+            known = [v[p] for v in own if v is not None and len(v) > p and v[p] is not None]
+            if p < len(r.counts):
+                assert r.counts[p] == len(known) and r.sums[p] == pytest.approx(sum(known), abs=1e-4)
+            else:
+                assert not known
+    assert vector_sums(df.limit(0), "g", "v").collect() == []
+
+
+@pytest.mark.parametrize("edges", [[(1, 2), (2, 3), (9, 8), (5, 5), (3, 1)], [(i, i + 1) for i in range(40)], []])
+def test_components_in_one_task_are_the_same(spark, edges):
+    df = spark.createDataFrame(edges, "src long, dst long")
+    assert pairs(graph.connected_components(df, in_one_task=100), "node", "component") == pairs(graph.connected_components(df), "node", "component")
