@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from darkslide.operators.skew import beside
 from darkslide.plans.session import discard, materialize
 
 #: The number of rounds grows with the logarithm of the longest path; more than these means a defect.
@@ -70,3 +71,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", i
         raise RuntimeError(f"edges are not stars after {MAX_ROUNDS} rounds")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def grown_components(known: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst", in_one_task: int = 0) -> DataFrame:
+    """node, component of the nodes that are new or whose component changes when edges come to known components (node, component).
+
+    The ends of new edges are replaced by their components, so what is joined is as large as the new edges, however large the graph is; the
+    least node of a component names it, before and after. All other nodes stay as they are: put the result in their place (`upsert`)."""
+    named = lambda t, end: t.join(known.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+    ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b").distinct()
+    contracted = named(named(ends, "a"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    parts = materialize(connected_components(contracted, "a", "b", in_one_task).withColumnRenamed("component", "_to"), "grown")
+    moved = beside(known, parts.where("node <> _to").select(F.col("node").alias("component"), "_to"), ["component"]).select("node", F.col("_to").alias("component"))
+    new = parts.join(known.select("node"), "node", "left_anti").select("node", F.col("_to").alias("component"))
+    return moved.unionByName(new)

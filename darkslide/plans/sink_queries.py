@@ -9,25 +9,69 @@ from darkslide.plans.cull_queries import BEST, verdicts
 from darkslide.plans.fixtures import face_rows, photo_rows, photos, sql_views, table
 from darkslide.plans.registry import query
 from darkslide.plans.session import new_path
+from darkslide.sources import bucketed
 from darkslide.sources import catalog_sink as K
 
 SCENE = "CASE WHEN n IS NULL THEN 'Details/Decor' WHEN n<=2 THEN 'General' WHEN n<=6 AND s>60 THEN 'Reception' WHEN n<=6 THEN 'Ceremony' WHEN s>55 THEN 'Dance Floor' ELSE 'Ceremony' END"
 SCENES = sql_views("v_face", "v_photo") + f", sc AS (SELECT photo_id, {SCENE} AS scene FROM v_photo LEFT JOIN (SELECT photo_id, count(*) AS n, sum(smile)::DOUBLE/count(*) AS s FROM v_face GROUP BY photo_id) USING (photo_id))"
 
 
-@query("k01_upsert", "SELECT doc_id, source, n_chars FROM documents WHERE doc_id%6<>0 UNION ALL SELECT doc_id, 'updated', n_chars+1 FROM documents WHERE doc_id%6=0 UNION ALL SELECT doc_id+10000000, 'added', n_chars FROM documents WHERE doc_id%50=1")
+_K01 = "SELECT doc_id, source, n_chars FROM documents WHERE doc_id%6<>0 UNION ALL SELECT doc_id, 'updated', n_chars+1 FROM documents WHERE doc_id%6=0 UNION ALL SELECT doc_id+10000000, 'added', n_chars FROM documents WHERE doc_id%50=1"
+
+
+@query("k01_upsert", _K01)
 def k01(spark, d):
+    return K.upsert(*catalog_and_updates(spark, d), "doc_id")
+
+
+@query("k01_bucketed_upsert", _K01)
+def k01_bucketed(spark, d):
+    t, updates = catalog_and_updates(spark, d)
+    return written(spark, t, "doc_id", lambda path: bucketed.upsert_into(spark, path, updates))
+
+
+def catalog_and_updates(spark, d):
     t, k = table(spark, d, "documents").select("doc_id", "source", "n_chars"), F.col("doc_id")
     changed = t.where(k % 6 == 0).select("doc_id", F.lit("updated").alias("source"), (F.col("n_chars") + 1).alias("n_chars"))
     added = t.where(k % 50 == 1).select((k + 10_000_000).alias("doc_id"), F.lit("added").alias("source"), "n_chars")
-    return K.upsert(t, changed.union(added), "doc_id")
+    return t, changed.union(added)
+
+
+def written(spark, t, key, change):
+    """The table in buckets in the shared folder, after a change."""
+    path = new_path(spark, "bucketed")
+    bucketed.create(t, path, key, 16)
+    change(path)
+    return bucketed.read(spark, path)
+
 
+_K02 = sql_views("v_face") + " SELECT photo_id, face_id, confidence_pct FROM v_face WHERE photo_id%10<>0 UNION ALL SELECT photo_id, face_id, 99 FROM v_face WHERE photo_id%10=0 AND face_pos=1 AND photo_id%20=0"
 
-@query("k02_replace_children", sql_views("v_face") + " SELECT photo_id, face_id, confidence_pct FROM v_face WHERE photo_id%10<>0 UNION ALL SELECT photo_id, face_id, 99 FROM v_face WHERE photo_id%10=0 AND face_pos=1 AND photo_id%20=0")
+
+@query("k02_replace_children", _K02)
 def k02(spark, d):
+    children, new, parents = children_and_new(spark, d)
+    return K.replace_children(children, new, parents, "photo_id")
+
+
+@query("k02_bucketed_children", _K02)
+def k02_bucketed(spark, d):
+    children, new, parents = children_and_new(spark, d)
+    return written(spark, children, "photo_id", lambda path: bucketed.replace_children_in(spark, path, new, parents))
+
+
+def children_and_new(spark, d):
     f = face_rows(spark, d).select("photo_id", "face_id", F.col("confidence_pct").cast("long").alias("confidence_pct"), "face_pos")
     new = f.where("photo_id % 20 = 0 and face_pos = 1").select("photo_id", "face_id", F.lit(99).cast("long").alias("confidence_pct"))
-    return K.replace_children(f.drop("face_pos"), new, f.where("photo_id % 10 = 0"), "photo_id")
+    return f.drop("face_pos"), new, f.where("photo_id % 10 = 0")
+
+
+@query("k03_bucketed_cascade", sql_views("v_face") + " SELECT face_id, cluster_id, photo_id FROM v_face WHERE photo_id%6<>0")
+def k03_bucketed(spark, d):
+    """Faces of removed photos are deleted from the written table."""
+    f = face_rows(spark, d).select("face_id", "cluster_id", "photo_id")
+    gone = photo_rows(spark, d).where("photo_id % 6 = 0")
+    return written(spark, f, "photo_id", lambda path: bucketed.delete_from(spark, path, gone))
 
 
 @query("k03_cascade", sql_views("v_face") + " SELECT face_id, CASE WHEN cluster_id%7=0 THEN NULL ELSE cluster_id END AS cluster_id FROM v_face WHERE photo_id%6<>0")
@@ -59,6 +103,14 @@ def k05(spark, d):
     return delivery(spark, d).select("photo_id", K.subfolder("scenes").alias("by_scene"), K.subfolder("highlights").alias("by_highlight"), K.subfolder("persons").alias("by_person"))
 
 
+@query("k05_delivered", SCENES + " SELECT photo_id, CASE WHEN photo_id%8=0 THEN 'General' ELSE scene END AS subfolder FROM v_photo JOIN sc USING (photo_id)")
+def k05_delivered(spark, d):
+    """The delivery by scenes as it was written, a folder for each, read back from these folders."""
+    path = new_path(spark, "delivery")
+    K.deliver(delivery(spark, d), "scenes", path)
+    return spark.read.parquet(path).select("photo_id", F.col("subfolder").cast("string").alias("subfolder"))
+
+
 @query("k06_sidecar_fields", """SELECT photo_id, rating, label, CASE label WHEN 'Red' THEN '1' WHEN 'Blue' THEN '5' ELSE '0' END AS colorclass, CASE WHEN rej THEN -1 WHEN rating>=3 THEN 1 ELSE 0 END AS pick, CASE WHEN rej THEN 'false' ELSE 'true' END AS good,
  CASE WHEN rej THEN 'False' WHEN rating>=3 THEN 'True' ELSE 'False' END AS tagged FROM (SELECT o_orderkey AS photo_id, (o_orderkey%6)::INTEGER AS rating, CASE WHEN o_orderkey%3=0 THEN 'Red' WHEN o_orderkey%3=1 THEN 'Blue' ELSE '' END AS label, o_orderkey%4=0 AS rej FROM orders)""")
 def k06(spark, d):

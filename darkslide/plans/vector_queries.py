@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from darkslide.functions import measures as M
-from darkslide.operators import duplicates, vectors
+from darkslide.operators import duplicates, graph, vectors
 from darkslide.plans.aggregate_queries import items
 from darkslide.plans.fixtures import table
 from darkslide.plans.registry import query
 from darkslide.plans.session import materialize
+from darkslide.sources.catalog_sink import upsert
 
 V = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
 NEXT = f"WITH {V}, n AS (SELECT a.vec_id, a.e AS a, b.e AS b FROM v a JOIN v b ON b.vec_id=a.vec_id+1)"
@@ -154,6 +155,16 @@ def g01(spark, d):
     return duplicates.groups(items(spark, d), "doc_id", "digest", edges)
 
 
+@query("g01_grown_components", f"""WITH RECURSIVE f AS ({FP}), r AS (SELECT fp, min(doc_id) AS rep FROM f GROUP BY fp), e AS (SELECT a.rep AS s, b.rep AS t FROM r a JOIN r b ON a.rep<>b.rep AND bit_count(xor(a.fp,b.fp))<=3),
+w(a, b) AS (SELECT DISTINCT s, s FROM e UNION SELECT w.a, e.t FROM w JOIN e ON e.s=w.b) SELECT a AS node, min(b) AS component FROM w GROUP BY a""")
+def g01_grown(spark, d):
+    """Components of the edges among two thirds of the documents, to which those of the others then come."""
+    edges = materialize(duplicates.band_edges(prints(spark, d), "doc_id", "fp", 3), "edges")
+    there = (F.col("src") % 3 > 0) & (F.col("dst") % 3 > 0)
+    known = materialize(graph.connected_components(edges.where(there), in_one_task=graph.ONE_TASK), "components")
+    return upsert(known, graph.grown_components(known, edges.where(~there), in_one_task=graph.ONE_TASK), "node")
+
+
 EPS = 0.63
 _EDGE = f"e2 AS (SELECT a.vec_id AS s, b.vec_id AS t FROM v a JOIN v b ON a.vec_id<>b.vec_id AND list_cosine_similarity(a.e,b.e)>={1 - EPS:.2f}-1e-12)"
 

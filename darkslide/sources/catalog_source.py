@@ -101,6 +101,18 @@ def read_sidecars(df: DataFrame, xml: str) -> DataFrame:
     ).drop(parsed, found)
 
 
+def pictures_with_sidecars(spark: SparkSession, folder: str) -> DataFrame:
+    """path, modified, size, sidecar_path, has_sidecar, sidecar of the picture files below a folder: one listing, of which the contents of
+    sidecar files alone are read. A sidecar is <stem>.xmp, else <file>.xmp, beside its picture."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    there = files.select(F.col("path").alias("file"))
+    pictures = sidecar_paths(list_files(spark, folder), there, "path").withColumnRenamed("sidecar", "sidecar_path")
+    written = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xmp").load(folder)
+    texts = written.select(F.col("path").alias("sidecar_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("_xml"))
+    both = pictures.join(texts, "sidecar_path", "left").withColumn("has_sidecar", F.col("_xml").isNotNull())
+    return read_sidecars(both, "_xml").select("path", "modified", "size", "sidecar_path", "has_sidecar", "sidecar")
+
+
 def normalized_tags(df: DataFrame) -> DataFrame:
     """Camera tags (columns by tag name) to camera, lens, iso, aperture, taken; the first tag that is set counts."""
     parts = F.split("f_number", "/")

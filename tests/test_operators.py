@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from darkslide.operators import blocks, cull, duplicates, fingerprints, graph, identity, ranking, skew, timeline, vectors
 from darkslide.operators.sums import vector_sums
 from darkslide.plans.session import child_names
+from darkslide.sources import bucketed
 from darkslide.sources import catalog_sink as K
 from darkslide.sources import catalog_source as S
 from darkslide.streaming import jobs
@@ -782,3 +783,63 @@ def test_vector_sums_of_hot_and_ragged_groups(spark, monkeypatch):
 def test_components_in_one_task_are_the_same(spark, edges):
     df = spark.createDataFrame(edges, "src long, dst long")
     assert pairs(graph.connected_components(df, in_one_task=100), "node", "component") == pairs(graph.connected_components(df), "node", "component")
+
+
+def bucket_files(path):
+    return {str(f.relative_to(path)) for f in path.glob("_bucket=*/*.parquet")}
+
+
+def test_bucketed_table_rewrites_touched_buckets_only(spark, tmp_path):
+    path = tmp_path / "t"
+    rows = {i: f"v{i}" for i in range(400)}
+    bucketed.create(spark.createDataFrame(list(rows.items()), "id long, v string"), str(path), "id", 8)
+    before = bucket_files(path)
+
+    def check(hit, now):
+        nonlocal before
+        after = bucket_files(path)
+        of = lambda files: {f for f in files if int(f.split("/")[0].split("=")[1]) not in hit}
+        assert of(after) == of(before) and (not hit or after != before)
+        before = after
+        assert pairs(bucketed.read(spark, str(path)), "id", "v") == sorted(now)
+
+    hit = bucketed.upsert_into(spark, str(path), spark.createDataFrame([(5, "new"), (900, "added")], "id long, v string"))
+    rows |= {5: "new", 900: "added"}
+    assert 1 <= len(hit) <= 2
+    check(hit, rows.items())
+    hit = bucketed.replace_children_in(spark, str(path), spark.createDataFrame([("a", 7), ("b", 7)], "v string, id long"), spark.createDataFrame([(7,), (8,)], "id long"))
+    now = [x for x in rows.items() if x[0] not in (7, 8)] + [(7, "a"), (7, "b")]
+    check(hit, now)
+    one = bucketed.change(spark, str(path), spark.createDataFrame([(7,)], "id long"), lambda r: r)[0]
+    check([one], now)
+    everything = bucketed.read(spark, str(path)).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(8))).where(F.col("b") == one)
+    hit = bucketed.delete_from(spark, str(path), everything.select("id"))  # a bucket that is left empty
+    assert hit == [one] and not list(path.glob(f"_bucket={one}/*.parquet"))
+    check(hit, [x for x in now if x[0] not in {r.id for r in spark.createDataFrame([(i,) for i, _ in now], "id long").where(F.pmod(F.xxhash64("id"), F.lit(8)) == one).collect()}])
+    assert bucketed.upsert_into(spark, str(path), spark.createDataFrame([], "id long, v string")) == []
+    with pytest.raises(ValueError):
+        bucketed.change(spark, str(path), spark.createDataFrame([(1,)], "id long"), lambda r: r.withColumn("id", F.col("id") + 1))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_grown_components_equal_a_full_run(spark, seed):
+    rng = np.random.default_rng(seed)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (130, 2))]
+    known = spark.createDataFrame(graph.connected_components(spark.createDataFrame(edges[:60], "src long, dst long")).collect(), "node long, component long")
+    new = spark.createDataFrame(edges[60:], "src long, dst long")
+    grown = graph.grown_components(known, new).cache()
+    whole = pairs(graph.connected_components(spark.createDataFrame(edges, "src long, dst long")), "node", "component")
+    assert pairs(K.upsert(known, grown, "node"), "node", "component") == whole
+    old = set(pairs(known, "node", "component"))
+    assert all(x not in old for x in pairs(grown, "node", "component"))  # what stays as it is isn't written again
+    if seed == 0:
+        assert graph.grown_components(known, new.limit(0)).count() == 0
+
+
+def test_pictures_with_their_sidecar_files(spark, tmp_path):
+    (tmp_path / "day").mkdir()
+    xml = lambda n: f'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="r"><rdf:Description xmlns:xmp="n" xmp:Rating="{n}"/></rdf:RDF></x:xmpmeta>'
+    for name, text in {"a.jpg": "x", "a.xmp": xml(3), "a.jpg.xmp": xml(1), "day/b.nef": "xx", "day/b.nef.xmp": xml(4), "c.jpg": "x", "d.jpg": "", "d.xmp": "<broken", "notes.txt": "n"}.items():
+        (tmp_path / name).write_text(text)
+    got = {r.path.rsplit("/", 1)[1]: (r.sidecar_path.rsplit("/", 1)[1], r.has_sidecar, r.sidecar.rating) for r in S.pictures_with_sidecars(spark, str(tmp_path)).collect()}
+    assert got == {"a.jpg": ("a.xmp", True, 3), "b.nef": ("b.nef.xmp", True, 4), "c.jpg": ("c.xmp", False, 0), "d.jpg": ("d.xmp", True, 0)}
