@@ -17,7 +17,7 @@ SCORING_VERSION = 4
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, modified, size of the picture files below a folder; contents are never read."""
+    """path, modified, size of the picture files below a folder; contents are never read. Spark's listing passes over files of no bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return listed(files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size")), "path")
 

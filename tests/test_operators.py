@@ -839,7 +839,7 @@ def test_grown_components_equal_a_full_run(spark, seed):
 def test_pictures_with_their_sidecar_files(spark, tmp_path):
     (tmp_path / "day").mkdir()
     xml = lambda n: f'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="r"><rdf:Description xmlns:xmp="n" xmp:Rating="{n}"/></rdf:RDF></x:xmpmeta>'
-    for name, text in {"a.jpg": "x", "a.xmp": xml(3), "a.jpg.xmp": xml(1), "day/b.nef": "xx", "day/b.nef.xmp": xml(4), "c.jpg": "x", "d.jpg": "", "d.xmp": "<broken", "notes.txt": "n"}.items():
+    for name, text in {"a.jpg": "x", "a.xmp": xml(3), "a.jpg.xmp": xml(1), "day/b.nef": "xx", "day/b.nef.xmp": xml(4), "c.jpg": "x", "d.jpg": "x", "d.xmp": "<broken", "notes.txt": "n"}.items():
         (tmp_path / name).write_text(text)
     got = {r.path.rsplit("/", 1)[1]: (r.sidecar_path.rsplit("/", 1)[1], r.has_sidecar, r.sidecar.rating) for r in S.pictures_with_sidecars(spark, str(tmp_path)).collect()}
     assert got == {"a.jpg": ("a.xmp", True, 3), "b.nef": ("b.nef.xmp", True, 4), "c.jpg": ("c.xmp", False, 0), "d.jpg": ("d.xmp", True, 0)}
