@@ -1,7 +1,7 @@
-"""Photo scores from measurements and the face array, staged as columns.
+"""Photo scores from measurements and faces, staged as columns.
 
-Input: a DataFrame like plans.fixtures.photos. `with_face_summary` reduces the face array once
-with higher-order functions; the later stages read those columns. Everything is JVM-side."""
+Input: photos and rows of faces (`with_face_rows`: plain aggregates, compiled and without arrays) or photos that hold their
+faces in an array (`with_face_summary`: higher-order functions); the later stages read the columns that these make. Everything is JVM-side."""
 
 from __future__ import annotations
 
@@ -28,54 +28,104 @@ def mean_of(faces: Column, value) -> Column:
     return F.try_divide(_sum(faces, value), F.size(faces))
 
 
+def _framing(w: Column, h: Column, f) -> Column:
+    """How completely one face (a struct, or columns by name) is framed, 0 to 100."""
+    x, y, fw, fh = (f[k].cast("double") for k in ("x", "y", "w", "h"))
+    mx, my = 0.05 * w, 0.05 * h
+    side = F.when((x <= 2) | (x + fw >= w - 2), 25.0).when((x < mx) | (x + fw > w - mx), 10.0).otherwise(0.0)
+    top = F.when(y <= 2, 30.0).when(y < my, 12.0).otherwise(0.0)
+    low = F.when(y + fh >= h - 2, 20.0).when(h - (y + fh) < my, 10.0).otherwise(0.0)
+    return F.greatest(F.lit(0.0), 100.0 - side - top - low)
+
+
+def _complete(w: Column, h: Column, n: Column, framing: Column, left: Column, right: Column, top: Column) -> Column:
+    """Mean framing of n faces, with a reward for balanced margins; left, right and top are the outer edges of all faces."""
+    a, b, t = left.cast("double") / w, (w - right.cast("double")) / w, top.cast("double") / h
+    reward = F.when(F.abs(a - b) < 0.08, 5.0).otherwise(0.0) + F.when((t >= 0.10) & (t <= 0.25), 5.0).otherwise(0.0)
+    return F.when((n == 0) | (w <= 0) | (h <= 0), F.lit(100.0)).otherwise(clamp(framing + reward))
+
+
 def completeness(w: Column, h: Column, faces: Column) -> Column:
     """How completely the faces are framed, 0 to 100; 100 without faces or frame."""
     w, h = w.cast("double"), h.cast("double")
-    mx, my = 0.05 * w, 0.05 * h
+    left, top = F.array_min(F.transform(faces, lambda f: f["x"])), F.array_min(F.transform(faces, lambda f: f["y"]))
+    right = F.array_max(F.transform(faces, lambda f: f["x"] + f["w"]))
+    return _complete(w, h, F.size(faces), mean_of(faces, lambda f: _framing(w, h, f)), left, right, top)
+
+
+def _center(f) -> Column:
+    return f["y"].cast("double") + f["h"].cast("double") / 2.0
 
-    def one(f: Column) -> Column:
-        x, y, fw, fh = (f[k].cast("double") for k in ("x", "y", "w", "h"))
-        side = F.when((x <= 2) | (x + fw >= w - 2), 25.0).when((x < mx) | (x + fw > w - mx), 10.0).otherwise(0.0)
-        top = F.when(y <= 2, 30.0).when(y < my, 12.0).otherwise(0.0)
-        low = F.when(y + fh >= h - 2, 20.0).when(h - (y + fh) < my, 10.0).otherwise(0.0)
-        return F.greatest(F.lit(0.0), 100.0 - side - top - low)
 
-    left = F.array_min(F.transform(faces, lambda f: f["x"].cast("double"))) / w
-    right = (w - F.array_max(F.transform(faces, lambda f: (f["x"] + f["w"]).cast("double")))) / w
-    top = F.array_min(F.transform(faces, lambda f: f["y"].cast("double"))) / h
-    reward = F.when(F.abs(left - right) < 0.08, 5.0).otherwise(0.0) + F.when((top >= 0.10) & (top <= 0.25), 5.0).otherwise(0.0)
-    score = clamp(mean_of(faces, one) + reward)
-    return F.when((F.size(faces) == 0) | (w <= 0) | (h <= 0), F.lit(100.0)).otherwise(score)
+#: What is known of the faces of a photo, see face_totals.
+TOTALS = ["_n", "_main", "_sharp", "_exposure", "_framed", "_middle", "_lowest", "_highest", "_left", "_right", "_top", "_narrow", "_wide", "_blink", "_least_facing", "_towards"]
+
+
+def face_totals(faces: DataFrame, photos: DataFrame) -> DataFrame:
+    """One row per photo that has faces, from rows of faces (photo_id, face_pos, x, y, w, h, sharpness, camera_facing, eye_openness,
+    face_exposure, is_blink). photos: rows with photo_id (its key), img_w, img_h. A missing measurement adds nothing.
+
+    Plain aggregates after one shuffle by photo_id, which the join with the photos' frames and the grouping share."""
+    f = {c: F.col(c) for c in faces.columns}
+    frame = photos.select("photo_id", num("img_w").alias("_w"), num("img_h").alias("_h"))
+    measured = faces.join(frame, "photo_id").withColumn("_framing", _framing(F.col("_w"), F.col("_h"), f)).withColumn("_c", _center(f))
+    main = F.min_by(F.struct((f["w"] * f["h"]).alias("area"), "camera_facing", "eye_openness"), F.struct(-f["w"] * f["h"], f["face_pos"]))
+    n = F.count("*")
+    mean = lambda c: (F.sum(F.col(c).cast("double")) / n)
+    return measured.groupBy("photo_id").agg(
+        n.alias("_n"), main.alias("_main"), mean("sharpness").alias("_sharp"), mean("face_exposure").alias("_exposure"), mean("_framing").alias("_framed"), mean("_c").alias("_middle"),
+        F.max("_c").alias("_lowest"), F.min("_c").alias("_highest"), F.min("x").alias("_left"), F.max(f["x"] + f["w"]).alias("_right"), F.min("y").alias("_top"),
+        F.min("w").alias("_narrow"), F.max("w").alias("_wide"), F.bool_or("is_blink").alias("_blink"), F.min("camera_facing").alias("_least_facing"), F.count_if(f["camera_facing"] >= 60).alias("_towards"),
+    )
+
+
+def _array_totals(f: Column) -> dict[str, Column]:
+    """The columns of face_totals from an array of faces."""
+    of = lambda value: F.transform(f, value)
+    by_area = of(lambda x: F.struct((-x["w"] * x["h"]).alias("k"), x["face_pos"].alias("pos"), (x["w"] * x["h"]).alias("area"), x["camera_facing"].alias("camera_facing"), x["eye_openness"].alias("eye_openness")))
+    right, x, y, w, c = of(lambda x: x["x"] + x["w"]), of(lambda x: x["x"]), of(lambda x: x["y"]), of(lambda x: x["w"]), of(_center)
+    return {
+        "_n": F.size(f), "_main": F.array_min(by_area), "_sharp": mean_of(f, lambda x: x["sharpness"]), "_exposure": mean_of(f, lambda x: x["face_exposure"]),
+        "_framed": mean_of(f, lambda x: _framing(num("img_w"), num("img_h"), x)), "_middle": mean_of(f, _center),
+        "_lowest": F.array_max(c), "_highest": F.array_min(c), "_left": F.array_min(x), "_right": F.array_max(right), "_top": F.array_min(y),
+        "_narrow": F.array_min(w), "_wide": F.array_max(w), "_blink": F.exists(f, lambda x: x["is_blink"]),
+        "_least_facing": F.array_min(of(lambda x: x["camera_facing"])), "_towards": F.size(F.filter(f, lambda x: x["camera_facing"] >= 60)),
+    }
+
+
+def _summary(totals: DataFrame) -> DataFrame:
+    """Photos with the columns of face_totals (null without faces) turned into what scoring reads."""
+    c, w, h = F.col, num("img_w"), num("img_h")
+    n, area, least = F.coalesce(c("_n").cast("int"), F.lit(0)), num("_main.area"), c("_least_facing")
+    made = {
+        "n_faces": n,
+        "avg_sharpness": F.coalesce("_sharp", F.lit(0.0)),
+        "max_area": F.coalesce(area, F.lit(0.0)),
+        "face_size_factor": F.coalesce(F.least(F.lit(100.0), area / (w * h) / 0.10 * 100.0), F.lit(0.0)),
+        "main_facing": F.coalesce(num("_main.camera_facing"), F.lit(0.0)),
+        "main_eyes": F.coalesce(num("_main.eye_openness"), F.lit(100.0)),
+        "has_blink": F.coalesce("_blink", F.lit(False)),
+        "y_spread": F.coalesce((c("_lowest") - c("_highest")) / h, F.lit(0.0)),
+        "avg_y": F.coalesce(c("_middle") / h, F.lit(0.0)),
+        "width_ratio": F.coalesce(num(c("_right") - c("_left")) / w, F.lit(0.0)),
+        "size_ratio": F.coalesce(F.try_divide(num("_narrow"), num("_wide")), F.lit(0.0)),
+        "all_facing": F.coalesce(least >= 65, F.lit(True)),
+        "any_away": F.coalesce(least < 70, F.lit(False)),
+        "majority_facing": F.coalesce(c("_towards"), F.lit(0)) >= F.floor((n + 1) / 2),
+        "subject_exposure": F.coalesce(round1(0.70 * c("_exposure") + 0.30 * num("brightness")), num("brightness")),
+        "completeness": _complete(w, h, n, c("_framed"), c("_left"), c("_right"), c("_top")),
+    }
+    return totals.withColumns(made).drop(*TOTALS)
+
+
+def with_face_rows(photos: DataFrame, faces: DataFrame) -> DataFrame:
+    """photos with the reductions of their faces that scoring reads, from a table of faces."""
+    return _summary(photos.join(face_totals(faces, photos), "photo_id", "left"))
 
 
 def with_face_summary(df: DataFrame) -> DataFrame:
-    """Reductions of the face array that scoring reads."""
-    f = F.col("faces")
-    by_area = F.transform(f, lambda x: F.struct((-x["w"] * x["h"]).alias("k"), x["face_pos"].alias("pos"), x["camera_facing"].alias("facing"), x["eye_openness"].alias("eyes")))
-    centers = F.transform(f, lambda x: x["y"].cast("double") + x["h"].cast("double") / 2.0)
-    df = df.withColumn("main_face", F.array_min(by_area)).withColumn("_cy", centers)
-    h, w = num("img_h"), num("img_w")
-    area = (-F.col("main_face.k")).cast("double")
-    return df.withColumns(
-        {
-            "n_faces": F.size(f),
-            "avg_sharpness": F.coalesce(mean_of(f, lambda x: x["sharpness"]), F.lit(0.0)),
-            "max_area": F.coalesce(area, F.lit(0.0)),
-            "face_size_factor": F.coalesce(F.least(F.lit(100.0), area / (w * h) / 0.10 * 100.0), F.lit(0.0)),
-            "main_facing": F.coalesce(F.col("main_face.facing").cast("double"), F.lit(0.0)),
-            "main_eyes": F.coalesce(F.col("main_face.eyes").cast("double"), F.lit(100.0)),
-            "has_blink": F.exists(f, lambda x: x["is_blink"]),
-            "y_spread": F.coalesce((F.array_max("_cy") - F.array_min("_cy")) / h, F.lit(0.0)),
-            "avg_y": F.coalesce(F.try_divide(F.aggregate("_cy", F.lit(0.0), lambda s, x: s + x), F.size(f)) / h, F.lit(0.0)),
-            "width_ratio": F.coalesce((F.array_max(F.transform(f, lambda x: x["x"] + x["w"])) - F.array_min(F.transform(f, lambda x: x["x"]))).cast("double") / w, F.lit(0.0)),
-            "size_ratio": F.coalesce(F.array_min(F.transform(f, lambda x: x["w"])).cast("double") / F.array_max(F.transform(f, lambda x: x["w"])), F.lit(0.0)),
-            "all_facing": F.forall(f, lambda x: x["camera_facing"] >= 65),
-            "any_away": F.exists(f, lambda x: x["camera_facing"] < 70),
-            "majority_facing": F.size(F.filter(f, lambda x: x["camera_facing"] >= 60)) >= F.floor((F.size(f) + 1) / 2),
-            "subject_exposure": F.coalesce(round1(0.70 * mean_of(f, lambda x: x["face_exposure"]) + 0.30 * num("brightness")), num("brightness")),
-            "completeness": completeness(num("img_w"), num("img_h"), f),
-        }
-    ).drop("_cy", "main_face")
+    """The same for photos that hold their faces in an array; a missing measurement of a face makes its mean missing."""
+    return _summary(df.withColumns(_array_totals(F.col("faces"))))
 
 
 def profile() -> Column:
@@ -190,9 +240,9 @@ def editorial_decision(is_best: Column | bool = True, keep_overall: float | None
     return F.when(reject, "REJECT").when(hero, "HERO").when(keep, "KEEP").otherwise("MAYBE")
 
 
-def scored(photos: DataFrame, boost: bool = False) -> DataFrame:
-    """All scores of every photo."""
-    df = with_face_summary(photos)
+def scored(photos: DataFrame, boost: bool = False, faces: DataFrame | None = None) -> DataFrame:
+    """All scores of every photo; faces: their rows, where photos don't hold them in an array."""
+    df = with_face_summary(photos) if faces is None else with_face_rows(photos, faces)
     df = df.withColumns({"profile": profile(), "category": event_category()})
     df = df.withColumns({"marketing_bonus": marketing_bonus(), "story_bonus": keyword_bonus() + category_bonus()})
     df = df.withColumn("overall", overall_score(boost)).withColumn("publish", publishability())

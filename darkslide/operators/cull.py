@@ -70,7 +70,8 @@ def heroes(kept: DataFrame, total: int) -> DataFrame:
 
 def verdicts(scored: DataFrame, percent: float | None = None, coverage: bool = False) -> DataFrame:
     """photo_id, group_id, rank, is_best, category, overall, publish (one decimal), decision, auto_discard."""
-    best = materialize(with_best(scored), "best")  # read four times below
+    read = ["photo_id", "group_id", "category", "overall", "publish", "decision", "branding_presence"]
+    best = materialize(with_best(scored.select(*read)), "best")  # read four times below
     keep = coverage_keep(best) if coverage else smart_keep(best, percent)
     kept = best.join(keep.withColumn("_kept", F.lit(True)), "photo_id", "left").withColumn("_kept", F.coalesce("_kept", F.lit(False)))
     top = heroes(kept.where("_kept"), best.count()).withColumn("_hero", F.lit(True))

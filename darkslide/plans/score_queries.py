@@ -89,7 +89,7 @@ scored AS (SELECT *, CASE WHEN overall<40 OR publish<35 OR (is_blurry AND catego
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return V.scored(photos(spark, d))
+    return V.scored(photo_rows(spark, d), faces=face_rows(spark, d))
 
 
 @query("p01_file_kinds", """WITH t AS (SELECT page_id, CASE WHEN page_id%4=0 THEN concat('IMG_',page_id,'.JPG') WHEN page_id%4=1 THEN concat('dir/a.b_',page_id,'.nef') WHEN page_id%4=2 THEN split_part(url,'?',1) ELSE concat('noext',page_id) END AS name FROM pages)
@@ -136,7 +136,7 @@ def p07(spark, d):
 
 @query("p08_subject_exposure", SCORED_SQL + "SELECT photo_id, subject_exposure FROM p1")
 def p08(spark, d):
-    return V.with_face_summary(photos(spark, d)).select("photo_id", "subject_exposure")
+    return V.with_face_rows(photo_rows(spark, d), face_rows(spark, d)).select("photo_id", "subject_exposure")
 
 
 EAR_L = "(CASE WHEN l_linenumber=7 THEN 0.0::DOUBLE ELSE ((l_partkey%20)::DOUBLE+(l_suppkey%20)::DOUBLE)/(2.0::DOUBLE*(60+l_linenumber)::DOUBLE) END)"
@@ -237,7 +237,7 @@ def p20(spark, d):
 
 @query("p21_profile", SCORED_SQL + "SELECT photo_id, n_faces::INTEGER AS n_faces, face_size_factor, main_facing, main_eyes, profile FROM p2")
 def p21(spark, d):
-    return V.with_face_summary(photos(spark, d)).select("photo_id", "n_faces", "face_size_factor", "main_facing", "main_eyes", V.profile().alias("profile"))
+    return V.with_face_rows(photo_rows(spark, d), face_rows(spark, d)).select("photo_id", "n_faces", "face_size_factor", "main_facing", "main_eyes", V.profile().alias("profile"))
 
 
 @query("p22_keyword_bonus", SCORED_SQL + "SELECT photo_id, (CASE WHEN filename LIKE '%award%' THEN 8.0 WHEN filename LIKE '%handshake%' OR filename LIKE '%audience%' THEN 6.0 WHEN filename LIKE '%network%' OR filename LIKE '%vip%' OR filename LIKE '%sponsor%' THEN 5.0 WHEN filename LIKE '%keynote%' OR filename LIKE '%panel%' THEN 4.0 ELSE 0.0 END)::DOUBLE AS bonus FROM v_photo")
@@ -422,4 +422,4 @@ def with_defaults(own, defaults: dict[str, str]):
 
 @query("a16_face_reductions", SCORED_SQL + "SELECT photo_id, n_faces::INTEGER AS n_faces, avg_sharpness, max_area, y_spread, width_ratio, has_blink, majority_facing FROM p1")
 def a16(spark, d):
-    return V.with_face_summary(photos(spark, d)).select("photo_id", "n_faces", "avg_sharpness", "max_area", "y_spread", "width_ratio", "has_blink", "majority_facing")
+    return V.with_face_rows(photo_rows(spark, d), face_rows(spark, d)).select("photo_id", "n_faces", "avg_sharpness", "max_area", "y_spread", "width_ratio", "has_blink", "majority_facing")

@@ -123,3 +123,26 @@ def test_eye_aspect(spark):
 def test_estimates(spark):
     df = spark.createDataFrame([(n,) for n in (0, 10, 1000, 4000, 5000)], T.StructType([T.StructField("n", T.LongType())]))
     assert [r[0] for r in df.select(M.scan_estimate(F.col("n"))).collect()] == ["0 sec", "<1 sec", "~15 sec", "~1 min", "~1m 15s"]
+
+
+def test_rows_of_faces_give_what_arrays_give(spark):
+    faces = [
+        [face(1, 10, 5, 60, 50, blink=True), face(2, 500, 150, 50, 60, facing=61, eyes=40), face(3, 900, 930, 60, 50, facing=20, eyes=7)],  # ties of area
+        [face(1, 400, 200, 50, 50, sharpness=31, exposure=12)],
+        [],
+    ]
+    nested = photo(spark, faces[0]).unionByName(photo(spark, faces[1], photo_id=2, img_h=600)).unionByName(photo(spark, faces[2], photo_id=3))
+    photos = nested.drop("faces")
+    rows = nested.select("photo_id", F.inline("faces"))
+    stray = rows.withColumn("photo_id", F.lit(9).cast("long"))  # faces of no photo
+    want = V.scored(nested).drop("faces")
+    found = V.scored(photos, faces=rows.unionByName(stray)).select(*want.columns)
+    assert sorted(found.collect()) == sorted(want.collect()) and found.dtypes == want.dtypes
+    assert V.scored(photos, faces=rows.limit(0)).where("n_faces = 0 and completeness = 100").count() == 3
+    assert V.with_face_rows(photos.limit(0), rows).count() == 0
+
+
+def test_missing_measurements_of_rows_add_nothing(spark):
+    rows = photo(spark, [face(1), (2, 2, None, 1, 700, 150, 40, 40, None, None, None, None, None, None)])
+    one_row = V.with_face_rows(rows.drop("faces"), rows.select("photo_id", F.inline("faces"))).first()
+    assert (one_row.n_faces, one_row.avg_sharpness, one_row.main_facing, one_row.has_blink, one_row.all_facing) == (2, 40.0, 90.0, False, True)
