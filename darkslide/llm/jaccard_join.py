@@ -5,15 +5,15 @@
 2. Texts with equal sets are one class from here on, however many there are (partial aggregation).
 3. Classes that share a band hash are candidates. Each is tied to the least class of its band bucket,
    so a bucket of n gives n - 1 edges; the components of those edges bound where links can be.
-4. The full sets of the classes in components are read again from the texts, and exactly the pairs that share a
-   band are compared on them, in blocks of about BLOCK_CLASSES classes and BLOCK_HASHES hashes:
+4. The full sets of the classes in components are read again from the texts and compared, whether a pair shares a band itself
+   or not, in blocks of about BLOCK_CLASSES classes and BLOCK_HASHES hashes:
    a component that fits is one block; a larger one is first compared with its most central class (linear
    work), and from there on a class is its size and its difference from that one, which gives intersections exactly and is small for
    near copies. Classes within half the allowed distance of that one are similar to each other, since the Jaccard distance obeys
    the triangle inequality, so their links are counted without comparing them. The other classes ask all
    classes of the component, block by block, or, where that moves fewer rows, those of their band
-   buckets, where a pair counts only in the first band it shares. No pair is emitted: a task returns each class's
-   number of links and its place in a forest of links.
+   buckets, where a pair counts in the first band it shares, so here alone one that shares none is missed. No pair is
+   emitted: a task returns each class's number of links and its place in a forest of links.
 5. The forests of all tasks are joined to the final groups.
 
 Texts without a word have no n-grams and so no links. A text of one to four words has one n-gram, all
@@ -211,10 +211,9 @@ def roots(linked: np.ndarray) -> np.ndarray:
 def verify(left: Rows, right: Rows | None, band: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class, class that it is tied to, number of linked documents) of a block.
 
-    A pair counts if it shares a band hash (its first shared band must be `band`, unless that is -1)
-    and its sets reach the threshold. Without a right side all pairs of the left one are compared. Otherwise the left
-    classes ask and the right ones are asked: an asking class counts all its links, an asked one only if it is
-    central, since it asks for itself elsewhere if it isn't."""
+    A pair counts if its sets reach the threshold and, unless `band` is -1, if that is the first band that it shares. Without a right
+    side all pairs of the left one are compared. Otherwise the left classes ask and the right ones are asked: an asking class counts
+    all its links, an asked one only if it is central, since it asks for itself elsewhere if it isn't."""
     other = right or left
     held_a, held_b = (np.array([len(s) for s in x.sets], np.float32) for x in (left, other))
     size_a, size_b = (h if x.sizes is None else x.sizes.astype(np.float32) for x, h in ((left, held_a), (other, held_b)))
@@ -222,10 +221,11 @@ def verify(left: Rows, right: Rows | None, band: int, threshold: float) -> tuple
     apart = held_a[:, None] + held_b[None, :] - 2 * intersections(left.sets, other.sets)
     linked = similar((size_a[:, None] + size_b[None, :] - apart) / 2, size_a[:, None], size_b[None, :], threshold)
     linked &= left.cids[:, None] != other.cids[None, :]
-    a, b = np.nonzero(linked)  # only pairs that reach the threshold are looked at further
-    same = left.bands[a] == other.bands[b]
-    share = same.any(1) if band < 0 else same[:, band] & ~same[:, :band].any(1)
-    linked[a[~share], b[~share]] = False
+    if band >= 0:  # a pair that shares other bands as well meets in their buckets too
+        a, b = np.nonzero(linked)
+        same = left.bands[a] == other.bands[b]
+        first = same[:, band] & ~same[:, :band].any(1)
+        linked[a[~first], b[~first]] = False
     if right is None:
         return left.cids, left.cids[roots(linked)], linked @ left.copies
     n = len(left.cids)

@@ -142,6 +142,26 @@ def test_join_of_a_large_group_goes_by_blocks(spark, monkeypatch):
     assert jaccard_join.jaccard_join(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [512, 7])
+def test_links_without_a_shared_band_count_in_components_of_any_size(spark, monkeypatch, blocks):
+    """At a recall of 0.3 most pairs near the threshold share no band; those of a component count all the same."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", blocks)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(600)]
+    texts = [base]
+    for n in rng.integers(2, 14, 24):
+        some = list(base)
+        for i in rng.choice(600, n, replace=False):
+            some[i] = f"x{rng.integers(1 << 40)}"
+        texts.append(some)
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    found = {r.doc_id: r for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.3).collect()}
+    tied = {k for k, r in found.items() if r.n_links}
+    sets = {k: grams(x) for k, x in rows}
+    want = {a: sum(a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for b in tied) for a in tied}
+    assert len(tied) > 15 and {k: found[k].n_links for k in tied} == want
+
+
 @pytest.mark.parametrize("blocks", [7, 512])
 def test_join_of_a_long_chain(spark, monkeypatch, blocks):
     """Each text is like the next ones only, so all are one component; with small blocks it goes by buckets."""
