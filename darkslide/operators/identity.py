@@ -72,6 +72,23 @@ def cluster_view(clusters: DataFrame, faces: DataFrame, cluster: str, fields: li
     return out.withColumn("faces", F.coalesce("faces", empty)).withColumn("n_faces", F.size("faces"))
 
 
+def cluster_pages(clusters: DataFrame, faces: DataFrame, cluster: str, fields: list[str], size: int = 1000) -> DataFrame:
+    """The rows of cluster_view in pages: clusters with page (from 0), n_faces (of the whole cluster) and faces, an array of at most `size`
+    structs, in order over the pages; a cluster without faces has one empty page, and faces without a cluster are left out.
+
+    For clusters of any size: faces are numbered over all tasks, and clusters and faces meet on cluster and page, so none comes together in one row or task."""
+    mine = faces.where(F.col(cluster).isNotNull()).select(cluster, *fields)
+    ranked = rank_in_large_groups(mine, [cluster], [F.col(c) for c in fields], "_place")
+    page = F.floor((F.col("_place") - 1) / size).cast("long")
+    pages = ranked.groupBy(cluster, page.alias("page")).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("faces"))
+    counts = mine.groupBy(cluster).agg(F.count("*").alias("n_faces"))
+    counted = clusters.join(counts, cluster, "left").withColumn("n_faces", F.coalesce("n_faces", F.lit(0)).cast("long"))
+    last = F.greatest(F.ceil(F.col("n_faces") / size).cast("long") - 1, F.lit(0).cast("long"))
+    every = counted.withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    empty = F.array().cast(pages.schema["faces"].dataType)
+    return every.join(pages, [cluster, "page"], "left").withColumn("faces", F.coalesce("faces", empty))
+
+
 def person_timeline(faces: DataFrame, photos: DataFrame, person: Column) -> DataFrame:
     """person, photo_id, captured_at, place: the distinct photos of each person with a known time, in order."""
     seen = faces.select(person.alias("person"), "photo_id").where("person is not null").distinct()

@@ -66,6 +66,15 @@ def j09(spark, d):
     return v.select("c_custkey", "n_faces", F.array_join(F.transform("faces", lambda f: f["o_orderkey"].cast("string")), ",").alias("faces"))
 
 
+@query("j09_cluster_pages", """WITH r AS (SELECT o_custkey, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)-1)//4 AS page FROM orders), n AS (SELECT o_custkey, count(*) AS n_faces FROM orders GROUP BY o_custkey)
+SELECT c_custkey, coalesce(page,0) AS page, coalesce(n_faces,0) AS n_faces, coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey),'') AS faces
+FROM customer LEFT JOIN r ON r.o_custkey=c_custkey LEFT JOIN n ON n.o_custkey=c_custkey GROUP BY 1, 2, 3""")
+def j09_pages(spark, d):
+    faces = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    v = identity.cluster_pages(table(spark, d, "customer").select("c_custkey"), faces, "c_custkey", ["o_orderkey"], 4)
+    return v.select("c_custkey", "page", "n_faces", F.array_join(F.transform("faces", lambda f: f["o_orderkey"].cast("string")), ",").alias("faces"))
+
+
 @query("j10_person_timeline", sql_views("v_face", "v_photo") + ", s AS (SELECT DISTINCT coalesce(person_id,cluster_id) AS person, photo_id FROM v_face) SELECT person, photo_id, captured_at, row_number() OVER (PARTITION BY person ORDER BY captured_at, photo_id)::INTEGER AS place FROM s JOIN v_photo USING (photo_id) WHERE photo_id%9<>0")
 def j10(spark, d):
     p = photo_rows(spark, d).select("photo_id", F.when(F.col("photo_id") % 9 != 0, F.col("captured_at")).alias("captured_at"))

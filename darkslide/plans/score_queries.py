@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from darkslide.functions import measures as M
 from darkslide.functions import verdicts as V
-from darkslide.functions.features import feature, with_features
+from darkslide.functions.features import feature, vectorized, with_features
 from darkslide.plans.fixtures import face_rows, photo_rows, photos, sql_views, table
 from darkslide.plans.registry import query
 
@@ -353,6 +353,17 @@ def p44(spark, d):
 FACE_QUALITY_AVG = f", fq AS (SELECT photo_id, sum(10*{QUALITY})::DOUBLE AS q10, count(*) AS n FROM v_face GROUP BY photo_id)"
 
 
+@query("p44_vectorised", """SELECT page_id, length(url)::INTEGER AS n_chars, (length(url)-length(replace(url,'/','')))::INTEGER AS n_slashes, (length(url)-length(replace(url,'1','')))::INTEGER AS n_ones FROM pages""")
+def p44_vectors(spark, d):
+    """A user's own model, called with batches of texts in each task: here one that counts characters."""
+
+    def load():
+        return lambda texts: [[len(x), x.count("/"), x.count("1")] for x in texts]
+
+    v = vectorized(table(spark, d, "pages").select("page_id", "url"), "url", load)
+    return v.select("page_id", *(F.element_at("vec", i + 1).cast("int").alias(n) for i, n in enumerate(("n_chars", "n_slashes", "n_ones"))))
+
+
 @query("p33_highlight_score", sql_views("v_face", "v_photo") + FACE_QUALITY_AVG + " SELECT photo_id, CASE WHEN n IS NULL THEN 50.0 ELSE round(q10/10.0/n, 4) END AS score FROM v_photo LEFT JOIN fq USING (photo_id)")
 def p33(spark, d):
     return photos(spark, d).select("photo_id", F.round(V.highlight_score(lambda f: quality_of(lambda k: f[k])), 4).alias("score"))

@@ -843,3 +843,20 @@ def test_pictures_with_their_sidecar_files(spark, tmp_path):
         (tmp_path / name).write_text(text)
     got = {r.path.rsplit("/", 1)[1]: (r.sidecar_path.rsplit("/", 1)[1], r.has_sidecar, r.sidecar.rating) for r in S.pictures_with_sidecars(spark, str(tmp_path)).collect()}
     assert got == {"a.jpg": ("a.xmp", True, 3), "b.nef": ("b.nef.xmp", True, 4), "c.jpg": ("c.xmp", False, 0), "d.jpg": ("d.xmp", True, 0)}
+
+
+def test_pages_of_a_cluster_that_holds_most_faces(spark):
+    """Pages put together are the cluster's faces; repeated rows and nulls stay, faces without a cluster don't come in."""
+    from darkslide.operators.identity import cluster_pages
+
+    rows = [(1, i // 2, "a") for i in range(5000)] + [(2, 7, None), (2, None, "b"), (None, 3, "c"), (9, 1, "z")]
+    faces = spark.createDataFrame(rows, "c long, face long, note string")
+    clusters = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "c long, name string")
+    found = cluster_pages(clusters, faces, "c", ["face", "note"], 64).collect()
+    pages = {(r.c, r.page): r for r in found}
+    assert len(found) == len(pages) == -(-5000 // 64) + 2
+    one = [tuple(f) for k in range(-(-5000 // 64)) for f in pages[1, k].faces]
+    assert one == [(i // 2, "a") for i in range(5000)] and max(len(r.faces) for r in found) == 64
+    assert {r.n_faces for r in found if r.c == 1} == {5000} and pages[1, 0].name == "x"
+    assert [tuple(f) for f in pages[2, 0].faces] == [(None, "b"), (7, None)] and pages[3, 0].faces == [] and pages[3, 0].n_faces == 0
+    assert cluster_pages(clusters, faces.limit(0), "c", ["face"]).count() == 3 and cluster_pages(clusters.limit(0), faces, "c", ["face"]).count() == 0
