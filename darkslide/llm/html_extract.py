@@ -8,7 +8,8 @@ element's marginal of being content is over 1/2.
 
 The potentials are counts over labelled pages: LABELLED below, and at most `max_pages` pages of the table
 whose own elements tell the label (see `silver_label`). What is in scripts, styles, forms and the like is
-never text.
+never text; neither is what its page hides (`hidden`, `display: none`), nor an article inside an article that already has text, which HTML
+means for comments. A heading such as "3 comments" or "Related stories" at the start of a section marks the section.
 
 Pages are read in one pass from left to right, whatever is in them: tags and attributes by HTML's rules (quoted and unquoted
 values, comments, raw text), unclosed and stray tags mended by look-ups of what is open. A quote that the page never closes
@@ -22,6 +23,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +35,7 @@ from darkslide.llm.textbuf import arrow_map
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes iframe noembed".split())
 SKIPPED = frozenset("head script style title noscript template form button select option input textarea svg math canvas iframe object embed audio video map xmp noframes noembed".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big br button canvas cite code data del dfn em embed font i iframe img ins kbd label map mark math meter object option output picture progress q rp rt ruby s samp select small span strike strong sub sup svg time tt u var video wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: An opening tag ends an open element of the named kinds, up to the nearest of the second kinds.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -41,10 +43,25 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for t in RAW}
 SCOPE = frozenset("html body article aside main section div nav header footer table td th form blockquote figure li dd".split())
 
+HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 legend summary".split())
+
 BESIDE_TAGS = frozenset("aside footer form nav".split())
 # Words of names by which layouts mark what is beside the content.
 BESIDE = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright discussion discussions disqus feedback footer header masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo recommended related replies respond responses share sharing sidebar signup skip social sponsor sponsored subscribe tags talkback thread toc toolbar widget alert rail login".split())
-WITHIN = frozenset("article body content entry main post story text blog hentry page single".split())
+WITHIN = frozenset("article body content entry main post story text blog hentry".split())
+# Words that stand beside those in names of parts of a layout (ad-slot, sitefooter).
+PARTS = frozenset("area articles bar block bottom box button buttons card cell center col column container content cta field footer form frame grid group head heading holder icons inline inner item items label left level link links list main mid middle mobile module news note outer page pages pane panel posts right row section site slot slots small space stories stub sub text top unit units wrap wrapper zone".split())
+_INNER = frozenset("area body box column container content inner main text wrap wrapper".split())
+#: Headings of sections that stand beside the content.
+TITLES = re.compile(
+    r"(?:\d+ )?(?:(?:reader|user|visitor) )?(?:comments?|replies|responses)(?: ?\(?\d+\)?)?(?: on .*)?|(?:leave|post|add|write) (?:a|your) (?:comment|reply|response).*|join the (?:conversation|discussion).*"
+    r"|(?:related|recommended|popular|latest|recent|more|other) (?:articles?|links|news|posts?|reading|stories)|(?:most read|read next|see also on .*|you (?:may|might) (?:also )?like|more from .*|advertisements?|sponsored.*|share this.*|newsletter|(?:sign|log) (?:up|in).*)",
+    re.I,
+)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_FORM_END = re.compile(r"</form", re.I)
+_WRAPS = re.compile(r"<(?:article|main|h1)[\s>]", re.I)
 
 _NAME = re.compile(r"[^\s/>]*+")
 #: The next attribute of a tag (name, value in one of three forms), or its end. A quote without an end is found out once for each
@@ -67,15 +84,35 @@ class Node:
         self.parent, self.tag, self.names, self.mark, self.role, self.length, self.linked = parent, tag, names, mark, role, 0, 0
 
 
+@lru_cache(1 << 14)
+def known(word: str) -> str:
+    """The word of BESIDE or WITHIN that a name's word is or is made of with a layout's part (adslot: ad), else the word itself."""
+    if word in BESIDE or word in WITHIN or word in PARTS:
+        return word
+    for k in range(2, min(len(word), 24) - 1):
+        for one, other in ((word[:k], word[k:]), (word[k:], word[:k])):
+            if one in BESIDE and other in PARTS:
+                return one
+        if word[:k] in WITHIN and word[k:] in _INNER:
+            return word[:k]
+        if word[:k] in _INNER and word[k:] in WITHIN:
+            return word[k:]
+    return word
+
+
 def named(tag: str, names: str, above: int) -> tuple[tuple[str, ...], int]:
     """(known words in an element's class, id and role; its mark), given the mark of what it is in."""
     words: set[str] = set()
     within = beside = False
     for token in names.split():
-        found = _WORDS.findall(token)
+        found = [known(w) for w in _WORDS.findall(token)]
         if not found or found[0] in _HAVING:
             continue
         bad = {w for w in found if w in BESIDE}
+        if bad and above > 0:  # within the content a name counts for what it ends with: notice-board is none
+            rest = [w for w in found if w not in PARTS and w not in WITHIN]
+            if rest and rest[-1] not in BESIDE:
+                bad = set()
         good = {w for w in found if w in WITHIN}
         if above > 0:  # the article's own header holds its title
             bad -= {"header"}
@@ -109,13 +146,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Nodes (a parent comes before its children) and text blocks (node, text) in page order, with
     references decoded and white space made one space. Unclosed and stray tags are mended. Time is linear in the page."""
     nodes = [Node(-1, "html", (), 0, "")]
-    stack: list[tuple[str, int]] = [("html", 0)]  # tag, node of its text
+    stack: list[tuple[str, int, bool]] = [("html", 0, False)]  # tag, node of its text, whether that is none
     places: dict[str, list[int]] = {"html": [0]}  # where in the stack each tag stands
     blocks: list[tuple[int, str]] = []
     held: list[str] = []
     linked = skipping = 0
     solid, scopes = [0], [0]  # places of block elements, and of those that a paragraph can't reach across
     at, end = 0, len(page)
+    forms = 0
+    filled: set[int] = set()  # nodes that have text in them, and that had it in what is closed
 
     def flush() -> None:
         if held:
@@ -124,12 +163,22 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if text:
                 node = stack[-1][1]
                 blocks.append((node, text))
-                nodes[node].length += len(text)
+                n = nodes[node]
+                n.length += len(text)
+                above = nodes[n.parent]
+                while above.tag in ("header", "hgroup"):
+                    above = nodes[above.parent]
+                if n.tag in HEADINGS and n.parent not in filled and above.tag not in ("html", "body", "article", "main") and len(text) < 80 and TITLES.fullmatch(text):
+                    n.mark = above.mark = -1
+                    above.names = tuple(sorted({*above.names, "titled"}))
+                while node >= 0 and node not in filled:
+                    filled.add(node)
+                    node = nodes[node].parent
 
     def pop_to(k: int) -> None:
         nonlocal linked, skipping
         while len(stack) > k:
-            tag = stack[-1][0]
+            tag, _, silent = stack[-1]
             if tag not in INLINE:
                 flush()
                 solid.pop()
@@ -138,7 +187,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             places[tag].pop()
             stack.pop()
             linked -= tag == "a"
-            skipping -= tag in SKIPPED
+            skipping -= silent
 
     def last(tags: Iterable[str]) -> int:
         """Place of the innermost open element of these tags, -1 if there is none."""
@@ -213,25 +262,41 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         node = stack[-1][1]
         if tag not in INLINE:
             flush()
-            names, mark = named(tag, " ".join(attributes.get(x, "") for x in ("class", "id", "role")).lower(), nodes[node].mark)
+            names, mark = named(tag, _CAMEL.sub("-", " ".join(attributes.get(x, "") for x in ("class", "id", "role"))).lower(), nodes[node].mark)
+            if tag == "article" and (k := last(("article",))) > 0 and stack[k][1] in filled:
+                mark = -1
             nodes.append(Node(node, tag, names, mark, attributes.get("data-label", "")))
             node = len(nodes) - 1
             solid.append(len(stack))
         if tag in SCOPE:
             scopes.append(len(stack))
         places.setdefault(tag, []).append(len(stack))
-        stack.append((tag, node))
+        silent = tag in SKIPPED or (tag != "body" and (attributes.get("hidden", "until-found").lower() != "until-found" or HIDDEN.search(attributes.get("style", "")) is not None))
+        if tag == "form":
+            forms += 1
+            if forms == 1:  # some pages lie in a form whole
+                close = _FORM_END.search(page, at)
+                silent = _WRAPS.search(page, at, close.start() if close else end) is None
+                if not silent:
+                    nodes[node].tag, nodes[node].mark = "div", nodes[nodes[node].parent].mark
+        stack.append((tag, node, silent))
         linked += tag == "a"
-        skipping += tag in SKIPPED
+        skipping += silent
     pop_to(1)
     flush()
     return nodes, blocks
 
 
-def features(n: Node) -> tuple[str, ...]:
+def features(n: Node, bare: bool = False) -> tuple[str, ...]:
+    """What is seen of a node; bare: no element of its page is marked as content."""
     length = min(5, int(math.log(n.length + 1, 4))) if n.length else -1
     links = min(3, 4 * n.linked // max(1, n.length))
-    return (f"tag {n.tag}", f"length {length} links {links}", f"mark {n.mark}", *(f"name {w}" for w in n.names))
+    shape = f"length {length} links {links}"
+    return (f"tag {n.tag}{'' if n.length else ' empty'}", *((f"open {shape}", "mark open") if bare and not n.mark else (shape, f"mark {n.mark}")), *(f"name {w}" for w in n.names))
+
+
+def is_bare(nodes: list[Node]) -> bool:
+    return all(n.mark <= 0 for n in nodes)
 
 
 #: Labels of a node: around both kinds, content, beside the content.
@@ -247,16 +312,16 @@ def _logsum(values: list[float]) -> float:
 class TreeModel:
     """Log potentials of features by label, and of (parent label, child label)."""
 
-    def __init__(self, unary: dict[str, Potentials], edge: list[list[float]], root: Potentials):
-        self.unary, self.edge, self.root = unary, edge, root
+    def __init__(self, unary: dict[str, Potentials], edge: list[list[float]]):
+        self.unary, self.edge = unary, edge
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """P(content) of each node. Upward: every node tells its parent how well each of the parent's
         labels goes with all below; downward: the parent's belief without the child's own message."""
         n = len(nodes)
         none = (0.0,) * len(LABELS)
-        up = [[sum(self.unary.get(f, none)[y] for f in found) for y in LABELS] for found in map(features, nodes)]
-        up[0] = [u + r for u, r in zip(up[0], self.root, strict=True)]
+        bare = is_bare(nodes)
+        up = [[sum(self.unary.get(f, none)[y] for f in features(x, bare)) for y in LABELS] for x in nodes]
         told: list[list[float]] = [[]] * n
         for k in range(n - 1, 0, -1):
             told[k] = [_logsum([e + u for e, u in zip(row, up[k], strict=True)]) for row in self.edge]
@@ -299,19 +364,17 @@ def fit(labelled: list[tuple[list[Node], list[int]]]) -> TreeModel:
     seen: Counter[tuple[str, int]] = Counter()
     size: Counter[int] = Counter()
     edge = [[0.1] * len(LABELS) for _ in LABELS]
-    root = [0.1] * len(LABELS)
     for nodes, labels in labelled:
+        bare = is_bare(nodes)
         for n, y in zip(nodes, labels, strict=True):
             size[y] += 1
-            for f in features(n):
+            for f in features(n, bare):
                 seen[f, y] += 1
             if n.parent >= 0:
                 edge[labels[n.parent]][y] += 1
-            else:
-                root[y] += 1
     names = {f for f, _ in seen}
     unary = {f: tuple(math.log((seen[f, y] + 0.05) / (size[y] + 0.1)) for y in LABELS) for f in names}
-    return TreeModel(unary, [[math.log(x / sum(row)) for x in row] for row in edge], tuple(math.log(x / sum(root)) for x in root))
+    return TreeModel(unary, [[math.log(x / sum(row)) for x in row] for row in edge])
 
 
 def labelled_layouts() -> list[tuple[list[Node], list[int]]]:
@@ -319,6 +382,8 @@ def labelled_layouts() -> list[tuple[list[Node], list[int]]]:
     out = []
     for page in LABELLED:
         nodes, _ = parse(page)
+        if page.startswith("<html data-label=content"):  # the root is there before its tag
+            nodes[0].role = "content"
         labels: list[int] = []
         for n in nodes:
             labels.append((CONTENT if n.role == "content" else ASIDE) if n.role else labels[n.parent] if n.parent >= 0 else AROUND)
@@ -342,6 +407,16 @@ LABELLED = (
     f'<html><body><div id=nav data-label=other><a href=/>Home</a> <a href=/b>News</a></div><div data-label=content><h2>Title</h2><p>Two lines.</p>{_P}</div><div id=disqus_thread class=responses data-label=other>{_TALK}</div><div id=bottom data-label=other>Imprint</div></body></html>',
     f'<html><body><article data-label=content><h1>Title</h1><p>One line of text only.</p></article><section id=comments data-label=other><h2>Replies</h2>{_TALK}</section><div class="related posts" data-label=other><p>{"More that you might like to read from this site. " * 4}</p></div></body></html>',
     f'<html><body><div><div><div data-label=content><div>{"Text without any paragraph in it, as old pages have it. " * 9}</div>{_P}</div></div><div data-label=other><ul>{_LI}</ul></div></div><div class="feedback" data-label=other>{_TALK}</div></body></html>',
+    # pages without a layout
+    "<p data-label=content>A short text, one line or two of it.</p>",
+    f"<html><body><h1 data-label=content>Title</h1><div data-label=content>{_P}{_P}</div></body></html>",
+    f"<html><body data-label=content><h1>Title</h1>{_P}<ul><li>A point.</li><li>One more.</li></ul>{_P}<pre>code</pre></body></html>",
+    f'<html><body><div data-label=other><a href=/>Home</a> <a href=/b>News</a></div><div data-label=content><h1>Title</h1>{_P}{_P}</div><div data-label=other><a href=/c>Terms</a> <a href=/d>Imprint</a></div></body></html>',
+    f'<html><body><table><tr><td data-label=other><a href=/>Home</a> <a href=/b>News</a> <a href=/c>Shop</a></td><td data-label=content><h2>Title</h2>{_P}{_P}</td></tr></table></body></html>',
+    "<body data-label=content>Text that stands in the page itself, in no paragraph.</body>",
+    "<html data-label=content>Text that stands in the page itself, in no element.",
+    f'<html><body><div id=top class=nav data-label=other><ul>{_LI}</ul></div><div data-label=content>{_P}{_P}</div><div class=footer data-label=other>Imprint</div></body></html>',
+    f'<html><body><div id=nav data-label=other><a href=/>Home</a></div><div><div data-label=content><h1>Title</h1>{_P}{_P}</div><div data-label=other><ul>{_LI}</ul></div></div><div class=footer data-label=other>Imprint</div></body></html>',
 )
 MAX_PAGES, MAX_PAGE_BYTES, CONTENT_AT = 200, 1 << 18, 0.5
 

@@ -638,7 +638,66 @@ def test_markup_that_breaks_off_or_misleads():
         assert html_extract.main_text(model, page) == want, page[:80]
 
 
+def test_what_readers_and_advertisers_add_goes():
+    model = html_extract.fit(html_extract.labelled_layouts())
+    story = "Many words of a real story here, told at some length. " * 8
+    talk = "A reader says a great many things about this, over and over again. " * 8
+    want = f"Title\n{story.strip()}"
+    head = f"<article><h1>Title</h1><p>{story}</p>"
+    for page in (
+        f"{head}</article><section><h2>Comments</h2><article><p>{talk}</p></article><article><p>{talk}</p></article></section>",
+        f"{head}<article><p>{talk}</p></article></article>",
+        f"{head}<section><header><h3>12 Comments</h3></header><div><p>{talk}</p></div></section></article>",
+        f"{head}<div><h3>Leave a reply</h3><p>{talk}</p></div></article>",
+        f"{head}<section><h2>Related stories</h2><p>{talk}</p></section></article>",
+        f'{head}<div class="adslot">Buy this now</div></article>',
+        f'{head}<div class="adSlot"><p>{talk}</p></div><div id=inlineAd>Buy</div><p class=commentform>Say</p></article>',
+        f'{head}<p hidden>{talk}</p><div style="color:red; display : none"><p>{talk}</p></div></article>',
+        f"{head}<p>  <span hidden>no</span> </p></article>",
+    ):
+        assert html_extract.main_text(model, page) == want, page.replace(story, "S").replace(talk, "T")
+
+
+def test_what_belongs_to_the_text_stays():
+    model = html_extract.fit(html_extract.labelled_layouts())
+    story = "Many words of a real story here, told at some length. " * 8
+    for page, want in (
+        ("<p>Only a paragraph of text with no other thing.</p>", "Only a paragraph of text with no other thing."),
+        ("Only text.", "Only text."),
+        (f'<article><p class="notice-board">Seen on the board.</p><p>{story}</p></article>', f"Seen on the board.\n{story.strip()}"),
+        (f"<article><p>Choose <select><option>one<option>two</select> or <button>press</button> now.</p><p>{story}</p></article>", f"Choose or now.\n{story.strip()}"),
+        (f"<article><h1>Comments</h1><p>{story}</p></article>", f"Comments\n{story.strip()}"),
+        (f"<article><section><h2>Discussion</h2><p>{story}</p></section><section><h2>Related work</h2><p>{story}</p></section></article>", f"Discussion\n{story.strip()}\nRelated work\n{story.strip()}"),
+        (f"<body><form id=aspnetForm><div class=menu><a href=/>Home</a></div><article><h1>Title</h1><p>{story}</p></article></form></body>", f"Title\n{story.strip()}"),
+        (f"<body style='visibility:hidden'><article><p>{story}</p><p hidden=until-found>Found.</p></article></body>", f"{story.strip()}\nFound."),
+    ):
+        assert html_extract.main_text(model, page) == want, page.replace(story, "S")
+
+
+def test_layouts_without_an_article():
+    model = html_extract.fit(html_extract.labelled_layouts())
+    a, b = "The river rose in the night and nobody in the village slept. " * 9, "By morning the bridge was gone. " * 7
+    talk = "Thanks for this, I had not known about it and will tell my friends. " * 6
+    links = "".join(f"<li><a href=/{i}>Section {i}</a></li>" for i in range(7))
+    body, want = f"<p>{a}</p><p>{b}</p>", f"{a.strip()}\n{b.strip()}"
+    for page in (
+        f"<div id=wrapper><div id=topnav><ul>{links}</ul></div><div id=maincontent>{body}</div><div id=sitefooter>Imprint</div></div>",
+        f"<div class=page-wrap><ul>{links}</ul><div>{body}</div></div>",
+        f'<div class="td-post-content">{body}</div><div class="td-related-row"><p>{talk}</p></div>',
+        f"<table><tr><td><ul>{links}</ul></td><td>{body}</td></tr></table>",
+        f'<div role=banner>Paper</div><div role=main>{body}</div><div role=navigation><ul>{links}</ul></div>',
+        f'<section class=story-body>{body}</section><section class="commentSection"><p>{talk}</p><p>{talk}</p></section>',
+        f"<div>{body}</div><div><h3>3 comments</h3><div><p>{talk}</p></div></div>",
+        f'<div class="entryContent">{body}<div class="shareBar"><a href=#>Tell</a></div></div><div class="cookieConsent">We keep cookies.</div>',
+        f"<body>{body}</body>",
+        f'<div class="blog-post">{body}</div><aside class=sidebar-left><p>{talk}</p></aside><div class="newsletterBox"><p>{talk}</p></div>',
+        f'<div class="container"><div class="row"><div class="col">{body}</div><div class="col"><ul>{links}</ul></div></div></div>',
+    ):
+        assert html_extract.main_text(model, page) == want, page.replace(a, "A").replace(b, "B").replace(talk, "T")
+
+
 def test_names_tell_what_is_beside():
+    assert html_extract.known("adslot") == "ad" and html_extract.known("sitefooter") == "footer" and html_extract.known("shadow") == "shadow"
     assert html_extract.named("div", "content has-sidebar", 0)[1] == 1 and html_extract.named("div", "post-comments", 1)[1] == -1
     assert html_extract.named("div", "entry-header", 1)[1] == 1 and html_extract.named("p", "comment-content", -1)[1] == -1
     assert html_extract.named("article", "related widget", 0)[1] == 1 and html_extract.named("article", "comment", 0)[1] == -1
@@ -658,7 +717,7 @@ def test_messages_equal_enumeration():
     m = html_extract.fit(html_extract.labelled_layouts())
     total, on = 0.0, np.zeros(len(nodes))
     for y in itertools.product(html_extract.LABELS, repeat=len(nodes)):
-        s = m.root[y[0]] + sum(m.unary.get(f, (0.0, 0.0, 0.0))[y[k]] for k, n in enumerate(nodes) for f in html_extract.features(n)) + sum(m.edge[y[n.parent]][y[k]] for k, n in enumerate(nodes) if k)
+        s = sum(m.unary.get(f, (0.0, 0.0, 0.0))[y[k]] for k, n in enumerate(nodes) for f in html_extract.features(n, html_extract.is_bare(nodes))) + sum(m.edge[y[n.parent]][y[k]] for k, n in enumerate(nodes) if k)
         total += np.exp(s)
         on += np.exp(s) * (np.array(y) == html_extract.CONTENT)
     assert np.allclose(m.marginals(nodes), on / total)
