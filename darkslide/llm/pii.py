@@ -8,9 +8,9 @@ gradients for training and the posterior of a segment; Viterbi picks boundaries
 is decoded, and segments that are picked and likely enough are added; base spans always stay. Added spans come from the field alone.
 
 It is trained here, on at most `max_regions` regions (of at most REGION_CHARS characters and REGION_TOKENS tokens each) of the
-corpus with the base spans as labels, and what `gold_tokens` finds beside them. From two thirds of the regions with
-a phone number its country prefix is taken off first, and half of those get one sign between their groups of digits, so the field has to know such
-numbers without what the base pattern asks for. All work is within one text and linear in its length: regions of more than WINDOW_TOKENS tokens, such as tables of numbers, are decoded
+corpus with the base spans as labels, and what `gold_tokens` finds beside them. The phone number or card number of most such regions is
+written in another form first (`written_anew`: without its country prefix, with brackets, a trunk zero, other signs), and a second copy of the region has a date, an
+amount, a row of numbers or the like in its place (`no_number`), so the field has to know such numbers without what the base patterns ask for. All work is within one text and linear in its length: regions of more than WINDOW_TOKENS tokens, such as tables of numbers, are decoded
 in windows that overlap by OVERLAP_TOKENS on either side, and a span counts in the window in whose own part it starts.
 """
 
@@ -123,12 +123,16 @@ _RUN = re.compile(r"[0-9]+|[A-Za-z]+|[^0-9A-Za-z]")
 
 _PATTERN = str.maketrans("0123456789" + "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "9" * 10 + "a" * 52)
 #: What a segment's features depend on: digits as 9 and letters as a, whether it is a card number or an address by its digits, and
-#: the kinds of the characters before and after it.
+#: what lies before and after it.
 Look = tuple[str, bool, bool, str, str]
 
 
-def _beside(c: str) -> str:
-    return "d" if c.isdigit() else "w" if c.isalpha() else "s" if not c.strip() else c
+def _beside(text: str, at: int, way: int) -> str:
+    """The kind of the character at a place, with a mark where a digit lies beyond a space or sign."""
+    c = text[at] if 0 <= at < len(text) else ""
+    kind = "d" if c.isdigit() else "w" if c.isalpha() else "s" if not c.strip() else c
+    beyond = at + way
+    return f"{kind}d" if kind not in "dw" and 0 <= beyond < len(text) and text[beyond].isdigit() else kind
 
 
 def look(text: str, a: int, b: int) -> Look:
@@ -141,7 +145,7 @@ def look(text: str, a: int, b: int) -> Look:
     if s.count(".") == 3:
         parts = s.split(".")
         ip = all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)
-    return pattern, card, ip, _beside(text[a - 1 : a]), _beside(text[b : b + 1])
+    return pattern, card, ip, _beside(text, a - 1, -1), _beside(text, b, 1)
 
 
 @functools.lru_cache(1 << 15)
@@ -337,9 +341,9 @@ MAX_REGIONS, EPOCHS, RATE, DECAY, SURE = 800, 5, 0.3, 1e-4, 0.9
 REGION_CHARS, REGION_TOKENS = 400, 400
 
 
-def gold_tokens(x: Lattice, text: str, spans: list[Span]) -> list[tuple[int, int, int]]:
+def gold_tokens(x: Lattice, text: str, spans: list[Span], settled: tuple[int, int] = (0, 0)) -> list[tuple[int, int, int]]:
     """spans as segments of x, and what they leave: digits in one piece that are a card number, and the shortest phone number from a plus
-    sign, where a base pattern runs on into other digits and fails."""
+    sign, where a base pattern runs on into other digits and fails; not in the stretch that is settled."""
     place = {c: i for i, c in enumerate(x.bounds)}
     out, end = [], -1
     for a, b, k in spans:
@@ -351,7 +355,7 @@ def gold_tokens(x: Lattice, text: str, spans: list[Span]) -> list[tuple[int, int
         taken[i:j] = True
     for j in range(1, x.n + 1):
         for i, _ in x.ends[j]:
-            if (j == i + 1 or text[x.bounds[i]] == "+") and not taken[i:j].any():
+            if (x.bounds[j] <= settled[0] or x.bounds[i] >= settled[1]) and (j == i + 1 or text[x.bounds[i]] == "+") and not taken[i:j].any():
                 found = base_spans(text[x.bounds[i] : x.bounds[j]])
                 if len(found) == 1 and found[0][:2] == (0, x.bounds[j] - x.bounds[i]) and found[0][2] >= 2:
                     out.append((i, j, found[0][2]))
@@ -359,26 +363,60 @@ def gold_tokens(x: Lattice, text: str, spans: list[Span]) -> list[tuple[int, int
     return sorted(out)
 
 
+def written_anew(number: str, kind: int, n: int) -> str:
+    """The n-th form (in turn) of a phone or card number that is written in groups of digits; the number itself where the form needs what it lacks."""
+    if kind == 2:
+        digits = re.sub("[^0-9]", "", number)
+        return (number, ".".join(digits[i : i + 4] for i in range(0, len(digits), 4)), number, digits)[n % 4]
+    m = re.match(r"\+[0-9]{1,3}[ .-]+", number)
+    groups = re.findall("[0-9]+", number[m.end() :]) if m else []
+    digits = "".join(groups)
+    if not m or not 7 <= len(digits) <= 12:
+        return number
+    area, middle, last = digits[:3], digits[3:-4], digits[-4:]
+    whole = len(digits) >= 9  # an area, a middle and four digits
+    return (
+        number, number[m.end() :], "-".join(groups), ".".join(groups), f"({area}) {middle} {last}" if whole else number, f"({area}) {middle}-{last}" if whole else number,
+        f"0{digits[:2]} {digits[2:-4]} {last}" if whole else number, f"{area} {middle} {last}" if whole else number, f"({area}){middle}-{last}" if whole else number,
+        f"{area}-{middle}-{last}" if whole else number, f"00{number[1:]}", f"{area}.{middle}.{last}" if whole else number,
+    )[n % 12]
+
+
+def no_number(rng: np.random.Generator, n: int) -> str:
+    """Something with digits that is no personal data, of the n-th kind in turn."""
+    d = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    year, month, day = f"{rng.integers(1900, 2030)}", f"{rng.integers(1, 13):02}", f"{rng.integers(1, 29):02}"
+    rows = " ".join(str(rng.integers(1, 10 ** int(rng.integers(1, 6)))) for _ in range(8))
+    return (
+        f"{year}-{month}-{day}", f"{day}/{month}/{year} 1{d(1)}:3{d(1)}", f"{day}.{month}.{year}", f"{1 + rng.integers(0, 9)},{d(3)},{d(3)}", f"${d(2)},{d(3)}.{d(2)}", f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}",
+        f"v{d(1)}.{d(2)}.{d(1)} build {d(5)}", f"{year}-{year}", f"{d(4)}-{d(4)}", f"#{d(5)}-{d(4)}", f"{d(2)}.{d(4)}, {d(1)}.{d(4)}", rows, rows.replace(" ", ", "), d(8), f"{year} {d(3)} {d(3)} {d(2)} {d(4)}",
+        f"{year}-{month}-{day}T1{d(1)}:2{d(1)}:3{d(1)}", f"{d(3)} {d(3)} {d(3)} {d(3)} {d(3)}", f"({year})", f"{d(1)}-{d(3)}-{d(5)}-{d(1)}", f"{d(3)} x {d(3)} x {d(4)}", f"{d(10)}", f"{d(12)}", f"id={d(9)}",
+    )[n % 23]
+
+
 def fit(texts: list[str]) -> SemiMarkovField:
     """Train on region texts, labelled by their base spans."""
     field, rng, data = SemiMarkovField(), np.random.default_rng(17), []
-    for n, t in enumerate(texts):
-        spans = base_spans(t)
-        phones = [s for s in spans if s[2] == 3]
-        if phones and n % 3 < 2:  # without the country prefix, as it stands or with the same sign between all groups
-            a, b, _ = phones[0]
-            m = re.match(r"\+[0-9]{1,3}[ .-]+", t[a:b])
-            if m:
-                local = t[a + m.end() : b]
-                if n % 3:
-                    local = "-."[n // 3 % 2].join(re.findall("[0-9]+", local))
-                t = t[:a] + local + t[b:]
-                end = a + len(local)
-                spans = sorted([s for s in base_spans(t) if s[1] <= a or s[0] >= end] + [(a, end, 3)])
+
+    def add(t: str, a: int, b: int, other: str, kind: int | None) -> None:
+        """t with `other` in the place of t[a:b], which is of this kind or no personal data."""
+        t, end = t[:a] + other + t[b:], a + len(other)
         tokens = [m.span() for m in _TOKEN.finditer(t)]
         if len(tokens) <= REGION_TOKENS:
             x = Lattice(t, tokens, len(t))
-            data.append((x, gold_tokens(x, t, spans)))
+            spans = [s for s in base_spans(t) if s[1] <= a or s[0] >= end] + ([] if kind is None else [(a, end, kind)])
+            data.append((x, gold_tokens(x, t, sorted(spans), (a, end))))
+
+    turn = 0
+    for t in texts:
+        numbers = [s for s in base_spans(t) if s[2] >= 2]
+        if not numbers:
+            add(t, 0, 0, "", None)
+            continue
+        a, b, kind = numbers[turn % len(numbers)]
+        add(t, a, b, written_anew(t[a:b], kind, turn), kind)
+        add(t, a, b, no_number(rng, turn), None)
+        turn += 1
     for epoch in range(EPOCHS):
         for i in rng.permutation(len(data)):
             field.learn(*data[i], RATE / (1 + epoch), DECAY)
@@ -389,6 +427,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_regions:
     """Fit on a sample of at most max_regions regions (of at most REGION_CHARS characters), chosen by a hash of their text over the whole table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: set[tuple[int, str]] = set()  # the task's least ones so far
         for batch in batches:
             best: list[tuple[int, str]] = []
             for t in batch.column(0):
@@ -398,8 +437,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_regions:
                         if b - a <= REGION_CHARS:
                             r = s[max(0, a - 12) : b + 12]
                             best.append((zlib.crc32(r.encode()), r))
-            best = sorted(set(best))[:max_regions]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in best], pa.int64()), pa.array([x[1] for x in best], pa.string())], ["h", "region"])
+            kept = set(sorted(kept.union(best))[:max_regions])
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.int64()), pa.array([x[1] for x in kept], pa.string())], ["h", "region"])
 
     found = docs.select(F.col(text).cast("string").alias("text")).transform(arrow_map, run, "h bigint, region string")
     rows = found.distinct().orderBy("h", "region").limit(max_regions).collect()

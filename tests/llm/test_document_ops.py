@@ -572,6 +572,27 @@ def test_personal_data(spark, docs):
     assert pii.find(spark, table.limit(0), field=field).count() == 0
 
 
+def test_numbers_in_other_forms_are_found_and_other_digits_left(spark):
+    field, rng = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")), np.random.default_rng(11)
+    digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    phones = ["({}) {} {}", "({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}", "({}){}-{}"]
+    hits = [pii.all_spans(field, f"Call {number} today.")[1] == [(5, 5 + len(number), 3)] for p in phones for _ in range(30) for number in [p.format(digits(3), digits(3), digits(4))]]
+    assert np.mean(hits) > 0.95
+    others = ["20{}-01-1{}", "1,{},{}", "978-0-{}-{}-1", "{} {} 17 4 2056 88 1200", "19{}-20{}", "No. {}-{}", "{}.{}.1", "AB-{}-{}-77"]
+    wrong = [bool(pii.all_spans(field, f"It says {o.format(digits(k), digits(n))} there.")[1]) for o in others for k, n in ((2, 1), (3, 3), (4, 5)) for _ in range(10)]
+    assert np.mean(wrong) < 0.05
+    assert pii.written_anew("+1 (212) 555-0199", 3, 4) == "(212) 555 0199" and pii.written_anew("+1 (212) 555-0199", 3, 6) == "021 2555 0199"
+    assert pii.written_anew("+12", 3, 4) == "+12" and pii.written_anew("4465 7583 8288 9437", 2, 1) == "4465.7583.8288.9437"
+
+
+def test_sample_is_the_least_of_all_tasks(spark):
+    rows = spark.range(3000).selectExpr("id doc_id", "concat('call +1 (212) 555-', 1000 + id, ' now') text")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pii, "fit", lambda texts: texts)
+        one, many = pii.train(rows.repartition(1), max_regions=20), pii.train(rows.repartition(7), max_regions=20)
+        assert len(one) == 20 and one == many and pii.train(rows.limit(0)) == []
+
+
 def test_numbers_between_base_spans(spark):
     field = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
     for text, want in [
