@@ -99,7 +99,8 @@ def candidates(asking: DataFrame, asked: DataFrame, fp: str, most: int, pair: Co
     if len(near) > 1:
         a = a.withColumn("_near", F.explode(F.array(*(F.lit(n).cast("long") for n in near)))).withColumn("value", F.col("value").bitwiseXOR(F.col("_near"))).drop("_near")
     a, b = split_keys(a, b, on, F.xxhash64(*(c for c in b.columns if c not in on)))
-    met = a.join(b, [*on, "_salt"])
+    # by shuffle: Spark estimates the exploded sides by the files they come from, up to 68 times too small, and would broadcast them
+    met = a.join(b.hint("merge"), [*on, "_salt"])
     met = met.where(pair) if pair is not None else met
     return met.withColumn("x", F.col("a__bits").bitwiseXOR(F.col("b__bits"))).withColumn("place_of_pair", tells).drop("a__bits", "b__bits")
 

@@ -279,6 +279,13 @@ def test_fingerprint_join_meets_few_pairs(spark, most, share):
     assert fingerprints.candidates(half, half, "fp", 7, F.col("a_id") < F.col("b_id")).count() < n * n / 2 / 10
 
 
+@pytest.mark.parametrize("most", [3, 7])
+def test_fingerprint_join_broadcasts_no_exploded_side(spark, most):
+    rows = spark.range(50).select("id", F.xxhash64("id").alias("fp"))
+    plan = fingerprints.candidates(rows, rows, "fp", most)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_hot_keys_are_split(spark):
     a = spark.range(500).select(F.lit(1).alias("k"), "id")
     b = spark.range(10_000).select(F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("j"))
