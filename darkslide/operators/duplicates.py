@@ -69,7 +69,7 @@ def band_edges(df: DataFrame, key: str, fp: str, most: int = 7, copies: bool = F
     found = near_fingerprints(reps, reps, "fp", most, F.col("a_rep") < F.col("b_rep")).select(F.col("a_rep").alias("src"), F.col("b_rep").alias("dst"), "distance")
     if not copies:
         return found
-    equal = df.select(F.col(key).alias("dst"), F.col(fp).alias("fp")).join(reps, "fp").where("rep <> dst")
+    equal = df.select(F.col(key).alias("dst"), F.col(fp).alias("fp")).join(reps.hint("merge"), "fp").where("rep <> dst")
     return found.unionByName(equal.select(F.col("rep").alias("src"), "dst", F.lit(0).alias("distance")))
 
 
@@ -108,9 +108,9 @@ def alike(threshold: int = 12) -> Column:
 
 def agreeing(pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """src, dst of the pairs whose histograms correlate at .90 / .80 / .80; a missing histogram drops the pair. The histograms are joined to
-    these pairs alone."""
+    these pairs alone, by shuffle: tables of few different values are small files and large rows, which Spark would broadcast by the size of the file."""
     side = lambda end, to: rows.select(F.col(key).alias(end), *(F.col(h).alias(f"{to}_{h}") for h in HISTOGRAMS))
-    both = pairs.select("src", "dst").join(side("src", "a"), "src").join(side("dst", "b"), "dst")
+    both = pairs.select("src", "dst").join(side("src", "a").hint("merge"), "src").join(side("dst", "b").hint("merge"), "dst")
     c = F.col
     agree = (correlation(c("a_hue"), c("b_hue")) >= 0.90) & (correlation(c("a_sat"), c("b_sat")) >= 0.80) & (correlation(c("a_value"), c("b_value")) >= 0.80)
     return both.where(F.coalesce(agree, F.lit(False))).select("src", "dst")
@@ -156,8 +156,8 @@ def unknown_time_edges(df: DataFrame, key: str, ts: str, threshold: int = 12) ->
     pairs = near.where("b_known or a_rep < b_rep").select(F.col("a_rep").alias("src"), F.col("b_rep").alias("dst"))
     found = materialize(agreeing(pairs, reps, "rep"), "look-edges")
     met = found.select(F.col("dst").alias("rep")).distinct()
-    tied = reps.where("not _known").select("_look", "_known", "rep").union(reps.where("_known").join(met, "rep", "left_semi").select("_look", "_known", "rep"))
-    stars = rows.select(F.col(key).alias("dst"), "_look", "_known").join(tied.withColumnRenamed("rep", "src"), ["_look", "_known"]).where("src <> dst").select("src", "dst")
+    tied = reps.where("not _known").select("_look", "_known", "rep").union(reps.where("_known").join(met.hint("merge"), "rep", "left_semi").select("_look", "_known", "rep"))
+    stars = rows.select(F.col(key).alias("dst"), "_look", "_known").join(tied.withColumnRenamed("rep", "src").hint("merge"), ["_look", "_known"]).where("src <> dst").select("src", "dst")
     return found.unionByName(stars)
 
 
@@ -166,5 +166,5 @@ def groups(df: DataFrame, key: str, digest: str, edges: DataFrame) -> DataFrame:
     reps = df.select(key, digest_key(F.col(digest), F.col(key)).alias("_g"))
     least = reps.groupBy("_g").agg(F.min(key).alias("rep"))
     parts = connected_components(edges, in_one_task=ONE_TASK).select(F.col("node").alias("rep"), "component")
-    named = least.join(parts, "rep", "left").select("_g", F.coalesce("component", "rep").alias("group_id"))
-    return reps.join(named, "_g").select(key, "group_id")
+    named = least.join(parts.hint("merge"), "rep", "left").select("_g", F.coalesce("component", "rep").alias("group_id"))
+    return reps.join(named.hint("merge"), "_g").select(key, "group_id")

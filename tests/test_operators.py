@@ -286,6 +286,28 @@ def test_fingerprint_join_broadcasts_no_exploded_side(spark, most):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_joins_of_pairs_and_groups_broadcast_nothing(spark):
+    hist = F.array(*(F.lit(x).cast("double") for x in (1, 2, 4)))
+    rows = spark.range(20).select("id", F.lit("2024-01-01").cast("timestamp").alias("ts"), F.lit(1.0).alias("ratio"), F.lit(20).alias("saturation"), (F.col("id") % 5).alias("fp"), *(hist.alias(c) for c in ("hue", "sat", "value")), F.concat(F.lit("x"), F.col("id") % 3).alias("digest"))
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
+    plans = [plan_of(duplicates.agreeing(edges, rows, "id")), plan_of(duplicates.unknown_time_edges(rows.withColumn("ts", F.when(F.col("id") > 9, F.col("ts"))), "id", "ts")), plan_of(duplicates.groups(rows, "id", "digest", edges))]
+    assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_rounds_of_components_broadcast_no_edges(spark, monkeypatch):
+    plans, keep = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: plans.append(plan_of(df)) or keep(df, name))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(8)], "src long, dst long")
+    known = spark.createDataFrame([(1, 1), (2, 1)], "node long, component long")
+    assert {r.component for r in graph.connected_components(edges).collect()} == {0}
+    grown = graph.grown_components(known, edges.where("src < 4"), in_one_task=10)
+    assert {r.component for r in grown.collect()} == {0} and plans and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
 def test_hot_keys_are_split(spark):
     a = spark.range(500).select(F.lit(1).alias("k"), "id")
     b = spark.range(10_000).select(F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("j"))
