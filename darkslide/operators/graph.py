@@ -46,7 +46,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", i
 
     Large-star and small-star steps in turn: each node hands its larger, then its smaller neighbours
     to the least node it knows, until the edges are stars. Minima are taken by partial aggregation and joined back, so a
-    node with very many neighbours is no single group. Each round is written to the shared folder in place of the one before.
+    node with very many neighbours is no single group; these joins are by shuffle, since edges take many times
+    their file's size in memory. Each round is written to the shared folder in place of the one before.
     Where at most in_one_task edges are left, one task joins them instead of more rounds. Edges that aren't stars after MAX_ROUNDS rounds are an error, never an unfinished answer."""
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
     e = materialize(e, "components")
@@ -62,9 +63,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", i
         before = now
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x")).select(F.col("x.u").alias("u"), F.col("x.m").alias("v"))
+        small = large.join(low.hint("merge"), "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x")).select(F.col("x.u").alias("u"), F.col("x.m").alias("v"))
         last, e = e, materialize(small.where("u <> v").distinct(), "components")
         discard(last)
     else:
@@ -78,10 +79,10 @@ def grown_components(known: DataFrame, edges: DataFrame, src: str = "src", dst:
 
     The ends of new edges are replaced by their components, so what is joined is as large as the new edges, however large the graph is; the
     least node of a component names it, before and after. All other nodes stay as they are: put the result in their place (`upsert`)."""
-    named = lambda t, end: t.join(known.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+    named = lambda t, end: t.join(known.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")).hint("merge"), end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
     ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b").distinct()
     contracted = named(named(ends, "a"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     parts = materialize(connected_components(contracted, "a", "b", in_one_task).withColumnRenamed("component", "_to"), "grown")
     moved = beside(known, parts.where("node <> _to").select(F.col("node").alias("component"), "_to"), ["component"]).select("node", F.col("_to").alias("component"))
-    new = parts.join(known.select("node"), "node", "left_anti").select("node", F.col("_to").alias("component"))
+    new = parts.join(known.select("node").hint("merge"), "node", "left_anti").select("node", F.col("_to").alias("component"))
     return moved.unionByName(new)
