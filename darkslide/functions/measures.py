@@ -82,10 +82,19 @@ def smile(pull: Column, width: Column) -> Column:
     return F.least(F.lit(100.0), F.greatest(F.lit(0.0), (ratio + 0.02) / 0.12 * 100.0))
 
 
+def at_edge(x: Column, y: Column, w: Column, h: Column) -> Column:
+    """Whether a point lies in the outer 2 % of the frame."""
+    return (x < 0.02 * w) | (x > w - 0.02 * w) | (y < 0.02 * h) | (y > h - 0.02 * h)
+
+
 def occlusion(points: Column, w: Column, h: Column) -> Column:
     """100 if a point (struct x, y) lies in the outer 2 % of the frame."""
-    outer = F.exists(points, lambda p: (p["x"] < 0.02 * w) | (p["x"] > w - 0.02 * w) | (p["y"] < 0.02 * h) | (p["y"] > h - 0.02 * h))
-    return F.when(outer, F.lit(100.0)).otherwise(F.lit(0.0))
+    return F.when(F.exists(points, lambda p: at_edge(p["x"], p["y"], w, h)), F.lit(100.0)).otherwise(F.lit(0.0))
+
+
+def occlusion_of_rows(x: Column, y: Column, w: Column, h: Column) -> Column:
+    """The same of points in rows: an aggregate of them."""
+    return F.when(F.bool_or(at_edge(x, y, w, h)), F.lit(100.0)).otherwise(F.lit(0.0))
 
 
 def head_roll(dy: Column, dx: Column) -> Column:

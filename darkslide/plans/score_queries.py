@@ -164,8 +164,7 @@ def p10(spark, d):
 
 @query("p11_occlusion", sql_views("v_face") + " SELECT photo_id, CASE WHEN bool_or(x<20.48::DOUBLE OR x>1024-20.48::DOUBLE OR y<0.02::DOUBLE*683 OR y>683-0.02::DOUBLE*683) THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS occlusion FROM v_face GROUP BY photo_id")
 def p11(spark, d):
-    pts = F.transform("faces", lambda f: F.struct(f["x"].alias("x"), f["y"].alias("y")))
-    return photos(spark, d).where(F.size("faces") > 0).select("photo_id", M.occlusion(pts, F.lit(1024.0), F.lit(683.0)).alias("occlusion"))
+    return face_rows(spark, d).groupBy("photo_id").agg(M.occlusion_of_rows(F.col("x"), F.col("y"), F.lit(1024.0), F.lit(683.0)).alias("occlusion"))
 
 
 @query("p12_head_pose_angles", f"""SELECT o_orderkey, round(CASE WHEN o_custkey%9=0 THEN 0.0 ELSE degrees(atan2((o_orderkey%21-10)::DOUBLE,(o_custkey%9)::DOUBLE)) END, 6) AS roll,

@@ -8,8 +8,11 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from darkslide import catalog
+from darkslide.functions import measures
 from darkslide.operators import blocks, cull, duplicates, fingerprints, graph, identity, ranking, skew, timeline, vectors
 from darkslide.operators.sums import vector_sums
+from darkslide.plans import fixtures
 from darkslide.plans.session import child_names
 from darkslide.sources import bucketed
 from darkslide.sources import catalog_sink as K
@@ -308,6 +311,15 @@ def test_rounds_of_components_broadcast_no_edges(spark, monkeypatch):
     assert {r.component for r in grown.collect()} == {0} and plans and not [p for p in plans if "BroadcastHashJoin" in p]
 
 
+def test_occlusion_reads_rows_of_faces(spark):
+    got = catalog.QUERIES["p11_occlusion"](spark, SMALL)
+    assert not [w for w in ("collect_list", "Window", "Join") if w in plan_of(got)]
+    nested = fixtures.photos(spark, SMALL).where(F.size("faces") > 0)
+    points = F.transform("faces", lambda f: F.struct(f["x"].alias("x"), f["y"].alias("y")))
+    want = nested.select("photo_id", measures.occlusion(points, F.lit(1024.0), F.lit(683.0)).alias("occlusion"))
+    assert pairs(got, "photo_id", "occlusion") == pairs(want, "photo_id", "occlusion")
+
+
 def test_hot_keys_are_split(spark):
     a = spark.range(500).select(F.lit(1).alias("k"), "id")
     b = spark.range(10_000).select(F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("j"))
