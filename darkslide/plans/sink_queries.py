@@ -144,7 +144,7 @@ def k09(spark, d):
 
 def routed(spark, d):
     v = verdicts(spark, d)
-    return v, K.routes(v.select("photo_id"), v.where("not auto_discard"), v.where("decision = 'HERO'"), "photo_id")
+    return v, K.routes_of_rows(v, "photo_id", ~F.col("auto_discard"), F.col("decision") == "HERO")
 
 
 @query("k10_export_routes", BEST + "SELECT photo_id, 'Best' AS route FROM verdict WHERE NOT auto_discard UNION ALL SELECT photo_id, 'Hero' FROM verdict WHERE decision='HERO' UNION ALL SELECT photo_id, 'Duplicates' FROM verdict WHERE auto_discard")

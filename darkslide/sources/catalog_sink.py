@@ -130,6 +130,13 @@ def routes(listing: DataFrame, selected: DataFrame, heroes: DataFrame, key: str)
     return best.unionByName(hero).unionByName(rest)
 
 
+def routes_of_rows(rows: DataFrame, key: str, selected: Column, hero: Column) -> DataFrame:
+    """The same from conditions on the rows themselves, which are read once; hero counts among the selected only."""
+    to = lambda when, route: F.when(when, F.lit(route))
+    places = F.array(to(selected, "Best"), to(selected & hero, "Hero"), to(~F.coalesce(selected, F.lit(False)), "Duplicates"))
+    return rows.select(key, F.explode(places).alias("route")).where(F.col("route").isNotNull())
+
+
 def audit(total: int, routed: DataFrame, categories: DataFrame) -> DataFrame:
     """One row: counts, percentages with one decimal, distribution of categories (a map)."""
     share = lambda n: F.floor(n * 1000 / F.lit(max(total, 1)) + 0.5) / 10

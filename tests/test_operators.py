@@ -320,6 +320,14 @@ def test_occlusion_reads_rows_of_faces(spark):
     assert pairs(got, "photo_id", "occlusion") == pairs(want, "photo_id", "occlusion")
 
 
+def test_routes_read_verdicts_once(spark):
+    rows = spark.createDataFrame([(1, True, True), (2, True, False), (3, False, True), (4, False, False), (5, None, True)], "id long, kept boolean, hero boolean")
+    got = K.routes_of_rows(rows, "id", F.col("kept"), F.col("hero"))
+    assert pairs(got, "id", "route") == pairs(K.routes(rows.select("id"), rows.where("kept"), rows.where("hero"), "id"), "id", "route")
+    found = plan_of(catalog.QUERIES["k10_export_routes"](spark, SMALL))
+    assert "Union" not in found and "LeftAnti" not in found
+
+
 def test_hot_keys_are_split(spark):
     a = spark.range(500).select(F.lit(1).alias("k"), "id")
     b = spark.range(10_000).select(F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("j"))
