@@ -229,11 +229,26 @@ def normalized(a: Column) -> Column:
     return F.when(n == 0, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x.cast("double") / n))
 
 
+def _total(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+
+
+def centred(v: Column) -> Column:
+    """What correlation needs of one histogram: its differences from its mean (d) and the sum of their squares (v)."""
+    d = lambda v: F.transform(v, lambda x: x - _total(v) / F.size(v).cast("double"))
+    return F.transform(F.array(d(v)), lambda c: F.struct(c.alias("d"), _total(F.transform(c, lambda x: x * x)).alias("v")))[0]
+
+
+def correlation_of_centred(a: Column, b: Column) -> Column:
+    """Pearson correlation of two histograms, given as centred; 1 where one has no variance."""
+    v = a["v"] * b["v"]
+    return F.when(v <= 1e-18, F.lit(1.0)).otherwise(_total(F.zip_with(a["d"], b["d"], lambda x, y: x * y)) / F.sqrt(v))
+
+
 def correlation(a: Column, b: Column) -> Column:
     """Pearson correlation of two histograms; 1 where one has no variance."""
     n = F.size(a).cast("double")
-    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
-    ma, mb = total(a) / n, total(b) / n
-    cov = total(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)))
-    va, vb = total(F.transform(a, lambda x: (x - ma) * (x - ma))), total(F.transform(b, lambda y: (y - mb) * (y - mb)))
+    ma, mb = _total(a) / n, _total(b) / n
+    cov = _total(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)))
+    va, vb = _total(F.transform(a, lambda x: (x - ma) * (x - ma))), _total(F.transform(b, lambda y: (y - mb) * (y - mb)))
     return F.when(va * vb <= 1e-18, F.lit(1.0)).otherwise(cov / F.sqrt(va * vb))

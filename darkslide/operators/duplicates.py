@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from darkslide.functions.measures import correlation
+from darkslide.functions.measures import centred, correlation, correlation_of_centred
 from darkslide.operators.fingerprints import hamming, near_fingerprints
 from darkslide.operators.graph import ONE_TASK, connected_components
 from darkslide.operators.skew import beside, split_keys
@@ -78,7 +80,7 @@ def burst_edges(df: DataFrame, key: str, ts: str, gap: int = 60) -> DataFrame:
     meeting its own bucket and the next. The rows of a crowded bucket are dealt over many tasks. Other columns come along as a_... and b_..."""
     a, b = _burst_sides(df, key, ts, gap)
     a, b = split_keys(a, b, ["bucket"], F.xxhash64(f"b_{key}"))
-    return a.join(b, ["bucket", "_salt"]).where(_in_turn(key, gap)).withColumnsRenamed({f"a_{key}": "src", f"b_{key}": "dst"}).drop("bucket", "_salt", "a__s", "b__s")
+    return a.join(b.hint("merge"), ["bucket", "_salt"]).where(_in_turn(key, gap)).withColumnsRenamed({f"a_{key}": "src", f"b_{key}": "dst"}).drop("bucket", "_salt", "a__s", "b__s")
 
 
 def _burst_sides(df: DataFrame, key: str, ts: str, gap: int) -> tuple[DataFrame, DataFrame]:
@@ -111,9 +113,13 @@ def agreeing(pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     these pairs alone, by shuffle: tables of few different values are small files and large rows, which Spark would broadcast by the size of the file."""
     side = lambda end, to: rows.select(F.col(key).alias(end), *(F.col(h).alias(f"{to}_{h}") for h in HISTOGRAMS))
     both = pairs.select("src", "dst").join(side("src", "a").hint("merge"), "src").join(side("dst", "b").hint("merge"), "dst")
+    return both.where(_agree(correlation)).select("src", "dst")
+
+
+def _agree(corr: Callable[[Column, Column], Column]) -> Column:
     c = F.col
-    agree = (correlation(c("a_hue"), c("b_hue")) >= 0.90) & (correlation(c("a_sat"), c("b_sat")) >= 0.80) & (correlation(c("a_value"), c("b_value")) >= 0.80)
-    return both.where(F.coalesce(agree, F.lit(False))).select("src", "dst")
+    agree = (corr(c("a_hue"), c("b_hue")) >= 0.90) & (corr(c("a_sat"), c("b_sat")) >= 0.80) & (corr(c("a_value"), c("b_value")) >= 0.80)
+    return F.coalesce(agree, F.lit(False))
 
 
 #: Rows of a time bucket above which its pairs are looked up by their fingerprints.
@@ -124,20 +130,24 @@ def near_duplicate_edges(df: DataFrame, key: str, ts: str, gap: int = 60, thresh
     """src, dst of rows (ratio, saturation, fp, hue, sat, value) at most `gap` seconds apart that look alike. Rows without a time or
     a fingerprint have no edges here, see `unknown_time_edges`.
 
-    The rows of most time buckets all meet. In a crowded one (a burst that holds a large share of the table) only those meet
-    that share parts of their fingerprints, which misses no pair that is near enough."""
-    slim = df.where(F.col("fp").isNotNull()).select(key, ts, *LOOKS)
+    The rows of most time buckets all meet, with their histograms, so that rows are shuffled and pairs are not. In a crowded one (a burst that holds a large
+    share of the table) only those meet that share parts of their fingerprints, which misses no pair that is near enough."""
+    known = df.where(F.col("fp").isNotNull())
+    slim = known.select(key, ts, *LOOKS)
+    whole = known.select(key, ts, *LOOKS, *(centred(F.col(h)).alias(h) for h in HISTOGRAMS))
+    near = alike(threshold) & _agree(correlation_of_centred)
     a, b = _burst_sides(slim, key, ts, gap)
     crowded = b.groupBy("bucket").count().where(F.col("count") > CROWD).select("bucket")
     if crowded.isEmpty():
-        return agreeing(burst_edges(slim, key, ts, gap).where(alike(threshold)), df, key)
+        return burst_edges(whole, key, ts, gap).where(near).select("src", "dst")
     crowded = materialize(crowded, "crowded")
     of = lambda t, how: beside(t, crowded, ["bucket"], how)
-    few = of(a, "left_anti").join(of(b, "left_anti"), "bucket").where(_in_turn(key, gap))
+    all_a, all_b = _burst_sides(whole, key, ts, gap)
+    few = of(all_a, "left_anti").join(of(all_b, "left_anti").hint("merge"), "bucket").where(_in_turn(key, gap)).where(near)
     plain = lambda t: t.select("bucket", *(F.col(c).alias(c[2:]) for c in t.columns if c != "bucket"))
     many = near_fingerprints(plain(of(a, "left_semi")), plain(of(b, "left_semi")), "fp", min(7, threshold - 5), _in_turn(key, gap), ["bucket"])
-    met = few.unionByName(many.select(*few.columns)).where(alike(threshold))
-    return agreeing(met.select(F.col(f"a_{key}").alias("src"), F.col(f"b_{key}").alias("dst")), df, key)
+    ends = lambda t: t.select(F.col(f"a_{key}").alias("src"), F.col(f"b_{key}").alias("dst"))
+    return ends(few).unionByName(agreeing(ends(many.where(alike(threshold))), df, key))
 
 
 def unknown_time_edges(df: DataFrame, key: str, ts: str, threshold: int = 12) -> DataFrame:

@@ -328,6 +328,18 @@ def test_routes_read_verdicts_once(spark):
     assert "Union" not in found and "LeftAnti" not in found
 
 
+def test_pairs_of_bursts_are_not_shuffled(spark):
+    plan = plan_of(catalog.QUERIES["j01_near_duplicate_edges"](spark, SMALL))
+    assert plan.count("SortMergeJoin") == 1 and "Broadcast" not in plan
+
+
+def test_correlation_of_centred_histograms_of_one_length(spark):
+    h = [[1.0, 2.0, 4.0], [2.0, 2.0, 2.0], [0.1, 0.7, 0.2], [1.0, None, 2.0], None]
+    t = spark.createDataFrame([(x, y) for x in h for y in h], "a array<double>, b array<double>")
+    plain, new = measures.correlation(F.col("a"), F.col("b")), measures.correlation_of_centred(measures.centred(F.col("a")), measures.centred(F.col("b")))
+    assert all(r[0] == r[1] for r in t.select(plain, new).collect())
+
+
 def test_hot_keys_are_split(spark):
     a = spark.range(500).select(F.lit(1).alias("k"), "id")
     b = spark.range(10_000).select(F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("j"))
