@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from darkslide.functions.measures import centred, correlation, correlation_of_centred
 from darkslide.operators.fingerprints import hamming, near_fingerprints
@@ -52,13 +56,23 @@ def histogram(df: DataFrame, key: str, value: str, low: float, high: float, bins
 
 
 def simhash(words: Column, bits: int = 64) -> Column:
-    """64-bit fingerprint of a list of words: each bit is the majority of that bit over the words' hashes."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    vote = lambda b: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.when(F.getbit(h, F.lit(b)) == 1, 1).otherwise(-1))
-    value = F.lit(0).cast("long")
-    for b in range(bits):
-        value = value.bitwiseOR(F.when(vote(b) > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    return value
+    """64-bit fingerprint of a list of words: each bit is the majority of that bit over the words' hashes. No words: 0."""
+    at = F.lit(-1 if bits >= 64 else (1 << bits) - 1).cast("long")
+    hashes = F.coalesce(F.transform(words, lambda w: F.xxhash64(w)), F.array().cast("array<long>"))
+    return _majority(hashes).bitwiseAND(at)
+
+
+@F.arrow_udf(LongType())
+def _majority(hashes: pa.Array) -> pa.Array:
+    """The bits that are set in more than half of the numbers of each list, all lists of a batch bit by bit."""
+    ends = np.append(0, np.cumsum(pc.list_value_length(hashes).to_numpy(zero_copy_only=False)))
+    flat = hashes.flatten().to_numpy(zero_copy_only=False)
+    value, running = np.zeros(len(hashes), np.int64), np.zeros(len(flat) + 1, np.int64)
+    for b in range(64):
+        np.cumsum((flat >> b) & 1, out=running[1:])
+        more = 2 * (running[ends[1:]] - running[ends[:-1]]) > np.diff(ends)
+        value |= more.astype(np.int64) << b
+    return pa.array(value)
 
 
 def band_edges(df: DataFrame, key: str, fp: str, most: int = 7, copies: bool = False) -> DataFrame:

@@ -377,6 +377,22 @@ def test_simhash_of_like_texts_is_near(spark):
     assert near < 12 < far
 
 
+def test_simhash_reads_the_words_once(spark):
+    import xxhash
+
+    texts = ["a b", "a a b", "", None, *(" ".join(f"w{i * i % k}" for i in range(k)) for k in range(1, 60))]
+    words = F.regexp_extract_all("t", F.lit(r"\w+"), F.lit(0))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").repartition(2)
+    made = df.select("id", duplicates.simhash(words).alias("fp"), duplicates.simhash(words, 16).alias("short"))
+
+    def plain(text, bits):
+        hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in (text or "").split()]
+        return sum(1 << b for b in range(bits) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    assert {r.id: (r.fp % 2**64, r.short) for r in made.collect()} == {i: (plain(t, 64), plain(t, 16)) for i, t in enumerate(texts)}
+    assert df.select(duplicates.simhash(words).alias("fp"))._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
 def test_chapters(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate((1000, 1200, 3000, 3500))], "id long, s long").select("id", F.timestamp_seconds("s").alias("ts"), F.lit(1).alias("k"))
     assert pairs(timeline.chapters(df, "ts", "id"), "id", "chapter") == [(0, 1), (1, 1), (2, 2), (3, 2)]
