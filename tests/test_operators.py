@@ -1,8 +1,10 @@
 """Operators on small tables with known answers, and against brute force."""
 
+import math
 import os
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -224,6 +226,45 @@ def test_packed_vectors(spark):
     assert pairs(back.where("id = 1"), "vec") == [([1.5, -2.0],)] and back.where("id = 2").first()["vec"] is None
 
 
+@pytest.mark.parametrize("cells", [8, 64])
+def test_meetings_copy_a_row_once_for_each_group(spark, monkeypatch, cells):
+    monkeypatch.setattr(blocks, "BLOCK", 800 // cells)
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", 1)
+    rng = np.random.default_rng(cells)
+    put = blocks.put_in_blocks(frame(spark, rng.normal(size=(800, 6))), "id", "v", np.zeros((0, 0)))
+    pairs = blocks.pairs_within(put, -1.0)
+    groups = -(-put.count // blocks.group_width(put.count, spark.sparkContext.defaultParallelism))
+    copies = blocks.meet(put, pairs, lambda x, y, met: iter([pd.DataFrame({"rows": [sum(map(len, x.values()))], "met": [len(met)]})]), "rows long, met long").toPandas()
+    assert put.count >= cells and groups <= max(1, math.isqrt(8 * spark.sparkContext.defaultParallelism))
+    assert copies["met"].sum() == put.count * (put.count + 1) // 2 and copies["rows"].sum() == 800 * groups
+    other = blocks.meet_others(put, put, pairs, lambda x, y, met: iter([pd.DataFrame({"rows": [sum(map(len, [*x.values(), *y.values()]))]})]), "rows long").toPandas()
+    assert other["rows"].sum() <= 800 * (groups + 1)
+
+
+@pytest.mark.parametrize("group", [20, 200])
+def test_groups_of_any_size_give_the_same(spark, monkeypatch, group):
+    monkeypatch.setattr(blocks, "BLOCK", 20)
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", 10)
+    monkeypatch.setattr(blocks, "GROUP", group)
+    v = clouds(160, seed=5)
+    u = unit(v)
+    got = vectors.similarity_matrix(frame(spark, v), "id", "v").toPandas()
+    made = np.full((160, 160), np.nan)
+    made[got["i"], got["j"]] = got["sim"]
+    assert len(got) == 160**2 and np.abs(made - u @ u.T).max() < 1e-9
+
+
+def test_joined_labels_are_the_least_nodes(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 300, (2, 220))
+    got = blocks.joined_labels(blocks.joined_labels(np.arange(300), a[:90], b[:90]), a[90:], b[90:])
+    want = np.arange(300)
+    for _ in range(300):
+        for x, y in zip(a, b, strict=True):
+            want[[x, y]] = min(want[x], want[y])
+    assert (got == want).all()
+
+
 def test_band_join_equals_brute_force(spark):
     rng = np.random.default_rng(6)
     base = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 12)]
