@@ -254,6 +254,20 @@ def test_groups_of_any_size_give_the_same(spark, monkeypatch, group):
     assert len(got) == 160**2 and np.abs(made - u @ u.T).max() < 1e-9
 
 
+def test_nearest_clusters_by_groups_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(12)
+    v, n = rng.normal(size=(700, 5)), rng.integers(1, 4, 700)
+    v[5] = v[6] * n[5] / n[6]
+    df = spark.createDataFrame([(i, (x * 1.0).tolist(), int(k)) for i, (x, k) in enumerate(zip(v, n, strict=True))], "id long, v array<double>, n long")
+    sims = v / n[:, None] @ (v / n[:, None]).T
+    sims = np.maximum(sims, sims.T)
+    np.fill_diagonal(sims, -np.inf)
+    got = {r.id: r.other for r in vectors.nearest_clusters(df, 1.5).collect()}
+    assert set(got) == set(np.flatnonzero(sims.max(1) >= 1.5 - 1e-12)) and all(sims[i, j] > sims[i].max() - 1e-9 for i, j in got.items())
+    assert vectors.group_count(df) <= max(1, math.isqrt(8 * spark.sparkContext.defaultParallelism))  # however small a block is
+
+
 def test_joined_labels_are_the_least_nodes(spark):
     rng = np.random.default_rng(4)
     a, b = rng.integers(0, 300, (2, 220))
