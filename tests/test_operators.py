@@ -254,6 +254,45 @@ def test_groups_of_any_size_give_the_same(spark, monkeypatch, group):
     assert len(got) == 160**2 and np.abs(made - u @ u.T).max() < 1e-9
 
 
+@pytest.mark.parametrize("group", [20, 200])
+def test_groups_of_any_size_give_the_same_pairs(spark, monkeypatch, group):
+    monkeypatch.setattr(blocks, "BLOCK", 20)
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", 10)
+    monkeypatch.setattr(blocks, "GROUP", group)
+    got = vectors.similar_pairs(frame(spark, clouds(160, seed=5)), "id", "v", -2.0)
+    assert pairs(got, "i", "j") == [(i, j) for i in range(160) for j in range(i + 1, 160)]
+
+
+@pytest.mark.parametrize("cells", [7, 1 << 18])
+def test_matrix_copies_no_row(spark, monkeypatch, cells):
+    monkeypatch.setattr(blocks, "BLOCK", 30)
+    monkeypatch.setattr(blocks, "CELLS", cells)
+    written, keep = [], blocks.materialize
+    monkeypatch.setattr(blocks, "materialize", lambda df, name: written.append(keep(df, name)) or written[-1])
+    v = clouds(400, seed=3)
+    u = unit(v)
+    got = vectors.similarity_matrix(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id int, v array<float>"), "id", "v")
+    assert "Exchange" not in plan_of(got)  # what is written beforehand is all that is moved
+    sizes = [r.n for t in written for r in t.select(F.size("ids").alias("n")).collect()]
+    assert sum(sizes) == 400 and max(sizes) <= 30 and len(sizes) < 30
+    assert got.dtypes == [("i", "bigint"), ("j", "bigint"), ("sim", "double")]
+    rows = got.toPandas()
+    made = np.full((400, 400), np.nan)
+    made[rows["i"], rows["j"]] = rows["sim"]
+    assert len(rows) == 400**2 and np.abs(made - u @ u.T).max() < 1e-5
+    assert (made == made.T).all() and made[0, 0] == 0 and made[3, 3] == 1
+
+
+def test_matrix_of_odd_rows(spark):
+    rows = [(1, [3.0, 4.0]), (1, [4.0, 3.0]), (2, [0.0, 0.0]), (None, [-3.0, -4.0])]
+    got = vectors.similarity_matrix(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v").withColumn("sim", F.round("sim", 6)).toPandas()
+    want = [(i, j, round(float(np.dot(x, y)) / 25, 6) + 0.0) for i, x in rows for j, y in rows]
+    told = lambda t: sorted((-1 if i is None or i != i else int(i), -1 if j is None or j != j else int(j), s + 0.0) for i, j, s in t)
+    assert told(got.itertuples(index=False)) == told(want)  # equal keys and a null one have their rows
+    none = vectors.similarity_matrix(spark.createDataFrame([], "id long, v array<double>"), "id", "v")
+    assert none.count() == 0
+
+
 def test_nearest_clusters_by_groups_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 16)
     rng = np.random.default_rng(12)
