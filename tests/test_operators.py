@@ -307,6 +307,60 @@ def test_nearest_clusters_by_groups_equal_brute_force(spark, monkeypatch):
     assert vectors.group_count(df) <= max(1, math.isqrt(8 * spark.sparkContext.defaultParallelism))  # however small a block is
 
 
+def test_nearest_clusters_are_exact_and_move_no_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 40)
+    monkeypatch.setattr(vectors, "group_count", lambda df, rows=None: 3)
+    rng = np.random.default_rng(3)
+    near = 0.9 + rng.permutation(199) * 1e-9  # 32-bit floats can't tell these similarities to the first row
+    other = unit(np.hstack([np.zeros((199, 1)), rng.normal(size=(199, 7))]))
+    v = np.vstack([np.eye(8)[:1], near[:, None] * np.eye(8)[0] + np.sqrt(1 - near**2)[:, None] * other])
+    got = vectors.nearest_clusters(spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "id long, v array<double>, n long"), 0.5)
+    plan = plan_of(got)
+    assert plan.count("Exchange hashpartitioning(id") == plan.count("Exchange") == 1  # a best for each task and cluster, not its vector for each group
+    sims = v @ v.T
+    np.fill_diagonal(sims, -1)
+    found = {r.id: r.other for r in got.collect()}
+    assert len(found) == 200 and found[0] == 1 + near.argmax() and all(sims[i, j] > sims[i].max() - 1e-12 for i, j in found.items())
+
+
+def test_average_linkage_leaves_the_rest_to_one_task_after_a_round(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LINKAGE_ROWS", 10)
+    monkeypatch.setattr(vectors, "MAX_ROUNDS", 1)
+    v = clouds(150, seed=8)
+    want = brute_linkage(v, 0.4)
+    assert {r.id: r.cluster for r in vectors.average_linkage(frame(spark, v), "id", "v", 0.4).collect()} == want and 5 < max(want.values()) < 140
+
+
+@pytest.mark.parametrize("edges", [0, 1 << 22])
+def test_rounds_of_merges_with_and_without_known_pairs(monkeypatch, edges):
+    monkeypatch.setattr(vectors, "EDGES", edges)
+    monkeypatch.setattr(vectors, "BLOCK", 32)
+    v = clouds(150, seed=9)
+    order = np.random.default_rng(1).permutation(150)
+    made, left = vectors._merge_in_rounds(order, unit(v)[order], np.ones(150, int), 0.6, 1)
+    top = np.arange(150)
+    for keep, gone in np.concatenate(made, 1).T:
+        assert keep < gone
+        top[top == top[gone]] = top[keep]
+    want = brute_linkage(v, 0.4)
+    assert len(left[0]) <= 1 and (np.unique(top, return_inverse=True)[1] == [want[i] for i in range(150)]).all()
+
+
+def brute_linkage(v, most):
+    far = 1 - unit(v) @ unit(v).T
+    sets = [[i] for i in range(len(v))]
+    mean = lambda a, b: far[np.ix_(a, b)].mean()
+    d = np.array([[mean(a, b) if i < j else np.inf for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    while d.min() <= most:
+        i, j = np.unravel_index(d.argmin(), d.shape)
+        sets[i] += sets[j]
+        sets[j], d[j], d[:, j] = [], np.inf, np.inf
+        for k in range(len(sets)):
+            if sets[k] and k != i:
+                d[min(i, k), max(i, k)] = mean(sets[i], sets[k])
+    return {x: k for k, s in enumerate(sorted((s for s in sets if s), key=min)) for x in s}
+
+
 def test_joined_labels_are_the_least_nodes(spark):
     rng = np.random.default_rng(4)
     a, b = rng.integers(0, 300, (2, 220))
