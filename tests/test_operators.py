@@ -293,6 +293,20 @@ def test_matrix_of_odd_rows(spark):
     assert none.count() == 0
 
 
+def test_matrix_is_rounded_as_by_spark_and_small_on_disk(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.uniform(-1, 1, 3000), (rng.integers(-(10**6), 10**6, 3000) + 0.5) / 1e6, [0.0, -0.0, -1e-9, 5e-7, -5e-7, 1.0000000000000002, np.nan]])
+    want = spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "k long, x double").orderBy("k").select(F.round("x", 6)).toPandas().iloc[:, 0].to_numpy()
+    got = blocks.rounded(x, 6)
+    assert np.array_equal(got, want, equal_nan=True) and not np.signbit(got[got == 0]).any()
+    v = rng.normal(size=(1500, 16))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "id long, v array<double>")
+    vectors.similarity_matrix(df, "id", "v", 3).write.parquet(str(tmp_path / "m"))
+    made = pq.read_table(str(tmp_path / "m")).to_pandas()
+    assert len(made) == 1500**2 and np.abs(made["sim"] - (unit(v) @ unit(v).T)[made["i"], made["j"]]).max() <= 0.0005 + 1e-9
+    assert sum(os.path.getsize(tmp_path / "m" / f) for f in os.listdir(tmp_path / "m") if f.endswith(".parquet")) < 3.4 * len(made)
+
+
 def test_nearest_clusters_by_groups_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 16)
     rng = np.random.default_rng(12)
